@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlens.llm import bpe
 from quorumlens.llm.chat_format import format_chats, read_back
 from quorumlens.llm.exact_dedup import duplicate_report
 from quorumlens.llm.pii import find_pii, span_list
@@ -14,6 +15,20 @@ from quorumlens.llm.url_filter import judge_urls
 from quorumlens.session import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file on the machine that reads it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    return decoded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -45,6 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op3_url_filter": op3_url_filter,
     "op6_pii": op6_pii,
     "op9_exact_dedup": op9_exact_dedup,

@@ -4,8 +4,8 @@ Urls that a rule allows train one model, urls that a rule blocks another: variab
 over a small alphabet, with contexts of two characters, one and none, interpolated by Witten-Bell
 smoothing (a context that was never seen is skipped). A url's score is the difference of its two log
 likelihoods divided by its length. The threshold is calibrated on a fifth of the ruled urls, which the
-models do not see: the point between the two classes' mean scores at which both lie equally many
-standard deviations away. Counts cover all urls.
+models do not see: it is the point half way between the two classes' mean scores there. Counts cover
+all urls.
 
 All trigrams over the alphabet are fewer than 60,000, whatever the input: that is the proven bound of the
 one table that is broadcast. Log likelihoods are summed as whole millionths, so sums don't depend on order.
@@ -95,12 +95,8 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, st
     scored = texts.filter("part <> 'train'").select("scored", "rule_verdict", "part", "n", F.explode(trigrams(F.col("scored"))).alias("gram"))
     scored = scored.join(F.broadcast(ratios), "gram").groupBy("scored", "rule_verdict", "part", "n").agg((F.sum("ratio") / F.count(F.lit(1)) / 1e6).alias("score"))
     scored = cut(scored)
-    held = {r["rule_verdict"]: r for r in scored.filter("part = 'calibrate'").groupBy("rule_verdict").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("spread")).collect()}
-    threshold = None
-    if len(held) == 2:
-        a, b = held["allow"], held["block"]
-        wide = a["spread"] + b["spread"]
-        threshold = (a["mean"] * b["spread"] + b["mean"] * a["spread"]) / wide if wide else (a["mean"] + b["mean"]) / 2
+    means = dict(scored.filter("part = 'calibrate'").groupBy("rule_verdict").agg(F.avg("score")).collect())
+    threshold = sum(means.values()) / 2 if len(means) == 2 else None
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block") if threshold is not None else F.lit("allow")
     unruled = scored.filter("part = 'score'").select("scored", "score")
     joined = ruled.withColumn("scored", F.when(F.col("rule").isNull(), F.concat("host", "path"))).join(unruled, "scored", "left")

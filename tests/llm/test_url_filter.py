@@ -19,7 +19,7 @@ def test_parts_rules_and_model(spark):
     r = random.Random(2)
     urls = [None, "", "nothing", "http://", "HTTP://ORG/", "x://Ünï.ORG/a?b#c", "a://b://c/d", "http://example.org/en/12", "http://xexample.org/en/1", "http://com/fr/", "http://a.com/fr", "http://q?x=/org/"]
     urls += [f"http://{r.choice(['good', 'nice'])}.org/{r.randint(0, 99)}" for _ in range(200)]
-    urls += [f"http://bad-zzz{r.randint(0, 99)}.com/de/zzz" for _ in range(200)] + ["http://zzz-zzz.net/de/zzz", "http://good/7"]
+    urls += [f"http://bad-zzz{r.randint(0, 99)}.com/de/zzz" for _ in range(200)] + ["http://zzz-zzz.net/de/zzz", "http://good.org.good.orgx/77"]
     pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls)], "page_id long, url string, host string").drop("host")
     got = {x["page_id"]: x for x in judge_urls(pages).collect()}
     assert len(got) == len(urls)
