@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlens.llm import bpe
 from quorumlens.llm.chat_format import format_chats, read_back
+from quorumlens.llm.common import scratch_path
+from quorumlens.llm.decontaminate import find_contamination
 from quorumlens.llm.exact_dedup import duplicate_report
 from quorumlens.llm.pii import find_pii, span_list
+from quorumlens.llm.quality import fit_quality, quality_score
+from quorumlens.llm.simhash import hamming_components
+from quorumlens.llm.token_shards import read_with_starts, write_shards
+from quorumlens.llm.toxicity import fit_toxicity, toxicity_score
 from quorumlens.llm.url_filter import judge_urls
 from quorumlens.session import table
 
@@ -22,6 +28,49 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def id_remainder(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").filter(id_remainder(5) != 0).select("doc_id", "quality")
+    machine = fit_quality(sampled(docs, labels, 6000), max_train=6000)
+    scored = docs.select("doc_id", (id_remainder(5) == 0).alias("held_out"), quality_score(docs, machine).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The documents of at most ``most`` labels, those with the smallest hash of their id."""
+    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.join(F.broadcast(some), "doc_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = id_remainder(4) != 2
+    model = fit_toxicity(docs.filter(learn), table(spark, sf_dir, "labels").filter(learn).select("doc_id", "toxic"))
+    scored = docs.select("doc_id", (~learn).alias("held_out"), toxicity_score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch_path(spark, "token-shards")
+    write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), target)
+    back = read_with_starts(spark.read.parquet(target))
+    return back.select("doc_id", F.col("start").cast("long").alias("start"), bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = hamming_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, max_bits=2)
+    return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
@@ -60,9 +109,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
+    "op5_token_shards": op5_token_shards,
     "op6_pii": op6_pii,
+    "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
 }
