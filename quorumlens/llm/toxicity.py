@@ -66,7 +66,7 @@ def contrast(positive: Rows, unlabelled: Rows) -> np.ndarray:
     return (counts[0] / n - counts[1] / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
 
 
-def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 20, batch: int = 256, rate: float = 0.1, l1: float = 2e-4, min_z: float = 8.0, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 20, batch: int = 256, rate: float = 0.1, l1: float = 2e-4, min_z: float = 5.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier, by Adagrad on the non-negative risk with an L1 penalty."""
     w, b, gw, gb = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-4), 1e-4
     if not positive.n or not unlabelled.n:
