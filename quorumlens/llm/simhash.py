@@ -107,16 +107,16 @@ def hamming_links(prints: DataFrame, max_bits: int = 2, bucket: int = 64) -> Dat
     per, rest = divmod(max_bits, 2)
     radii = [per if i <= rest else per - 1 for i in (0, 1)]  # of the segments' balls; below 0: no probe
     key = lambda i, values: F.transform(values, _plus(i << 32))
-    stored = prints.select("fp", F.explode(F.concat(*[key(i, F.array(segment(F.col("fp"), i))) for i in (0, 1)])).alias("key"))
-    probes = prints.select("fp", F.explode(F.concat(*[key(i, ball(segment(F.col("fp"), i), 32, r)) for i, r in enumerate(radii) if r >= 0])).alias("key"))
+    stored = prints.select("fp", F.explode_outer(F.concat(*[key(i, F.array(segment(F.col("fp"), i))) for i in (0, 1)])).alias("key"))
+    probes = prints.select("fp", F.explode_outer(F.concat(*[key(i, ball(segment(F.col("fp"), i), 32, r)) for i, r in enumerate(radii) if r >= 0])).alias("key"))
     full = cut(stored.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key"))
     crowded = not full.isEmpty()
     near = prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     if crowded:
         dense = probes.join(full, "key", "left_semi").select("fp").unionByName(stored.join(full, "key", "left_semi").select("fp")).distinct()
-        balls = dense.select("fp", F.explode(ball(F.col("fp"), 64, 1)).alias("value"))
+        balls = dense.select("fp", F.explode_outer(ball(F.col("fp"), 64, 1)).alias("value"))
         if max_bits == 2:
-            near = balls.groupBy("value").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1").select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
+            near = balls.groupBy("value").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1").select(F.array_min("fps").alias("a"), F.explode_outer("fps").alias("b"))
         elif max_bits == 1:
             near = balls.join(dense.select(F.col("fp").alias("value")), "value").select(F.col("fp").alias("a"), F.col("value").alias("b"))
         near = near.filter("a <> b")
@@ -154,14 +154,14 @@ def _compared(rows: DataFrame, prints: DataFrame, bound: int) -> DataFrame:
 def near_links(prints: DataFrame, bound: int, rounds: int = 8) -> DataFrame:
     """a, b: near pairs of ``prints`` (id, f0, f1)."""
     parts = [F.transform(ball(segment(F.col(f"f{i // 2}"), i % 2), 32, 1), _plus(i << 32)) for i in range(4)]
-    members = prints.select("id", F.explode(F.concat(*parts)).alias("key"))
+    members = prints.select("id", F.explode_outer(F.concat(*parts)).alias("key"))
     found = None
     for turn in range(rounds + 1):
         in_order = W.partitionBy("key").orderBy("id")
         if turn < rounds:
             seen = members.select("key", "id", F.first("id").over(in_order).alias("first"), F.lag("id").over(in_order).alias("previous")).filter("id <> first")
             seen = cut(seen)
-            rows = seen.select("id", F.explode(F.array_distinct(F.array("first", "previous"))).alias("other"))
+            rows = seen.select("id", F.explode_outer(F.array_distinct(F.array("first", "previous"))).alias("other"))
         else:
             rows = members.join(members.select("key", F.col("id").alias("other")), "key").filter("id > other")
         checked = cut(_compared(rows, prints, bound))
