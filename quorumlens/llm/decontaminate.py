@@ -21,9 +21,11 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,83 +36,114 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr ho
 OUTER = string.punctuation.replace("%", "").replace("$", "") + "«»“”„’‘¿¡…–—"
 NUMBER = re.compile(r"[-+$€£]?\d[\d.,/:]*%?")
 BITMAP_BITS = 24
+#: Texts whose windows are hashed together.
+TOGETHER = 200
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "<number>", "<name>", "<unit>"
+SLOT_HASHES = np.array([0, *(xxhash.xxh64_intdigest(x) for x in (NUMBER_SLOT, UNIT_SLOT, NAME_SLOT))], np.uint64)
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """Template words, and for each the slot value (empty: a plain word)."""
-    words, slots, begins, after_number = [], [], True, False
-    for token in text.split():
+PLAIN, NUMBER_KIND, UNIT_KIND, NAME_KIND = range(4)
+
+
+class Tokens(dict):
+    """A number for each token, with what is known of it alone; bounded."""
+
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.low: list[str] = []
+        self.facts: list[tuple[int, bool, bool, bool, bool, bool]] = []
+        self.table = np.zeros(0, [("hash", "u8"), ("empty", "?"), ("number", "?"), ("unit", "?"), ("name", "?"), ("ends", "?")])
+
+    def __missing__(self, token: str) -> int:
         core = token.strip(OUTER)
-        if not core:
-            begins = begins or token[-1:] in ".!?"
-            continue
         low = core.lower()
-        number = NUMBER.fullmatch(core) is not None
-        if number:
-            words.append(NUMBER_SLOT)
-        elif after_number and low in UNITS:
-            words.append(UNIT_SLOT)
-        elif not begins and core[0].isupper() and not core.isupper():
-            words.append(NAME_SLOT)
-        else:
-            words.append(low)
-        slots.append(low if words[-1] in (NUMBER_SLOT, NAME_SLOT, UNIT_SLOT) else "")
-        begins, after_number = token[-1] in ".!?:", number
-    return words, slots
-
-
-class Windows:
-    """Window hashes of templates; remembers word hashes, bounded."""
+        self.low.append(low)
+        ends = token[-1] in (".!?:" if core else ".!?")
+        self.facts.append((xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), not core, NUMBER.fullmatch(core) is not None, low in UNITS, core[:1].isupper() and not core.isupper(), ends))
+        self[token] = number = len(self.low) - 1
+        return number
+
+    def known(self) -> np.ndarray:
+        if self.facts:
+            self.table, self.facts = np.concatenate([self.table, np.array(self.facts, self.table.dtype)]), []
+        return self.table
+
+
+class Templates:
+    """The templates of some texts, one after the other: low (the words), kind, hash, and bounds (where each text starts)."""
+
+    def __init__(self, texts: list[str], tokens: Tokens):
+        if len(tokens) > 400_000:
+            tokens.forget()
+        split = [t.split() for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(tokens.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        facts = tokens.known()[numbers]
+        text = np.repeat(np.arange(len(texts)), counts)
+        ended = np.cumsum(facts["ends"]) - facts["ends"]  # sentence ends before each token
+        keep = np.flatnonzero(~facts["empty"])
+        facts, text, ended, self.numbers = facts[keep], text[keep], ended[keep], numbers[keep]
+        first = np.diff(text, prepend=-1) != 0
+        begins = first | (np.diff(ended, prepend=0) > 0)
+        after_number = np.append(False, facts["number"][:-1]) & ~first
+        self.kind = np.select([facts["number"], after_number & facts["unit"], facts["name"] & ~begins], [NUMBER_KIND, UNIT_KIND, NAME_KIND], PLAIN)
+        self.hash = np.where(self.kind == PLAIN, facts["hash"], SLOT_HASHES[self.kind])
+        self.bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+        self.text, self.low = text, tokens.low
+
+    def slots(self, a: int, b: int) -> list[str]:
+        """The slot values of words a to b (empty: a plain word)."""
+        return [self.low[n] if k else "" for n, k in zip(self.numbers[a:b].tolist(), self.kind[a:b].tolist(), strict=True)]
+
+    def words(self, a: int, b: int) -> list[str]:
+        return [(self.low[n], NUMBER_SLOT, UNIT_SLOT, NAME_SLOT)[k] for n, k in zip(self.numbers[a:b].tolist(), self.kind[a:b].tolist(), strict=True)]
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def word_hashes(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known = self.known
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def hashes(self, words: np.ndarray, size: int) -> np.ndarray:
-        """A polynomial hash of every ``size`` words, mixed."""
-        n = len(words) - size + 1
-        if n < 1:
-            return np.empty(0, np.uint64)
-        total = np.full(n, size, np.uint64)
-        for k in range(size):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-        return total ^ (total >> np.uint64(32))
+
+def template(text: str) -> tuple[list[str], list[str]]:
+    """Template words of a text, and for each the slot value (empty: a plain word)."""
+    t = Templates([text], Tokens())
+    return t.words(0, len(t.kind)), t.slots(0, len(t.kind))
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A polynomial hash of every ``size`` word hashes, mixed."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += words[k : k + n]
+    total ^= total >> np.uint64(29)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(32))
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shortest: int) -> DataFrame:
     """item_id, size, n_words, position, hash and slots of the windows of all items."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = Windows()
+        tokens = Tokens()
         for batch in batches:
-            rows = []
-            for item, t in zip(batch["item_id"], batch["text"], strict=True):
-                words, slots = template(t)
-                variants = [(words, slots)]
-                if words and not slots[0] and words[0][0].isalpha():  # a document may quote the item within a sentence
-                    variants.append(([NAME_SLOT, *words[1:]], [words[0], *slots[1:]]))
-                for n, (words, slots) in enumerate(variants):
-                    size = min(window, len(words))
-                    if size < shortest:
-                        continue
-                    plain = np.array([not s for s in slots])
-                    least = min(shortest, int(plain.sum()) if len(words) <= window else shortest)
-                    at = range(1 if n else len(words) - size + 1)  # they differ in the first word
-                    for k, h in zip(at, w.hashes(w.word_hashes(words), size).view(np.int64).tolist()):
+            rows, made = [], Templates(batch["text"].tolist(), tokens)
+            for item, a, b in zip(batch["item_id"], made.bounds.tolist(), made.bounds[1:].tolist(), strict=False):
+                size, slots, hashes = min(window, b - a), made.slots(a, b), made.hash[a:b]
+                if size < shortest:
+                    continue
+                variants = [(slots, hashes)]
+                if not slots[0] and made.words(a, a + 1)[0][0].isalpha():  # a document may quote the item within a sentence
+                    variants.append(([*made.words(a, a + 1), *slots[1:]], np.append(SLOT_HASHES[NAME_KIND], hashes[1:])))
+                for n, (slots, hashes) in enumerate(variants):
+                    plain = np.array([not x for x in slots])
+                    least = min(shortest, int(plain.sum()) if b - a <= window else shortest)
+                    at = range(1 if n else b - a - size + 1)  # they differ in the first word
+                    for k, h in zip(at, window_hashes(hashes, size).view(np.int64).tolist()):
                         if plain[k : k + size].sum() >= max(least, 1):
-                            rows.append((item, size, len(words), k, h, slots[k : k + size]))
+                            rows.append((item, size, b - a, k, h, slots[k : k + size]))
             yield pd.DataFrame(rows, columns=["item_id", "size", "n_words", "item_position", "hash", "item_slots"])
 
     columns = benchmark.select(F.col(item_id).alias("item_id"), text_of(text).alias("text"))
@@ -122,17 +155,18 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int],
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, bits = Windows(), shared.value
+        tokens, bits = Tokens(), shared.value
         for batch in batches:
-            rows = []
-            for doc, t in zip(batch["doc_id"], batch["text"], strict=True):
-                words, slots = template(t)
-                hashed = w.word_hashes(words)
+            rows, ids = [], batch["doc_id"].tolist()
+            for start in range(0, len(batch), TOGETHER):
+                made = Templates(batch["text"].iloc[start : start + TOGETHER].tolist(), tokens)
                 for size in sizes:
-                    h = w.hashes(hashed, size)
+                    h = window_hashes(made.hash, size)
                     at = h >> np.uint64(64 - BITMAP_BITS)
-                    for k in np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).tolist():
-                        rows.append((doc, size, k, int(h[k].view(np.int64)), slots[k : k + size]))
+                    passed = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                    passed = passed[made.text[passed] == made.text[passed + size - 1]]  # within one text
+                    for k, t, x in zip(passed.tolist(), made.text[passed].tolist(), h[passed].view(np.int64).tolist(), strict=True):
+                        rows.append((ids[start + t], size, k - int(made.bounds[t]), x, made.slots(k, k + size)))
             yield pd.DataFrame(rows, columns=["doc_id", "size", "position", "hash", "slots"])
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).filter("doc_id is not null")

@@ -1,6 +1,30 @@
 import random
 
-from quorumlens.llm.decontaminate import decontaminate, find_contamination, template
+from quorumlens.llm.decontaminate import NUMBER, OUTER, UNITS, Templates, Tokens, decontaminate, find_contamination, template
+
+
+def plain(text):
+    words, slots, begins, after_number = [], [], True, False
+    for token in text.split():
+        core = token.strip(OUTER)
+        if not core:
+            begins = begins or token[-1] in ".!?"
+            continue
+        number = NUMBER.fullmatch(core) is not None
+        word = "<number>" if number else "<unit>" if after_number and core.lower() in UNITS else "<name>" if not begins and core[0].isupper() and not core.isupper() else core.lower()
+        words.append(word)
+        slots.append(core.lower() if word[0] == "<" else "")
+        begins, after_number = token[-1] in ".!?:", number
+    return words, slots
+
+
+def test_many_texts_at_once_equal_one_by_one():
+    r = random.Random(9)
+    parts = ["Ana", "the", "km", "12", "3.5%", ".", "?", "-", "end.", "So:", "KM", "$5", "!", "Éva", "(x)", "7,"]
+    texts = ["", " ", "."] + [" ".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(300)] + [""]
+    made = Templates(texts, Tokens())
+    for t, a, b in zip(texts, made.bounds, made.bounds[1:]):
+        assert (made.words(a, b), made.slots(a, b)) == plain(t)
 
 
 def test_template():
