@@ -15,7 +15,7 @@ from quorumlens.llm.exact_dedup import duplicate_report
 from quorumlens.llm.pii import find_pii, span_list
 from quorumlens.llm.quality import fit_quality, quality_score
 from quorumlens.llm.simhash import hamming_components
-from quorumlens.llm.token_shards import read_with_starts, write_shards
+from quorumlens.llm.token_shards import read_documents, with_starts, write_shards
 from quorumlens.llm.toxicity import fit_toxicity, toxicity_score
 from quorumlens.llm.url_filter import judge_urls
 from quorumlens.session import table
@@ -57,8 +57,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), target)
-    back = read_with_starts(spark.read.parquet(target))
-    return back.select("doc_id", F.col("start").cast("long").alias("start"), bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    shards = spark.read.parquet(target)
+    read = read_documents(shards).select("part", "shard", "offset", "doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return with_starts(read, shards).select("doc_id", F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

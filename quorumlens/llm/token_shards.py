@@ -24,9 +24,9 @@ leaves none half written.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -38,57 +38,95 @@ from pyspark.sql import functions as F
 from quorumlens.llm.common import text_of
 
 SCHEMA = "part int, shard int, n_docs int, n_ids bigint, first_rule bigint, doc_ids binary, has_id binary, symbol_ends binary, symbols binary, rules binary, lengths binary"
-#: Fixed value: the split pattern of the word vocabulary, for texts of common Latin characters.
+#: Fixed value: the split pattern of the word vocabulary, for words of common Latin characters.
 LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-NOT_LATIN = re.compile("[^\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
-REMEMBERED = 300_000
+NOT_LATIN = re.compile("[^!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]|<[|]")
+#: Separators to Python only.
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words that a worker remembers, and texts that it encodes together.
+REMEMBERED, TOGETHER = 600_000, 1000
+
+
+class Index(dict):
+    """A number for each word, given when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 class WordEncoder:
     """Ids of texts by a vocabulary file of the tokenizers library.
 
-    The library encodes each different word once (its words don't depend on each other); texts with anything
-    but common Latin characters, or with the text of a special token, it encodes whole.
+    White space separates what the library encodes independently, so it encodes each different lower-case
+    word once and texts are put together from their words' ids. Texts with anything but common Latin characters,
+    or with what may be a special token, it encodes whole. Beyond ``REMEMBERED`` words, the half used least is forgotten.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])  # common Latin words in lower case are normal already
+        for t in (self.library, self.words):
+            t.no_padding()
+            t.no_truncation()
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.seen: dict[str, bytes] = {}
+        self._keep([], np.empty(0, np.int64), np.empty(0, np.uint32))
+        self.uses = np.empty(0, np.int64)
+
+    def _keep(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Sets what is remembered: words, their numbers of ids (-1: not to be encoded alone) and ids."""
+        self.index, self.sizes, self.flat = Index(zip(words, range(len(words)), strict=True)), sizes, flat
+        self.starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = np.maximum(self.sizes[numbers], 0)
+        shift = self.starts[numbers] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words, whole = [], {}
-        for i, text in enumerate(texts):
-            if NOT_LATIN.search(text) or any(s in text for s in self.special):
-                whole[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-                words.append([])
-            else:
-                words.append(LATIN_WORDS.findall(unicodedata.normalize("NFC", text).lower()))
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        self._learn(list(set().union(*words) - self.seen.keys()))
-        get = self.seen.__getitem__
-        return [whole[i] if i in whole else np.frombuffer(b"".join(map(get, w)), np.uint32) for i, w in enumerate(words)]
+        if len(self.index) > REMEMBERED:
+            best = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+            words, flat = list(self.index), self._gather(best)
+            self._keep([words[i] for i in best.tolist()], self.sizes[best], flat)
+            self.uses = self.uses[best]
+        words, known = [t.lower().split() for t in texts], len(self.index)
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        self._learn(list(islice(self.index, known, None)))
+        self.uses = np.append(self.uses, np.zeros(len(self.index) - known, np.int64)) + np.bincount(numbers, minlength=len(self.index))
+        whole = np.zeros(len(texts), bool)
+        whole[np.repeat(np.arange(len(texts)), counts)[self.sizes[numbers] < 0]] = True
+        sizes = np.append(0, np.cumsum(np.maximum(self.sizes[numbers], 0)))
+        stops = sizes[np.append(0, np.cumsum(counts))].tolist()
+        ids = self._gather(numbers)
+        return [
+            np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if w or any(c in t for c in NOT_SPACE) else ids[a:b]
+            for t, w, a, b in zip(texts, whole.tolist(), stops, stops[1:], strict=False)
+        ]
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) != len(some):  # words that the library splits otherwise
-                for w in some:
-                    self.seen[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-                continue
-            data = ids.tobytes()
-            for w, a, b in zip(some, [0, *cuts], cuts, strict=False):
-                self.seen[w] = data[4 * a : 4 * b]
+        """Adds the ids of new words."""
+        alone = np.array([not NOT_LATIN.search(w) for w in new], bool)
+        plain = [w for w, x in zip(new, alone, strict=True) if x]
+        sizes, parts = np.full(len(new), -1, np.int64), [self.flat]
+        found = []
+        for at in range(0, len(plain), 300):
+            some = plain[at : at + 300]
+            ids = np.array(self.words.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1  # one for each word of the library's
+            counts = np.cumsum([1 if w.isalpha() and w.isascii() else len(LATIN_WORDS.findall(w)) for w in some])
+            if counts[-1] != len(cuts):
+                raise ValueError("the vocabulary's words do not all end in </w>")
+            found.append(np.diff(cuts[counts - 1], prepend=0))
+            parts.append(ids)
+        if found:
+            sizes[alone] = np.concatenate(found)
+        self.sizes, self.flat = np.append(self.sizes, sizes), np.concatenate(parts)
+        self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
 
 
 @lru_cache(maxsize=1)
@@ -96,47 +134,65 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, rounds: int = 12, per_round: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """symbols, doc_ends within them, rules: each round replaces the most frequent pairs, left to right, where they still stand."""
-    symbols, rules = ids.astype(np.int64), []
+def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, rounds: int = 3, per_round: int = 8192, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, doc_ends within them, rules: each round replaces the most frequent pairs, left to right, where they still stand.
+
+    Pairs are found by a table of hashes; of pairs with the same hash the most frequent is replaced in that round.
+    """
+    symbols, rules = ids.astype(np.uint64), []
     last = np.zeros(len(symbols), bool)
     last[doc_ends[doc_ends > 0] - 1] = True
-    top = first_rule
+    none, top = np.uint64(2**64 - 1), first_rule
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        pairs[last[:-1]] = -1
+        pairs = (symbols[:-1] << np.uint64(20)) | symbols[1:]
+        pairs[last[:-1]] = none
         kinds, counts = np.unique(pairs, return_counts=True)
-        counts[kinds < 0] = 0
+        counts[kinds == none] = 0
         chosen = np.flatnonzero(counts >= least)
         if not len(chosen):
             break
-        if len(chosen) > per_round:
-            chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:per_round]])
+        chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:per_round]]
+        place = (kinds[chosen] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        chosen = chosen[np.sort(np.unique(place, return_index=True)[1])]
         kinds = kinds[chosen]
-        at = np.minimum(np.searchsorted(kinds, pairs), len(kinds) - 1)
+        table = np.zeros(1 << 20, np.int32)
+        table[(kinds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)] = np.arange(len(kinds))
+        at = table[(pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)]
         hits = np.flatnonzero(kinds[at] == pairs)
         run = np.flatnonzero(np.diff(hits, prepend=-2) != 1)  # runs of overlapping pairs: every other one
         offset = np.arange(len(hits)) - np.repeat(run, np.diff(run, append=len(hits)))
         hits = hits[offset % 2 == 0]
-        used, which = np.unique(at[hits], return_inverse=True)
-        rules.append(np.stack([kinds[used] >> 32, kinds[used] & 0xFFFFFFFF], 1))
-        symbols[hits] = top + which
+        which = at[hits]
+        used = np.bincount(which, minlength=len(kinds)) > 0
+        number = np.cumsum(used) - 1
+        rules.append(np.stack([kinds[used] >> np.uint64(20), kinds[used] & np.uint64(0xFFFFF)], 1))
+        symbols[hits] = (top + number[which]).astype(np.uint64)
         last[hits] = last[hits + 1]
         keep = np.ones(len(symbols), bool)
         keep[hits + 1] = False
         symbols, last = symbols[keep], last[keep]
-        top += len(used)
+        top += int(used.sum())
     ends = np.flatnonzero(last) + 1
     return symbols.astype("<u4"), ends.astype("<u4"), (np.concatenate(rules) if rules else np.empty((0, 2))).astype("<u4")
 
 
+def generations(rules: np.ndarray, first_rule: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules whose symbols all stand before the range."""
+    low, begin = rules.max(1).astype(np.int64) - first_rule, 0
+    while begin < len(rules):
+        later = np.flatnonzero(low[begin:] >= begin)
+        end = begin + int(later[0]) if len(later) else len(rules)
+        yield begin, end
+        begin = end
+
+
 def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     lengths = np.ones(len(rules), np.int64)
-    size = lambda s: lengths[s - first_rule] if s >= first_rule else 1
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[k] = size(a) + size(b)
+    for a, b in generations(rules, first_rule):
+        two = rules[a:b].astype(np.int64) - first_rule
+        lengths[a:b] = np.where(two >= 0, lengths[np.maximum(two, 0)], 1).sum(1)
     return lengths.astype("<u4")
 
 
@@ -145,12 +201,10 @@ class Grammar:
 
     def __init__(self, first_rule: int, rules: np.ndarray, lengths: np.ndarray):
         self.first_rule, self.rules, self.lengths = first_rule, rules, lengths.astype(np.int64)
-        parts: list[np.ndarray] = []
-        get = lambda s: parts[s - first_rule] if s >= first_rule else np.array([s], np.uint32)
-        for a, b in rules.tolist():
-            parts.append(np.concatenate([get(a), get(b)]))
-        self.flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]) if parts else np.empty(0, np.int64)
+        ends = np.cumsum(self.lengths)
+        self.starts, self.flat = ends - self.lengths, np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for a, b in generations(rules, first_rule):
+            self.flat[self.starts[a] : ends[b - 1]] = self.expand(rules[a:b].ravel())
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -198,8 +252,8 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, text: str = "text
         encoder, end = _encoder(tokenizer), np.array([end_id], np.uint32)
         number, size, ids, arrays = 0, 0, [], []
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
+            for at in range(0, len(batch), TOGETHER):
+                some = batch.iloc[at : at + TOGETHER]
                 keys = [None if pd.isna(i) else int(i) for i in some["doc_id"]]
                 for i, a in zip(keys, encoder.encode(some["text"].tolist()), strict=True):
                     ids.append(i)
@@ -224,12 +278,12 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 grammar = Grammar(s.first_rule, np.frombuffer(s.rules, "<u4").reshape(-1, 2), np.frombuffer(s.lengths, "<u4"))
                 has = np.unpackbits(np.frombuffer(s.has_id, np.uint8))[: s.n_docs]
                 doc_ids = [i if h else None for i, h in zip(np.frombuffer(s.doc_ids, "<i8").tolist(), has.tolist(), strict=True)]
-                sizes = np.concatenate([[0], np.cumsum(grammar.sizes(symbols.astype(np.int64)))])
-                starts = sizes[[0, *ends[:-1]]].tolist()
+                ids = grammar.expand(symbols).astype("<u4")
+                stops = np.concatenate([[0], np.cumsum(grammar.sizes(symbols.astype(np.int64)))])[[0, *ends]].tolist()
                 for at in range(0, s.n_docs, 256):
                     span = range(at, min(at + 256, s.n_docs))
-                    packed = [grammar.expand(symbols[ends[k - 1] if k else 0 : ends[k]]).astype("<u4").tobytes() for k in span]
-                    yield pd.DataFrame({"part": s.part, "shard": s.shard, "position": list(span), "doc_id": pd.Series(doc_ids[at : at + 256], dtype="Int64"), "offset": starts[at : at + 256], "ids": packed})
+                    packed = [ids[stops[k] : stops[k + 1]].tobytes() for k in span]
+                    yield pd.DataFrame({"part": s.part, "shard": s.shard, "position": list(span), "doc_id": pd.Series(doc_ids[at : at + 256], dtype="Int64"), "offset": stops[at : at + 256][: len(span)], "ids": packed})
 
     columns = ["part", "shard", "n_docs", "first_rule", "doc_ids", "has_id", "symbol_ends", "symbols", "rules", "lengths"]
     return shards.select(*columns).mapInPandas(read, "part int, shard int, position int, doc_id bigint, offset bigint, ids binary")
@@ -244,6 +298,6 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return shards.select("part", "shard", within.alias("in_part")).join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("in_part")).alias("shard_start"))
 
 
-def read_with_starts(shards: DataFrame) -> DataFrame:
-    """The documents with start, the number of ids of all documents before."""
-    return read_documents(shards).join(shard_starts(shards), ["part", "shard"]).withColumn("start", F.col("shard_start") + F.col("offset"))
+def with_starts(documents: DataFrame, shards: DataFrame) -> DataFrame:
+    """``documents`` (part, shard, offset and any other columns) with start, the number of ids of all documents before."""
+    return documents.join(shard_starts(shards), ["part", "shard"]).withColumn("start", F.col("shard_start") + F.col("offset"))
