@@ -1,6 +1,553 @@
-"""All registered queries with the SQL that must agree with them."""
+"""The registered queries, one or more for each operator, with the SQL that must agree with them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quorumlens.functions import scores as S
+from quorumlens.functions import text as T
+from quorumlens.functions.similarity import matching_ratio, with_chrf
+from quorumlens.operators import costs, failures, judging, metrics, panel, store, votes
+from quorumlens.plans import fixtures as X
+from quorumlens.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL if there is any."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+
+# Scalar functions
+
+@query("""SELECT event_id, CASE WHEN d = '' THEN v WHEN length(d) <= 4 THEN lpad(d, 4, '0') ELSE d END AS norm
+          FROM (SELECT event_id, v, regexp_extract(v, '([0-9]+)$', 1) AS d FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN 'svc_' || event_id WHEN 2 THEN 'no digits' ELSE '' END AS v FROM events))""")
+def q_norm_id(spark, sf):
+    n = F.col("event_id")
+    raw = F.when(n % 4 == 0, n.cast("string")).when(n % 4 == 1, F.concat(F.lit("svc_"), n)).when(n % 4 == 2, "no digits")
+    return table(spark, sf, "events").select("event_id", T.normalize_id(raw).alias("norm"))
+
+
+@query(f"SELECT doc_id, len(t)::BIGINT AS n, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, {X.TOKENS_SQL.format('text')} AS t FROM documents)")
+def q_tokenize(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 5), " ").alias("head"))
+
+
+@query(r"""SELECT doc_id, substr(regexp_replace(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), 1, 40) AS line FROM documents""")
+def q_oneline(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.one_line(F.col("text"), 40).alias("line"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 7)::VARCHAR WHEN 1 THEN NULL ELSE 'n/a' END AS answer FROM events""")
+def q_fence_json(spark, sf):
+    n = F.col("event_id")
+    body = F.when(n % 4 == 0, F.concat(F.lit('{"transcript":"'), n % 7, F.lit('"}'))).when(n % 4 == 1, '{"transcript":null}').when(n % 4 == 2, '{"x":1}').otherwise("oops")
+    return table(spark, sf, "events").select("event_id", T.answer(F.concat(F.lit("```json\n"), body, F.lit("\n```")), "transcript").alias("answer"))
+
+
+NULLISH = ["", " N/A ", "None", "nan", "{}", "[]", '{"a":null,"b":"na"}', "no", '{"a":0}', "0", "[null]", '["x"]']
+
+
+@query("SELECT event_id, (event_id % 13) NOT IN (7, 8, 9, 11) AS nullish FROM events")
+def q_nullish(spark, sf):
+    value = F.get(F.array(*map(F.lit, NULLISH)), (F.col("event_id") % 13).cast("int"))
+    return table(spark, sf, "events").select("event_id", T.is_nullish(value).alias("nullish"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 400 + event_id % 40 ELSE -1 END AS code, coalesce(event_id % 5 = 0 AND (400 + event_id % 40) NOT IN (408, 425, 429), false) AS permanent FROM events")
+def q_error_class(spark, sf):
+    n = F.col("event_id")
+    error = F.when(n % 5 == 0, F.concat(F.lit(" "), 400 + n % 40, F.lit(" Client Error"))).when(n % 5 == 1, "timed out")
+    return table(spark, sf, "events").select("event_id", F.coalesce(T.status_code(error), F.lit(-1)).cast("long").alias("code"), T.is_permanent(error).alias("permanent"))
+
+
+@query("SELECT doc_id, 'Translate from ' || lang || ': ' || substr(text, 1, 20) AS prompt FROM documents")
+def q_prompt_fill(spark, sf):
+    filled = T.fill_template(F.lit("Translate from {lang}: {source_text}"), lang=F.col("lang"), source_text=F.substring("text", 1, 20))
+    return table(spark, sf, "documents").select("doc_id", filled.alias("prompt"))
+
+
+
+# Scores of classes
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN '' WHEN a >= b THEN 'happy' ELSE 'anger' END AS label FROM (SELECT vec_id, vec_id % 10 AS a, label AS b FROM embeddings)""")
+def q_score_argmax(spark, sf):
+    i = F.col("vec_id")
+    text = F.when(i % 11 == 0, "{'happiness': None}").otherwise(F.concat(F.lit("{'happiness': 0."), i % 10, F.lit(", 'angry': 0."), F.col("label"), F.lit(", 'sad': None}")))
+    return table(spark, sf, "embeddings").select("vec_id", S.best_label(S.coerce_scores(text), S.LABEL_ALIASES).alias("label"))
+
+
+@query("SELECT vec_id, (vec_id % 10)::DOUBLE AS neutral, 0.5::DOUBLE AS happy, 2::BIGINT AS n FROM embeddings")
+def q_emotion_project(spark, sf):
+    scores = F.create_map(F.lit("calm"), F.lit(0.25), F.lit("happy"), F.lit(0.5), F.lit("other"), F.lit(1.0), F.lit("confused"), (F.col("vec_id") % 10).cast("double"))
+    out = S.project_scores(scores, {"calm": "neutral", "confused": "neutral", "happy": "happy"})
+    return table(spark, sf, "embeddings").select("vec_id", out["neutral"].alias("neutral"), out["happy"].alias("happy"), F.size(out).cast("long").alias("n"))
+
+
+@query("SELECT vec_id, CASE WHEN t > 0 THEN a / t ELSE a END AS a, CASE WHEN t > 0 THEN b / t ELSE b END AS b FROM (SELECT vec_id, (vec_id % 4)::DOUBLE AS a, (label % 3)::DOUBLE AS b, (vec_id % 4 + label % 3)::DOUBLE AS t FROM embeddings)")
+def q_renormalize(spark, sf):
+    scores = F.create_map(F.lit("a"), (F.col("vec_id") % 4).cast("double"), F.lit("b"), (F.col("label") % 3).cast("double"), F.lit("c"), F.lit(None).cast("double"))
+    out = S.renormalize(scores)
+    return table(spark, sf, "embeddings").select("vec_id", out["a"].alias("a"), out["b"].alias("b"))
+
+
+
+# Failures
+
+@query(f"""WITH {X.TEXT_PANEL} SELECT 'asr' AS task, service, count(*) AS total_inputs, count(*) FILTER (WHERE trim(service_output) = '' OR service_output LIKE '{{"error"%') AS failed_inputs,
+           round((count(*) FILTER (WHERE trim(service_output) = '' OR service_output LIKE '{{"error"%'))::DECIMAL(18,6) / count(*), 4)::DOUBLE AS failure_rate FROM text_panel GROUP BY service""")
+def q_failure_text(spark, sf):
+    return failures.failure_report(X.text_panel(spark, sf), "asr", "text")
+
+
+LABEL_FAILURES = f"""WITH {X.LABEL_PANEL}, f AS (SELECT service, count(*) AS total_inputs, count(*) FILTER (WHERE service_output = '' OR service_output LIKE '{{broken%' OR service_output LIKE '{{"error"%') AS failed_inputs FROM label_panel GROUP BY service)
+           SELECT 'fer' AS task, service, total_inputs, failed_inputs, round(failed_inputs::DECIMAL(18,6) / total_inputs, 4)::DOUBLE AS failure_rate FROM f"""
+
+
+@query(LABEL_FAILURES)
+def q_failure_label(spark, sf):
+    return failures.failure_report(X.label_panel(spark, sf), "fer", "emotion")
+
+
+@query(LABEL_FAILURES + " UNION ALL SELECT 'mt', 'svc_0', 10, 1, 0.1::DOUBLE")
+def q_failure_combined(spark, sf):
+    old = spark.createDataFrame([("fer", "svc_0", 5, 5, 1.0), ("mt", "svc_0", 10, 1, 0.1)], "task string, service string, total_inputs long, failed_inputs long, failure_rate double")
+    return failures.combined_report(old, failures.failure_report(X.label_panel(spark, sf), "fer", "emotion"), "fer")
+
+
+
+# Word error rates
+
+@query(f"WITH {X.ERRORS} SELECT id, lang, service, svc_ord, human_errors, human_ref_words, CASE WHEN human_ref_words > 0 THEN human_errors / human_ref_words::DOUBLE END AS human_wer FROM errors")
+def q_wer_rows(spark, sf):
+    return metrics.word_error_rows(X.text_panel(spark, sf))
+
+
+WER = "sum(human_errors)::BIGINT AS errors, sum(human_ref_words)::BIGINT AS ref_words, count(*) AS n_samples, sum(human_errors)::DOUBLE / nullif(sum(human_ref_words), 0) AS wer"
+
+
+@query(f"WITH {X.ERRORS} SELECT service, {WER} FROM errors GROUP BY service")
+def q_wer_summary(spark, sf):
+    return metrics.word_error_rate(q_wer_rows(spark, sf), "service")
+
+
+@query(f"WITH {X.ERRORS} SELECT lang, service, {WER} FROM errors GROUP BY lang, service")
+def q_wer_by_lang(spark, sf):
+    return metrics.word_error_rate(q_wer_rows(spark, sf), "lang", "service")
+
+
+
+# Classification
+
+@query(f"WITH {X.LABEL_PANEL} SELECT id, service, svc_ord, reference, label, service_output, (reference <> '' AND reference = label)::INT AS correct FROM label_panel")
+def q_fer_rows(spark, sf):
+    return metrics.label_rows(X.label_panel(spark, sf))
+
+
+def confusion_sql(source: str, by: str, classes: str) -> str:
+    return f"""counts AS (SELECT {by}c AS class, count(*) FILTER (WHERE reference = c AND label = c) AS tp, count(*) FILTER (WHERE reference <> c AND label = c) AS fp,
+        count(*) FILTER (WHERE reference = c AND label <> c) AS fn, count(*) FILTER (WHERE reference = c) AS support FROM {source}, unnest({classes}) u(c) WHERE reference <> '' GROUP BY {by}c),
+      per_class AS (SELECT *, tp / nullif(tp + fp, 0)::DOUBLE AS precision, tp / nullif(tp + fn, 0)::DOUBLE AS recall FROM counts),
+      scored AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FROM per_class)"""
+
+
+@query(f"WITH {X.LABEL_PANEL}, {confusion_sql('label_panel', 'service, ', X.NAMES_SQL)} SELECT * FROM scored")
+def q_fer_confusion(spark, sf):
+    return metrics.class_scores(metrics.confusion(metrics.label_rows(X.label_panel(spark, sf)), "service"))
+
+
+SUMMARY = """sum(support)::BIGINT AS n, sum(tp) / nullif(sum(support), 0)::DOUBLE AS accuracy, round(avg(coalesce(f1, 0)) FILTER (WHERE support > 0), 9) AS macro_f1,
+      2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0)::DOUBLE AS micro_f1, round(sum(coalesce(f1, 0) * support) / nullif(sum(support), 0), 9) AS weighted_f1"""
+
+
+def nine_places(df: DataFrame) -> DataFrame:
+    """Averages of doubles to nine places: sums differ in the last bit with their order."""
+    return df.withColumns({c: F.round(c, 9) for c in ("macro_f1", "weighted_f1") if c in df.columns})
+
+
+@query(f"WITH {X.LABEL_PANEL}, {confusion_sql('label_panel', 'service, ', X.NAMES_SQL)} SELECT service, {SUMMARY} FROM scored GROUP BY service")
+def q_fer_summary(spark, sf):
+    return nine_places(metrics.classification_summary(metrics.label_rows(X.label_panel(spark, sf)), "service"))
+
+
+@query(f"""WITH rows AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS reference, CASE WHEN n_chars > 600 THEN 'good' ELSE 'bad' END AS label FROM labels JOIN documents USING (doc_id)),
+           {confusion_sql('rows', '', "['good', 'bad']")} SELECT {SUMMARY} FROM scored""")
+def q_binary_quality_f1(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    good = lambda c: F.when(c, "good").otherwise("bad")
+    return nine_places(metrics.classification_summary(rows.select(good(F.col("quality") == 1).alias("reference"), good(F.col("n_chars") > 600).alias("label")), classes=("good", "bad")))
+
+
+
+# Disagreement and votes
+
+VOTES = f"""WITH {X.LABEL_PANEL}, votes AS (SELECT id, label, count(*) AS n, min(svc_ord) AS o FROM label_panel WHERE label <> '' GROUP BY id, label),
+    voters AS (SELECT id, count(*) FILTER (WHERE label <> '') AS voters, count(*) FILTER (WHERE label = '') AS blank FROM label_panel GROUP BY id),
+    best AS (SELECT id, first(label ORDER BY n DESC, o) AS label, max(n) AS n FROM votes GROUP BY id),
+    sds AS (SELECT id, CASE WHEN voters >= 2 THEN round(1 - n::DECIMAL(18,12) / voters, 6)::DOUBLE ELSE 0.0::DOUBLE END AS discrimination FROM voters LEFT JOIN best USING (id)),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY discrimination DESC, id) AS rank FROM sds)"""
+
+
+def _labels(spark, sf) -> DataFrame:
+    return X.label_panel(spark, sf).withColumn("service_output", F.col("label"))
+
+
+@query(f"{VOTES} SELECT id, discrimination, rank FROM ranked")
+def q_sds_label(spark, sf):
+    return votes.ranked(votes.label_disagreement(_labels(spark, sf)))
+
+
+@query(f"{VOTES} SELECT id FROM ranked WHERE rank <= 25")
+def q_sds_topk(spark, sf):
+    return votes.top_ids(votes.label_disagreement(_labels(spark, sf)), 25)
+
+
+@query(f"{VOTES} SELECT rank, id, sum(round(discrimination * 1000000)::BIGINT) OVER (ORDER BY rank)::DOUBLE / sum(round(discrimination * 1000000)::BIGINT) OVER () AS coverage FROM ranked")
+def q_sds_curve(spark, sf):
+    return votes.coverage_curve(votes.label_disagreement(_labels(spark, sf)))
+
+
+@query(f"{VOTES} SELECT id, service, label FROM label_panel WHERE id IN (SELECT id FROM ranked WHERE rank <= 25)")
+def q_sds_filter(spark, sf):
+    rows = _labels(spark, sf)
+    return rows.join(votes.top_ids(votes.label_disagreement(rows), 25), "id", "left_semi").select("id", "service", "label")
+
+
+@query()
+def q_sds_text(spark, sf):
+    return votes.text_disagreement(X.text_panel(spark, sf))
+
+
+@query(f"""{VOTES} SELECT id, coalesce(label, '') AS mv_label, coalesce(n, blank) AS votes, voters, CASE WHEN voters > 0 THEN round(n::DECIMAL(18,12) / voters, 4)::DOUBLE ELSE 0.0::DOUBLE END AS agreement FROM voters LEFT JOIN best USING (id)""")
+def q_mode_vote(spark, sf):
+    return votes.mode_vote(_labels(spark, sf))
+
+
+@query()
+def q_medoid_text(spark, sf):
+    return votes.medoid_vote(X.text_panel(spark, sf))
+
+
+@query(f"WITH {X.LABEL_PANEL} SELECT id, " + ", ".join(f"max(label) FILTER (WHERE service = '{s}') AS ballot__{s}" for s in X.SERVICES) + " FROM label_panel GROUP BY id")
+def q_vote_wide(spark, sf):
+    return panel.wide(_labels(spark, sf), X.SERVICES)
+
+
+@query(f"WITH {X.LABEL_PANEL} SELECT id, string_agg(service || ': ' || label, chr(10) ORDER BY svc_ord) AS service_blocks FROM label_panel GROUP BY id")
+def q_service_block(spark, sf):
+    return panel.service_block(_labels(spark, sf))
+
+
+@query("""SELECT vec_id AS id, 'svc_' || k AS service, k::INT AS svc_ord, CASE WHEN (vec_id + k) % 3 = 0 THEN '' ELSE 'said ' || k END AS service_output FROM embeddings, range(6) t(k)""")
+def q_panel_join(spark, sf):
+    samples = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    outputs = X.each(samples, "k", 6).filter("(id + k) % 3 <> 0").select("id", F.concat(F.lit("svc_"), "k").alias("service"), F.concat(F.lit("said "), "k").alias("service_output"))
+    return panel.complete_panel(samples, X.SERVICES, outputs)
+
+
+@query()
+def q_similarity_pairs(spark, sf):
+    """Each benchmark item against the next one: a pair a row."""
+    items = table(spark, sf, "benchmark")
+    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
+    return pairs.select("item_id", F.round(matching_ratio("text", "other"), 6).alias("ratio"))
+
+
+@query()
+def q_comet_surrogate(spark, sf):
+    rows = with_chrf(X.text_panel(spark, sf), "human", "service_output")
+    return rows.groupBy("service").agg(F.round(F.avg("chrf"), 6).alias("chrf"), F.count(F.lit(1)).alias("n_samples"))
+
+
+
+# Judgements
+
+@query(f"WITH {X.JUDGEMENTS} SELECT prompt, model, id, llm_label, winner, confidence, service, score, is_winner FROM judged")
+def q_judge_long(spark, sf):
+    return judging.judge_rows(X.judgements(spark, sf), X.SERVICES)
+
+
+@query(f"WITH {X.JUDGEMENTS}, g AS (SELECT prompt, model, id, bool_or(score >= 0) AS rated, any_value(winner) AS winner FROM judged GROUP BY prompt, model, id) SELECT prompt, model, id, coalesce(rated AND winner IS NOT NULL, false) AS usable FROM g")
+def q_judge_usable(spark, sf):
+    a = X.judgements(spark, sf)
+    return a.select("prompt", "model", "id", judging.usable(F.col("winner"), F.col("scores"), F.array(*map(F.lit, X.SERVICES))).alias("usable"))
+
+
+BEST = f"""{X.ERRORS}, wer AS (SELECT id, service, svc_ord, human_errors::DOUBLE / human_ref_words AS human_wer FROM errors WHERE human_ref_words > 0),
+    sets AS (SELECT id, list_sort(list(DISTINCT service)) AS best FROM (SELECT *, min(human_wer) OVER (PARTITION BY id) AS low FROM wer) WHERE human_wer = low GROUP BY id),
+    firsts AS (SELECT id, first(service ORDER BY human_wer, svc_ord) AS best_service FROM wer GROUP BY id)"""
+
+
+@query(f"WITH {BEST} SELECT id, array_to_string(best, ',') AS best FROM sets")
+def q_best_services(spark, sf):
+    return judging.best_sets(q_wer_rows(spark, sf), "human_wer", False, "id").select("id", F.array_join("best", ",").alias("best"))
+
+
+@query(f"""WITH {BEST}, {X.JUDGEMENTS}, w AS (SELECT a.prompt, a.model, coalesce(list_contains(best, winner), false)::INT AS ok FROM (SELECT DISTINCT prompt, model, id, winner FROM judged WHERE winner IS NOT NULL) a LEFT JOIN sets USING (id))
+           SELECT prompt, model, sum(ok)::DOUBLE / count(*) AS agreement, count(*) AS n FROM w GROUP BY prompt, model""")
+def q_winner_correct(spark, sf):
+    sets = judging.best_sets(q_wer_rows(spark, sf), "human_wer", False, "id")
+    return judging.winner_agreement(judging.per_sample(q_judge_long(spark, sf)), sets, "prompt", "model")
+
+
+@query(f"""WITH {X.JUDGEMENTS}, w AS (SELECT prompt, model, winner, count(*) AS n_wins FROM (SELECT DISTINCT prompt, model, id, winner FROM judged WHERE winner IS NOT NULL) GROUP BY prompt, model, winner)
+           SELECT *, n_wins::DOUBLE / sum(n_wins) OVER (PARTITION BY prompt, model) AS win_rate FROM w""")
+def q_win_rate(spark, sf):
+    return judging.win_rates(judging.per_sample(q_judge_long(spark, sf)))
+
+
+RESOLVED = f"""{BEST}, {X.JUDGEMENTS}, humans AS (SELECT id, any_value(human) AS human_label FROM text_panel GROUP BY id),
+    resolved AS (SELECT a.prompt, a.model, a.id, a.llm_label, CASE WHEN winner LIKE 'svc_%' THEN winner END AS winner, human_label, best_service, coalesce(TRY_CAST(confidence AS DOUBLE), 0.0) AS confidence,
+                        coalesce(TRY_CAST(confidence AS DOUBLE), 0.0) < 0.85 AS fallback_used FROM answers a LEFT JOIN humans USING (id) LEFT JOIN firsts USING (id))"""
+
+
+def _resolved(spark, sf) -> DataFrame:
+    human = X.text_panel(spark, sf).filter("svc_ord = 0").select("id", F.col("human").alias("human_label"))
+    best = judging.best_service(q_wer_rows(spark, sf), "human_wer", False, "id")
+    listed = F.array(*map(F.lit, X.SERVICES))
+    answers = X.judgements(spark, sf).drop("scores").withColumn("winner", F.when(F.array_contains(listed, F.col("winner")), F.col("winner")))
+    return judging.with_fallback(answers, human, best)
+
+
+@query(f"""WITH {RESOLVED} SELECT prompt, model, id, confidence, fallback_used, CASE WHEN fallback_used AND coalesce(human_label, '') <> '' THEN human_label ELSE llm_label END AS final_label,
+           CASE WHEN fallback_used THEN CASE WHEN coalesce(human_label, '') <> '' THEN best_service END ELSE winner END AS final_winner FROM resolved""")
+def q_human_loop_resolve(spark, sf):
+    return _resolved(spark, sf).select("prompt", "model", "id", "confidence", "fallback_used", "final_label", "final_winner")
+
+
+@query(f"WITH {RESOLVED} SELECT prompt, model, avg(fallback_used::INT)::DOUBLE AS fallback_rate FROM resolved GROUP BY prompt, model")
+def q_fallback_rate(spark, sf):
+    return judging.fallback_rates(_resolved(spark, sf))
+
+
+@query(f"""WITH {X.JUDGEMENTS} SELECT CASE WHEN grouping(prompt) = 1 THEN 'all_prompts' ELSE 'per_prompt' END AS scope, CASE WHEN grouping(prompt) = 1 THEN '<all>' ELSE prompt END AS prompt, model, service, count(*) AS n,
+           round(avg(score), 9) AS mean, round(coalesce(stddev_samp(score), 0), 9) AS std, min(score) AS low, round(quantile_cont(score, 0.25), 9) AS p25, round(quantile_cont(score, 0.5), 9) AS median, round(quantile_cont(score, 0.75), 9) AS p75, max(score) AS high
+           FROM judged WHERE score >= 0 GROUP BY GROUPING SETS ((prompt, model, service), (model, service))""")
+def q_score_dist(spark, sf):
+    d = judging.score_distribution(q_judge_long(spark, sf))
+    return d.withColumns({c: F.round(c, 9) for c in ("mean", "std", "p25", "median", "p75")})
+
+
+@query(f"WITH {X.JUDGEMENTS} SELECT model, least(floor(TRY_CAST(confidence AS DECIMAL(9,2)) * 20), 19)::BIGINT AS bin, count(*) AS n FROM answers WHERE TRY_CAST(confidence AS DOUBLE) IS NOT NULL AND ((right(confidence, 2)::INT * 20) % 100 <> 0) GROUP BY ALL")
+def q_conf_hist(spark, sf):
+    """Confidences that lie on no edge; a unit test has the edges."""
+    a = X.judgements(spark, sf).withColumn("value", F.col("confidence").try_cast("double")).filter("value is not null and (cast(right(confidence, 2) as int) * 20) % 100 <> 0")
+    return judging.histogram(a, "value", "model")
+
+
+@query(f"""WITH {X.JUDGEMENTS}, b AS (SELECT service, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3 FROM judged WHERE score >= 0 GROUP BY service)
+           SELECT service, round(any_value(q1), 9) AS q1, round(any_value(q3), 9) AS q3, count(*) FILTER (WHERE score < q1 - 1.5 * (q3 - q1) OR score > q3 + 1.5 * (q3 - q1)) AS outliers FROM judged JOIN b USING (service) WHERE score >= 0 GROUP BY service""")
+def q_box_stats(spark, sf):
+    rated = q_judge_long(spark, sf).filter("score >= 0")
+    box = rated.groupBy("service").agg(F.percentile("score", 0.25).alias("q1"), F.percentile("score", 0.75).alias("q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    out = (F.col("score") < F.col("q1") - reach) | (F.col("score") > F.col("q3") + reach)
+    return rated.join(box, "service").groupBy("service").agg(F.round(F.first("q1"), 9).alias("q1"), F.round(F.first("q3"), 9).alias("q3"), F.count_if(out).alias("outliers"))
+
+
+@query(f"""WITH {X.JUDGEMENTS} SELECT CASE WHEN prompt LIKE '%\\_\\_no-threshold' ESCAPE '\\' THEN 'no-threshold' ELSE 'threshold' END AS kind, replace(prompt, '__no-threshold', '') AS plain, count(*) AS n FROM answers GROUP BY ALL""")
+def q_prompt_partition(spark, sf):
+    kind, plain = judging.split_prompt(F.col("prompt"))
+    return X.judgements(spark, sf).groupBy(kind.alias("kind"), plain.alias("plain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+
+# Reports
+
+@query(f"""WITH {X.ERRORS}, {X.JUDGEMENTS} SELECT service AS entity, 'service' AS kind, round(avg(human_errors::DOUBLE / human_ref_words) FILTER (WHERE human_ref_words > 0), 9) AS value FROM errors GROUP BY service
+           UNION ALL SELECT 'llm:' || model, 'llm', round(avg(score), 9) FROM judged WHERE score >= 0 GROUP BY model""")
+def q_entity_accuracy(spark, sf):
+    services = q_wer_rows(spark, sf).groupBy(F.col("service").alias("entity")).agg(F.avg("human_wer").alias("value")).withColumn("kind", F.lit("service"))
+    models = q_judge_long(spark, sf).filter("score >= 0").groupBy(F.concat(F.lit("llm:"), "model").alias("entity")).agg(F.avg("score").alias("value")).withColumn("kind", F.lit("llm"))
+    return services.unionByName(models).select("entity", "kind", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {X.ERRORS} SELECT service, id, 'errors' AS measure, human_errors AS value FROM errors UNION ALL SELECT service, id, 'ref_words', human_ref_words FROM errors")
+def q_ref_melt(spark, sf):
+    rows = q_wer_rows(spark, sf).select("service", "id", F.col("human_errors").alias("errors"), F.col("human_ref_words").alias("ref_words"))
+    return rows.unpivot(["service", "id"], ["errors", "ref_words"], "measure", "value")
+
+
+@query(f"WITH {X.ERRORS} SELECT service, " + ", ".join(f"round(avg(human_errors::DOUBLE) FILTER (WHERE lang = '{x}'), 9) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM errors GROUP BY service")
+def q_ref_pivot(spark, sf):
+    langs = ["de", "en", "es", "fr"]
+    wide = q_wer_rows(spark, sf).groupBy("service").pivot("lang", langs).agg(F.avg("human_errors"))
+    return wide.select("service", *[F.round(x, 9).alias(x) for x in langs])
+
+
+
+# Costs
+
+@query(f"WITH {X.MODEL_CALLS} SELECT call_id, model, cost::DOUBLE AS cost_usd FROM ledger")
+def q_llm_cost_rows(spark, sf):
+    return _ledger(spark, sf).select("call_id", "model", "cost_usd")
+
+
+def _ledger(spark, sf) -> DataFrame:
+    return costs.priced_model_calls(X.model_calls(spark, sf), X.model_prices(spark))
+
+
+@query(f"""WITH {X.MODEL_CALLS} SELECT task, paradigm, model, status, count(*) AS calls, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens,
+           coalesce(sum(cost), 0)::DOUBLE AS cost_usd, round((sum(latency_ms::BIGINT)::DECIMAL(18,8) / count(*)), 2)::DOUBLE AS latency_ms FROM ledger GROUP BY task, paradigm, model, status""")
+def q_llm_cost_summary(spark, sf):
+    return costs.model_summary(_ledger(spark, sf))
+
+
+@query(f"WITH {X.MODEL_CALLS} SELECT model, sum(cost)::DOUBLE AS total_usd, coalesce(sum(cost) FILTER (WHERE coalesce(status, 'success') = 'success'), 0)::DOUBLE AS successful_usd FROM ledger WHERE cost >= 0 GROUP BY model")
+def q_cost_by_model(spark, sf):
+    return costs.cost_by_model(_ledger(spark, sf))
+
+
+def _service_ledger(spark, sf) -> DataFrame:
+    return costs.priced_service_calls(X.service_calls(spark, sf), X.service_prices(spark))
+
+
+@query(f"WITH {X.SERVICE_CALLS} SELECT task, service, count(*) AS calls, coalesce(sum(usage), 0)::DOUBLE AS usage, coalesce(sum(cost), 0)::DOUBLE AS cost_usd FROM service_ledger GROUP BY task, service")
+def q_service_cost(spark, sf):
+    return costs.service_summary(_service_ledger(spark, sf))
+
+
+@query(f"""WITH {X.MODEL_CALLS}, {X.SERVICE_CALLS}, u AS (SELECT 'llm:' || model AS entity, cost FROM ledger UNION ALL SELECT service, cost FROM service_ledger)
+           SELECT entity, coalesce(sum(cost), 0)::DOUBLE AS cost_usd FROM u GROUP BY entity""")
+def q_total_cost(spark, sf):
+    return costs.invocation_cost(_ledger(spark, sf), _service_ledger(spark, sf))
+
+
+@query(f"""WITH {X.MODEL_CALLS}, {X.SERVICE_CALLS}, u AS (SELECT 'model' AS kind, task, cost FROM ledger UNION ALL SELECT 'service', task, cost FROM service_ledger)
+           SELECT coalesce(kind, '<all>') AS kind, CASE WHEN grouping(task) = 1 THEN '<all>' ELSE task END AS task, coalesce(sum(cost), 0)::DOUBLE AS cost_usd, (grouping(kind) * 2 + grouping(task))::BIGINT AS level FROM u GROUP BY ROLLUP (kind, task)""")
+def q_cost_rollup(spark, sf):
+    return costs.cost_rollup(_ledger(spark, sf), _service_ledger(spark, sf))
+
+
+CALIBRE = f"""{X.MODEL_CALLS}, spent AS (SELECT paradigm, model, coalesce(sum(cost), 0)::DOUBLE AS cost_usd FROM ledger GROUP BY paradigm, model),
+    good AS (SELECT paradigm, model, sum((status = 'success')::INT)::DOUBLE / count(*) AS accuracy FROM calls WHERE status IS NOT NULL GROUP BY paradigm, model)"""
+
+
+@query(f"WITH {CALIBRE} SELECT paradigm, model, accuracy FROM good")
+def q_label_accuracy(spark, sf):
+    rows = X.model_calls(spark, sf).filter("status is not null")
+    return rows.groupBy("paradigm", "model").agg((F.count_if(F.col("status") == "success") / F.count(F.lit(1))).alias("accuracy"))
+
+
+@query(f"WITH {CALIBRE} SELECT paradigm, model, accuracy, coalesce(cost_usd, 0) AS cost_usd FROM good LEFT JOIN spent USING (paradigm, model)")
+def q_pareto_join(spark, sf):
+    """Accuracy and cost of each (paradigm, model); without any spending the cost is 0."""
+    spent = _ledger(spark, sf).groupBy("paradigm", "model").agg(costs.total("cost_usd").alias("cost_usd"))
+    return q_label_accuracy(spark, sf).join(spent, ["paradigm", "model"], "left").withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
+
+
+@query(f"""WITH {BEST}, {X.JUDGEMENTS}, {VOTES.removeprefix('WITH ')}, w AS (SELECT a.prompt, a.model, coalesce(list_contains(s.best, winner), false)::INT AS ok FROM (SELECT DISTINCT prompt, model, id, winner FROM judged WHERE winner IS NOT NULL) a LEFT JOIN sets s USING (id))
+           SELECT 'judge' AS paradigm, model, round(sum(ok)::DOUBLE / count(*), 9) AS consistency FROM w GROUP BY model
+           UNION ALL SELECT 'majority voting', '(no LLM)', round(avg(CASE WHEN voters > 0 THEN round(best.n::DECIMAL(18,12) / voters, 4)::DOUBLE ELSE 0 END), 9) FROM voters LEFT JOIN best USING (id)""")
+def q_paradigm_consistency(spark, sf):
+    sets = judging.best_sets(q_wer_rows(spark, sf), "human_wer", False, "id")
+    judged = judging.winner_agreement(judging.per_sample(q_judge_long(spark, sf)), sets, "model")
+    voted = q_mode_vote(spark, sf).agg(F.avg("agreement").alias("agreement")).select(F.lit("majority voting").alias("paradigm"), F.lit("(no LLM)").alias("model"), "agreement")
+    both = judged.select(F.lit("judge").alias("paradigm"), "model", "agreement").unionByName(voted)
+    return both.select("paradigm", "model", F.round("agreement", 9).alias("consistency"))
+
+
+
+# Keyed tables and progress
+
+UPSERT = """old AS (SELECT event_id AS id, event_type AS prompt, value, 'old' AS origin FROM events WHERE event_id % 3 <> 0),
+    new AS (SELECT event_id AS id, event_type AS prompt, value + 1 AS value, 'new' AS origin FROM events WHERE event_id % 5 = 0)"""
+
+
+def _old_new(spark, sf) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf, "events").select(F.format_string("%04d", F.col("event_id")).alias("id"), F.col("event_type").alias("prompt"), "value", "event_id")
+    old = e.filter("event_id % 3 <> 0").withColumn("origin", F.lit("old"))
+    new = e.filter("event_id % 5 = 0").withColumns({"origin": F.lit("new"), "value": F.col("value") + 1, "id": F.col("event_id").cast("string")})
+    return old.drop("event_id"), new.drop("event_id")
+
+
+@query(f"WITH {UPSERT} SELECT id, prompt, value, origin FROM new UNION ALL SELECT id, prompt, value, origin FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.id = old.id AND new.prompt = old.prompt)")
+def q_upsert(spark, sf):
+    old, new = _old_new(spark, sf)
+    return store.upsert(old, new, ["prompt", "id"]).withColumn("id", F.col("id").cast("long"))
+
+
+@query(f"WITH {UPSERT} SELECT id, prompt, value, origin FROM old WHERE prompt <> 'click' UNION ALL SELECT id, prompt, value, origin FROM new WHERE prompt = 'click'")
+def q_slice_replace(spark, sf):
+    old, new = _old_new(spark, sf)
+    return store.replace_slice(old, new, "prompt", "click").withColumn("id", F.col("id").cast("long"))
+
+
+@query(f"WITH {UPSERT} SELECT id, prompt FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.id = old.id AND new.prompt = old.prompt)")
+def q_pending(spark, sf):
+    old, new = _old_new(spark, sf)
+    return store.pending(old.select("id", "prompt"), new, ["prompt", "id"]).withColumn("id", F.col("id").cast("long"))
+
+
+SLICES = "slices AS (SELECT event_type AS prompt, user_id % 3 AS model, count(*) FILTER (WHERE event_id % 4 <> 0 OR user_id % 3 = 0) AS done, count(*) AS total FROM events GROUP BY ALL)"
+
+
+@query(f"WITH {SLICES} SELECT *, done = total AS complete FROM slices")
+def q_slice_complete(spark, sf):
+    planned = table(spark, sf, "events").select(F.col("event_type").alias("prompt"), (F.col("user_id") % 3).alias("model"), F.col("event_id").alias("id"))
+    return store.slice_status(planned, planned.filter("id % 4 <> 0 or model = 0"), ["prompt", "model", "id"], ["prompt", "model"])
+
+
+@query(f"WITH {SLICES} SELECT sum(done)::BIGINT AS done, sum(total)::BIGINT AS total, count(*) FILTER (WHERE done > 0) AS started, count(*) FILTER (WHERE done >= total) AS complete, round((100 * sum(done))::DECIMAL(28,12) / sum(total), 1)::DOUBLE AS percent, 'incomplete' AS status FROM slices")
+def q_progress(spark, sf):
+    return store.progress(q_slice_complete(spark, sf))
+
+
+@query("SELECT 'task' || (doc_id % 2) AS task, count(*) * 3 * 4 AS jobs FROM documents GROUP BY 1")
+def q_plan(spark, sf):
+    """Planned jobs: samples x models x prompts of each task."""
+    return table(spark, sf, "documents").groupBy(F.concat(F.lit("task"), F.col("doc_id") % 2).alias("task")).agg((F.count(F.lit(1)) * 3 * 4).alias("jobs"))
+
+
+@query("""WITH a AS (SELECT conv_id AS id, turn AS attempt, (conv_id + turn) % 3 = 0 AS ok, length(text) AS cost, role FROM conversations)
+          SELECT id, first(attempt ORDER BY ok DESC, CASE WHEN ok THEN attempt ELSE -attempt END) AS attempt, CASE WHEN bool_or(ok) THEN 'success' ELSE 'failed' END AS status, count(*) AS attempts, round(sum(cost::DECIMAL(28,6) / 1000), 6)::DOUBLE AS cost_usd FROM a GROUP BY id""")
+def q_retry_resolve(spark, sf):
+    a = table(spark, sf, "conversations").select(
+        F.lit("asr").alias("task"), F.lit("m0").alias("model"), F.col("conv_id").alias("id"), F.col("turn").alias("attempt"), ((F.col("conv_id") + F.col("turn")) % 3 == 0).alias("ok"), F.col("role").alias("content"), (F.char_length("text") / 1000).alias("cost_usd")
+    )
+    return costs.settled_attempts(a).select("id", "attempt", "status", "attempts", "cost_usd")
+
+
+@query(f"""WITH {X.ERRORS}, p AS (SELECT id, service, human_errors, human_ref_words FROM errors WHERE svc_ord = 2) SELECT 'm' || (id % 3) AS model, 'llmaas' AS service, sum(human_errors)::BIGINT AS errors, sum(human_ref_words)::BIGINT AS ref_words, count(*) AS n_samples, sum(human_errors)::DOUBLE / nullif(sum(human_ref_words), 0) AS wer FROM p GROUP BY ALL""")
+def q_llmaas_backfill(spark, sf):
+    """Recorded model answers scored as if they came from one more service, all models in one pass."""
+    answers = X.text_panel(spark, sf).filter("svc_ord = 2").withColumns({"service": F.lit("llmaas"), "model": F.concat(F.lit("m"), F.col("id") % 3)})
+    return metrics.word_error_rate(metrics.word_error_rows(answers), "model", "service")
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS id FROM (SELECT doc_id, (doc_id * 7919 + 42) % 10007 AS h FROM documents WHERE n_chars / 15.0 BETWEEN 20 AND 100) ORDER BY h, doc_id LIMIT 100""")
+def q_sample_scan(spark, sf):
+    """A seeded sample of texts of some length, with dense new ids."""
+    from quorumlens.sources.samples import seeded_sample
+
+    docs = table(spark, sf, "documents").filter((F.col("n_chars") / 15.0).between(20, 100))
+    order = (F.col("doc_id") * 7919 + 42) % 10007
+    return seeded_sample(docs.select("doc_id"), 100, "doc_id", order=order).select("doc_id", "id")
+
+
+@query("SELECT model, count(*) FILTER (WHERE status = 'success') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status IS NULL) AS skipped FROM (" + f"WITH {X.MODEL_CALLS} SELECT * FROM calls" + ") GROUP BY model")
+def q_smoke_matrix(spark, sf):
+    return X.model_calls(spark, sf).groupBy("model").agg(
+        F.count_if(F.col("status") == "success").alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isNull()).alias("skipped")
+    )
+
+
+@query("""SELECT doc_id, coalesce(lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id), -1) AS following FROM documents""")
+def q_window_next(spark, sf):
+    following = F.lead("doc_id").over(W.partitionBy("lang").orderBy("doc_id"))
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(following, F.lit(-1)).alias("following"))
