@@ -94,7 +94,7 @@ def base_spans(docs: DataFrame, text: str = "text", spans: str = "spans", contex
 def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = 8, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 6.0) -> DataFrame:
     """The words that give an entity away: term, kind, value, contexts, share, bits. Counts cover every row and whole text."""
     plain = docs.select(text_of(text).alias("text"))
-    near = base_spans(plain, contexts=True, reach=reach).select(F.explode("spans").alias("x")).select("x.kind", "x.value", "x.near")
+    near = base_spans(plain, contexts=True, reach=reach).select(F.explode_outer("spans").alias("x")).filter("x is not null").select("x.kind", "x.value", "x.near")
     contexts = near.groupBy("kind", "value", "near").agg(F.count(F.lit(1)).alias("n"))
     pairs = contexts.select("kind", "value", "n", F.explode(F.array_distinct("near")).alias("term")).groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("together"))
     pairs = cut(pairs)
@@ -102,7 +102,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = 8, min_co
     if candidates.isEmpty():
         return candidates.select("term", "kind", "value", "contexts", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
     entity = pairs.groupBy("kind", "value").agg(F.sum("together").alias("near_entity"))
-    words = plain.select(F.explode(F.split("text", NOT_WORD)).alias("term")).filter("char_length(term) >= 3").select(F.lower("term").alias("term"))
+    words = plain.select(F.explode_outer(F.split("text", NOT_WORD)).alias("term")).filter("char_length(term) >= 3").select(F.lower("term").alias("term"))
     counts = cut(words.groupBy("term").agg(F.count(F.lit(1)).alias("occurs")))
     total = counts.agg(F.sum("occurs")).first()[0] or 1
     found = candidates.join(counts, "term").join(entity, ["kind", "value"])
@@ -139,7 +139,7 @@ def find_pii(docs: DataFrame, text: str = "text", spans: str = "pii_spans", lite
             tagged = tagged.withColumn(hits, F.array_intersect(F.transform(F.split(text_of(text), NOT_WORD), F.lower), known))
         else:
             tagged = tagged.withColumn(key, F.xxhash64(text_of(text), F.length(text_of(text))))
-            rows = docs.select(F.xxhash64(text_of(text), F.length(text_of(text))).alias(key), F.explode(F.split(text_of(text), NOT_WORD)).alias("term"))
+            rows = docs.select(F.xxhash64(text_of(text), F.length(text_of(text))).alias(key), F.explode_outer(F.split(text_of(text), NOT_WORD)).alias("term"))
             found = rows.withColumn("term", F.lower("term")).join(terms, "term").groupBy(key).agg(F.collect_set("term").alias(hits))
             tagged = tagged.join(found, key, "left").withColumn(hits, F.coalesce(hits, F.array().cast("array<string>"))).drop(key)
         extra = F.filter(_term_spans(text_of(text), F.col(hits)), lambda x: ~F.exists(F.col(spans), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
