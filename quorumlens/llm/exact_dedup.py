@@ -48,7 +48,7 @@ def duplicate_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     by_digest = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     by_digest = cut(by_digest.filter("group_size > 1"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("digest", digest(F.col("text")))
-    found = rows.select("doc_id", "digest").join(by_digest, "digest", "left")
+    found = _with_groups(rows.select("doc_id", "digest"), by_digest, salts)
     single = F.col("n_texts").isNull()
     report = found.filter(single | (F.col("n_texts") == 1)).select(
         "doc_id", "digest", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")
@@ -63,6 +63,20 @@ def duplicate_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     )
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, salts: int, crowd: int = 1000) -> DataFrame:
+    """rows with n_texts, keep_id and group_size of their digest's group, null for digests of one row.
+
+    Rows of groups of ``crowd`` or more are spread over the salts; the second join gives them a key of their own, so no
+    digest gathers its rows in one task.
+    """
+    fields = ["n_texts", "keep_id", "group_size"]
+    large = groups.filter(F.col("group_size") >= crowd).select("digest", F.explode_outer(F.array(*map(F.lit, range(salts)))).alias("salt"), *fields)
+    small = groups.filter(F.col("group_size") < crowd).select(F.col("digest").alias("key"), *[F.col(c).alias(f"small_{c}") for c in fields])
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    first = salted.join(large, ["digest", "salt"], "left").withColumn("key", F.when(F.col("n_texts").isNull(), F.col("digest")).otherwise(F.concat_ws(":", "digest", "salt")))
+    return first.join(small, "key", "left").select("doc_id", "digest", *[F.coalesce(c, f"small_{c}").alias(c) for c in fields])
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 32) -> DataFrame:
     """The rows that stay, with all their columns: of equal texts (null counts as empty) the one with the largest doc_id."""
     digest, whole, salt, best = (free_name(docs, x) for x in ("digest", "whole_text", "salt", "best"))

@@ -8,7 +8,7 @@ from quorumlens.llm.exact_dedup import duplicate_report, exact_dedup
 
 def rows():
     r = random.Random(1)
-    out = [(i, r.choice(["", None, "a", "b ", "b", "A", "long " * 2000])) for i in range(300)] + [(1000 + i, "hot") for i in range(900)]
+    out = [(i, r.choice(["", None, "a", "b ", "b", "A", "long " * 2000])) for i in range(300)] + [(1000 + i, "hot") for i in range(1100)]
     return out + [(5, "same"), (5, "same"), (None, "alone"), (None, "a")]
 
 
