@@ -63,7 +63,7 @@ def gram_ratios(grams: DataFrame) -> DataFrame:
     both = ("allow", "block")
     level = grams
     for k in (2, 1, 0):  # symbols of context
-        gram, context = F.right("gram", F.lit(k + 1)), F.substring("gram", 3 - k, k) if k else F.lit("")
+        gram, context = F.right("gram", F.lit(k + 1)), F.substring("gram", 3 - k, k)
         counts = level.groupBy(gram.alias(f"gram{k}"), context.alias(f"context{k}")).agg(*[F.sum(f"n_{x}").alias(f"n{k}_{x}") for x in both])
         sums = counts.groupBy(f"context{k}").agg(*[F.sum(f"n{k}_{x}").alias(f"sum{k}_{x}") for x in both], *[F.count_if(F.col(f"n{k}_{x}") > 0).alias(f"kinds{k}_{x}") for x in both])
         counts = counts.join(F.broadcast(sums), f"context{k}").drop(f"context{k}")
@@ -89,10 +89,10 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, st
     texts = ruled.select(F.concat("host", "path").alias("scored"), "rule_verdict").groupBy("scored", "rule_verdict").agg(F.count(F.lit(1)).alias("n"))
     texts = texts.withColumn("part", F.when(F.col("rule_verdict").isNull(), "score").when(F.pmod(F.xxhash64("scored"), F.lit(5)) == 0, "calibrate").otherwise("train"))
     texts = cut(texts)
-    grams = texts.select("rule_verdict", "part", "n", F.explode(trigrams(F.col("scored"))).alias("gram"))
+    grams = texts.select("rule_verdict", "part", "n", F.explode_outer(trigrams(F.col("scored"))).alias("gram"))
     trained = lambda x: F.sum(F.when((F.col("part") == "train") & (F.col("rule_verdict") == x), F.col("n")).otherwise(0)).alias(f"n_{x}")
     ratios = gram_ratios(cut(grams.groupBy("gram").agg(trained("allow"), trained("block"))))
-    scored = texts.filter("part <> 'train'").select("scored", "rule_verdict", "part", "n", F.explode(trigrams(F.col("scored"))).alias("gram"))
+    scored = texts.filter("part <> 'train'").select("scored", "rule_verdict", "part", "n", F.explode_outer(trigrams(F.col("scored"))).alias("gram"))
     scored = scored.join(F.broadcast(ratios), "gram").groupBy("scored", "rule_verdict", "part", "n").agg((F.sum("ratio") / F.count(F.lit(1)) / 1e6).alias("score"))
     scored = cut(scored)
     means = dict(scored.filter("part = 'calibrate'").groupBy("rule_verdict").agg(F.avg("score")).collect())
