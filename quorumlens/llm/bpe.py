@@ -18,21 +18,22 @@ import heapq
 import json
 import re
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quorumlens.llm.common import by_slices, text_of
+
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts of common Latin characters only, where the faster module's classes mean the same.
 LATIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 NOT_LATIN = re.compile("[^\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 #: Pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,12 +43,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def vocabulary_strings(spec: dict) -> dict[int, bytes]:
+    """The bytes of each id."""
+    to_byte = byte_alphabet()
+    plain = {i: bytes(to_byte[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    return plain | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def decoded(ids: bytes, strings: dict[int, bytes]) -> str:
+    """The concatenated strings of packed ids, as text."""
+    return b"".join([strings.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+
+
 class ByteBpe:
     """A vocabulary file of the tokenizers library (byte-level BPE without normaliser)."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _spec(path)
         to_byte, vocab = byte_alphabet(), spec["model"]["vocab"]
         self.byte_ids = {b: vocab[c] for c, b in to_byte.items()}
         self.merges = {}
@@ -55,7 +72,7 @@ class ByteBpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[left], vocab[right]] = rank, vocab[left + right]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.strings = vocabulary_strings(spec)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.latin, self.any = re.compile(LATIN_PATTERN), regex.compile(PATTERN)
         self.seen = _Seen(self)
@@ -99,8 +116,7 @@ class ByteBpe:
         return b"".join(map(self.seen.__getitem__, pattern.findall(text)))
 
     def decode(self, ids: bytes) -> str:
-        strings = self.strings
-        return b"".join([strings.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        return decoded(ids, self.strings)
 
 
 class _Seen(dict):
@@ -118,33 +134,49 @@ class _Seen(dict):
         return packed
 
 
-@lru_cache(maxsize=2)
-def _loaded(path: str) -> ByteBpe:
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(maxsize=1)
+def _strings(path: str) -> dict[int, bytes]:
+    return vocabulary_strings(_spec(path))
+
+
 def encode(text: Column, path: str) -> Column:
     """The ids of a text column as packed little-endian unsigned 32-bit integers (binary)."""
 
-    @F.pandas_udf("binary")
-    def packed_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _loaded(path)
-        for texts in batches:
-            yield pd.Series([bpe.encode(t) for t in texts], dtype=object)
+    def make():
+        bpe = _encoder(path)
+        return lambda texts: [bpe.encode(t) for t in texts]
 
-    return packed_ids(F.coalesce(text, F.lit("")))
+    return by_slices("binary", pa.binary(), make, text_of(text))
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of packed ids."""
 
-    @F.pandas_udf("string")
-    def text_of_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _loaded(path)
-        for packed in batches:
-            yield pd.Series([bpe.decode(x) for x in packed], dtype=object)
+    def make():
+        strings = _strings(path)
+        return lambda packed: [decoded(x, strings) for x in packed]
+
+    return by_slices("string", pa.string(), make, F.coalesce(ids, F.lit(b"")))
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """struct<ids, decoded>: the ids of a text and their text, by one Python worker."""
+
+    def make():
+        bpe = _encoder(path)
+
+        def both(texts: list[str]) -> list[dict]:
+            ids = [bpe.encode(t) for t in texts]
+            return [{"ids": x, "decoded": bpe.decode(x)} for x in ids]
+
+        return both
 
-    return text_of_ids(F.coalesce(ids, F.lit(b"")))
+    return by_slices("struct<ids: binary, decoded: string>", pa.struct([("ids", pa.binary()), ("decoded", pa.string())]), make, text_of(text))
 
 
 def n_tokens(ids: Column) -> Column:

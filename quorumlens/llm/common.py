@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,35 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def by_slices(kind: str, arrow: pa.DataType, make: Callable[[], Callable[..., list]], *columns: Column, step: int = 500) -> Column:
+    """A column of type ``kind`` that Python makes, ``step`` rows at a time to keep little in memory.
+
+    make: called once for each task, gives the function from lists of the columns' values to the list of results.
+    """
+
+    def results(f: Callable[..., list], arrays: tuple[pa.Array, ...]) -> pa.Array:
+        parts = [pa.array(f(*[a.slice(at, step).to_pylist() for a in arrays]), arrow) for at in range(0, len(arrays[0]), step)]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    if len(columns) == 1:
+
+        @F.arrow_udf(kind)
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            f = make()
+            for a in batches:
+                yield results(f, (a,))
+
+        return one(*columns)
+
+    @F.arrow_udf(kind)
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        f = make()
+        for arrays in batches:
+            yield results(f, arrays)
+
+    return several(*columns)
+
+
 def running_starts(lengths: Column, step: int = 256) -> Column:
     """Exclusive running sums of an array of lengths, as array<bigint>.
 

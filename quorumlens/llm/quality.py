@@ -17,14 +17,13 @@ real length; with labels of one kind only, every score is that kind's share.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import text_of
+from quorumlens.llm.common import by_slices, text_of
 from quorumlens.llm.sparse import Hashed, Rows, pack, sigmoid, unpack
 
 WORD_BITS, STEPS = 15, 8
@@ -118,13 +117,11 @@ def _length(text: Column, n_chars: Column | None) -> Column:
 
 
 def packed_features(text: Column, n_chars: Column | None = None) -> Column:
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        make = Features()
-        for texts, lengths in batches:
-            yield pd.Series([pack(*make.row(t, n)) for t, n in zip(texts, lengths, strict=True)], dtype=object)
+    def make():
+        features = Features()
+        return lambda texts, lengths: [pack(*features.row(t, n)) for t, n in zip(texts, lengths, strict=True)]
 
-    return of(text_of(text), _length(text_of(text), n_chars))
+    return by_slices("binary", pa.binary(), make, text_of(text), _length(text_of(text), n_chars))
 
 
 def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality", n_chars: str | None = "n_chars", key: str = "doc_id", max_train: int = 6000) -> FactorisationMachine:
@@ -141,11 +138,9 @@ def quality_score(docs: DataFrame, machine: FactorisationMachine, text: str = "t
     """Score of each row, 0 to 1."""
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))  # of fixed size
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        make, m = Features(), FactorisationMachine(0)
+    def make():
+        features, m = Features(), FactorisationMachine(0)
         m.w0, m.w, m.v = model.value
-        for texts, lengths in batches:
-            yield pd.Series([m.score(*make.row(t, n)) for t, n in zip(texts, lengths, strict=True)], dtype=float)
+        return lambda texts, lengths: [m.score(*features.row(t, n)) for t, n in zip(texts, lengths, strict=True)]
 
-    return score(text_of(text), _length(text_of(text), F.col(n_chars) if n_chars else None))
+    return by_slices("double", pa.float64(), make, text_of(text), _length(text_of(text), F.col(n_chars) if n_chars else None))

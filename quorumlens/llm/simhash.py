@@ -26,16 +26,15 @@ a component; a null doc_id never names a component, and groups without any other
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import cut, free_name, text_of
+from quorumlens.llm.common import by_slices, cut, free_name, text_of
 from quorumlens.llm.components import connected_components
 
 SEED = 42
@@ -81,12 +80,7 @@ def fingerprint(text: str, shingle: int, longs: int = 1) -> list[int]:
 def fingerprints(text: Column, shingle: int, longs: int = 1) -> Column:
     """array<bigint> of ``longs`` parts."""
 
-    @F.pandas_udf("array<bigint>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([fingerprint(t, shingle, longs) for t in texts], dtype=object)
-
-    return of(text_of(text))
+    return by_slices("array<bigint>", pa.list_(pa.int64()), lambda: lambda texts: [fingerprint(t, shingle, longs) for t in texts], text_of(text))
 
 
 def segment(part: Column, i: int) -> Column:

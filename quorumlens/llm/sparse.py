@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class Hashed(dict):
@@ -16,10 +16,13 @@ class Hashed(dict):
         super().__init__()
         self.mask = (1 << bits) - 1
 
+    def bucket(self, word: str) -> int:
+        return zlib.crc32(word.encode("utf-8", "surrogatepass")) & self.mask
+
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        bucket = zlib.crc32(word.encode("utf-8", "surrogatepass")) & self.mask
+        bucket = self.bucket(word)
         if len(word) <= 64:
             self[word] = bucket
         return bucket

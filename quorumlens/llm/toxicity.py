@@ -21,14 +21,13 @@ Defined results: null and empty texts have no features and score by the bias; wi
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import text_of
+from quorumlens.llm.common import by_slices, text_of
 from quorumlens.llm.sparse import Hashed, Rows, sigmoid
 
 BITS = 18
@@ -46,9 +45,9 @@ class WordFeatures(dict):
     def __missing__(self, token: str) -> bytes:
         word = token.lower().strip(OUTER)
         names = [f"w:{word}", *(f"{k}:{word[:k]}" for k in (4, 5) if len(word) >= k)] if word else []
-        found = [self.buckets[x] for x in names]
+        found = [self.buckets.bucket(x) for x in names]
         packed = np.array([i for i in found if self.used is None or self.used[i]], np.int32).tobytes()
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(token) <= 64:
             self[token] = packed
@@ -102,13 +101,11 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 20, b
 
 
 def packed_features(text: Column) -> Column:
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        make = WordFeatures()
-        for texts in batches:
-            yield pd.Series([make.row(t).tobytes() for t in texts], dtype=object)
+    def make():
+        features = WordFeatures()
+        return lambda texts: [features.row(t).tobytes() for t in texts]
 
-    return of(text_of(text))
+    return by_slices("binary", pa.binary(), make, text_of(text))
 
 
 def _rows(sample: DataFrame, text: str) -> Rows:
@@ -136,11 +133,9 @@ def toxicity_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str =
     """Score of each row, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # of fixed size
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         w, b = shared.value
-        make = WordFeatures(w != 0)
-        for texts in batches:
-            yield pd.Series(sigmoid(np.array([b + float(w[make.row(t)].sum()) for t in texts], dtype=float)))
+        features = WordFeatures(w != 0)
+        return lambda texts: sigmoid(np.array([b + float(w[features.row(t)].sum()) for t in texts], dtype=float)).tolist()
 
-    return score(text_of(text))
+    return by_slices("double", pa.float64(), make, text_of(text))

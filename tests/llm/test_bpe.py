@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quorumlens.llm.bpe import ByteBpe, decode, encode
+from quorumlens.llm.bpe import ByteBpe, decode, encode, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,4 +33,6 @@ def test_columns(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "a b", 2), (2, "a b", 2), (3, "", 0)], "doc_id long, text string, ids int")
     out = docs.withColumn("packed", encode(F.col("text"), PATH)).withColumn("back", decode(F.col("packed"), PATH)).collect()
     assert [x["back"] for x in out] == ["", "a b", "a b", ""] and len(out[1]["packed"]) == 8
+    both = docs.select(round_trip(F.col("text"), PATH).alias("r")).select("r.*").collect()
+    assert [(x["ids"], x["decoded"]) for x in both] == [(x["packed"], x["back"]) for x in out]
     assert docs.filter("doc_id > 9").select(encode(F.col("text"), PATH)).count() == 0
