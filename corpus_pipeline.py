@@ -46,9 +46,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed) and whether decoding gives the text back."""
     path = vocabulary("byte_bpe_50k.json")
-    encoded = docs.select("doc_id", "text", bpe.encode(F.col("text"), path).alias("ids"))
-    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), path))
-    return decoded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    both = docs.select("doc_id", "text", bpe.round_trip(F.col("text"), path).alias("both")).select("doc_id", "text", "both.*")
+    return both.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
