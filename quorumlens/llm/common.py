@@ -45,12 +45,21 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def small_batches(rows: int = 1000) -> None:
+    """Has Spark hand Python ``rows`` rows at a time where the session has its default of 10,000: texts can be long, and batches are held in memory on both sides."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def by_slices(kind: str, arrow: pa.DataType, make: Callable[[], Callable[..., list]], *columns: Column, step: int = 500) -> Column:
     """A column of type ``kind`` that Python makes, ``step`` rows at a time to keep little in memory.
 
     make: called once for each task, gives the function from lists of the columns' values to the list of results.
     """
 
+    small_batches()
+
     def results(f: Callable[..., list], arrays: tuple[pa.Array, ...]) -> pa.Array:
         parts = [pa.array(f(*[a.slice(at, step).to_pylist() for a in arrays]), arrow) for at in range(0, len(arrays[0]), step)]
         return pa.concat_arrays(parts) if parts else pa.array([], arrow)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import text_of
+from quorumlens.llm.common import small_batches, text_of
 
 #: Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours minutes seconds days weeks months years % percent usd eur dollars euros cents degrees °c °f kph mph km/h kw kwh".split())
@@ -152,6 +152,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, sho
 
 def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
     """doc_id, size, position, hash and slots of the windows that the bitmap passes."""
+    small_batches()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -155,7 +155,7 @@ def near_links(prints: DataFrame, bound: int, rounds: int = 8) -> DataFrame:
         if turn < rounds:
             seen = members.select("key", "id", F.first("id").over(in_order).alias("first"), F.lag("id").over(in_order).alias("previous")).filter("id <> first")
             seen = cut(seen)
-            rows = seen.select("id", F.explode_outer(F.array_distinct(F.array("first", "previous"))).alias("other"))
+            rows = seen.select("id", F.col("first").alias("other")).distinct().unionByName(seen.filter("previous <> first").select("id", F.col("previous").alias("other")).distinct())
         else:
             rows = members.join(members.select("key", F.col("id").alias("other")), "key").filter("id > other")
         checked = cut(_compared(rows, prints, bound))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import text_of
+from quorumlens.llm.common import small_batches, text_of
 
 SCHEMA = "part int, shard int, n_docs int, n_ids bigint, first_rule bigint, doc_ids binary, has_id binary, symbol_ends binary, symbols binary, rules binary, lengths binary"
 #: Fixed value: the split pattern of the word vocabulary, for words of common Latin characters.
@@ -234,6 +234,7 @@ class Grammar:
 
 def write_shards(docs: DataFrame, tokenizer: str, target: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 2, shard_ids: int = 1_000_000) -> None:
     """Writes the ids of ``docs`` to the Parquet table ``target``."""
+    small_batches()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
