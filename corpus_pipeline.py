@@ -58,7 +58,7 @@ STAGES = [
     ("BPE encoding", encode),
 ]
 
-#: Learned scores, fingerprints and merges aren't expressible in SQL; tests hold the stages against plain Python.
+#: Learned scores, fingerprints and merges are not expressible in SQL; tests/llm holds the stages' operators against plain Python or planted cases.
 ORACLE_SQL = None
 
 
