@@ -14,10 +14,10 @@ those that probe it take the other exact way: two fingerprints at most two bits
 their balls of one bit, so each is joined to the smallest fingerprint of every such value, 65 rows a fingerprint
 and at most 65 fingerprints a value.
 
-`near_duplicate_groups` is for similarities a 64-bit radius of two cannot reach: 128-bit fingerprints over five
-words, four segments, and a ball of one bit on the probing and on the stored side, so that segments two bits
-apart meet. Members of a bucket are compared in complete distance with its first member and with the one before;
-who matches neither goes on to a next round among themselves. The distance bound stands for the Jaccard similarity.
+`near_duplicate_groups` is for similarities a 64-bit radius of two cannot reach: 192-bit fingerprints over five
+words, six segments of 32 bits, and a ball of one bit on the probing and on the stored side, so that segments two
+bits apart meet. All members of a bucket are compared in complete distance; buckets of any size are cut into tiles that
+meet two at a time, and give fewer links than they have members. The distance bound stands for the Jaccard similarity.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; repeated rows share
 a component; a null doc_id never names a component, and groups without any other id have none.
@@ -26,6 +26,8 @@ a component; a null doc_id never names a component, and groups without any other
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from quorumlens.llm.common import by_slices, cut, free_name, text_of
 from quorumlens.llm.components import connected_components
 
 SEED = 42
+#: 64-bit parts of the fingerprints that `near_duplicate_groups` compares.
+LONGS = 3
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 
@@ -132,48 +136,81 @@ def hamming_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def distance_bound(similarity: float, bits: int = 128) -> int:
+def distance_bound(similarity: float, bits: int = 192) -> int:
     """The distance expected at a Jaccard similarity, for texts of like length: cosine c = 2J / (1 + J), an angle of acos(c) in bits * angle / pi."""
     return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _compared(rows: DataFrame, prints: DataFrame, bound: int) -> DataFrame:
-    """id, other, same for the candidate pairs ``rows`` (id, other), once each."""
-    pairs = rows.select("id", "other").distinct()
-    other = prints.select(F.col("id").alias("other"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-    bits = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
-    return pairs.join(prints, "id").join(other, "other").select("id", "other", (bits <= bound).alias("same"))
-
-
-def near_links(prints: DataFrame, bound: int, rounds: int = 8) -> DataFrame:
-    """a, b: near pairs of ``prints`` (id, f0, f1)."""
-    parts = [F.transform(ball(segment(F.col(f"f{i // 2}"), i % 2), 32, 1), _plus(i << 32)) for i in range(4)]
-    members = prints.select("id", F.explode_outer(F.concat(*parts)).alias("key"))
-    found = None
-    for turn in range(rounds + 1):
-        in_order = W.partitionBy("key").orderBy("id")
-        if turn < rounds:
-            seen = members.select("key", "id", F.first("id").over(in_order).alias("first"), F.lag("id").over(in_order).alias("previous")).filter("id <> first")
-            seen = cut(seen)
-            rows = seen.select("id", F.col("first").alias("other")).distinct().unionByName(seen.filter("previous <> first").select("id", F.col("previous").alias("other")).distinct())
-        else:
-            rows = members.join(members.select("key", F.col("id").alias("other")), "key").filter("id > other")
-        checked = cut(_compared(rows, prints, bound))
-        new = checked.filter("same").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        found = new if found is None else found.unionByName(new)
-        if turn == rounds:
-            break
-        fails = checked.filter("not same").select("id", "other")
-        if fails.isEmpty():
-            break
-        away = fails.withColumnRenamed("other", "first").withColumn("f", F.lit(True))
-        back = fails.withColumnRenamed("other", "previous").withColumn("p", F.lit(True))
-        left = seen.join(away, ["id", "first"]).join(back, ["id", "previous"]).select("key", "id")
-        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        members = cut(left.join(sizes, "key", "left_semi"))
-        if members.isEmpty():
-            break
-    return found
+def linked_within(bound: int):
+    """For mapInArrow over rows (key, lo, hi, tile, id, f0 ...) sorted by key, lo, hi: a, b for enough near pairs of each (key, lo, hi) to hold its components together.
+
+    Rows are compared at growing offsets, all buckets of a batch at once. Rows that are linked already are not compared again, and a
+    component is put out as links to its first row, so that a bucket of n rows gives fewer than n. Where lo and hi
+    differ, rows of the same tile meet in another bucket.
+    """
+
+    def near(t: pa.Table) -> pa.Table:
+        key, lo, hi, tile = (t[c].to_numpy() for c in ("key", "lo", "hi", "tile"))
+        parts = [t[c].to_numpy() for c in t.column_names if re.fullmatch(r"f\d+", c)]
+        start = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+        across = lo != hi
+        label = np.arange(len(key))
+        at = label[:-1]
+        d = 1
+        while len(at := at[start[at] == start[np.minimum(at + d, len(key) - 1)]]):
+            some = at[(label[at] != label[at + d]) & ~(across[at] & (tile[at] == tile[at + d]))]
+            away = np.zeros(len(some), np.int64)
+            for f in parts:
+                away += np.bitwise_count((f[some] ^ f[some + d]).view(np.uint64))
+            a = some[away <= bound]
+            b = a + d
+            while len(a):  # of several links of a label, the lowest counts first
+                x, y = label[a], label[b]
+                root = np.arange(len(label))
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root[root] != root).any():
+                    root = root[root]
+                label = root[label]
+                differ = label[a] != label[b]
+                a, b = a[differ], b[differ]
+            d += 1
+            at = at[at + d < len(key)]
+        ids, rest = t["id"].to_numpy(), np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": ids[rest], "b": ids[label[rest]]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            k = [t[c].to_numpy() for c in ("key", "lo", "hi")]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
+            if len(cuts):  # the last bucket may go on in the next batch
+                yield from near(t.slice(0, int(cuts[-1]))).to_batches()
+                held = t.slice(int(cuts[-1])).to_batches()
+        if held:
+            yield from near(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def near_links(prints: DataFrame, bound: int, tile: int = 4096) -> DataFrame:
+    """a, b: links of ``prints`` (id, f0, f1, ...) with the same components as all pairs that share a bucket and differ in at most ``bound`` bits.
+
+    Buckets of one member go at once. Larger ones than ``tile`` are cut into tiles by a hash of the id, and each two tiles meet in
+    a group of their own: a task holds two tiles, whatever the size of the bucket, and no pair is left out.
+    """
+    parts = [c for c in prints.columns if c != "id"]
+    balls = [F.transform(ball(segment(F.col(parts[i // 2]), i % 2), 32, 1), _plus(i << 32)) for i in range(2 * len(parts))]
+    keyed = prints.select("id", F.explode_outer(F.concat(*balls)).alias("key"))
+    shared = cut(keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"))
+    tiles = F.ceil(F.col("n") / tile)
+    dealt = shared.withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).select("key", "id", "tile", F.explode_outer(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id")
+    rows = dealt.join(prints, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    return rows.mapInArrow(linked_within(bound), "a bigint, b bigint")
 
 
 def _plus(offset: int):
@@ -183,10 +220,11 @@ def _plus(offset: int):
 def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with group_id, the smallest doc_id of its group of near duplicates (its own where it has none)."""
     print_, group = free_name(docs, "fingerprint"), free_name(docs, "group_id")
-    prints = docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle, 2).alias("p"))
-    rows = cut(prints.select("doc_id", F.col("p")[0].alias("f0"), F.col("p")[1].alias("f1")))
-    distinct = cut(rows.groupBy("f0", "f1").agg(F.min("doc_id").alias("id")).filter("id is not null"))
-    parts = connected_components(near_links(distinct, distance_bound(similarity))).withColumnRenamed("node", "id")
-    placed = distinct.join(parts, "id", "left").select("f0", "f1", F.coalesce("component", "id").alias(group))
-    members = rows.join(placed, ["f0", "f1"]).filter(F.col("doc_id") != F.col(group)).select(F.col("doc_id").alias(print_), group).distinct()
+    parts = [f"f{k}" for k in range(LONGS)]
+    prints = docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle, LONGS).alias("p"))
+    rows = cut(prints.select("doc_id", *[F.col("p")[k].alias(f) for k, f in enumerate(parts)]))
+    distinct = cut(rows.groupBy(*parts).agg(F.min("doc_id").alias("id")).filter("id is not null"))
+    near = connected_components(near_links(distinct, distance_bound(similarity, 64 * LONGS))).withColumnRenamed("node", "id")
+    placed = distinct.join(near, "id", "left").select(*parts, F.coalesce("component", "id").alias(group))
+    members = rows.join(placed, parts).filter(F.col("doc_id") != F.col(group)).select(F.col("doc_id").alias(print_), group).distinct()
     return docs.join(members, docs[doc_id] == members[print_], "left").drop(print_).withColumn(group, F.coalesce(group, doc_id))

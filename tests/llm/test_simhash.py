@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quorumlens.llm.components import connected_components
-from quorumlens.llm.simhash import distance_bound, fingerprint, hamming_components, hamming_links, near_duplicate_groups
+from quorumlens.llm.simhash import distance_bound, fingerprint, hamming_components, hamming_links, near_duplicate_groups, near_links
 
 
 def plain(text, k):
@@ -76,5 +76,20 @@ def test_near_duplicates(spark):
     assert near_duplicate_groups(docs.filter("doc_id < 0")).count() == 0
 
 
+def test_near_links_equal_brute_force_whatever_the_tile(spark):
+    r = random.Random(11)
+    flip = lambda f, most: f ^ sum(1 << i for i in set(r.choices(range(128), k=r.randint(0, most))))
+    prints = list({flip(b, 24) for b in [r.getrandbits(128) for _ in range(5)] for _ in range(60)})
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    rows = [(i, signed(f % 2**64), signed(f >> 64)) for i, f in enumerate(prints)]
+    meets = lambda x: any((x >> 32 * k & 0xFFFFFFFF).bit_count() <= 2 for k in range(4))
+    want = groups(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (x := prints[i] ^ prints[j]).bit_count() <= 19 and meets(x)])
+    assert len(set(want)) < len(want)
+    for tile in (3, 20, 4096):
+        links = near_links(spark.createDataFrame(rows, "id long, f0 long, f1 long"), 19, tile)
+        parts = dict(connected_components(links).collect())
+        assert [parts.get(i, i) for i in range(len(prints))] == want
+
+
 def test_bound():
-    assert 18 <= distance_bound(0.8) <= 20 and distance_bound(1.0) == 0
+    assert 18 <= distance_bound(0.8, 128) <= 20 and 28 <= distance_bound(0.8) <= 30 and distance_bound(1.0) == 0
