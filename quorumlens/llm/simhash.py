@@ -14,10 +14,12 @@ those that probe it take the other exact way: two fingerprints at most two bits
 their balls of one bit, so each is joined to the smallest fingerprint of every such value, 65 rows a fingerprint
 and at most 65 fingerprints a value.
 
-`near_duplicate_groups` is for similarities a 64-bit radius of two cannot reach: 192-bit fingerprints over five
-words, six segments of 32 bits, and a ball of one bit on the probing and on the stored side, so that segments two
-bits apart meet. All members of a bucket are compared in complete distance; buckets of any size are cut into tiles that
-meet two at a time, and give fewer links than they have members. The distance bound stands for the Jaccard similarity.
+`near_duplicate_groups` is for similarities a 64-bit radius of two cannot reach. It has two fingerprints: an index of 192
+bits over pairs of words, which scattered edits change least, and one of 512 bits over five words to verify with. The
+index has six segments of 32 bits, and a ball of one bit on the probing and on the stored side, so that segments two
+bits apart meet. All members of a bucket are compared in the verifying fingerprint's complete distance; buckets of any size are
+cut into tiles that meet two at a time, and give fewer links than they have members. The distance bound stands for the
+Jaccard similarity over five words, half a standard deviation wide of it.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; repeated rows share
 a component; a null doc_id never names a component, and groups without any other id have none.
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +42,19 @@ from quorumlens.llm.common import by_slices, cut, free_name, text_of
 from quorumlens.llm.components import connected_components
 
 SEED = 42
-#: 64-bit parts of the fingerprints that `near_duplicate_groups` compares.
-LONGS = 3
+#: Words a shingle and 64-bit parts of the index of `near_duplicate_groups`, and parts that verify.
+INDEX_SHINGLE, INDEX_LONGS, LONGS = 2, 3, 8
 #: Shingles whose bits are counted at a time.
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 
 
-def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+def split(text: str) -> list[bytes]:
+    """The words, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """XXH64 of every shingle, in order."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
     line = b" ".join(words)
@@ -70,21 +76,28 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def majority(h: np.ndarray, longs: int) -> list[int]:
+    """Signed 64-bit parts of the fingerprint of shingles' hashes."""
+    count = np.zeros(64 * longs, np.int64)
+    for at in range(0, len(h), BLOCK):
+        some = np.stack([mixed(h[at : at + BLOCK], k) for k in range(longs)], 1).astype("<u8")
+        count += np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * count > len(h), bitorder="little").view("<i8").tolist()
+
+
 def fingerprint(text: str, shingle: int, longs: int = 1) -> list[int]:
     """Signed 64-bit parts of a text's fingerprint."""
-    h, out = shingle_hashes(text, shingle), []
-    for k in range(longs):
-        m, count = mixed(h, k), np.zeros(64, np.int64)
-        for at in range(0, len(m), BLOCK):
-            count += np.unpackbits(m[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * count > len(m), bitorder="little").view("<i8")[0]))
-    return out
+    return majority(shingle_hashes(split(text), shingle), longs)
+
 
+def fingerprints(text: Column, *kinds: tuple[int, int]) -> Column:
+    """array<bigint>: the parts of each of ``kinds`` (words a shingle, parts), one after the other."""
 
-def fingerprints(text: Column, shingle: int, longs: int = 1) -> Column:
-    """array<bigint> of ``longs`` parts."""
+    def of(text: str) -> list[int]:
+        words = split(text)
+        return [part for shingle, longs in kinds for part in majority(shingle_hashes(words, shingle), longs)]
 
-    return by_slices("array<bigint>", pa.list_(pa.int64()), lambda: lambda texts: [fingerprint(t, shingle, longs) for t in texts], text_of(text))
+    return by_slices("array<bigint>", pa.list_(pa.int64()), lambda: lambda texts: list(map(of, texts)), text_of(text))
 
 
 def segment(part: Column, i: int) -> Column:
@@ -127,7 +140,7 @@ def hamming_links(prints: DataFrame, max_bits: int = 2, bucket: int = 64) -> Dat
 
 def hamming_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, max_bits: int = 2, bucket: int = 64) -> DataFrame:
     """doc_id, fp (signed 64-bit) and component_id (smallest doc_id reachable) of each row."""
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle)[0].alias("fp")))
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), (shingle, 1))[0].alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     parts = connected_components(hamming_links(prints.select("fp"), max_bits, bucket)).withColumnRenamed("node", "fp")
     placed = prints.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -136,9 +149,10 @@ def hamming_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def distance_bound(similarity: float, bits: int = 192) -> int:
-    """The distance expected at a Jaccard similarity, for texts of like length: cosine c = 2J / (1 + J), an angle of acos(c) in bits * angle / pi."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def distance_bound(similarity: float, bits: int = 192, deviations: float = 0.0) -> int:
+    """The distance at a Jaccard similarity, for texts of like length: cosine c = 2J / (1 + J), an angle of acos(c) in bits * angle / pi, and so many standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def linked_within(bound: int):
@@ -196,20 +210,21 @@ def linked_within(bound: int):
     return run
 
 
-def near_links(prints: DataFrame, bound: int, tile: int = 4096) -> DataFrame:
-    """a, b: links of ``prints`` (id, f0, f1, ...) with the same components as all pairs that share a bucket and differ in at most ``bound`` bits.
+def near_links(prints: DataFrame, bound: int, tile: int = 4096, index: Sequence[str] = ()) -> DataFrame:
+    """a, b: links of ``prints`` (id, f0, f1, ...) with the same components as all pairs that share a bucket and differ in at most ``bound`` bits of f0, f1, ....
 
-    Buckets of one member go at once. Larger ones than ``tile`` are cut into tiles by a hash of the id, and each two tiles meet in
-    a group of their own: a task holds two tiles, whatever the size of the bucket, and no pair is left out.
+    ``index``: the columns whose segments make the buckets, f0, f1, ... where it is empty. Buckets of one member go at once. Larger ones
+    than ``tile`` are cut into tiles by a hash of the id, and each two tiles meet in a group of their own: a task holds two
+    tiles, whatever the size of the bucket, and no pair is left out.
     """
-    parts = [c for c in prints.columns if c != "id"]
+    parts = list(index) or [c for c in prints.columns if c != "id"]
     balls = [F.transform(ball(segment(F.col(parts[i // 2]), i % 2), 32, 1), _plus(i << 32)) for i in range(2 * len(parts))]
     keyed = prints.select("id", F.explode_outer(F.concat(*balls)).alias("key"))
     shared = cut(keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"))
     tiles = F.ceil(F.col("n") / tile)
     dealt = shared.withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).select("key", "id", "tile", F.explode_outer(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
     dealt = dealt.select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id")
-    rows = dealt.join(prints, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    rows = dealt.join(prints.drop(*index), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
     return rows.mapInArrow(linked_within(bound), "a bigint, b bigint")
 
 
@@ -220,11 +235,13 @@ def _plus(offset: int):
 def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with group_id, the smallest doc_id of its group of near duplicates (its own where it has none)."""
     print_, group = free_name(docs, "fingerprint"), free_name(docs, "group_id")
-    parts = [f"f{k}" for k in range(LONGS)]
-    prints = docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle, LONGS).alias("p"))
-    rows = cut(prints.select("doc_id", *[F.col("p")[k].alias(f) for k, f in enumerate(parts)]))
-    distinct = cut(rows.groupBy(*parts).agg(F.min("doc_id").alias("id")).filter("id is not null"))
-    near = connected_components(near_links(distinct, distance_bound(similarity, 64 * LONGS))).withColumnRenamed("node", "id")
-    placed = distinct.join(near, "id", "left").select(*parts, F.coalesce("component", "id").alias(group))
-    members = rows.join(placed, parts).filter(F.col("doc_id") != F.col(group)).select(F.col("doc_id").alias(print_), group).distinct()
+    index, parts = [f"i{k}" for k in range(INDEX_LONGS)], [f"f{k}" for k in range(LONGS)]
+    both = fingerprints(F.col(text), (INDEX_SHINGLE, INDEX_LONGS), (shingle, LONGS))
+    prints = docs.select(F.col(doc_id).alias("doc_id"), both.alias("p"))
+    rows = cut(prints.select("doc_id", *[F.col("p")[k].alias(f) for k, f in enumerate(index + parts)]))
+    distinct = cut(rows.groupBy(*index, *parts).agg(F.min("doc_id").alias("id")).filter("id is not null"))
+    links = near_links(distinct, distance_bound(similarity, 64 * LONGS, 0.5), index=index)
+    near = connected_components(links).withColumnRenamed("node", "id")
+    placed = distinct.join(near, "id", "left").select(*index, *parts, F.coalesce("component", "id").alias(group))
+    members = rows.join(placed, index + parts).filter(F.col("doc_id") != F.col(group)).select(F.col("doc_id").alias(print_), group).distinct()
     return docs.join(members, docs[doc_id] == members[print_], "left").drop(print_).withColumn(group, F.coalesce(group, doc_id))

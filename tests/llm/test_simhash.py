@@ -91,5 +91,35 @@ def test_near_links_equal_brute_force_whatever_the_tile(spark):
         assert [parts.get(i, i) for i in range(len(prints))] == want
 
 
+def test_index_columns_make_the_buckets_and_the_others_verify(spark):
+    r = random.Random(12)
+    flip = lambda f, bits, most: f ^ sum(1 << i for i in set(r.choices(range(bits), k=r.randint(0, most))))
+    base = [(r.getrandbits(64), r.getrandbits(128)) for _ in range(6)]
+    prints = list({(flip(i, 64, 8), flip(f, 128, 20)) for i, f in base for _ in range(40)})
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    rows = [(n, signed(i), signed(f % 2**64), signed(f >> 64)) for n, (i, f) in enumerate(prints)]
+    meets = lambda x: any((x >> 32 * k & 0xFFFFFFFF).bit_count() <= 2 for k in range(2))
+    near = lambda a, b: (a[1] ^ b[1]).bit_count() <= 15 and meets(a[0] ^ b[0])
+    want = groups(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if near(prints[i], prints[j])])
+    links = near_links(spark.createDataFrame(rows, "id long, i0 long, f0 long, f1 long"), 15, 16, ["i0"])
+    parts = dict(connected_components(links).collect())
+    assert [parts.get(i, i) for i in range(len(prints))] == want
+
+
+def test_copies_close_to_the_threshold(spark):
+    """Four scattered words of 250: a similarity of 0.85. Forty: below 0.2."""
+    r, rows = random.Random(5), []
+    for g in range(120):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(250)]
+        for c, edits in enumerate((0, 4, 40)):
+            copy = list(words)
+            for at in r.sample(range(250), edits):
+                copy[at] = f"x{r.randint(0, 10**6)}"
+            rows.append((3 * g + c, " ".join(copy)))
+    got = {x["doc_id"]: x["group_id"] for x in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[3 * g + 1] == 3 * g for g in range(120)) >= 110
+    assert all(got[3 * g + 2] == 3 * g + 2 for g in range(120))
+
+
 def test_bound():
     assert 18 <= distance_bound(0.8, 128) <= 20 and 28 <= distance_bound(0.8) <= 30 and distance_bound(1.0) == 0
