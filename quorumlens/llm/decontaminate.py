@@ -7,6 +7,10 @@ between the position in the document and in the item) the slots must be consiste
 stands for one value in the document, so a re-parameterised question matches and a loose likeness does not. A
 document is contaminated by an item if consistent windows cover ``min_words`` of its words, or all of a shorter item.
 
+``whole`` (the registered query and the pipeline set it) judges runs and not diagonals: the windows that count are the longest
+run of consistent ones, or those that agree with the most frequent counterpart of each slot value, whichever cover more words.
+So one slip in a long copy costs the windows that hold it. Without ``whole`` a diagonal with one inconsistent value counts for nothing.
+
 Documents only send the windows that can match: a bitmap of fixed size over the hashes of all benchmark windows,
 without false negatives, sorts out the others where the text is read. However large the benchmark, the bitmap stays
 that size; a full one only passes more windows to the join.
@@ -20,16 +24,18 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import small_batches, text_of
+from quorumlens.llm.common import by_slices, small_batches, text_of
 
 #: Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours minutes seconds days weeks months years % percent usd eur dollars euros cents degrees °c °f kph mph km/h kw kwh".split())
@@ -184,7 +190,62 @@ def bitmap_of(windows: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, min_words: int = 13, shortest: int = 5) -> DataFrame:
+def best_windows(hits: list[dict], size: int) -> tuple[int, bool]:
+    """Words that the best consistent windows of a diagonal cover, and whether one of their slots has another value. hits: at, and pairs of slot values."""
+    hits = sorted((x["at"], [(p["item_slots"], p["slots"]) for p in x["pairs"]]) for x in hits)
+    votes = Counter(p for _, pairs in hits for p in pairs)
+    chosen: dict[str, str] = {}
+    for item, said in sorted(votes, key=lambda p: (-votes[p], p[0] != p[1], p)):  # of equally frequent ones the same value
+        chosen.setdefault(item, said)
+    best = _covered([x for x in hits if all(chosen[a] == b for a, b in x[1])], size)
+    start = 0
+    held: Counter[tuple[str, str]] = Counter()  # pairs of the run of windows from start
+    means: dict[str, str] = {}
+    for end, (_, pairs) in enumerate(hits):
+        own = dict(pairs)
+        while start < end and any(means.get(a, b) != b for a, b in own.items()):
+            for p in hits[start][1]:
+                held[p] -= 1
+                if not held[p]:
+                    means.pop(p[0], None)
+            start += 1
+        if any(own[a] != b for a, b in pairs):  # not consistent by itself, so no run holds it
+            start, held, means = end + 1, Counter(), {}
+            continue
+        held.update(pairs)
+        means |= own
+        if end + 1 == len(hits) or _breaks(means, hits[end + 1][1]):
+            best = max(best, _covered(hits[start : end + 1], size), key=lambda x: (x[0], not x[1]))
+    return best
+
+
+def _breaks(means: dict[str, str], pairs: list[tuple[str, str]]) -> bool:
+    return any(means.get(a, b) != b for a, b in pairs) or len(dict(pairs)) < len(set(pairs))
+
+
+def _covered(hits: list[tuple[int, list[tuple[str, str]]]], size: int) -> tuple[int, bool]:
+    return len({k for at, _ in hits for k in range(at, at + size)}), any(a != b for _, pairs in hits for a, b in pairs)
+
+
+def judged_runs(hits: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_words, covered and reworded of each diagonal's best windows. hits: with item_position, diagonal and pairs."""
+    lines = hits.groupBy("doc_id", "item_id", "n_words", "size", "diagonal").agg(F.collect_set(F.struct(F.col("item_position").alias("at"), "pairs")).alias("hits"))
+    kind = pa.struct([("covered", pa.int32()), ("reworded", pa.bool_())])
+    make = lambda: lambda hits, sizes: [dict(zip(("covered", "reworded"), best_windows(h, n), strict=True)) for h, n in zip(hits, sizes, strict=True)]
+    judged = by_slices("struct<covered:int,reworded:boolean>", kind, make, F.col("hits"), F.col("size"))
+    return lines.select("doc_id", "item_id", "n_words", judged.alias("best")).select("doc_id", "item_id", "n_words", "best.*")
+
+
+def judged_diagonals(hits: DataFrame) -> DataFrame:
+    """As `judged_runs`, of the diagonals that are consistent as a whole."""
+    lines = hits.groupBy("doc_id", "item_id", "n_words", "size", "diagonal").agg(F.array_sort(F.collect_set("item_position")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"])))
+    covered = F.aggregate("at", F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda a, p: F.struct((p + F.col("size")).alias("end"), (a["n"] + F.least(F.col("size"), p + F.col("size") - a["end"])).alias("n")))["n"]
+    reworded = F.exists("pairs", lambda x: x["item_slots"] != x["slots"])
+    return lines.filter(consistent).select("doc_id", "item_id", "n_words", covered.alias("covered"), reworded.alias("reworded"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, min_words: int = 13, shortest: int = 5, whole: bool = False) -> DataFrame:
     """doc_id, item_id, covered_words, n_words (of the item), reworded (some slot has another value): one row for each contaminated pair."""
     items = item_windows(benchmark, item_id, item_text, window, shortest)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
@@ -192,11 +253,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     hits = found.join(items, ["hash", "size"])
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: (x["item_slots"] != "") | (x["slots"] != ""))
     lines = hits.select("doc_id", "item_id", "n_words", "size", "item_position", (F.col("position") - F.col("item_position")).alias("diagonal"), pairs.alias("pairs"))
-    lines = lines.groupBy("doc_id", "item_id", "n_words", "size", "diagonal").agg(F.array_sort(F.collect_set("item_position")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"])))
-    covered = F.aggregate("at", F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda a, p: F.struct((p + F.col("size")).alias("end"), (a["n"] + F.least(F.col("size"), p + F.col("size") - a["end"])).alias("n")))["n"]
-    reworded = F.exists("pairs", lambda x: x["item_slots"] != x["slots"])
-    scored = lines.filter(consistent).select("doc_id", "item_id", "n_words", covered.alias("covered"), reworded.alias("reworded"))
+    scored = judged_runs(lines) if whole else judged_diagonals(lines)
     best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.max("covered").alias("covered_words"), F.min("reworded").alias("reworded"))
     return best.filter(F.col("covered_words") >= F.least(F.lit(min_words), F.col("n_words"))).select("doc_id", "item_id", "covered_words", "n_words", "reworded")
 

@@ -69,7 +69,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), whole=True)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,24 @@ def test_found_and_left_alone(spark):
     assert decontaminate(d, b).columns == d.columns
 
 
+def found(spark, docs, items, **options):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    return {(x["doc_id"], x["item_id"]): (x["covered_words"], x["reworded"]) for x in find_contamination(d, b, **options).collect()}
+
+
+def test_one_slip_does_not_hide_a_copy(spark):
+    q, loose = ITEMS[0][1], "the 12 of a or the 12 of b or the 12 of c or the 12 of d or the 12 of e"
+    docs = [
+        (1, q.replace("12 apples and", "40 apples and")),
+        (2, q.replace("12", "40").replace("the 40", "the 41")),
+        (3, loose.replace("12", "{}").format(1, 2, 3, 4, 5)),  # each window has two values for 12
+        (4, q),
+    ]
+    got = found(spark, docs, [(1, q), (2, loose)], whole=True)
+    assert got == {(1, 1): (20, False), (2, 1): (20, True), (4, 1): (24, False)}
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
