@@ -9,7 +9,8 @@ document is contaminated by an item if consistent windows cover ``min_words`` of
 
 ``whole`` (the registered query and the pipeline set it) judges runs and not diagonals: the windows that count are the longest
 run of consistent ones, or those that agree with the most frequent counterpart of each slot value, whichever cover more words.
-So one slip in a long copy costs the windows that hold it. Without ``whole`` a diagonal with one inconsistent value counts for nothing.
+So one slip in a long copy costs the windows that hold it. It also hashes every window of the words as they are, so that windows
+of many slots and items of any length are found as exact copies (in any case of letters), while their templates do not match. Without ``whole`` a diagonal with one inconsistent value counts for nothing.
 
 Documents only send the windows that can match: a bitmap of fixed size over the hashes of all benchmark windows,
 without false negatives, sorts out the others where the text is read. However large the benchmark, the bitmap stays
@@ -17,7 +18,7 @@ that size; a full one only passes more windows to the join.
 
 Defined results: null and empty texts have no windows; items shorter than the window are one window of their own length, and
 items of fewer than ``shortest`` words, or windows with fewer than ``shortest`` plain words (unless the whole item
-has no more), are too common to tell and never match. Repeated rows are found together, as one (doc_id, item_id).
+has no more), are too common to tell and never match as templates, and without ``whole`` never at all. Repeated rows are found together, as one (doc_id, item_id).
 """
 
 from __future__ import annotations
@@ -98,12 +99,18 @@ class Templates:
         after_number = np.append(False, facts["number"][:-1]) & ~first
         self.kind = np.select([facts["number"], after_number & facts["unit"], facts["name"] & ~begins], [NUMBER_KIND, UNIT_KIND, NAME_KIND], PLAIN)
         self.hash = np.where(self.kind == PLAIN, facts["hash"], SLOT_HASHES[self.kind])
+        self.exact = facts["hash"].copy()  # without placeholders
         self.bounds = np.searchsorted(text, np.arange(len(texts) + 1))
         self.text, self.low = text, tokens.low
 
-    def slots(self, a: int, b: int) -> list[str]:
+    def readings(self, whole: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Kinds and hashes of the words: with placeholders, and for ``whole`` as they are."""
+        return [(self.kind, self.hash), (np.full(len(self.kind), PLAIN), self.exact)][: 1 + whole]
+
+    def slots(self, a: int, b: int, kind: np.ndarray | None = None) -> list[str]:
         """The slot values of words a to b (empty: a plain word)."""
-        return [self.low[n] if k else "" for n, k in zip(self.numbers[a:b].tolist(), self.kind[a:b].tolist(), strict=True)]
+        kind = self.kind if kind is None else kind
+        return [self.low[n] if k else "" for n, k in zip(self.numbers[a:b].tolist(), kind[a:b].tolist(), strict=True)]
 
     def words(self, a: int, b: int) -> list[str]:
         return [(self.low[n], NUMBER_SLOT, UNIT_SLOT, NAME_SLOT)[k] for n, k in zip(self.numbers[a:b].tolist(), self.kind[a:b].tolist(), strict=True)]
@@ -129,7 +136,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return total ^ (total >> np.uint64(32))
 
 
-def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shortest: int) -> DataFrame:
+def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shortest: int, whole: bool = False) -> DataFrame:
     """item_id, size, n_words, position, hash and slots of the windows of all items."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,6 +145,10 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, sho
             rows, made = [], Templates(batch["text"].tolist(), tokens)
             for item, a, b in zip(batch["item_id"], made.bounds.tolist(), made.bounds[1:].tolist(), strict=False):
                 size, slots, hashes = min(window, b - a), made.slots(a, b), made.hash[a:b]
+                if whole and b > a:
+                    ((_, exact),) = made.readings(whole)[1:]
+                    for k, h in enumerate(window_hashes(exact[a:b], size).view(np.int64).tolist()):
+                        rows.append((item, size, b - a, k, h, [""] * size))
                 if size < shortest:
                     continue
                 variants = [(slots, hashes)]
@@ -156,7 +167,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, sho
     return columns.mapInPandas(make, f"item_id {columns.schema['item_id'].dataType.simpleString()}, size int, n_words int, item_position int, hash bigint, item_slots array<string>")
 
 
-def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
+def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int], bitmap: np.ndarray, shortest: int = 0, whole: bool = False) -> DataFrame:
     """doc_id, size, position, hash and slots of the windows that the bitmap passes."""
     small_batches()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
@@ -168,12 +179,20 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int],
             for start in range(0, len(batch), TOGETHER):
                 made = Templates(batch["text"].iloc[start : start + TOGETHER].tolist(), tokens)
                 for size in sizes:
-                    h = window_hashes(made.hash, size)
-                    at = h >> np.uint64(64 - BITMAP_BITS)
-                    passed = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                    passed = passed[made.text[passed] == made.text[passed + size - 1]]  # within one text
-                    for k, t, x in zip(passed.tolist(), made.text[passed].tolist(), h[passed].view(np.int64).tolist(), strict=True):
-                        rows.append((ids[start + t], size, k - int(made.bounds[t]), x, made.slots(k, k + size)))
+                    seen: list[np.ndarray] = []
+                    for kind, words in made.readings(whole):
+                        h = window_hashes(words, size)
+                        at = h >> np.uint64(64 - BITMAP_BITS)
+                        passes = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                        for other in seen:  # read alike, once
+                            passes &= h != other
+                        seen.append(h)
+                        passed = np.flatnonzero(passes)
+                        passed = passed[made.text[passed] == made.text[passed + size - 1]]  # within one text
+                        if size < shortest:  # the window is all of an item: once a text is enough
+                            passed = passed[np.unique(np.stack([made.text[passed], h[passed].view(np.int64)]), axis=1, return_index=True)[1]]
+                        for k, t, x in zip(passed.tolist(), made.text[passed].tolist(), h[passed].view(np.int64).tolist(), strict=True):
+                            rows.append((ids[start + t], size, k - int(made.bounds[t]), x, made.slots(k, k + size, kind)))
             yield pd.DataFrame(rows, columns=["doc_id", "size", "position", "hash", "slots"])
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).filter("doc_id is not null")
@@ -247,9 +266,9 @@ def judged_diagonals(hits: DataFrame) -> DataFrame:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, min_words: int = 13, shortest: int = 5, whole: bool = False) -> DataFrame:
     """doc_id, item_id, covered_words, n_words (of the item), reworded (some slot has another value): one row for each contaminated pair."""
-    items = item_windows(benchmark, item_id, item_text, window, shortest)
+    items = item_windows(benchmark, item_id, item_text, window, shortest, whole)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
-    found = document_windows(docs, doc_id, text, sizes, bitmap_of(items))
+    found = document_windows(docs, doc_id, text, sizes, bitmap_of(items), shortest, whole)
     hits = found.join(items, ["hash", "size"])
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: (x["item_slots"] != "") | (x["slots"] != ""))
     lines = hits.select("doc_id", "item_id", "n_words", "size", "item_position", (F.col("position") - F.col("item_position")).alias("diagonal"), pairs.alias("pairs"))

@@ -79,6 +79,20 @@ def test_one_slip_does_not_hide_a_copy(spark):
     assert got == {(1, 1): (20, False), (2, 1): (20, True), (4, 1): (24, False)}
 
 
+def test_exact_copies_of_dense_and_short_items(spark):
+    dense = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 and 16"
+    items = [(1, dense), (2, "tiny one"), (3, "on 3 May 1901 Ann Lee met Bob Ray Max Poe Tim Fox Kim Dee Jo Ash"), (4, None), (5, "")]
+    docs = [
+        (1, f"so {dense} so"),
+        (2, dense.replace("13", "99")),  # 12 words, then 4
+        (3, "a tiny one, and a TINY one"),
+        (4, "a tiny two"),
+        (5, items[2][1].upper()),
+        (6, "on 4 June 1902 Eve Roe met Cal Day Sam Low Ned Orr Pam Gee Al Ivy"),
+    ]
+    assert found(spark, docs, items, whole=True) == {(1, 1): (17, False), (3, 2): (2, False), (5, 3): (17, False)}
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
