@@ -10,7 +10,9 @@ document is contaminated by an item if consistent windows cover ``min_words`` of
 ``whole`` (the registered query and the pipeline set it) judges runs and not diagonals: the windows that count are the longest
 run of consistent ones, or those that agree with the most frequent counterpart of each slot value, whichever cover more words.
 So one slip in a long copy costs the windows that hold it. It also hashes every window of the words as they are, so that windows
-of many slots and items of any length are found as exact copies (in any case of letters), while their templates do not match. Without ``whole`` a diagonal with one inconsistent value counts for nothing.
+of many slots and items of any length are found as exact copies (in any case of letters), while their templates do not match; with
+the first words of sentences as names, so that "Tom has" asked as "Eve has" matches; and with names as plain words, so that a copy
+in upper or lower case with other numbers does. Other names in one case of letters cannot be told from words within a sentence. Without ``whole`` a diagonal with one inconsistent value counts for nothing.
 
 Documents only send the windows that can match: a bitmap of fixed size over the hashes of all benchmark windows,
 without false negatives, sorts out the others where the text is read. However large the benchmark, the bitmap stays
@@ -62,15 +64,15 @@ class Tokens(dict):
     def forget(self) -> None:
         self.clear()
         self.low: list[str] = []
-        self.facts: list[tuple[int, bool, bool, bool, bool, bool]] = []
-        self.table = np.zeros(0, [("hash", "u8"), ("empty", "?"), ("number", "?"), ("unit", "?"), ("name", "?"), ("ends", "?")])
+        self.facts: list[tuple[int, bool, bool, bool, bool, bool, bool]] = []
+        self.table = np.zeros(0, [("hash", "u8"), ("empty", "?"), ("number", "?"), ("unit", "?"), ("name", "?"), ("ends", "?"), ("letter", "?")])
 
     def __missing__(self, token: str) -> int:
         core = token.strip(OUTER)
         low = core.lower()
         self.low.append(low)
         ends = token[-1] in (".!?:" if core else ".!?")
-        self.facts.append((xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), not core, NUMBER.fullmatch(core) is not None, low in UNITS, core[:1].isupper() and not core.isupper(), ends))
+        self.facts.append((xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), not core, NUMBER.fullmatch(core) is not None, low in UNITS, core[:1].isupper() and not core.isupper(), ends, core[:1].isalpha()))
         self[token] = number = len(self.low) - 1
         return number
 
@@ -100,12 +102,16 @@ class Templates:
         self.kind = np.select([facts["number"], after_number & facts["unit"], facts["name"] & ~begins], [NUMBER_KIND, UNIT_KIND, NAME_KIND], PLAIN)
         self.hash = np.where(self.kind == PLAIN, facts["hash"], SLOT_HASHES[self.kind])
         self.exact = facts["hash"].copy()  # without placeholders
+        self.starts = begins & facts["letter"] & (self.kind == PLAIN)
         self.bounds = np.searchsorted(text, np.arange(len(texts) + 1))
         self.text, self.low = text, tokens.low
 
     def readings(self, whole: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Kinds and hashes of the words: with placeholders, and for ``whole`` as they are."""
-        return [(self.kind, self.hash), (np.full(len(self.kind), PLAIN), self.exact)][: 1 + whole]
+        """Kinds and hashes of the words: with placeholders; for ``whole`` also with sentences' first words as names, with names as words, and as they are."""
+        kinds = [self.kind]
+        if whole:
+            kinds += [np.where(self.starts, NAME_KIND, self.kind), np.where(self.kind == NAME_KIND, PLAIN, self.kind), np.full(len(self.kind), PLAIN)]
+        return [(kind, np.where(kind == PLAIN, self.exact, SLOT_HASHES[kind])) for kind in kinds]
 
     def slots(self, a: int, b: int, kind: np.ndarray | None = None) -> list[str]:
         """The slot values of words a to b (empty: a plain word)."""
@@ -136,6 +142,20 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return total ^ (total >> np.uint64(32))
 
 
+def whole_windows(made: Templates, a: int, b: int, size: int, window: int, shortest: int) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """Position, hash and slots of the windows of the item that is words a to b, in each reading that says enough to match."""
+    readings = made.readings(True)
+    base = readings[0][0][a:b] == PLAIN
+    for n, (kind, hashes) in enumerate(readings):
+        plain, slots = kind[a:b] == PLAIN, made.slots(a, b, kind)
+        for k, h in enumerate(window_hashes(hashes[a:b], size).view(np.int64).tolist()):
+            words, own = int(base[k : k + size].sum()), int(plain[k : k + size].sum())
+            least = max(min(shortest, words) if b - a <= window else shortest, 1)
+            told = words >= least  # the first words of sentences count as words here, whatever the reading
+            if n == 3 or size >= shortest and (told, told and own >= max(min(3, words - 1), 1), own >= shortest)[n]:
+                yield k, h, tuple(slots[k : k + size])
+
+
 def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shortest: int, whole: bool = False) -> DataFrame:
     """item_id, size, n_words, position, hash and slots of the windows of all items."""
 
@@ -145,10 +165,9 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, sho
             rows, made = [], Templates(batch["text"].tolist(), tokens)
             for item, a, b in zip(batch["item_id"], made.bounds.tolist(), made.bounds[1:].tolist(), strict=False):
                 size, slots, hashes = min(window, b - a), made.slots(a, b), made.hash[a:b]
-                if whole and b > a:
-                    ((_, exact),) = made.readings(whole)[1:]
-                    for k, h in enumerate(window_hashes(exact[a:b], size).view(np.int64).tolist()):
-                        rows.append((item, size, b - a, k, h, [""] * size))
+                if whole:
+                    rows += {(item, size, b - a, *w): None for w in whole_windows(made, a, b, size, window, shortest)} if b > a else {}
+                    continue
                 if size < shortest:
                     continue
                 variants = [(slots, hashes)]

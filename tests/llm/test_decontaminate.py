@@ -93,6 +93,21 @@ def test_exact_copies_of_dense_and_short_items(spark):
     assert found(spark, docs, items, whole=True) == {(1, 1): (17, False), (3, 2): (2, False), (5, 3): (17, False)}
 
 
+def test_names_that_begin_sentences_and_folded_case(spark):
+    one, two = "Tom has 12 apples and gives 5 of them to his sister today.", "Tom has 5 apples. Ann has 3 pears. Kim has 9 plums. Who has most?"
+    three = "We know that Ann Lee had 12 red apples and gave Bob Ray 5 of them today."
+    docs = [
+        (1, "Eve has 40 apples and gives 7 of them to his sister today."),
+        (2, "Joe has 6 apples. Eve has 4 pears. Zoe has 1 plums. Who has most?"),
+        (3, three.upper().replace("12", "30")),
+        (4, three.lower().replace("5", "8")),
+        (5, "eve has 40 apples and gives 7 of them to his sister today."),
+        (6, "Eve has 40 pears and sells 7 of those to his brother today."),
+    ]
+    got = found(spark, docs, [(1, one), (2, two), (3, three)], whole=True)
+    assert got == {(1, 1): (13, True), (2, 2): (15, True), (3, 3): (17, True), (4, 3): (17, True), (5, 1): (13, True)}
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
