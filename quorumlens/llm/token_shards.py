@@ -134,45 +134,54 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, rounds: int = 3, per_round: int = 8192, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """symbols, doc_ends within them, rules: each round replaces the most frequent pairs, left to right, where they still stand.
+def _offsets(places: np.ndarray) -> np.ndarray:
+    """The position of each ascending place in its run of consecutive ones."""
+    run = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    return np.arange(len(places)) - np.repeat(run, np.diff(run, append=len(places)))
 
-    Pairs are found by a table of hashes; of pairs with the same hash the most frequent is replaced in that round.
+
+def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, per_round: int = 8192, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, doc_ends within them, rules: each round replaces the most frequent pairs, left to right, where they still stand, until no pair
+    comes ``least`` times. A rule takes 12 bytes and each replacement saves 4, so the fourth is the first to gain.
+
+    A pair can only become as frequent by a new symbol, so each round counts the pairs with one and those that were frequent before.
     """
     symbols, rules = ids.astype(np.uint64), []
     last = np.zeros(len(symbols), bool)
     last[doc_ends[doc_ends > 0] - 1] = True
-    none, top = np.uint64(2**64 - 1), first_rule
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        pairs = (symbols[:-1] << np.uint64(20)) | symbols[1:]
-        pairs[last[:-1]] = none
-        kinds, counts = np.unique(pairs, return_counts=True)
-        counts[kinds == none] = 0
+    open_, top, most = np.ones(len(symbols), bool), first_rule, per_round
+    while True:
+        at = np.flatnonzero(open_[:-1] & ~last[:-1])
+        pairs = (symbols[at] << np.uint64(32)) | symbols[at + 1]
+        kinds, kind = np.unique(pairs, return_inverse=True)
+        twins = np.flatnonzero(symbols[at] == symbols[at + 1])
+        free = np.ones(len(at), bool)
+        free[twins[_offsets(at[twins]) % 2 == 1]] = False  # of a run of one symbol every other pair can be replaced
+        counts = np.bincount(kind[free], minlength=len(kinds))
         chosen = np.flatnonzero(counts >= least)
         if not len(chosen):
             break
-        chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:per_round]]
-        place = (kinds[chosen] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        chosen = chosen[np.sort(np.unique(place, return_index=True)[1])]
-        kinds = kinds[chosen]
-        table = np.zeros(1 << 20, np.int32)
-        table[(kinds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)] = np.arange(len(kinds))
-        at = table[(pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)]
-        hits = np.flatnonzero(kinds[at] == pairs)
-        run = np.flatnonzero(np.diff(hits, prepend=-2) != 1)  # runs of overlapping pairs: every other one
-        offset = np.arange(len(hits)) - np.repeat(run, np.diff(run, append=len(hits)))
-        hits = hits[offset % 2 == 0]
-        which = at[hits]
-        used = np.bincount(which, minlength=len(kinds)) > 0
-        number = np.cumsum(used) - 1
-        rules.append(np.stack([kinds[used] >> np.uint64(20), kinds[used] & np.uint64(0xFFFFF)], 1))
-        symbols[hits] = (top + number[which]).astype(np.uint64)
+        open_[:] = False
+        open_[at[counts[kind] >= least]] = True
+        taken = np.zeros(len(kinds), bool)
+        taken[chosen[np.argsort(-counts[chosen], kind="stable")[:most]]] = True
+        here = np.flatnonzero(taken[kind])
+        here = here[_offsets(at[here]) % 2 == 0]  # of overlapping pairs every other one
+        used = np.bincount(kind[here], minlength=len(kinds)) >= least
+        if not used.any():  # they took each other's places; one alone keeps all of its own
+            most = 1
+            continue
+        most = per_round
+        here = here[used[kind[here]]]
+        hits, number = at[here], np.cumsum(used) - 1
+        rules.append(np.stack([kinds[used] >> np.uint64(32), kinds[used] & np.uint64(0xFFFFFFFF)], 1))
+        symbols[hits] = (top + number[kind[here]]).astype(np.uint64)
         last[hits] = last[hits + 1]
+        open_[hits] = True
+        open_[np.maximum(hits - 1, 0)] = True
         keep = np.ones(len(symbols), bool)
         keep[hits + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        symbols, last, open_ = symbols[keep], last[keep], open_[keep]
         top += int(used.sum())
     ends = np.flatnonzero(last) + 1
     return symbols.astype("<u4"), ends.astype("<u4"), (np.concatenate(rules) if rules else np.empty((0, 2))).astype("<u4")

@@ -27,6 +27,17 @@ def test_grammar_round_trip_and_random_access():
         assert vocabulary > 100 or len(symbols) < 0.9 * n
 
 
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(3)
+    passage = r.integers(0, 40_000, 400)
+    ids = np.concatenate([x for _ in range(6) for x in (passage, r.integers(0, 40_000, 50))] + [np.full(37, 5)]).astype(np.uint32)
+    symbols, stops, rules = repair(ids, np.array([900, len(ids)]), 1 << 16)
+    lengths = rule_lengths(rules, 1 << 16)
+    assert (Grammar(1 << 16, rules, lengths).expand(symbols) == ids).all() and lengths.max() >= 200
+    pairs = [(a, b) for lo, hi in ((0, stops[0]), (stops[0], stops[1])) for a, b in zip(symbols[lo:hi].tolist(), symbols[lo + 1 : hi].tolist())]
+    assert max(pairs.count(p) for p in pairs if p[0] != p[1]) < 4
+
+
 def texts():
     r = random.Random(4)
     parts = ["the", " The", "TION", "é", "É", "ß", "²", "\xa0", "\x85", "  ", "\n", "don't", "'LL", "'s", "<|endoftext|>", "😀", "日本", "123", "_", "!!", "***", "Σ", "ΑΣ", "İ", "é", "</w>", "ŉ", "ǰ", "ſ", "K", "Å", "\x1c", "<|ENDOFTEXT|>", " ", "a_b", "x1y2", "\u2028"]
