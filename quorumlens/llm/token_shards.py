@@ -134,57 +134,67 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _offsets(places: np.ndarray) -> np.ndarray:
-    """The position of each ascending place in its run of consecutive ones."""
-    run = np.flatnonzero(np.diff(places, prepend=-2) != 1)
-    return np.arange(len(places)) - np.repeat(run, np.diff(run, append=len(places)))
+def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, per_round: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, doc_ends within them, rules: each round replaces the most frequent pairs, until no pair comes ``least`` times.
+    A rule takes 12 bytes and each replacement saves 4, so the fourth is the first to gain.
 
-
-def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, per_round: int = 8192, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """symbols, doc_ends within them, rules: each round replaces the most frequent pairs, left to right, where they still stand, until no pair
-    comes ``least`` times. A rule takes 12 bytes and each replacement saves 4, so the fourth is the first to gain.
-
-    A pair can only become as frequent by a new symbol, so each round counts the pairs with one and those that were frequent before.
+    Of overlapping pairs the more frequent kind wins, everywhere alike, so the most frequent kind of a round keeps all its places and every
+    round gains. Symbols are a linked list, so that a round costs no more than the pairs it looks at: a pair can only become as frequent by a new
+    symbol, so those are the pairs with one and those that were frequent before.
     """
-    symbols, rules = ids.astype(np.uint64), []
-    last = np.zeros(len(symbols), bool)
+    n = len(ids)
+    symbols, rules, top = ids.astype(np.uint64), [], first_rule
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    last, gone = np.zeros(n + 1, bool), np.zeros(n, bool)
     last[doc_ends[doc_ends > 0] - 1] = True
-    open_, top, most = np.ones(len(symbols), bool), first_rule, per_round
-    while True:
-        at = np.flatnonzero(open_[:-1] & ~last[:-1])
-        pairs = (symbols[at] << np.uint64(32)) | symbols[at + 1]
-        kinds, kind = np.unique(pairs, return_inverse=True)
-        twins = np.flatnonzero(symbols[at] == symbols[at + 1])
+    at = np.flatnonzero(~last[:n])
+    while len(at):
+        kind, kinds = pd.factorize((symbols[at] << np.uint64(32)) | symbols[after[at]])
+        joined = np.append(after[at[:-1]] == at[1:], False)  # with the pair that begins at this one's second symbol
+        twins = joined & np.append(kind[:-1] == kind[1:], False)
         free = np.ones(len(at), bool)
-        free[twins[_offsets(at[twins]) % 2 == 1]] = False  # of a run of one symbol every other pair can be replaced
+        if twins.any():  # of a run of one symbol every other pair can be replaced
+            starts = np.flatnonzero(np.diff(kind, prepend=-1).astype(bool) | ~np.append(False, joined[:-1]))
+            free = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
         counts = np.bincount(kind[free], minlength=len(kinds))
         chosen = np.flatnonzero(counts >= least)
         if not len(chosen):
             break
-        open_[:] = False
-        open_[at[counts[kind] >= least]] = True
-        taken = np.zeros(len(kinds), bool)
-        taken[chosen[np.argsort(-counts[chosen], kind="stable")[:most]]] = True
-        here = np.flatnonzero(taken[kind])
-        here = here[_offsets(at[here]) % 2 == 0]  # of overlapping pairs every other one
-        used = np.bincount(kind[here], minlength=len(kinds)) >= least
-        if not used.any():  # they took each other's places; one alone keeps all of its own
-            most = 1
-            continue
-        most = per_round
-        here = here[used[kind[here]]]
-        hits, number = at[here], np.cumsum(used) - 1
-        rules.append(np.stack([kinds[used] >> np.uint64(32), kinds[used] & np.uint64(0xFFFFFFFF)], 1))
-        symbols[hits] = (top + number[kind[here]]).astype(np.uint64)
-        last[hits] = last[hits + 1]
-        open_[hits] = True
-        open_[np.maximum(hits - 1, 0)] = True
-        keep = np.ones(len(symbols), bool)
-        keep[hits + 1] = False
-        symbols, last, open_ = symbols[keep], last[keep], open_[keep]
-        top += int(used.sum())
-    ends = np.flatnonzero(last) + 1
-    return symbols.astype("<u4"), ends.astype("<u4"), (np.concatenate(rules) if rules else np.empty((0, 2))).astype("<u4")
+        mixed = (kinds[chosen] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        ranked = chosen[np.lexsort((mixed, -counts[chosen]))[:per_round]]  # the first win
+        rank = np.full(len(kinds), -1, np.int32)
+        rank[ranked] = np.arange(len(ranked), dtype=np.int32)
+        own = rank[kind]
+        some = np.flatnonzero(free & (own >= 0))
+        own = own[some]
+        meets = joined[some[:-1]] & (some[1:] == some[:-1] + 1)
+        wins = np.ones(len(some), bool)
+        wins[:-1] &= ~meets | (own[:-1] < own[1:])
+        wins[1:] &= ~meets | (own[1:] < own[:-1])
+        own, here = own[wins], some[wins]
+        used = np.bincount(own, minlength=len(ranked)) >= least
+        keep = used[own]
+        hits, number, made = at[here[keep]], np.cumsum(used) - 1, kinds[ranked[used]]
+        rules.append(np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1))
+        second = after[hits]
+        symbols[hits] = (top + number[own[keep]]).astype(np.uint64)
+        gone[second] = True
+        last[hits] = last[second]
+        after[hits] = after[second]
+        inner = after[hits] < n
+        before[after[hits[inner]]] = hits[inner]
+        top += len(made)
+        changed = np.concatenate([at[(counts >= least)[kind]], hits, before[hits][before[hits] >= 0]])
+        if len(changed) > n // 64:
+            marks = np.zeros(n, bool)
+            marks[changed] = True
+            at = np.flatnonzero(marks & ~gone & ~last[:n])
+        else:
+            at = np.unique(changed)
+            at = at[~gone[at] & ~last[at]]
+    kept = ~gone
+    ends = np.flatnonzero(last[:n][kept]) + 1
+    return symbols[kept].astype("<u4"), ends.astype("<u4"), (np.concatenate(rules) if rules else np.empty((0, 2))).astype("<u4")
 
 
 def generations(rules: np.ndarray, first_rule: int) -> Iterator[tuple[int, int]]:

@@ -38,6 +38,20 @@ def test_no_frequent_pair_is_left():
     assert max(pairs.count(p) for p in pairs if p[0] != p[1]) < 4
 
 
+def test_rounds_of_any_size_leave_no_frequent_pair():
+    r = np.random.default_rng(6)
+    for trial in range(6):
+        ids = np.concatenate([r.integers(0, 6 + 5 * trial, 1500), np.tile(r.integers(0, 9, 40), 12), np.zeros(31)]).astype(np.uint32)
+        ends = np.unique(np.append(r.integers(1, len(ids), 9), len(ids)))
+        for per_round in (1, 5, 10_000):
+            symbols, stops, rules = repair(ids, ends, 1 << 16, per_round)
+            g = Grammar(1 << 16, rules, rule_lengths(rules, 1 << 16))
+            assert (g.expand(symbols) == ids).all() and (np.cumsum(g.sizes(symbols.astype(np.int64)))[stops - 1] == ends).all()
+            inner = [(a, b) for k, (a, b) in enumerate(zip(symbols.tolist(), symbols[1:].tolist())) if k + 1 not in stops and a != b]
+            assert max(map(inner.count, set(inner)), default=0) < 4
+    assert [len(x) for x in repair(np.empty(0, np.uint32), np.empty(0, np.int64), 1 << 16)] == [0, 0, 0]
+
+
 def texts():
     r = random.Random(4)
     parts = ["the", " The", "TION", "é", "É", "ß", "²", "\xa0", "\x85", "  ", "\n", "don't", "'LL", "'s", "<|endoftext|>", "😀", "日本", "123", "_", "!!", "***", "Σ", "ΑΣ", "İ", "é", "</w>", "ŉ", "ǰ", "ſ", "K", "Å", "\x1c", "<|ENDOFTEXT|>", " ", "a_b", "x1y2", "\u2028"]
