@@ -15,7 +15,7 @@ from quorumlens.llm.common import scratch_path
 from quorumlens.llm.decontaminate import decontaminate
 from quorumlens.llm.exact_dedup import exact_dedup
 from quorumlens.llm.queries import vocabulary
-from quorumlens.llm.simhash import near_duplicate_groups
+from quorumlens.llm.simhash import near_dedup
 from quorumlens.llm.toxicity import fit_toxicity, toxicity_score
 from quorumlens.session import table
 
@@ -34,9 +34,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays; documents without doc_id belong to no group and stay."""
-    grouped = near_duplicate_groups(docs, shingle=5, similarity=0.8)
-    return grouped.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(*docs.columns)
+    """The smallest doc_id of each group stays, one without doc_id only where the group has no other."""
+    return near_dedup(docs, shingle=5, similarity=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

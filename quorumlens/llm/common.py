@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 
@@ -18,11 +20,20 @@ def text_of(column: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    context = spark.sparkContext
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where Spark runs in this process (tests)."""
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or _local_folder())
+    return folder or context.getCheckpointDir()
+
+
+def _local_folder() -> str:
+    """A folder on this machine that goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="checkpoints-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,6 +56,38 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows dealt over as many tasks as shuffles have, for what makes many rows or much work of few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+#: Rows up to which a table of a few numbers a row is sent to every executor (some megabytes).
+FEW = 100_000
+
+
+def sent_if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A table of a few numbers a row, marked for broadcast if it has at most ``most`` rows; larger ones are joined by shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: Sequence[str], rows_of_key: str, by: str, crowd: int = 1000, salts: int = 64) -> DataFrame:
+    """Inner join on ``key``; rows of keys that have ``crowd`` or more of them are spread over salts.
+
+    table: one row a key, written already, with the number of the key's rows in the column ``rows_of_key``. by: a column of ``rows`` that tells rows of a key apart.
+    """
+    heavy, light = table.filter(F.col(rows_of_key) >= crowd), table.filter(F.col(rows_of_key) < crowd)
+    if heavy.isEmpty():
+        return rows.join(table, [*key])
+    new = [c for c in table.columns if c not in key]
+    salt, part = free_name(rows, "salt"), free_name(rows, "part")
+    parts = heavy.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts))))).withColumn(part, F.lit(True))
+    first = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(parts.select(*key, salt, part, *[F.col(c).alias(f"heavy_{c}") for c in new]), [*key, salt], "left")
+    one = F.when(F.col(part), F.col(salt)).otherwise(-1)  # rows that are placed go on under their salt, without a partner
+    second = first.withColumn(salt, one).join(light.withColumn(salt, F.lit(-1)), [*key, salt], "left")
+    whole = second.filter(F.col(part) | F.col(rows_of_key).isNotNull())
+    return whole.select(*rows.columns, *[F.coalesce(c, f"heavy_{c}").alias(c) for c in new])
+
+
 def small_batches(rows: int = 1000) -> None:
     """Has Spark hand Python ``rows`` rows at a time where the session has its default of 10,000: texts can be long, and batches are held in memory on both sides."""
     spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import cut
+from quorumlens.llm.common import cut, salted_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,16 +13,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round replaces edges by edges to smaller nodes, until each node points at its smallest
     (Kiveris and others, 2014). Rounds grow with the logarithm of the longest path; the edge table never
-    grows. Each round is written to the shared folder.
+    grows. Each round is written to the shared folder. The edges of a node with very many are spread over salts where they meet its
+    smallest neighbour, so that no node gathers its edges in one task.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        joined = large.join(low, "a")
+        above = both.filter("b > a")
+        low = both.groupBy("a").agg(F.min("b").alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n")).filter("n > 0").select("a", F.least("a", "low").alias("low"), "n")
+        large = salted_join(above, cut(low), ["a"], "n", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+        large = cut(large.distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+        joined = salted_join(large, cut(low), ["a"], "n", "b")
         edges = joined.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         edges = cut(edges.filter("a <> b").distinct())
         if (new := _state(edges)) == state:

@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quorumlens.llm.components import connected_components
-from quorumlens.llm.simhash import distance_bound, fingerprint, hamming_components, hamming_links, near_duplicate_groups, near_links
+from quorumlens.llm.simhash import crowded_keys, distance_bound, fingerprint, hamming_components, hamming_links, near_dedup, near_duplicate_groups, near_links, similar_links
 
 
 def plain(text, k):
@@ -76,6 +76,78 @@ def test_near_duplicates(spark):
     assert near_duplicate_groups(docs.filter("doc_id < 0")).count() == 0
 
 
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
+
+
+def similar(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(r, words, edits):
+    copy = list(words)
+    for at in r.sample(range(len(words)), edits):
+        copy[at] = f"x{r.randint(0, 10**6)}"
+    return " ".join(copy)
+
+
+def test_groups_are_those_of_exact_similarities(spark):
+    """Families around the threshold: no link below 0.8, and nearly all from there on."""
+    r, rows = random.Random(8), []
+    for _ in range(50):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(r.choice([40, 120, 300]))]
+        rows += [edited(r, words, e) for e in (0, 0, 1, 2, len(words) // 40, len(words) // 30, len(words) // 20)]
+    rows += ["one two three four five", "One two three four five", "one two", "", None, "a b c d e f", "a b c d e f g"]
+    texts = dict(enumerate(rows))
+    links = [(a, b) for a in texts for b in range(a) if a - b < 8 and similar(texts[a], texts[b]) >= 0.8]
+    want = groups(len(rows), links)
+    got = {x["doc_id"]: x["group_id"] for x in near_duplicate_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(want[i] == want[g] for i, g in got.items())  # no document is grouped that shouldn't be
+    assert sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links)
+    assert got[len(rows) - 6] == len(rows) - 7 and got[len(rows) - 3] == len(rows) - 4 and got[len(rows) - 2] == len(rows) - 2
+
+
+def test_similar_links_equal_brute_force_whatever_the_tile(spark):
+    r = random.Random(13)
+    words = [f"w{i}" for i in range(60)]
+    texts = [edited(r, words, r.randint(0, 4)) for _ in range(60)]
+    want = groups(60, [(a, b) for a in range(60) for b in range(a) if a % 2 == b % 2 and similar(texts[a], texts[b]) >= 0.7])
+    df = spark.createDataFrame([(i, i % 2, t, 0) for i, t in enumerate(texts)], "id long, key long, text string, f0 long")
+    for tile in (60, 500, 1 << 20):
+        parts = dict(connected_components(similar_links(df, 64, 0.7, 5, tile)).collect())
+        assert [parts.get(i, i) for i in range(60)] == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, words, 7), (2, words + " end", 7), (2, "quite another text of its own", 8), (None, words + " fin", 9), (None, "alone without id", 9), (3, "", 1), (4, None, 1), (1, words, 7), (5, "x y z " * 30_000, 2)]
+    rows += [(None, "twice " * 60 + "a", 3), (None, "twice " * 60 + "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group_id int")
+    docs = docs.withColumns({"hash": F.lit("h"), "member_doc_id": F.lit(1), "F0": F.lit(2), "best": F.lit(False)})
+    kept = near_dedup(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((x["doc_id"] is None, x["doc_id"] or 0, x["text"] or "", x["group_id"]) for x in kept.collect()))
+    assert [g[1:] for g in got] == [(1, words, 7), (2, "quite another text of its own", 8), (3, "", 1), (5, "x y z " * 30_000, 2), (0, "alone without id", 9), (0, "twice " * 60 + "a", 3)]
+    out = near_duplicate_groups(docs)
+    assert out.columns == [*docs.columns, "_group_id"] and out.count() == len(rows)
+    assert near_dedup(docs.limit(0)).count() == 0
+
+
+def test_crowded_keys(spark):
+    r = random.Random(4)
+    near = [r.getrandbits(6) for _ in range(300)]
+    rows = [(i, v | 5 << 32) for i, v in enumerate(near)] + [(1000 + i, r.getrandbits(63)) for i in range(300)]
+    got = {x["key"]: x["n"] for x in crowded_keys(spark.createDataFrame(rows, "id long, f0 long"), ["f0"], 40).collect()}
+    members = {}
+    for _, f in rows:
+        for k, v in enumerate((f & 0xFFFFFFFF, f >> 32)):
+            for x in [v] + [v ^ 1 << b for b in range(32)]:
+                members[x | k << 32] = members.get(x | k << 32, 0) + 1
+    assert {k for k, n in members.items() if n > 40} <= set(got) and all(n >= members.get(k, 0) for k, n in got.items())
+
+
 def test_near_links_equal_brute_force_whatever_the_tile(spark):
     r = random.Random(11)
     flip = lambda f, most: f ^ sum(1 << i for i in set(r.choices(range(128), k=r.randint(0, most))))
