@@ -37,31 +37,35 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """One row for each conversation: conv_id, n_turns, n_blocks, formatted, loss_spans array<struct<start, length>>."""
     struct = F.struct(F.col(turn).alias("turn"), text_of(role).alias("role"), text_of(text).alias("text"))
     chats = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(struct)).alias("turns"))
-    chats = chats.withColumn("roles", F.transform("turns", lambda x: x["role"])).withColumn("n", F.size("turns"))
-
-    def piece(x: Column, i: Column) -> Column:
-        new = (i == 0) | (F.get("roles", i - 1) != x["role"])
-        last = (i == F.col("n") - 1) | (F.get("roles", i + 1) != x["role"])
-        before = F.when(new, F.concat(F.lit(OPEN), escape(x["role"]), F.lit(CLOSE))).otherwise(F.lit(NEXT))
-        return F.struct(before.alias("before"), escape(x["text"]).alias("body"), F.when(last, F.lit(END)).otherwise(F.lit("")).alias("after"), new.alias("new"), (x["role"] == trained_role).alias("trained"))
-
-    pieces = chats.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    width = F.transform("pieces", lambda p: F.char_length(p["before"]) + F.char_length(p["body"]) + F.char_length(p["after"]))
-    placed = pieces.select("conv_id", "pieces", width.alias("widths")).select("conv_id", "pieces", running_starts(F.col("widths")).alias("starts"))
-
-    def span(p: Column, at: Column) -> Column:
-        return F.struct((at + F.char_length(p["before"])).alias("start"), F.char_length(p["body"]).cast("long").alias("length"), p["trained"].alias("trained"))
-
-    spans = F.filter(F.zip_with("pieces", "starts", span), lambda s: s["trained"])
+    chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), merged_blocks(F.col("turns")).alias("blocks"))
+    chats = chats.withColumn("written", F.transform("blocks", lambda b: F.struct(
+        F.concat(F.lit(OPEN), escape(b["role"]), F.lit(CLOSE)).alias("head"), F.transform(b["texts"], escape).alias("bodies"), (b["role"] == trained_role).alias("trained"),
+    )))
+    # what stands before each turn's text: its block's head, or the mark between turns of a block (and the end of the block before)
+    pieces = F.flatten(F.transform("written", lambda b, k: F.transform(b["bodies"], lambda t, i: F.struct(
+        F.when(i > 0, len(NEXT)).otherwise(F.char_length(b["head"]) + F.when(k > 0, len(END)).otherwise(0)).alias("before"), F.char_length(t).cast("long").alias("length"), b["trained"].alias("trained"),
+    ))))
+    placed = chats.withColumn("pieces", pieces)
+    placed = placed.withColumn("starts", running_starts(F.transform("pieces", lambda p: p["before"] + p["length"])))
+    spans = F.filter(F.zip_with("pieces", "starts", lambda p, at: F.struct((at + p["before"]).alias("start"), p["length"].alias("length"), p["trained"].alias("trained"))), lambda s: s["trained"])
     return placed.select(
-        "conv_id",
-        F.size("pieces").cast("long").alias("n_turns"),
-        F.size(F.filter("pieces", lambda p: p["new"])).cast("long").alias("n_blocks"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["body"], p["after"])), "").alias("formatted"),
+        "conv_id", "n_turns", F.size("blocks").cast("long").alias("n_blocks"),
+        F.array_join(F.transform("written", lambda b: F.concat(b["head"], F.array_join(b["bodies"], NEXT), F.lit(END))), "").alias("formatted"),
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"),
     )
 
 
+def merged_blocks(turns: Column) -> Column:
+    """Sorted turns as array<struct<role, texts>>: adjacent turns of one role are a block.
+
+    The places where the role changes cut the array into slices, so that a conversation of any length takes linear time.
+    """
+    n = F.size(turns)
+    firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(turns, i - 1)["role"] != F.get(turns, i)["role"]))
+    ends = F.concat(F.slice(firsts, 2, F.size(firsts)), F.array(n))
+    return F.zip_with(firsts, ends, lambda a, b: F.struct(F.get(turns, a)["role"].alias("role"), F.transform(F.slice(turns, a + 1, b - a), lambda t: t["text"]).alias("texts")))
+
+
 def read_turns(formatted: DataFrame) -> DataFrame:
     """The turns, from the formatted strings alone: conv_id, position, role, text, start and length (of the escaped text, in code points)."""
     blocks = formatted.select("conv_id", F.posexplode(F.split("formatted", END.replace("/", "\\/"), -1)).alias("block_no", "block"))

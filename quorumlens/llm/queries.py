@@ -102,7 +102,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "formatted-chats")
     format_chats(turns).write.parquet(target)
     formatted = spark.read.parquet(target)
-    back = read_back(formatted).join(formatted.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars")), "conv_id")
+    lengths = formatted.select(F.col("conv_id").alias("_conv_id"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    back = read_back(formatted)
+    back = back.join(lengths, F.col("conv_id").eqNullSafe(F.col("_conv_id")))  # turns without conv_id are a conversation too
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),

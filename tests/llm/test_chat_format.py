@@ -26,5 +26,17 @@ def test_round_trip_and_mask(spark):
     assert len(masks) == len({c for c, *_ in rows})
 
 
+def test_blocks_and_query_with_turns_without_conversation(spark, tmp_path):
+    from quorumlens.llm.queries import op10_chat_format
+
+    rows = [(None, 0, "user", "lost?"), (None, 1, "assistant", "no"), (1, 0, "assistant", "a"), (1, 1, "assistant", None), (1, 2, "user", "b"), (1, 3, "assistant", "<s>")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {x["conv_id"]: x for x in op10_chat_format(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, 1, -7} and (got[None]["n_turns"], got[None]["loss_chars"], got[1]["loss_chars"]) == (2, 2, 4)
+    made = {x["conv_id"]: x for x in format_chats(turns).collect()}
+    assert made[1]["formatted"] == "[INST]assistant[/INST]a<s></s>[INST]user[/INST]b</s>[INST]assistant[/INST]<\\s></s>" and made[1]["n_blocks"] == 3
+
+
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
