@@ -70,21 +70,21 @@ def sent_if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: Sequence[str], rows_of_key: str, by: str, crowd: int = 1000, salts: int = 64) -> DataFrame:
-    """Inner join on ``key``; rows of keys that have ``crowd`` or more of them are spread over salts.
+def salted_join(rows: DataFrame, table: DataFrame, key: Sequence[str], rows_of_key: str, by: str, crowd: int = 1000, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Inner or left join on ``key``; rows of keys that have ``crowd`` or more of them are spread over salts.
 
     table: one row a key, written already, with the number of the key's rows in the column ``rows_of_key``. by: a column of ``rows`` that tells rows of a key apart.
     """
     heavy, light = table.filter(F.col(rows_of_key) >= crowd), table.filter(F.col(rows_of_key) < crowd)
     if heavy.isEmpty():
-        return rows.join(table, [*key])
+        return rows.join(table, [*key], how).select(*rows.columns, *[c for c in table.columns if c not in key])
     new = [c for c in table.columns if c not in key]
     salt, part = free_name(rows, "salt"), free_name(rows, "part")
     parts = heavy.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts))))).withColumn(part, F.lit(True))
     first = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(parts.select(*key, salt, part, *[F.col(c).alias(f"heavy_{c}") for c in new]), [*key, salt], "left")
     one = F.when(F.col(part), F.col(salt)).otherwise(-1)  # rows that are placed go on under their salt, without a partner
     second = first.withColumn(salt, one).join(light.withColumn(salt, F.lit(-1)), [*key, salt], "left")
-    whole = second.filter(F.col(part) | F.col(rows_of_key).isNotNull())
+    whole = second.filter(F.col(part) | F.col(rows_of_key).isNotNull()) if how == "inner" else second
     return whole.select(*rows.columns, *[F.coalesce(c, f"heavy_{c}").alias(c) for c in new])
 
 

@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of what else gives it away.
 
 Base spans come from four patterns with checks (email, ip, card, phone). The method then asks of every
-word that stands near such a span how strongly it reveals the protected entity (kind and value): from the
+word that stands near such a span how strongly it reveals the protected entities behind it: the value itself in its normal form,
+and who or what holds it (an email's name and domain, an address's network, a card's issuer, a phone's area). From the
 whole corpus it counts how often a word occurs at all and how often it occurs within ``reach`` words of
-the entity. A word discloses an entity if
+an entity's spans (and not beyond the next match of the same kind). A word discloses an entity if
 
 * it stands near it in at least ``min_contexts`` different contexts (copies of a context count once),
 * the share of its occurrences that are near the entity, P(entity | word), is ``min_share`` or more, and
@@ -13,7 +14,7 @@ Disclosing words are spans of kind ``term`` wherever they occur; `sanitise` repl
 kind (generalised) and terms by nothing (removed). Everything is DataFrame and SQL functions.
 
 Defined results: null text is empty; candidates that fail a check are dropped without another try; spans
-are in code points with an exclusive end. Rows that repeat are each reported.
+are in code points with an exclusive end. Rows that repeat are each reported; all other columns, whatever their names, stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import cut, free_name, running_starts, text_of
+from quorumlens.llm.common import cut, free_name, running_starts, salted_join, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The fixed patterns, in possessive form: a run is tried from its start only, so long runs take linear time.
@@ -65,8 +66,7 @@ def _checked(kind: str, items: Column, starts: Column, contexts: bool, reach: in
     def span(x: Column, s: Column) -> Column:
         fields = [F.lit(kind).alias("kind"), (s + x["gap"]).alias("start"), (s + x["gap"] + x["length"]).alias("end"), x["value"].alias("value")]
         if contexts:
-            last, first = words(F.right(x["before"], F.lit(40 * reach))), words(F.left(x["after"], F.lit(40 * reach)))
-            fields.append(F.concat(F.slice(F.reverse(last), 1, reach), F.slice(first, 1, reach)).alias("near"))
+            fields.append(F.concat(F.slice(F.reverse(words(x["before"])), 1, reach), F.slice(words(x["after"]), 1, reach)).alias("near"))
         return F.struct(*fields)
 
     return F.filter(F.zip_with(items, starts, span), lambda x: is_valid(kind, x["value"]))
@@ -91,23 +91,39 @@ def base_spans(docs: DataFrame, text: str = "text", spans: str = "spans", contex
     return placed.withColumn(spans, F.concat(*parts)).drop(*[x for n in names.values() for x in n])
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = 8, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 6.0) -> DataFrame:
-    """The words that give an entity away: term, kind, value, contexts, share, bits. Counts cover every row and whole text."""
+def entities(kind: Column, value: Column) -> Column:
+    """array<struct<level, name>>: what a span protects, from the value itself to who or what holds it."""
+    low, digits = F.lower(value), F.regexp_replace(value, "[^0-9]", "")
+    of = lambda **names: F.array(*[F.struct(F.lit(level).alias("level"), name.alias("name")) for level, name in names.items()])
+    found = (
+        F.when(kind == "email", of(value=low, holder=F.regexp_replace(F.substring_index(low, "@", 1), "[^a-z]+", ""), domain=F.substring_index(low, "@", -1)))
+        .when(kind == "ip", of(value=low, network=F.substring_index(low, ".", 2)))
+        .when(kind == "card", of(value=digits, issuer=F.substring(digits, 1, 6)))
+        .otherwise(of(value=digits, area=F.substring(digits, F.lit(1), F.length(digits) - 7)))
+    )
+    return F.filter(found, lambda x: x["name"] != "")
+
+
+def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = 8, min_contexts: int = 2, min_share: float = 0.5, min_bits: float = 6.0) -> DataFrame:
+    """The words that give an entity away: term, kind, level, name, contexts, share, bits. Counts cover every row and whole text."""
     plain = docs.select(text_of(text).alias("text"))
-    near = base_spans(plain, contexts=True, reach=reach).select(F.explode_outer("spans").alias("x")).filter("x is not null").select("x.kind", "x.value", "x.near")
-    contexts = near.groupBy("kind", "value", "near").agg(F.count(F.lit(1)).alias("n"))
-    pairs = contexts.select("kind", "value", "n", F.explode(F.array_distinct("near")).alias("term")).groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("together"))
+    entity = ["kind", "level", "name"]
+    spans = base_spans(plain, contexts=True, reach=reach).select(F.explode_outer("spans").alias("x")).filter("x is not null").select("x.kind", "x.value", "x.near")
+    near = spans.select("kind", "near", F.explode(entities(F.col("kind"), F.col("value"))).alias("e")).select("kind", "e.level", "e.name", "near")
+    contexts = near.groupBy(*entity, "near").agg(F.count(F.lit(1)).alias("n"))
+    pairs = contexts.select(*entity, "n", F.explode(F.array_distinct("near")).alias("term")).groupBy(*entity, "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("together"))
     pairs = cut(pairs)
     candidates = pairs.filter(F.col("contexts") >= min_contexts)
     if candidates.isEmpty():
-        return candidates.select("term", "kind", "value", "contexts", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
-    entity = pairs.groupBy("kind", "value").agg(F.sum("together").alias("near_entity"))
+        return candidates.select("term", *entity, "contexts", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
+    whole = pairs.groupBy(*entity).agg(F.sum("together").alias("near_entity"))
     words = plain.select(F.explode_outer(F.split("text", NOT_WORD)).alias("term")).filter("char_length(term) >= 3").select(F.lower("term").alias("term"))
     counts = cut(words.groupBy("term").agg(F.count(F.lit(1)).alias("occurs")))
     total = counts.agg(F.sum("occurs")).first()[0] or 1
-    found = candidates.join(counts, "term").join(entity, ["kind", "value"])
-    found = found.withColumn("share", F.col("together") / F.col("occurs")).withColumn("bits", F.log2(F.col("share") * F.lit(float(total)) / F.col("near_entity")))
-    return found.filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term", "kind", "value", "contexts", "share", "bits")
+    found = candidates.join(counts, "term").join(whole, entity)
+    share = F.least(F.col("together") / F.col("occurs"), F.lit(1.0))  # one word can stand near two spans of an entity
+    found = found.withColumn("share", share).withColumn("bits", F.log2(F.col("share") * F.lit(float(total)) / F.col("near_entity")))
+    return found.filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term", *entity, "contexts", "share", "bits")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
@@ -124,24 +140,27 @@ def _term_spans(text: Column, terms: Column) -> Column:
     return F.flatten(F.transform(terms, places))
 
 
-def find_pii(docs: DataFrame, text: str = "text", spans: str = "pii_spans", literal_terms: int = 1000, **thresholds) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", spans: str = "pii_spans", literal_terms: int = 5000, **thresholds) -> DataFrame:
     """``docs`` with an array of struct<kind, start, end, value>, ordered by start, then kind.
 
-    Up to ``literal_terms`` disclosing words are compared as a literal; more are joined to the words of the texts.
+    Up to ``literal_terms`` disclosing words are a set in the plan; more are joined to the different words of the different texts.
     """
     terms = cut(disclosing_terms(docs, text, **thresholds).select("term").distinct())
     tagged = base_spans(docs, text, spans)
     n = terms.count()
     if n:
-        words, key, hits = (free_name(tagged, x) for x in ("words", "row_key", "hits"))
+        words, key, hits, rows = (free_name(tagged, x) for x in ("words", "row_key", "hits", "rows"))
+        lower_words = F.transform(F.split(text_of(text), NOT_WORD), F.lower)
         if n <= literal_terms:
-            known = F.array(*[F.lit(r["term"]) for r in terms.collect()])
-            tagged = tagged.withColumn(hits, F.array_intersect(F.transform(F.split(text_of(text), NOT_WORD), F.lower), known))
+            known = [r["term"] for r in terms.collect()]
+            tagged = tagged.withColumn(hits, F.array_distinct(F.filter(lower_words, lambda w: w.isin(known))))
         else:
-            tagged = tagged.withColumn(key, F.xxhash64(text_of(text), F.length(text_of(text))))
-            rows = docs.select(F.xxhash64(text_of(text), F.length(text_of(text))).alias(key), F.explode_outer(F.split(text_of(text), NOT_WORD)).alias("term"))
-            found = rows.withColumn("term", F.lower("term")).join(terms, "term").groupBy(key).agg(F.collect_set("term").alias(hits))
-            tagged = tagged.join(found, key, "left").withColumn(hits, F.coalesce(hits, F.array().cast("array<string>"))).drop(key)
+            of_text = F.xxhash64(text_of(text), F.length(text_of(text)))
+            texts = docs.select(of_text.alias(key), F.explode_outer(F.array_distinct(lower_words)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias(rows))
+            found = cut(texts.join(terms, "term").groupBy(key).agg(F.collect_set("term").alias(hits), F.max(rows).alias(rows)))
+            apart = [f.name for f in tagged.schema if f.name not in (text, spans) and "map<" not in f.dataType.simpleString()]
+            tagged = salted_join(tagged.withColumns({key: of_text, words: F.xxhash64(*apart) if apart else F.lit(0)}), found, [key], rows, words, how="left").drop(key, words, rows)
+            tagged = tagged.withColumn(hits, F.coalesce(hits, F.array().cast("array<string>")))
         extra = F.filter(_term_spans(text_of(text), F.col(hits)), lambda x: ~F.exists(F.col(spans), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
         tagged = tagged.withColumn(spans, F.when(F.size(hits) > 0, F.concat(F.col(spans), extra)).otherwise(F.col(spans))).drop(hits)
     return tagged.withColumn(spans, in_order(F.col(spans)))

@@ -12,7 +12,7 @@ from quorumlens.llm.chat_format import format_chats, read_back
 from quorumlens.llm.common import scratch_path
 from quorumlens.llm.decontaminate import find_contamination
 from quorumlens.llm.exact_dedup import duplicate_report
-from quorumlens.llm.pii import find_pii, span_list
+from quorumlens.llm.pii import find_pii, sanitise, span_list
 from quorumlens.llm.quality import fit_quality, quality_score
 from quorumlens.llm.simhash import hamming_components
 from quorumlens.llm.token_shards import read_documents, with_starts, write_shards
@@ -84,10 +84,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     count = lambda kind: F.size(F.filter("pii_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = span_list(F.filter("pii_spans", lambda x: x["kind"] != "term"))
-    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_list(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_list(F.col("pii_spans")).alias("spans"),
+                        F.sha2(sanitise(F.col("text"), F.col("pii_spans")).cast("binary"), 256).alias("sanitised_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
