@@ -1,17 +1,18 @@
 """URL filter: allow and block rules, and a character language-model ratio where no rule fits.
 
-Urls that a rule allows train one model, urls that a rule blocks another: variable-order Markov models
-over a small alphabet, with contexts of two characters, one and none, interpolated by Witten-Bell
-smoothing (a context that was never seen is skipped). A url's score is the difference of its two log
-likelihoods divided by its length. The threshold is calibrated on a fifth of the ruled urls, which the
-models do not see: it is the point half way between the two classes' mean scores there. Counts cover
+Urls that a rule allows train one model, urls that a rule blocks another: variable-order Markov models of the
+whole url (scheme, host, path, query and fragment; letters A-Z lower-cased, every digit as 0, all else as it is), with contexts of
+four characters down to none, interpolated by Witten-Bell smoothing (a context that was never seen is
+skipped). A url's score is the difference of its two log likelihoods divided by its length. The threshold is calibrated on a fifth of the
+ruled urls, which the models do not see: it is the point half way between the two classes' mean scores there. Counts cover
 all urls.
 
-All trigrams over the alphabet are fewer than 60,000, whatever the input: that is the proven bound of the
-one table that is broadcast. Log likelihoods are summed as whole millionths, so sums don't depend on order.
+The table of counts grows with the corpus: it is a DataFrame and joined, and sent to every executor only while it is small. A gram, host or url
+that fills the table is spread over salts where it is joined. Log likelihoods are summed as whole millionths, so sums don't depend on order.
 
-Defined results: a null url or one without ``://`` has an empty host and path and is scored as the empty
-string; without any allowed or any blocked url to learn from, urls without a rule are allowed.
+Defined results: a null url or one without ``://`` has an empty host and path; a null url is scored as the empty
+text; without any allowed or any blocked url to learn from, urls without a rule are allowed. Rows that repeat are each judged. New columns are named
+host, path, rule, verdict and score, with a leading underscore each where the table has the name already.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import cut
+from quorumlens.llm.common import FEW, cut, free_name, salted_join, spread
 
 #: Host, path and verdict of each rule.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Letters, a digit class, ten signs, "other", start and end: 40 symbols, so at most 40**3 trigrams.
-ALPHABET_SIZE = 40
+#: Characters of context of the longest model; marks of a url's start and end; the probability of a character before anything is known.
+ORDER, START, END, UNKNOWN = 4, "\x02", "\x03", 1.0 / 256
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,57 +48,68 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return name, verdict
 
 
-def symbols(text: Column) -> Column:
-    """The text over the model's alphabet, with start and end marks."""
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), "[0-9]", "0")
-    return F.concat(F.lit("^^"), F.regexp_replace(plain, r"[^a-z0/._%&=+~:-]", "*"), F.lit("$"))
+def ngrams(text: Column, order: int = ORDER) -> Column:
+    """Every character of a url (and its end) with the ``order`` characters before it."""
+    marked = F.concat(F.lit(START * order), F.regexp_replace(F.translate(text, UPPER, LOWER), "[0-9]", "0"), F.lit(END))
+    return F.transform(F.sequence(F.lit(1), F.char_length(marked) - order), lambda i: F.substring(marked, i, F.lit(order + 1)))
 
 
-def trigrams(text: Column) -> Column:
-    marked = symbols(text)
-    return F.transform(F.sequence(F.lit(1), F.char_length(marked) - 2), lambda i: F.substring(marked, i, F.lit(3)))
+def gram_ratios(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """For each gram: the log of its last character's probability if allowed minus that if blocked, in millionths. grams: gram, n_allow, n_block, written already.
 
-
-def gram_ratios(grams: DataFrame) -> DataFrame:
-    """For each gram: the log of its last symbol's probability if allowed minus that if blocked, in millionths. grams: gram, n_allow, n_block."""
+    The models go from no context to the longest; each level is counted from ``grams``, looks up its contexts' sums and the level before, and is written.
+    A level has each of its grams once, so a context meets no more rows than there are characters.
+    """
     both = ("allow", "block")
-    level = grams
-    for k in (2, 1, 0):  # symbols of context
-        gram, context = F.right("gram", F.lit(k + 1)), F.substring("gram", 3 - k, k)
-        counts = level.groupBy(gram.alias(f"gram{k}"), context.alias(f"context{k}")).agg(*[F.sum(f"n_{x}").alias(f"n{k}_{x}") for x in both])
-        sums = counts.groupBy(f"context{k}").agg(*[F.sum(f"n{k}_{x}").alias(f"sum{k}_{x}") for x in both], *[F.count_if(F.col(f"n{k}_{x}") > 0).alias(f"kinds{k}_{x}") for x in both])
-        counts = counts.join(F.broadcast(sums), f"context{k}").drop(f"context{k}")
-        level = level.withColumn(f"gram{k}", gram) if k else level.withColumn("gram0", gram)
-        level = level.join(F.broadcast(counts), f"gram{k}")
-    logs = {}
-    for x in both:
-        p = F.lit(1.0 / ALPHABET_SIZE)
-        for k in (0, 1, 2):
-            n, total, kinds = (F.col(f"{c}{k}_{x}") for c in ("n", "sum", "kinds"))
-            p = F.when(total > 0, (n + kinds * p) / (total + kinds)).otherwise(p)
-        logs[x] = F.log(p)
-    return level.select("gram", F.round((logs["allow"] - logs["block"]) * 1e6).cast("long").alias("ratio"))
+    shorter = None
+    for k in range(order + 1):  # characters of context
+        level = grams.groupBy(F.right("gram", F.lit(k + 1)).alias("part")).agg(*[F.sum(f"n_{x}").alias(f"n_{x}") for x in both])
+        level = level.withColumns({"context": F.substring("part", 1, k), "rest": F.right("part", F.lit(k))})
+        sums = level.groupBy("context").agg(*[F.sum(f"n_{x}").alias(f"sum_{x}") for x in both], *[F.count_if(F.col(f"n_{x}") > 0).alias(f"kinds_{x}") for x in both])
+        level = level.join(sums, "context")
+        if shorter is not None:
+            level = level.join(shorter.withColumnRenamed("part", "rest"), "rest")
+        p = {}
+        for x in both:
+            n, total, kinds = (F.col(f"{c}_{x}") for c in ("n", "sum", "kinds"))
+            before = F.col(f"p_{x}") if shorter is not None else F.lit(UNKNOWN)
+            p[x] = F.when(total > 0, (n + kinds * before) / (total + kinds)).otherwise(before)
+        shorter = cut(level.select("part", *[p[x].alias(f"p_{x}") for x in both]))
+    ratio = F.round((F.log("p_allow") - F.log("p_block")) * 1e6).cast("long")
+    return shorter.select(F.col("part").alias("gram"), ratio.alias("ratio"))
+
+
+def text_scores(texts: DataFrame) -> DataFrame:
+    """scored, rule_verdict, n and score of the ``texts`` (scored, rule_verdict, part, n) that do not train."""
+    grams = texts.select("rule_verdict", "part", "n", F.explode_outer(ngrams(F.col("scored"))).alias("gram"))
+    trained = lambda x: F.sum(F.when((F.col("part") == "train") & (F.col("rule_verdict") == x), F.col("n")).otherwise(0)).alias(f"n_{x}")
+    grams = cut(grams.groupBy("gram").agg(trained("allow"), trained("block"), F.count_if(F.col("part") != "train").alias("uses")))
+    ratios = cut(gram_ratios(grams).join(grams.select("gram", "uses"), "gram").filter("uses > 0"))
+    places = texts.filter("part <> 'train'").select("scored", "rule_verdict", "n", F.explode_outer(ngrams(F.col("scored"))).alias("gram"))
+    few = ratios.limit(FEW + 1).count() <= FEW
+    found = places.join(F.broadcast(ratios), "gram") if few else salted_join(places, ratios, ["gram"], "uses", "scored")
+    return found.groupBy("scored", "rule_verdict", "n").agg((F.sum("ratio") / F.count(F.lit(1)) / 1e6).alias("score"))
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """The rows of ``pages`` with host, path, rule, verdict and score (null where a rule decides)."""
+    host_, path_, rule_, verdict_, score_ = names = [free_name(pages, x) for x in ("host", "path", "rule", "verdict", "score")]
+    scored, n, apart = (free_name(pages, x) for x in ("scored", "n", "apart"))
     host, path = host_and_path(F.col(url))
-    parts = pages.withColumns({"host": host, "path": path})
-    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    ruled = parts.withColumns({"rule": rule, "rule_verdict": verdict})
-    # one row for each different text to score, with its number of rows: a host or url that fills the table counts once
-    texts = ruled.select(F.concat("host", "path").alias("scored"), "rule_verdict").groupBy("scored", "rule_verdict").agg(F.count(F.lit(1)).alias("n"))
-    texts = texts.withColumn("part", F.when(F.col("rule_verdict").isNull(), "score").when(F.pmod(F.xxhash64("scored"), F.lit(5)) == 0, "calibrate").otherwise("train"))
-    texts = cut(texts)
-    grams = texts.select("rule_verdict", "part", "n", F.explode_outer(trigrams(F.col("scored"))).alias("gram"))
-    trained = lambda x: F.sum(F.when((F.col("part") == "train") & (F.col("rule_verdict") == x), F.col("n")).otherwise(0)).alias(f"n_{x}")
-    ratios = gram_ratios(cut(grams.groupBy("gram").agg(trained("allow"), trained("block"))))
-    scored = texts.filter("part <> 'train'").select("scored", "rule_verdict", "part", "n", F.explode_outer(trigrams(F.col("scored"))).alias("gram"))
-    scored = scored.join(F.broadcast(ratios), "gram").groupBy("scored", "rule_verdict", "part", "n").agg((F.sum("ratio") / F.count(F.lit(1)) / 1e6).alias("score"))
-    scored = cut(scored)
-    means = dict(scored.filter("part = 'calibrate'").groupBy("rule_verdict").agg(F.avg("score")).collect())
+    parts = pages.withColumns({host_: host, path_: path})
+    rule, verdict = fitting_rule(F.col(host_), F.col(path_), rules)
+    ruled = parts.withColumns({rule_: rule, verdict_: verdict, scored: F.coalesce(F.col(url), F.lit(""))})
+    # one row for each different url, with its number of rows: a url that fills the table counts as many, and is scored once
+    texts = ruled.groupBy(F.col(scored).alias("scored"), F.col(verdict_).alias("rule_verdict")).agg(F.count(F.lit(1)).alias("n"))
+    part = F.when(F.col("rule_verdict").isNull(), "score").when(F.pmod(F.xxhash64("scored"), F.lit(5)) == 0, "calibrate").otherwise("train")
+    scores = cut(text_scores(cut(spread(texts.withColumn("part", part), "scored"))))
+    held_out = scores.filter("rule_verdict is not null").groupBy("rule_verdict").agg((F.sum(F.round(F.col("score") * 1e6).cast("long")) / F.count(F.lit(1)) / 1e6).alias("mean"))
+    means = dict(held_out.collect())  # two rows
     threshold = sum(means.values()) / 2 if len(means) == 2 else None
-    by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block") if threshold is not None else F.lit("allow")
-    unruled = scored.filter("part = 'score'").select("scored", "score")
-    joined = ruled.withColumn("scored", F.when(F.col("rule").isNull(), F.concat("host", "path"))).join(unruled, "scored", "left")
-    return joined.withColumn("verdict", F.coalesce("rule_verdict", by_model)).drop("scored", "rule_verdict")
+    by_model = F.when(F.col(score_) >= threshold, "allow").otherwise("block") if threshold is not None else F.lit("allow")
+    table = scores.filter("rule_verdict is null").select(F.col("scored").alias(scored), F.col("n").alias(n), F.col("score").alias(score_))
+    known = [f.name for f in pages.schema if f.name != url and "map<" not in f.dataType.simpleString()]
+    open_ = ruled.filter(F.col(rule_).isNull()).withColumn(apart, F.xxhash64(*known) if known else F.lit(0))
+    judged = salted_join(open_, table, [scored], n, apart).withColumn(verdict_, by_model)
+    columns = [*pages.columns, *names]
+    return ruled.filter(F.col(rule_).isNotNull()).withColumn(score_, F.lit(None).cast("double")).select(*columns).unionByName(judged.select(*columns))
