@@ -8,6 +8,8 @@ word lengths, size), each in eight steps; and the declared length (``n_chars``)
 
 so that all pairs of features interact in time linear in their number.
 
+Raw scores become probabilities by a slope and a shift, fitted (Platt, 1999) on the fifth of the training rows that a first model does not see.
+
 The model is fitted by numpy on at most ``max_train`` labelled rows (those with the smallest hash of their doc_id),
 a fixed bound whatever the size of the corpus; scoring covers every row and whole text.
 
@@ -66,6 +68,7 @@ class FactorisationMachine:
 
     def __init__(self, n: int, factors: int = 8, seed: int = 7):
         self.w0, self.w = 0.0, np.zeros(n)
+        self.slope, self.shift = 1.0, 0.0
         self.v = np.random.default_rng(seed).normal(0, 0.05, (n, factors))
 
     def parts(self, index: np.ndarray, value: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +111,22 @@ class FactorisationMachine:
         vx = self.v[index] * value[:, None]
         s = vx.sum(0)
         raw = self.w0 + self.w[index] @ value + 0.5 * (s @ s - (vx * vx).sum())
-        return float(1 / (1 + np.exp(-np.clip(raw, -60, 60))))
+        return float(sigmoid(self.slope * raw + self.shift))
+
+
+def platt(raw: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope (above 0) and shift of a logistic curve from raw scores to labels, by Newton steps on smoothed targets; 1 and 0 where a kind is missing."""
+    n, good = len(y), int(y.sum())
+    if good in (0, n):
+        return 1.0, 0.0
+    target = np.where(y == 1, (good + 1) / (good + 2), 1 / (n - good + 2))
+    x, at = np.stack([raw, np.ones(n)], 1), np.array([0.0, np.log((good + 1) / (n - good + 1))])
+    for _ in range(steps):
+        p = sigmoid(x @ at)
+        slope = x.T @ (target - p) - 1e-3 * at
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        at = at + np.clip(np.linalg.solve(curve, slope), -2, 2)
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
 def _length(text: Column, n_chars: Column | None) -> Column:
@@ -129,18 +147,29 @@ def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality",
     rows = labelled.filter(F.col(label).isNotNull())
     some = rows.select(F.xxhash64(key).alias("h"), key, label, text, *([n_chars] if n_chars else [])).orderBy("h", key).limit(max_train)
     found = some.select(F.col(label).cast("double").alias("y"), packed_features(F.col(text), F.col(n_chars) if n_chars else None).alias("x")).toPandas()
-    machine = FactorisationMachine(N_FEATURES)
-    machine.fit(Rows([unpack(bytes(x)) for x in found["x"]]), found["y"].to_numpy(float))
+    return fit_calibrated([unpack(bytes(x)) for x in found["x"]], found["y"].to_numpy(float))
+
+
+def fit_calibrated(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> FactorisationMachine:
+    """A machine fitted on all rows, whose probabilities are calibrated on every fifth by a machine fitted on the others."""
+    machine, first = FactorisationMachine(N_FEATURES), FactorisationMachine(N_FEATURES)
+    machine.fit(Rows(rows), y)
+    out = np.arange(len(rows)) % 5 == 0
+    if 0 < y[out].sum() < out.sum() and 0 < y[~out].sum() < (~out).sum():
+        first.fit(Rows([x for x, o in zip(rows, out, strict=True) if not o]), y[~out])
+        held = Rows([x for x, o in zip(rows, out, strict=True) if o])
+        raw, _ = first.parts(*held.take(np.arange(held.n)), held.n)
+        machine.slope, machine.shift = platt(raw, y[out])
     return machine
 
 
 def quality_score(docs: DataFrame, machine: FactorisationMachine, text: str = "text", n_chars: str | None = "n_chars") -> Column:
     """Score of each row, 0 to 1."""
-    model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))  # of fixed size
+    model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32), machine.slope, machine.shift))  # of fixed size
 
     def make():
         features, m = Features(), FactorisationMachine(0)
-        m.w0, m.w, m.v = model.value
+        m.w0, m.w, m.v, m.slope, m.shift = model.value
         return lambda texts, lengths: [m.score(*features.row(t, n)) for t, n in zip(texts, lengths, strict=True)]
 
     return by_slices("double", pa.float64(), make, text_of(text), _length(text_of(text), F.col(n_chars) if n_chars else None))

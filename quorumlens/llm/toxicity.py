@@ -1,21 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning, in numpy.
 
-Only confirmed toxic texts are used as labelled examples; the rest of the training texts are unlabelled, toxic ones
-among them. With a class prior p and logistic loss, the risk of a linear classifier is
+Only confirmed toxic texts are used as labelled examples; the training texts at large, without their labels, are unlabelled. With a class prior p and logistic loss, the risk of a linear classifier is
 
     p R+(toxic examples as toxic) + max(0, R-(unlabelled as clean) - p R-(toxic examples as clean)),
 
-(Kiryo and others, 2017): the corrected second term can't be below zero in truth, so where it is on a batch, the
+(Kiryo and others, 2017), where the unlabelled texts are a sample of all training texts, toxic ones among them: the corrected second term can't be below zero in truth, so where it is on a batch, the
 step goes back up on it instead of overfitting.
 
 Features of a text: which words (lower case, without outer punctuation) and word beginnings of four and five letters
-occur in it, in 2**18 hashed buckets. Only those are used that are more frequent in the toxic examples than in the
-unlabelled texts by ``min_z`` standard errors, so that the many words of a long text add no noise.
+occur in it, in 2**18 hashed buckets. Only those are used that are more frequent in the toxic examples than in
+clean texts (the unlabelled ones, less their toxic part by the prior) by ``min_z`` standard errors, so that the many words of a long text add no noise.
 
-The model is fitted on at most ``max_positive`` toxic and ``max_unlabelled`` other texts (those with the smallest hash
+The model is fitted on at most ``max_positive`` toxic and ``max_unlabelled`` unlabelled texts (those with the smallest hash
 of their doc_id), a fixed bound whatever the size of the corpus; scoring covers every row and whole text.
 
-Defined results: null and empty texts have no features and score by the bias; without toxic examples every score is 0.
+Defined results: null and empty texts have no features and score by the bias; without toxic examples every score is 0; a text is one example however
+often its doc_id repeats among the labels; rows without doc_id are scored like any other but not learned from.
 """
 
 from __future__ import annotations
@@ -57,12 +57,26 @@ class WordFeatures(dict):
         return np.unique(np.frombuffer(b"".join(map(self.__getitem__, text.split())), np.int32))
 
 
-def contrast(positive: Rows, unlabelled: Rows) -> np.ndarray:
-    """How many standard errors each feature's share of the toxic examples is above that of the unlabelled texts."""
-    counts = [np.bincount(r.index, minlength=1 << BITS) for r in (positive, unlabelled)]
+def contrast(positive: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
+    """How many standard errors each feature's share of the toxic examples is above that of clean texts, which is what the unlabelled texts have beyond their toxic part."""
     n, m = max(positive.n, 1), max(unlabelled.n, 1)
-    pooled = (counts[0] + counts[1] + 1) / (n + m + 2)
-    return (counts[0] / n - counts[1] / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    toxic, mixed = (np.bincount(r.index, minlength=1 << BITS) / k for r, k in ((positive, n), (unlabelled, m)))
+    clean = np.clip((mixed - prior * toxic) / (1 - prior), 0, 1)
+    pooled = (n * toxic + m * clean + 1) / (n + m + 2)
+    return (toxic - clean) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+
+
+def risks(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two terms of the risk for raw scores of toxic and unlabelled texts; the second is not below zero in truth."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a step goes down on, by raw score: the sum of both terms, or back up the second where it is below zero."""
+    up, uu = prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    if risks(zp, zu, prior)[1] < 0:
+        return up, -uu
+    return prior * (sigmoid(zp) - 1) / len(zp) - up, uu
 
 
 def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 20, batch: int = 256, rate: float = 0.1, l1: float = 2e-4, min_z: float = 5.0, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -71,7 +85,7 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 20, b
     if not positive.n or not unlabelled.n:
         return w, -60.0
     b = float(np.log(prior / (1 - prior)))
-    used_at_all = contrast(positive, unlabelled) >= min_z
+    used_at_all = contrast(positive, unlabelled, prior) >= min_z
     positive, unlabelled = positive.only(used_at_all), unlabelled.only(used_at_all)
     rng = np.random.default_rng(seed)
     per = max(1, round(batch * positive.n / (positive.n + unlabelled.n)))
@@ -82,12 +96,7 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 20, b
             (pi, _, pr), (ui, _, ur) = positive.take(some_p), unlabelled.take(some_u)
             zp = b + np.bincount(pr, w[pi], minlength=len(some_p))
             zu = b + np.bincount(ur, w[ui], minlength=len(some_u))
-            clean_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            up, uu = sigmoid(zp) / len(some_p), sigmoid(zu) / len(some_u)  # slopes of the clean loss
-            if clean_risk >= 0:
-                ep, eu = prior * ((sigmoid(zp) - 1) / len(some_p) - up), uu
-            else:
-                ep, eu = prior * up, -uu
+            ep, eu = slopes(zp, zu, prior)
             index = np.concatenate([pi, ui])
             used, where = np.unique(index, return_inverse=True)
             d = np.bincount(where, np.concatenate([ep[pr], eu[ur]]), minlength=len(used))
@@ -116,7 +125,7 @@ def _rows(sample: DataFrame, text: str) -> Rows:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 8000, prior: float | None = None) -> tuple[np.ndarray, float]:
     """A model from ``docs`` and the ``labels`` (key, label) that may be learned from.
 
-    The texts that are not confirmed toxic count as unlabelled. The class prior, if not given, is the share of
+    A sample of all texts, labels aside, is the unlabelled set. The class prior, if not given, is the share of
     toxic rows among ``labels``.
     """
     known = labels.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
@@ -124,7 +133,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     prior = prior if prior is not None else min(max(toxic / n if n else 0.0, 0.001), 0.999)
     by_hash = lambda ids, most: ids.select(key, F.xxhash64(key).alias("h")).distinct().orderBy("h", key).limit(most).select(key)
     positive = by_hash(known.filter("y = 1"), max_positive)
-    rest = by_hash(docs.select(key).join(known.filter("y = 1"), key, "left_anti"), max_unlabelled)
+    rest = by_hash(docs.select(key), max_unlabelled)
     pick = lambda ids: docs.select(key, text).join(F.broadcast(ids), key, "left_semi")  # noqa: E731  of bounded size
     return fit_nnpu(_rows(pick(positive), text), _rows(pick(rest), text), prior)
 

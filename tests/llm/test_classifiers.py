@@ -3,9 +3,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quorumlens.llm.quality import FactorisationMachine, fit_quality, quality_score
+from quorumlens.llm.quality import FactorisationMachine, fit_quality, platt, quality_score
 from quorumlens.llm.sparse import Rows
-from quorumlens.llm.toxicity import fit_nnpu, fit_toxicity, toxicity_score
+from quorumlens.llm.toxicity import fit_nnpu, fit_toxicity, risks, slopes, toxicity_score
 
 
 def auc(scores, labels):
@@ -77,6 +77,29 @@ def test_toxicity(spark):
     assert docs.select(toxicity_score(docs, none).alias("s")).agg(F.max("s")).first()[0] < 1e-9
 
 
+def test_slopes_are_those_of_the_risk():
+    r, h = np.random.default_rng(4), 1e-6
+    for shift in (0.0, -9.0, 4.0):  # with and without the second term below zero
+        zp, zu = r.normal(size=6) + 3, r.normal(size=9) + shift
+        first, second = risks(zp, zu, 0.3)
+        assert abs(first - 0.3 * np.mean([np.log(1 + np.exp(-z)) for z in zp])) < 1e-12
+        risk = (lambda a, b: sum(risks(a, b, 0.3))) if second >= 0 else (lambda a, b: -risks(a, b, 0.3)[1])
+        ep, eu = slopes(zp, zu, 0.3)
+        for k in range(9):
+            if k < 6:
+                assert abs((risk(zp + h * (np.arange(6) == k), zu) - risk(zp, zu)) / h - ep[k]) < 1e-5
+            assert abs((risk(zp, zu + h * (np.arange(9) == k)) - risk(zp, zu)) / h - eu[k]) < 1e-5
+
+
+def test_platt():
+    r = np.random.default_rng(5)
+    raw = r.normal(size=20_000)
+    y = (r.random(20_000) < 1 / (1 + np.exp(-(2.5 * raw - 1)))).astype(float)
+    slope, shift = platt(raw, y)
+    assert abs(slope - 2.5) < 0.15 and abs(shift + 1) < 0.1
+    assert platt(np.ones(3), np.ones(3)) == (1.0, 0.0)
+
+
 def test_risk_stays_non_negative():
     r = np.random.default_rng(3)
     pos = Rows([(np.array([1]), np.ones(1)) for _ in range(50)])
