@@ -34,8 +34,8 @@ def tokens(text: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """The inside of a fenced block, or the text."""
-    inner = F.regexp_extract(text, r"(?s)^\s*```(?:json|JSON)?\s*\n?(.*?)\n?\s*```\s*$", 1)
-    return F.when(text.rlike(r"(?s)^\s*```.*```\s*$"), inner).otherwise(text)
+    inner = F.regexp_replace(F.regexp_replace(text, r"(?i)^\s*`{3}(?:json)?\s*", ""), r"\s*`{3}\s*$", "")
+    return F.when(text.rlike(r"(?s)^\s*`{3}.*`{3}\s*$"), inner).otherwise(text)
 
 
 def json_fields(text: Column) -> Column:
@@ -55,10 +55,14 @@ def is_null_word(text: Column) -> Column:
 
 
 def is_nullish(text: Column) -> Column:
-    """A missing value, or an object or list of nothing but missing values."""
-    fields = F.when(text.rlike(r"(?s)^\s*\{"), F.from_json(text, "map<string,string>"))
-    items = F.when(text.rlike(r"(?s)^\s*\["), F.from_json(text, "array<string>"))
-    return F.when(fields.isNotNull(), F.forall(F.map_values(fields), is_null_word)).when(items.isNotNull(), F.forall(items, is_null_word)).otherwise(is_null_word(text))
+    """A missing value, or an object or list of nothing but missing values, however deep.
+
+    Of a JSON text without its keys, its missing values and the marks between them, nothing is left.
+    """
+    is_json = F.coalesce(F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^\s*[{\[]"), F.lit(False))
+    values = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"\s*:', "")
+    left = F.regexp_replace(F.regexp_replace(values, r'(?i)"\s*(?:n/a|na|null|none|nan)?\s*"|\bnull\b', ""), r"[\s{}\[\],]+", "")
+    return F.when(is_json, left == "").otherwise(is_null_word(text))
 
 
 def truthy(value: Column) -> Column:
@@ -74,13 +78,13 @@ def is_failed_text(text: Column) -> Column:
     return text.isNull() | (squeeze(text) == "") | F.coalesce(truthy(fields["error"]) & fields["error"].isNotNull() | unsuccessful | envelope, F.lit(False))
 
 
-def top_label(payload: Column, fallback: str = "raw") -> Column:
+def top_label(payload: Column, fallback: str = "raw", other_keys: tuple[str, ...] = ("label_name", "label")) -> Column:
     """The top label of a payload, in lower case.
 
-    fallback: what text that is no JSON object gives, ``raw`` (itself) or ``empty``.
+    fallback: what text that is no JSON object gives, ``raw`` (itself) or ``empty``. other_keys: fields that count, in order, where there is no top emotion.
     """
     is_object = F.try_parse_json(payload).isNotNull() & payload.rlike(r"(?s)^\s*\{")
-    name = F.coalesce(F.get_json_object(payload, "$.top_emotion.name"), F.get_json_object(payload, "$.label_name"), F.lit(""))
+    name = F.coalesce(F.get_json_object(payload, "$.top_emotion.name"), *[F.get_json_object(payload, f"$.{k}") for k in other_keys], F.lit(""))
     other = F.coalesce(payload, F.lit("")) if fallback == "raw" else F.lit("")
     return F.lower(F.trim(F.when(F.coalesce(is_object, F.lit(False)), name).otherwise(other)))
 

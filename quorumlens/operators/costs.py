@@ -54,9 +54,11 @@ def cost_rollup(models: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def invocation_cost(models: DataFrame, services: DataFrame) -> DataFrame:
-    """Cost of each entity, models as ``llm:name``, with its share of all."""
+    """Cost of each entity, models as ``llm:name``, with its share of all (null if nothing was spent); a handful of entities meet for the total."""
     both = models.select(F.concat(F.lit("llm:"), F.col("model")).alias("entity"), "cost_usd").unionByName(services.select(F.col("service").alias("entity"), "cost_usd"))
-    return both.groupBy("entity").agg(total("cost_usd").alias("cost_usd"))
+    spent = both.groupBy("entity").agg(total("cost_usd").alias("cost_usd"))
+    grand = spent.agg(total("cost_usd").alias("grand"))
+    return spent.crossJoin(F.broadcast(grand)).select("entity", "cost_usd", F.when(F.col("grand") > 0, F.col("cost_usd") / F.col("grand")).alias("share"))  # one row
 
 
 def settled_attempts(attempts: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from quorumlens.functions.scores import rounded
 from quorumlens.functions.text import normalize_id
 
 
-def same_key(old: DataFrame, new: DataFrame, key: list[str]) -> Column:
-    """Equal keys, null to null; ids are compared in their normal form."""
-    side = lambda df, c: normalize_id(df[c]) if c == "id" else df[c]
+def same_key(old: str, new: str, key: list[str]) -> Column:
+    """Equal keys of two aliased tables, null to null; ids are compared in their normal form."""
+    side = lambda alias, c: normalize_id(F.col(f"{alias}.{c}")) if c == "id" else F.col(f"{alias}.{c}")
     first, *rest = [side(old, c).eqNullSafe(side(new, c)) for c in key]
     for x in rest:
         first = first & x
@@ -23,8 +23,7 @@ def same_key(old: DataFrame, new: DataFrame, key: list[str]) -> Column:
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new``, and those of ``old`` with other keys; missing columns are null."""
     keys = new.select(*key).distinct().alias("n")
-    left = old.alias("o")
-    return left.join(keys, same_key(left, keys, key), "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.alias("o").join(keys, same_key("o", "n", key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def replace_slice(ledger: DataFrame, new: DataFrame, column: str, value: str) -> DataFrame:
@@ -34,15 +33,14 @@ def replace_slice(ledger: DataFrame, new: DataFrame, column: str, value: str) ->
 
 def pending(planned: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Planned rows that are not done."""
-    left, right = planned.alias("p"), done.select(*key).distinct().alias("d")
-    return left.join(right, same_key(left, right, key), "left_anti")
+    return planned.alias("p").join(done.select(*key).distinct().alias("d"), same_key("p", "d", key), "left_anti")
 
 
 def slice_status(planned: DataFrame, done: DataFrame, key: list[str], by: list[str]) -> DataFrame:
-    """done, total and complete of each slice."""
-    marks = done.select(*key).distinct().withColumn("_done", F.lit(1))
-    joined = planned.join(marks, key, "left")
-    return joined.groupBy(*by).agg(F.count("_done").alias("done"), F.count(F.lit(1)).alias("total")).withColumn("complete", F.col("done") == F.col("total"))
+    """done, total and complete of each slice; keys are compared as in `pending`. A slice is complete if all its keys are there and it has any."""
+    marks = done.select(*key).distinct().withColumn("_done", F.lit(1)).alias("d")
+    joined = planned.alias("p").join(marks, same_key("p", "d", key), "left").select("p.*", "_done")
+    return joined.groupBy(*by).agg(F.count("_done").alias("done"), F.count(F.lit(1)).alias("total")).withColumn("complete", (F.col("done") == F.col("total")) & (F.col("total") > 0))
 
 
 def progress(slices: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quorumlens.functions.scores import rounded
 from quorumlens.functions.similarity import later_ratios, ordered_ratios
 from quorumlens.functions.text import squeeze
+from quorumlens.session import spread, written
 
 
 def ballots(panel: DataFrame, normalize=squeeze) -> DataFrame:
@@ -40,7 +41,7 @@ def medoid_vote(panel: DataFrame) -> DataFrame:
     n = F.size("some")
     plain = F.coalesce(F.col("best.n"), F.lit(0)) != 1
     few = found.filter(plain | (n < 2)).withColumns({"label": F.coalesce(F.col("best.label"), F.lit("")), "agreement": F.when(n > 0, F.col("best.n") / n).otherwise(0.0)})
-    many = found.filter(~plain & (n >= 2)).withColumn("ratios", ordered_ratios("some"))
+    many = spread(found.filter(~plain & (n >= 2)), "id").withColumn("ratios", ordered_ratios("some"))
     sums = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.aggregate(F.slice("ratios", i * (n - 1) + 1, n - 1), F.lit(0.0), lambda a, b: a + b).alias("sum"), (-i).alias("at")))
     many = many.withColumn("top", F.array_max(sums)).withColumns({"label": F.get("some", -F.col("top.at")), "agreement": F.col("top.sum") / (n - 1)}).drop("ratios", "top")
     both = few.unionByName(many)
@@ -59,15 +60,33 @@ def label_disagreement(panel: DataFrame) -> DataFrame:
 
 def text_disagreement(panel: DataFrame) -> DataFrame:
     """id, discrimination: the mean over pairs of 1 minus the matching ratio of the earlier text against the later."""
-    found = ballots(panel, lambda c: F.lower(squeeze(c))).select("id", F.filter("ballots", lambda x: x != "").alias("some")).withColumn("ratios", later_ratios("some"))
+    found = ballots(panel, lambda c: F.lower(squeeze(c))).select("id", F.filter("ballots", lambda x: x != "").alias("some"))
+    found = spread(found, "id").withColumn("ratios", later_ratios("some"))
     n = F.size("some")
     score = F.aggregate("ratios", F.lit(0.0), lambda a, r: a + (1.0 - r)) / (n * (n - 1) / 2)
     return found.select("id", F.when(n >= 2, rounded(score, 6)).otherwise(0.0).alias("discrimination"))
 
 
+def _numbered(scores: DataFrame, value: Column | None = None) -> DataFrame:
+    """rank by discrimination, then id, and before: the sum of ``value`` over all rows ranked earlier.
+
+    Rows are sorted over the cluster by range, numbered within their part, and shifted by the parts before: one row a part meets in one task.
+    """
+    value = F.lit(0) if value is None else value
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scores.withColumn("_value", value).repartitionByRange(parts, F.desc("discrimination"), "id").withColumn("_part", F.spark_partition_id())
+    in_part = W.partitionBy("_part").orderBy(F.desc("discrimination"), "id")
+    rows = written(rows.withColumns({"_place": F.row_number().over(in_part), "_within": F.coalesce(F.sum("_value").over(in_part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))}))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum("_value").alias("v"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", "v")])
+    placed = rows.join(F.broadcast(starts), "_part")  # one row a part
+    return placed.withColumns({"rank": (F.col("_n") + F.col("_place")).cast("long"), "before": F.col("_v") + F.col("_within")}).drop("_part", "_place", "_within", "_n", "_v", "_value")
+
+
 def ranked(scores: DataFrame) -> DataFrame:
-    """rank by discrimination, then id. The global order is the result: use `top_ids` where only the first are needed."""
-    return scores.withColumn("rank", F.row_number().over(W.orderBy(F.desc("discrimination"), "id")).cast("long"))
+    """rank by discrimination, then id."""
+    return _numbered(scores).drop("before")
 
 
 def top_ids(scores: DataFrame, k: int) -> DataFrame:
@@ -77,7 +96,7 @@ def top_ids(scores: DataFrame, k: int) -> DataFrame:
 
 def coverage_curve(scores: DataFrame) -> DataFrame:
     """rank and the share of all discrimination that the samples up to there hold."""
-    total = F.sum("micro").over(W.partitionBy())
-    in_order = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    micro = ranked(scores).withColumn("micro", F.round(F.col("discrimination") * 1_000_000).cast("long"))
-    return micro.select("rank", "id", (F.sum("micro").over(in_order) / F.when(total == 0, 1).otherwise(total)).alias("coverage"))
+    micro = F.round(F.col("discrimination") * 1_000_000).cast("long")
+    total = scores.agg(F.coalesce(F.sum(micro), F.lit(0)).alias("total"))
+    numbered = _numbered(scores, micro).crossJoin(F.broadcast(total))  # one row
+    return numbered.select("rank", "id", ((F.col("before") + micro) / F.when(F.col("total") == 0, 1).otherwise(F.col("total"))).alias("coverage"))

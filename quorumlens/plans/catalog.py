@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumlens.functions import scores as S
 from quorumlens.functions import text as T
 from quorumlens.functions.similarity import matching_ratio, with_chrf
-from quorumlens.operators import costs, failures, judging, metrics, panel, store, votes
+from quorumlens.functions import payloads as P
+from quorumlens.operators import costs, failures, judging, metrics, panel, passes, reports, store, votes
+from quorumlens.operators.registry import OUTPUT_KINDS
 from quorumlens.plans import fixtures as X
-from quorumlens.session import table
+from quorumlens.session import spread, table
+from quorumlens.sources import config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,9 +78,9 @@ def q_error_class(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(T.status_code(error), F.lit(-1)).cast("long").alias("code"), T.is_permanent(error).alias("permanent"))
 
 
-@query("SELECT doc_id, 'Translate from ' || lang || ': ' || substr(text, 1, 20) AS prompt FROM documents")
+@query("SELECT doc_id, 'Translate from ' || lang || ': ' || text AS prompt FROM documents")
 def q_prompt_fill(spark, sf):
-    filled = T.fill_template(F.lit("Translate from {lang}: {source_text}"), lang=F.col("lang"), source_text=F.substring("text", 1, 20))
+    filled = T.fill_template(F.lit("Translate from {lang}: {source_text}"), lang=F.col("lang"), source_text=F.col("text"))
     return table(spark, sf, "documents").select("doc_id", filled.alias("prompt"))
 
 
@@ -343,11 +345,11 @@ def q_score_dist(spark, sf):
     return d.withColumns({c: F.round(c, 9) for c in ("mean", "std", "p25", "median", "p75")})
 
 
-@query(f"WITH {X.JUDGEMENTS} SELECT model, least(floor(TRY_CAST(confidence AS DECIMAL(9,2)) * 20), 19)::BIGINT AS bin, count(*) AS n FROM answers WHERE TRY_CAST(confidence AS DOUBLE) IS NOT NULL AND ((right(confidence, 2)::INT * 20) % 100 <> 0) GROUP BY ALL")
+@query(f"""WITH {X.JUDGEMENTS} SELECT model, prompt, len(list_filter(range(1, 20), lambda k: k * 0.05::DOUBLE <= v))::BIGINT AS bin, count(*) AS n
+           FROM (SELECT *, TRY_CAST(confidence AS DOUBLE) AS v FROM answers) WHERE v BETWEEN 0 AND 1 GROUP BY ALL""")
 def q_conf_hist(spark, sf):
-    """Confidences that lie on no edge; a unit test has the edges."""
-    a = X.judgements(spark, sf).withColumn("value", F.col("confidence").try_cast("double")).filter("value is not null and (cast(right(confidence, 2) as int) * 20) % 100 <> 0")
-    return judging.histogram(a, "value", "model")
+    """All confidences, edges too, by model and prompt."""
+    return judging.histogram(X.judgements(spark, sf).withColumn("value", F.col("confidence").try_cast("double")), "value", "model", "prompt")
 
 
 @query(f"""WITH {X.JUDGEMENTS}, b AS (SELECT service, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3 FROM judged WHERE score >= 0 GROUP BY service)
@@ -369,12 +371,85 @@ def q_prompt_partition(spark, sf):
 
 # Reports
 
-@query(f"""WITH {X.ERRORS}, {X.JUDGEMENTS} SELECT service AS entity, 'service' AS kind, round(avg(human_errors::DOUBLE / human_ref_words) FILTER (WHERE human_ref_words > 0), 9) AS value FROM errors GROUP BY service
-           UNION ALL SELECT 'llm:' || model, 'llm', round(avg(score), 9) FROM judged WHERE score >= 0 GROUP BY model""")
+LLM_ROWS = X.ORACLE_ANSWERS + ",\nllm_in AS (SELECT id, prompt, model, human, coalesce(answer, '') AS service_output FROM oracle_answers),\n" + X.errors_sql("llm_errors", "llm_in", "id, prompt, model")
+LLM_WER = "llm_wer AS (SELECT *, CASE WHEN human_ref_words > 0 THEN human_errors::DOUBLE / human_ref_words END AS human_wer FROM llm_errors)"
+#: The services' outputs against each model's own answers: one row for each service and answer.
+REF_ROWS = "ref_in AS (SELECT p.id, p.service, o.prompt, o.model, coalesce(o.answer, '') AS oracle, p.service_output FROM text_panel p JOIN oracle_answers o USING (id)),\n" + X.errors_sql("ref_errors", "ref_in", "id, service, prompt, model", "oracle")
+SUMMARY_WER = """summary AS (SELECT prompt, model, service, sum(human_errors)::DOUBLE / nullif(sum(human_ref_words), 0) AS human_wer, sum(oracle_errors)::DOUBLE / nullif(sum(oracle_ref_words), 0) AS oracle_wer, count(*) AS n_samples
+    FROM ref_errors JOIN errors USING (id, service) GROUP BY prompt, model, service)"""
+LLM_SUMMARY = "llm_summary AS (SELECT prompt, model, sum(human_errors)::DOUBLE / nullif(sum(human_ref_words), 0) AS human_wer FROM llm_errors GROUP BY prompt, model)"
+ACCURACY = f"{X.ERRORS},\n{LLM_ROWS},\n{REF_ROWS},\n{SUMMARY_WER},\n{LLM_SUMMARY}"
+
+
+def _llm_rows(spark, sf) -> DataFrame:
+    """The models' own answers scored as one more service."""
+    answers = X.oracle_answers(spark, sf).withColumnRenamed("answer", "llm_oracle")
+    return metrics.word_error_rows(passes.as_service(answers).drop("llm_oracle"))
+
+
+def _summary(spark, sf) -> DataFrame:
+    """Error rates of each (prompt, model, service) against the human and the model's own answer."""
+    own = X.oracle_answers(spark, sf).select("id", "prompt", "model", F.coalesce("answer", F.lit("")).alias("oracle"))
+    rows = metrics.word_error_rows(X.text_panel(spark, sf).join(own, "id"))
+    return reports.accuracy_summary(rows, "prompt", "model", "service")
+
+
+def _llm_summary(spark, sf) -> DataFrame:
+    return metrics.word_error_rate(_llm_rows(spark, sf), "prompt", "model").select("prompt", "model", F.col("wer").alias("human_wer"))
+
+
+@query(f"""WITH {X.ERRORS},\n{LLM_ROWS},\n{LLM_WER} SELECT service AS entity, 'service' AS kind, round(avg(human_errors::DOUBLE / human_ref_words) FILTER (WHERE human_ref_words > 0), 9) AS value FROM errors GROUP BY service
+           UNION ALL SELECT 'llm:' || model, 'llm', round(avg(human_wer), 9) FROM llm_wer GROUP BY model""")
 def q_entity_accuracy(spark, sf):
-    services = q_wer_rows(spark, sf).groupBy(F.col("service").alias("entity")).agg(F.avg("human_wer").alias("value")).withColumn("kind", F.lit("service"))
-    models = q_judge_long(spark, sf).filter("score >= 0").groupBy(F.concat(F.lit("llm:"), "model").alias("entity")).agg(F.avg("score").alias("value")).withColumn("kind", F.lit("llm"))
-    return services.unionByName(models).select("entity", "kind", F.round("value", 9).alias("value"))
+    found = reports.entity_accuracy(q_wer_rows(spark, sf), _llm_rows(spark, sf), "human_wer")
+    return found.select("entity", "kind", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {ACCURACY} SELECT prompt, model, service, human_wer, oracle_wer, n_samples FROM summary")
+def q_accuracy_summary(spark, sf):
+    return _summary(spark, sf)
+
+
+@query(f"""WITH {ACCURACY} SELECT service AS entity, '<all>' AS prompt, round(avg(human_wer), 9) AS value FROM summary WHERE human_wer IS NOT NULL GROUP BY service
+           UNION ALL SELECT 'llm:' || model, prompt, round(avg(human_wer), 9) FROM llm_summary WHERE human_wer IS NOT NULL GROUP BY model, prompt""")
+def q_accuracy_by_prompt(spark, sf):
+    found = reports.accuracy_by_prompt(_summary(spark, sf), _llm_summary(spark, sf))
+    return found.select("entity", "prompt", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {ACCURACY} SELECT model, service, prompt, round(avg(oracle_wer), 9) AS value FROM summary GROUP BY ALL")
+def q_accuracy_vs_llm(spark, sf):
+    return reports.accuracy_vs_reference(_summary(spark, sf)).withColumn("value", F.round("value", 9))
+
+
+def _cut_sql(hue: str) -> str:
+    model, prompt = ("model", "'-'") if hue == "model" else ("'-'", "prompt")
+    everything = ("'<all>'", "'-'") if hue == "model" else ("'-'", "'<all>'")
+    return f"""SELECT 'by_{hue}' AS cut, service, {everything[0]} AS model, {everything[1]} AS prompt, 'human' AS reference, round(avg(human_wer), 9) AS value FROM summary GROUP BY service
+               UNION ALL SELECT 'by_{hue}', service, {model}, {prompt}, 'oracle', round(avg(oracle_wer), 9) FROM summary GROUP BY service, {hue}"""
+
+
+@query(f"""WITH {ACCURACY} SELECT 'all' AS cut, service, '-' AS model, '-' AS prompt, 'human' AS reference, round(avg(human_wer), 9) AS value FROM summary GROUP BY service
+           UNION ALL SELECT 'all', service, '-', '-', 'oracle', round(avg(oracle_wer), 9) FROM summary GROUP BY service UNION ALL {_cut_sql("model")} UNION ALL {_cut_sql("prompt")}""")
+def q_consistency_oracle_human(spark, sf):
+    """Human beside oracle reference: altogether, by model and by prompt."""
+    summary = _summary(spark, sf)
+    cuts = [reports.reference_consistency(summary, *hue).withColumns({"cut": F.lit(name)} | {c: F.lit("-") for c in ("model", "prompt") if c not in hue}) for name, hue in (("all", ()), ("by_model", ("model",)), ("by_prompt", ("prompt",)))]
+    columns = ["cut", "service", "model", "prompt", "reference", F.round("value", 9).alias("value")]
+    return cuts[0].select(*columns).unionByName(cuts[1].select(*columns)).unionByName(cuts[2].select(*columns))
+
+
+@query(f"WITH {ACCURACY} SELECT model, prompt, round(human_wer, 9) AS value FROM llm_summary")
+def q_llmaas_by_model(spark, sf):
+    return _llm_summary(spark, sf).select("model", "prompt", F.round("human_wer", 9).alias("value"))
+
+
+@query(f"WITH {ACCURACY} SELECT round(min(oracle_wer), 9) AS low, round(max(oracle_wer), 9) AS high, count(DISTINCT prompt) AS n_prompt, count(DISTINCT model) AS n_model FROM summary")
+def q_report_range(spark, sf):
+    """Axis range of a report, and what it averages over."""
+    summary = _summary(spark, sf)
+    span = reports.value_range(summary, "oracle_wer").select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return span.crossJoin(reports.different(summary, "prompt", "model"))  # one row each
 
 
 @query(f"WITH {X.ERRORS} SELECT service, id, 'errors' AS measure, human_errors AS value FROM errors UNION ALL SELECT service, id, 'ref_words', human_ref_words FROM errors")
@@ -423,9 +498,9 @@ def q_service_cost(spark, sf):
 
 
 @query(f"""WITH {X.MODEL_CALLS}, {X.SERVICE_CALLS}, u AS (SELECT 'llm:' || model AS entity, cost FROM ledger UNION ALL SELECT service, cost FROM service_ledger)
-           SELECT entity, coalesce(sum(cost), 0)::DOUBLE AS cost_usd FROM u GROUP BY entity""")
+           SELECT entity, coalesce(sum(cost), 0)::DOUBLE AS cost_usd, round(coalesce(sum(cost), 0)::DOUBLE / nullif(sum(coalesce(sum(cost), 0)) OVER (), 0)::DOUBLE, 9) AS share FROM u GROUP BY entity""")
 def q_total_cost(spark, sf):
-    return costs.invocation_cost(_ledger(spark, sf), _service_ledger(spark, sf))
+    return costs.invocation_cost(_ledger(spark, sf), _service_ledger(spark, sf)).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH {X.MODEL_CALLS}, {X.SERVICE_CALLS}, u AS (SELECT 'model' AS kind, task, cost FROM ledger UNION ALL SELECT 'service', task, cost FROM service_ledger)
@@ -434,32 +509,145 @@ def q_cost_rollup(spark, sf):
     return costs.cost_rollup(_ledger(spark, sf), _service_ledger(spark, sf))
 
 
-CALIBRE = f"""{X.MODEL_CALLS}, spent AS (SELECT paradigm, model, coalesce(sum(cost), 0)::DOUBLE AS cost_usd FROM ledger GROUP BY paradigm, model),
-    good AS (SELECT paradigm, model, sum((status = 'success')::INT)::DOUBLE / count(*) AS accuracy FROM calls WHERE status IS NOT NULL GROUP BY paradigm, model)"""
+PARADIGMS = f"""{BEST}, {X.JUDGEMENTS}, {VOTES.removeprefix('WITH ')},
+    won AS (SELECT DISTINCT prompt, model, id, winner FROM judged WHERE winner IS NOT NULL),
+    sure AS (SELECT prompt, model, id FROM answers WHERE coalesce(TRY_CAST(confidence AS DOUBLE), 0.0) >= 0.85 AND prompt NOT LIKE '%no-threshold'),
+    right_ AS (SELECT w.prompt, w.model, w.id, coalesce(list_contains(s.best, winner), false)::INT AS ok FROM won w LEFT JOIN sets s USING (id)),
+    consistency AS (
+      SELECT 'judge' AS paradigm, model, sum(ok)::DOUBLE / count(*) AS score FROM right_ GROUP BY model
+      UNION ALL SELECT 'human_loop', model, sum(ok)::DOUBLE / count(*) FROM right_ JOIN sure USING (prompt, model, id) GROUP BY model
+      UNION ALL SELECT 'majority_voting', '(no LLM)', avg(CASE WHEN voters > 0 THEN round(best.n::DECIMAL(18,12) / voters, 4)::DOUBLE ELSE 0 END) FROM voters LEFT JOIN best USING (id))"""
+LABEL_ACCURACY = f"""{PARADIGMS},\n{LLM_ROWS},\n{LLM_SUMMARY}, proxies AS (SELECT 'llmaas' AS paradigm, model, 1 - avg(human_wer) AS score FROM llm_summary GROUP BY model UNION ALL SELECT * FROM consistency)"""
+
+
+def _paradigms(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    judged = judging.per_sample(q_judge_long(spark, sf))
+    looped = judged.withColumn("fallback_used", S.confidence(F.col("confidence")) < 0.85)
+    return q_wer_rows(spark, sf), judged, looped, q_mode_vote(spark, sf)
 
 
-@query(f"WITH {CALIBRE} SELECT paradigm, model, accuracy FROM good")
+@query(f"WITH {LABEL_ACCURACY} SELECT paradigm, model, round(score, 9) AS score FROM proxies")
 def q_label_accuracy(spark, sf):
-    rows = X.model_calls(spark, sf).filter("status is not null")
-    return rows.groupBy("paradigm", "model").agg((F.count_if(F.col("status") == "success") / F.count(F.lit(1))).alias("accuracy"))
+    """How good each paradigm's labels are: models alone, as judges, with a human in the loop, and the vote."""
+    rows, judged, looped, voted = _paradigms(spark, sf)
+    found = reports.label_accuracy(rows, _llm_summary(spark, sf), judged, looped, voted)
+    return found.withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {CALIBRE} SELECT paradigm, model, accuracy, coalesce(cost_usd, 0) AS cost_usd FROM good LEFT JOIN spent USING (paradigm, model)")
+@query(f"""WITH {LABEL_ACCURACY}, {X.MODEL_CALLS}, spent AS (SELECT CASE paradigm WHEN 'click' THEN 'llmaas' WHEN 'view' THEN 'judge' ELSE 'human_loop' END AS paradigm, model, sum(cost)::DOUBLE AS cost_usd FROM ledger WHERE cost >= 0 GROUP BY ALL)
+           SELECT paradigm, model, round(score, 9) AS score, coalesce(cost_usd, 0) AS cost_usd FROM proxies LEFT JOIN spent USING (paradigm, model)""")
 def q_pareto_join(spark, sf):
     """Accuracy and cost of each (paradigm, model); without any spending the cost is 0."""
-    spent = _ledger(spark, sf).groupBy("paradigm", "model").agg(costs.total("cost_usd").alias("cost_usd"))
+    paradigm = F.when(F.col("paradigm") == "click", "llmaas").when(F.col("paradigm") == "view", "judge").otherwise("human_loop")
+    spent = _ledger(spark, sf).filter("cost_usd >= 0").groupBy(paradigm.alias("paradigm"), "model").agg(costs.total("cost_usd").alias("cost_usd"))
     return q_label_accuracy(spark, sf).join(spent, ["paradigm", "model"], "left").withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
 
 
-@query(f"""WITH {BEST}, {X.JUDGEMENTS}, {VOTES.removeprefix('WITH ')}, w AS (SELECT a.prompt, a.model, coalesce(list_contains(s.best, winner), false)::INT AS ok FROM (SELECT DISTINCT prompt, model, id, winner FROM judged WHERE winner IS NOT NULL) a LEFT JOIN sets s USING (id))
-           SELECT 'judge' AS paradigm, model, round(sum(ok)::DOUBLE / count(*), 9) AS consistency FROM w GROUP BY model
-           UNION ALL SELECT 'majority voting', '(no LLM)', round(avg(CASE WHEN voters > 0 THEN round(best.n::DECIMAL(18,12) / voters, 4)::DOUBLE ELSE 0 END), 9) FROM voters LEFT JOIN best USING (id)""")
+@query(f"WITH {PARADIGMS} SELECT paradigm, model, round(score, 9) AS agreement FROM consistency")
 def q_paradigm_consistency(spark, sf):
-    sets = judging.best_sets(q_wer_rows(spark, sf), "human_wer", False, "id")
-    judged = judging.winner_agreement(judging.per_sample(q_judge_long(spark, sf)), sets, "model")
-    voted = q_mode_vote(spark, sf).agg(F.avg("agreement").alias("agreement")).select(F.lit("majority voting").alias("paradigm"), F.lit("(no LLM)").alias("model"), "agreement")
-    both = judged.select(F.lit("judge").alias("paradigm"), "model", "agreement").unionByName(voted)
-    return both.select("paradigm", "model", F.round("agreement", 9).alias("consistency"))
+    found = reports.paradigm_consistency(*_paradigms(spark, sf))
+    return found.select("paradigm", "model", F.round("score", 9).alias("agreement"))
+
+
+
+# Passes, payloads, plans
+
+@query(f"""WITH {X.ORACLE_ANSWERS} SELECT prompt, model, id, CASE WHEN id % 5 = 0 THEN 'old' WHEN id % 7 = 0 THEN 'n/a' ELSE answer END AS llm_oracle,
+           CASE WHEN id % 5 = 0 THEN 'success' WHEN answer IS NULL OR id % 7 = 0 OR lower(trim(answer)) IN ('', 'n/a', 'na', 'null', 'none', 'nan') THEN 'failed' ELSE 'success' END AS status FROM oracle_answers""")
+def q_oracle_pass(spark, sf):
+    """One pass of the models' own answers: what is not there yet is answered from recorded replies in fenced JSON, and merged."""
+    answers = X.oracle_answers(spark, sf)
+    reply = F.when(F.col("id") % 7 == 0, "```json\n{}\n```").otherwise(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("answer").alias("transcript")), {"ignoreNullFields": "false"}), F.lit("\n```")))
+    recorded = answers.select("prompt", "model", "id", reply.alias("content"))
+    work = answers.select("prompt", "model", "id")
+    done = work.filter("id % 5 = 0").withColumns({"llm_oracle": F.lit("old"), "status": F.lit("success")})
+    return passes.oracle_pass(work, done, lambda w: w.join(recorded, ["prompt", "model", "id"]), "asr").withColumn("id", F.col("id").cast("long"))
+
+
+@query(f"""WITH {X.JUDGEMENTS}, u AS (SELECT prompt, model, id, bool_or(score >= 0) AND any_value(winner) IS NOT NULL AS usable FROM judged GROUP BY prompt, model, id)
+           SELECT prompt, model, id, llm_label, winner, confidence, service, score, is_winner, coalesce(usable, false) AS usable FROM judged JOIN u USING (prompt, model, id)""")
+def q_judge_pass(spark, sf):
+    """One pass of judges: prompts are made of the panel's outputs, recorded replies in JSON are parsed and spread over the services."""
+    a = X.judgements(spark, sf)
+    reply = F.to_json(F.struct(F.col("llm_label").alias("llm_transcript"), "winner", "scores", "confidence"))
+    asked = passes.judge_prompts(X.text_panel(spark, sf), "Which of these is best?\n{service_blocks}")
+    recorded = a.select("prompt", "model", "id", reply.alias("content"))
+    done = judging.judge_rows(a.limit(0).withColumn("usable", F.lit(True)), X.SERVICES)
+    rows = passes.judge_pass(a.select("prompt", "model", "id"), done, lambda w: w.join(asked, "id").filter("asked is not null").join(recorded, ["prompt", "model", "id"]), X.SERVICES)
+    return rows.select("prompt", "model", F.col("id").cast("long").alias("id"), "llm_label", "winner", "confidence", "service", "score", "is_winner", "usable")
+
+
+@query(f"""WITH {X.TEXT_PANEL} SELECT id, 'Judge these:' || chr(10) || string_agg(service || ': ' || service_output, chr(10) ORDER BY svc_ord) AS asked FROM text_panel GROUP BY id""")
+def q_judge_prompt(spark, sf):
+    return passes.judge_prompts(X.text_panel(spark, sf), "Judge these:\n{service_blocks}")
+
+
+STORED = """stored AS (SELECT vec_id AS id, 'svc_' || k AS service, k AS svc_ord, ((vec_id * 31 + k * 17 + v * 7) % 101) / 100.0::DOUBLE AS score, v FROM embeddings, range(6) t(k), range(2) r(v) WHERE (v = 0 OR k = 2) AND (vec_id + k) % 5 <> 0)"""
+
+
+@query(f"""WITH {STORED}, last AS (SELECT id, service, svc_ord, score FROM (SELECT *, row_number() OVER (PARTITION BY id, service ORDER BY v DESC) AS n FROM stored) WHERE n = 1)
+           SELECT id, first(service ORDER BY score DESC, svc_ord) AS best_service FROM last GROUP BY id""")
+def q_winner_by_score(spark, sf):
+    """The human loop's winner in translation: the highest stored score; of several rows of a service the last counts."""
+    e = X.each(X.each(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), "svc_ord", 6), "v", 2).filter("(v = 0 or svc_ord = 2) and (id + svc_ord) % 5 <> 0")
+    rows = e.select("id", F.concat(F.lit("svc_"), "svc_ord").alias("service"), "svc_ord", "v", (((F.col("id") * 31 + F.col("svc_ord") * 17 + F.col("v") * 7) % 101) / 100.0).alias("score"))
+    return judging.best_service(passes.last_scores(rows, "score", "v"), "score", True, "id")
+
+
+@query(f"WITH {X.LABEL_PANEL} SELECT id, first(service ORDER BY svc_ord) AS best_service FROM label_panel WHERE reference <> '' AND label = reference GROUP BY id")
+def q_winner_by_match(spark, sf):
+    """The human loop's winner in emotions: the first service that says the human label."""
+    return passes.first_match(X.label_panel(spark, sf))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 900 WHEN 1 THEN event_id % 800 WHEN 2 THEN event_id % 700 END AS input_tokens,
+          CASE event_id % 4 WHEN 0 THEN event_id % 90 WHEN 1 THEN event_id % 80 WHEN 2 THEN event_id % 70 END AS output_tokens, CASE event_id % 4 WHEN 0 THEN 2 * (event_id % 50) WHEN 2 THEN event_id % 40 END AS audio_input_tokens FROM events""")
+def q_usage(spark, sf):
+    """Token counts of usage objects of several shapes."""
+    n = F.col("event_id")
+    first = F.format_string('{"prompt_token_count":%d,"candidates_token_count":"%d","prompt_tokens_details":[{"modality":"AUDIO","token_count":%d},{"modality":"TEXT","token_count":9},{"modality":"audio","token_count":%d}]}', n % 900, n % 90, n % 50, n % 50)
+    second = F.format_string('{"prompt_token_count":"many","input_tokens":%d,"completion_tokens":%d,"prompt_tokens_details":[{"modality":"TEXT","token_count":3}]}', n % 800, n % 80)
+    third = F.format_string('{"prompt_tokens":%d,"output_tokens":%d,"input_tokens_details":{"audio_tokens":%d}}', n % 700, n % 70, n % 40)
+    usage = F.when(n % 4 == 0, first).when(n % 4 == 1, second).when(n % 4 == 2, third)
+    return table(spark, sf, "events").select("event_id", P.usage_counts(usage).alias("u")).select("event_id", "u.*")
+
+
+ERROR_TEXTS = [(503, "busy", "retryable"), (None, "Rate limit reached", "retryable"), (401, "no", "fatal"), (None, "API key not valid", "fatal"), (404, "gone, temporarily", "retryable"), (400, "bad input", "other"), (None, None, "other"), (403, "", "fatal")]
+
+
+@query(f"SELECT event_id, ({[k for _, _, k in ERROR_TEXTS]})[(event_id % {len(ERROR_TEXTS)}) + 1] AS kind FROM events")
+def q_error_kind(spark, sf):
+    """Errors that another try can mend, that end a model's run, or that concern one sample only."""
+    at = (F.col("event_id") % len(ERROR_TEXTS)).cast("int")
+    code, text = (F.get(F.array(*[F.lit(x[i]).cast(kind) for x in ERROR_TEXTS]), at) for i, kind in ((0, "int"), (1, "string")))
+    return table(spark, sf, "events").select("event_id", P.error_kind(code, text).alias("kind"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'sad' WHEN label % 2 = 0 THEN 'happy' ELSE 'sad' END AS name, CASE WHEN vec_id % 3 = 0 THEN 0.25 WHEN label % 2 = 0 THEN 0.75 ELSE 0.25 END::DOUBLE AS score, vec_id % 5 = 0 AS contempt,
+          '{"emotions":{"happy":' || CASE WHEN vec_id % 3 = 0 THEN 'null' WHEN label % 2 = 0 THEN '0.75' ELSE '0.125' END || ',"sad":0.25},"top_emotion":{"name":"' || CASE WHEN vec_id % 3 <> 0 AND label % 2 = 0 THEN 'happy","score":0.75' ELSE 'sad","score":0.25' END || '}}' AS payload FROM embeddings""")
+def q_emotion_payload(spark, sf):
+    """Top emotion, contempt and the payload of score maps."""
+    happy = F.when(F.col("vec_id") % 3 != 0, F.when(F.col("label") % 2 == 0, 0.75).otherwise(0.125))
+    scores = F.create_map(F.lit("happy"), happy, F.lit("sad"), F.lit(0.25))
+    raw = F.map_concat(scores, F.create_map(F.lit("Contempt"), F.when(F.col("vec_id") % 5 == 0, 0.1)))
+    e = table(spark, sf, "embeddings").select("vec_id", P.top_emotion(scores).alias("top"), P.contempt_reported(raw).alias("contempt"), P.emotion_payload(scores).alias("payload"))
+    return e.select("vec_id", "top.name", "top.score", "contempt", "payload")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'happy' WHEN 1 THEN 'sad' WHEN 2 THEN 'fear' WHEN 3 THEN 'plain words' ELSE '' END AS for_vote, CASE event_id % 5 WHEN 0 THEN 'happy' WHEN 3 THEN '' ELSE '' END AS for_judge FROM events""")
+def q_top_label(spark, sf):
+    """Labels of payloads, with and without the other fields and the raw text as a last resort."""
+    n = F.col("event_id")
+    said = F.when(n % 5 == 0, '{"top_emotion":{"name":" Happy "}}').when(n % 5 == 1, '{"label_name":"SAD"}').when(n % 5 == 2, '{"label":"Fear"}').when(n % 5 == 3, "Plain words").otherwise("{}")
+    judge = T.top_label(said, fallback="empty", other_keys=())
+    return table(spark, sf, "events").select("event_id", OUTPUT_KINDS["emotion"].label(said).alias("for_vote"), judge.alias("for_judge"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id / 60.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS minutes FROM events")
+def q_audio_minutes(spark, sf):
+    n = F.col("event_id")
+    duration = F.when(n % 4 == 0, n.cast("string")).when(n % 4 == 1, "30").when(n % 4 == 2, "NaN").otherwise("long")
+    return table(spark, sf, "events").select("event_id", P.audio_minutes(duration).alias("minutes"))
 
 
 
@@ -508,10 +696,24 @@ def q_progress(spark, sf):
     return store.progress(q_slice_complete(spark, sf))
 
 
-@query("SELECT 'task' || (doc_id % 2) AS task, count(*) * 3 * 4 AS jobs FROM documents GROUP BY 1")
+MODEL_ENTRIES = {"m0": {"enabled": True, "provider": "x"}, "m1": {"provider": "y"}, "m2": {"enabled": True}, "m3": {"enabled": "yes"}, "m4": None}
+PROMPTS = [("task0", "oracle_long", 0), ("task0", "Judge_medium", 1), ("task1", "oracle_short", 0), ("task1", "oracle_long", 1), ("task1", "judge_long", 2)]
+
+
+@query("SELECT 'task' || (doc_id % 2) AS task, count(*) * 2 * CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END AS jobs FROM documents GROUP BY doc_id % 2")
 def q_plan(spark, sf):
-    """Planned jobs: samples x models x prompts of each task."""
-    return table(spark, sf, "documents").groupBy(F.concat(F.lit("task"), F.col("doc_id") % 2).alias("task")).agg((F.count(F.lit(1)) * 3 * 4).alias("jobs"))
+    """Planned jobs: samples x enabled models x prompts of each task."""
+    samples = table(spark, sf, "documents").select(F.concat(F.lit("task"), F.col("doc_id") % 2).alias("task"))
+    return config.planned_jobs(samples, config.entries(spark, MODEL_ENTRIES), spark.createDataFrame(PROMPTS, "task string, prompt string, ord int"))
+
+
+@query("""SELECT * FROM (VALUES ('task0', 'Judge_medium'), ('task1', 'oracle_short')) p(task, prompt)
+          JOIN (SELECT CASE WHEN event_id % 2 = 0 THEN 'task0' ELSE 'task1' END AS task, first('m' || (user_id % 4) ORDER BY user_id % 4) AS model FROM events WHERE event_id % 11 <> 0 AND user_id % 4 <> 0 GROUP BY 1) USING (task)""")
+def q_preferred(spark, sf):
+    """The prompt and the model that a smoke test of each task starts from."""
+    e, m = table(spark, sf, "events"), (F.col("user_id") % 4).cast("int")
+    cells = e.select(F.when(F.col("event_id") % 2 == 0, "task0").otherwise("task1").alias("task"), F.concat(F.lit("m"), m).alias("model"), m.alias("ord"), F.when((F.col("event_id") % 11 != 0) & (m != 0), "success").otherwise("failed").alias("status"))
+    return config.preferred(spark.createDataFrame(PROMPTS, "task string, prompt string, ord int")).join(config.first_working(cells), "task")
 
 
 @query("""WITH a AS (SELECT conv_id AS id, turn AS attempt, (conv_id + turn) % 3 = 0 AS ok, length(text) AS cost, role FROM conversations)
@@ -523,11 +725,18 @@ def q_retry_resolve(spark, sf):
     return costs.settled_attempts(a).select("id", "attempt", "status", "attempts", "cost_usd")
 
 
-@query(f"""WITH {X.ERRORS}, p AS (SELECT id, service, human_errors, human_ref_words FROM errors WHERE svc_ord = 2) SELECT 'm' || (id % 3) AS model, 'llmaas' AS service, sum(human_errors)::BIGINT AS errors, sum(human_ref_words)::BIGINT AS ref_words, count(*) AS n_samples, sum(human_errors)::DOUBLE / nullif(sum(human_ref_words), 0) AS wer FROM p GROUP BY ALL""")
+@query(f"""WITH {LLM_ROWS} SELECT prompt, model, 'llmaas' AS service, sum(human_errors)::BIGINT AS errors, sum(human_ref_words)::BIGINT AS ref_words, count(*) AS n_samples, sum(human_errors)::DOUBLE / nullif(sum(human_ref_words), 0) AS wer FROM llm_errors GROUP BY prompt, model""")
 def q_llmaas_backfill(spark, sf):
-    """Recorded model answers scored as if they came from one more service, all models in one pass."""
-    answers = X.text_panel(spark, sf).filter("svc_ord = 2").withColumns({"service": F.lit("llmaas"), "model": F.concat(F.lit("m"), F.col("id") % 3)})
-    return metrics.word_error_rate(metrics.word_error_rows(answers), "model", "service")
+    """Stored model answers scored as if they came from one more service, all prompts and models in one pass."""
+    return metrics.word_error_rate(_llm_rows(spark, sf), "prompt", "model", "service")
+
+
+@query()
+def q_wer_full(spark, sf):
+    """Word error rates of whole documents, however long: each against itself with every seventh word changed and every eleventh missing. Beyond SQL's one-byte letters; tested against plain Python."""
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("human")), "id").withColumn("w", T.tokens(F.col("human")))
+    changed = F.filter(F.transform("w", lambda w, n: F.when((n + F.col("id")) % 7 == 0, F.concat(F.lit("x"), n.cast("string"))).otherwise(w)), lambda w, n: (n + F.col("id")) % 11 != 0)
+    return metrics.word_error_rows(d.select("id", "lang", "human", F.lit("echo").alias("service"), F.array_join(changed, " ").alias("service_output")))
 
 
 @query("""SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS id FROM (SELECT doc_id, (doc_id * 7919 + 42) % 10007 AS h FROM documents WHERE n_chars / 15.0 BETWEEN 20 AND 100) ORDER BY h, doc_id LIMIT 100""")
@@ -547,7 +756,8 @@ def q_smoke_matrix(spark, sf):
     )
 
 
-@query("""SELECT doc_id, coalesce(lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id), -1) AS following FROM documents""")
-def q_window_next(spark, sf):
-    following = F.lead("doc_id").over(W.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(following, F.lit(-1)).alias("following"))
+@query(f"""WITH {X.MODEL_CALLS}, w AS (SELECT paradigm AS prompt, model, min(CASE WHEN status = 'failed' THEN 0 WHEN status IS NULL THEN 1 ELSE 2 END) AS worst FROM calls GROUP BY ALL)
+           SELECT prompt, """ + ", ".join(f"(['failed', 'skipped', 'ok'])[max(worst) FILTER (WHERE model = 'm{k}') + 1] AS m{k}" for k in range(4)) + " FROM w GROUP BY prompt")
+def q_smoke_cells(spark, sf):
+    calls = X.model_calls(spark, sf).select(F.col("paradigm").alias("prompt"), "model", "status")
+    return reports.smoke_matrix(calls, [f"m{k}" for k in range(4)])

@@ -1,4 +1,4 @@
-"""Domain tables derived from the supplied ones by whole-number arithmetic, in Spark and as SQL."""
+"""Domain tables derived from the supplied ones by whole-number arithmetic, in Spark and as SQL. They hold all rows and whole texts."""
 
 from __future__ import annotations
 
@@ -47,43 +47,79 @@ LABEL_PANEL = f"""label_panel AS (
         FROM embeddings, range(6) t(k)))"""
 
 
+def utterances(spark: SparkSession, sf: str) -> DataFrame:
+    """id, lang and text of every sentence of every conversation turn: whole texts, as a speech panel has them."""
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("at", "text"))
+    lang = F.get(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.col("conv_id") % 4).cast("int"))
+    return rows.select(((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("at") + 1).cast("long").alias("id"), lang.alias("lang"), "text")
+
+
+UTTERANCES = """(SELECT (conv_id::BIGINT * 1000 + turn) * 1000 + n AS id, (['de', 'en', 'es', 'fr'])[(conv_id % 4) + 1] AS lang, text
+  FROM (SELECT conv_id, turn, unnest(s) AS text, generate_subscripts(s, 1) AS n
+        FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM conversations)))"""
+
+
 def text_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """id, lang, service, svc_ord, human (the first 24 words) and service_output (with changed and missing words, blanks, errors)."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.slice(tokens(F.col("text")), 1, 24).alias("w"))
+    """id, lang, service, svc_ord, human (the whole utterance) and service_output (with changed and missing words, blanks, errors)."""
+    d = utterances(spark, sf).withColumn("w", tokens(F.col("text")))
     e = each(d, "svc_ord", 6)
     k, i = F.col("svc_ord"), F.col("id")
     changed = F.transform("w", lambda w, n: F.when((n + i) % (k + 4) == 0, F.concat(F.lit("w"), n.cast("string"))).otherwise(w))
     e = e.withColumn("c", changed)
     kept = F.array_join(F.filter("c", lambda w, n: (n + i + k) % (k + 5) != 0), " ")
     said = F.when((i * 7 + k) % 23 == 0, "").when((i + k) % 29 == 0, '{"error":"x"}').otherwise(kept)
-    return e.select("id", "lang", F.concat(F.lit("svc_"), k).alias("service"), "svc_ord", F.array_join("w", " ").alias("human"), said.alias("service_output"))
+    return e.select("id", "lang", F.concat(F.lit("svc_"), k).alias("service"), "svc_ord", F.col("text").alias("human"), said.alias("service_output"))
 
 
-TEXT_PANEL = """words AS (
-  SELECT doc_id AS id, lang, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9'' ]+', ' ', 'g'), ' '), lambda w: w <> '')[1:24] AS w FROM documents),
-text_panel AS (
-  SELECT id, lang, 'svc_' || k AS service, k::INT AS svc_ord, array_to_string(w, ' ') AS human,
-         CASE WHEN (id*7 + k) % 23 = 0 THEN '' WHEN (id + k) % 29 = 0 THEN '{"error":"x"}'
+#: The words of a text in SQL.
+TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9'' ]+', ' ', 'g'), ' '), lambda w: w <> '')"
+TEXT_PANEL = f"""text_panel AS (
+  SELECT id, lang, 'svc_' || k AS service, k::INT AS svc_ord, text AS human,
+         CASE WHEN (id*7 + k) % 23 = 0 THEN '' WHEN (id + k) % 29 = 0 THEN '{{"error":"x"}}'
               ELSE coalesce(array_to_string(list_filter(list_transform(w, lambda x, n: CASE WHEN (n - 1 + id) % (k + 4) = 0 THEN 'w' || (n - 1) ELSE x END), lambda x, n: (n - 1 + id + k) % (k + 5) <> 0), ' '), '') END AS service_output
-  FROM words, range(6) t(k))"""
+  FROM (SELECT *, {TOKENS_SQL.format("text")} AS w FROM {UTTERANCES}), range(6) t(k))"""
 
-#: Errors of a pair of texts in SQL: words become characters, as in the engine, but of one byte.
-TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9'' ]+', ' ', 'g'), ' '), lambda w: w <> '')"
-ERRORS = f"""{TEXT_PANEL},
-pairs AS (SELECT *, {TOKENS_SQL.format("human")} AS r, {TOKENS_SQL.format("service_output")} AS h FROM text_panel),
-known AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM pairs),
-errors AS (
-  SELECT id, lang, service, svc_ord, len(r)::BIGINT AS human_ref_words,
-         (CASE WHEN len(r) = 0 THEN len(h) WHEN len(h) = 0 THEN len(r)
-               ELSE levenshtein(array_to_string(list_transform(r, lambda w: chr((33 + list_position(v, w))::INT)), ''), array_to_string(list_transform(h, lambda w: chr((33 + list_position(v, w))::INT)), '')) END)::BIGINT AS human_errors
-  FROM known)"""
+
+def errors_sql(name: str, source: str, keys: str, reference: str = "human") -> str:
+    """A table of errors and reference words: words become characters, as in the engine, but of one byte (an utterance has few different words)."""
+    letters = "array_to_string(list_transform({0}, lambda w: chr((1 + list_position(v, w))::INT)), '')"
+    return f"""{name}_known AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM (SELECT *, {TOKENS_SQL.format(reference)} AS r, {TOKENS_SQL.format("service_output")} AS h FROM {source})),
+{name} AS (
+  SELECT {keys}, len(r)::BIGINT AS {reference}_ref_words,
+         (CASE WHEN len(r) = 0 THEN len(h) WHEN len(h) = 0 THEN len(r) ELSE levenshtein({letters.format("r")}, {letters.format("h")}) END)::BIGINT AS {reference}_errors
+  FROM {name}_known)"""
+
+
+ERRORS = f"{TEXT_PANEL},\n{errors_sql('errors', 'text_panel', 'id, lang, service, svc_ord')}"
+
+
+def prompt_of(i: Column) -> Column:
+    return F.when(i % 3 == 0, "short").when(i % 3 == 1, "medium").otherwise("medium__no-threshold")
+
+
+PROMPT_OF = "CASE {0} % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'medium__no-threshold' END"
+
+
+def oracle_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """id, lang, prompt, model, human and answer: what each model itself heard; null where it gave no answer."""
+    d = each(utterances(spark, sf), "m", 3)
+    i, m = F.col("id"), F.col("m")
+    heard = F.array_join(F.filter(tokens(F.col("text")), lambda w, n: (n + 2 * i + m) % (m + 7) != 0), " ")
+    return d.select("id", "lang", prompt_of(i).alias("prompt"), F.concat(F.lit("m"), m).alias("model"), F.col("text").alias("human"), F.when((i + m) % 41 != 0, heard).alias("answer"))
+
+
+ORACLE_ANSWERS = f"""oracle_answers AS (
+  SELECT id, lang, {PROMPT_OF.format("id")} AS prompt, 'm' || m AS model, m, text AS human,
+         CASE WHEN (id + m) % 41 <> 0 THEN coalesce(array_to_string(list_filter(w, lambda x, n: (n - 1 + 2*id + m) % (m + 7) <> 0), ' '), '') END AS answer
+  FROM (SELECT *, {TOKENS_SQL.format("text")} AS w FROM {UTTERANCES}), range(3) t(m))"""
 
 
 def judgements(spark: SparkSession, sf: str) -> DataFrame:
     """prompt, model, id, llm_label, winner, confidence (text) and scores (map of texts) of recorded answers."""
-    d = each(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "m", 3)
+    d = each(utterances(spark, sf).select("id"), "m", 3)
     i, m = F.col("id"), F.col("m")
-    prompt = F.when(i % 3 == 0, "short").when(i % 3 == 1, "medium").otherwise("medium__no-threshold")
+    prompt = prompt_of(i)
     winner = F.when((i + m) % 13 == 0, F.lit(None)).when((i + m) % 17 == 0, "").when((i + m) % 19 == 0, "nobody").otherwise(F.concat(F.lit("svc_"), (i * 5 + m) % 6))
     sure = F.when((i + m) % 11 == 0, F.lit(None)).when((i + m) % 23 == 0, "high").otherwise(F.format_string("0.%02d", (i * 13 + m * 29) % 100))
     pair = lambda k: F.struct(F.lit(f"svc_{k}"), F.when((i + k) % 17 == 0, "none").otherwise(F.format_string("0.%02d", (i * 31 + k * 17 + m * 11) % 100)))
@@ -91,11 +127,11 @@ def judgements(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(prompt.alias("prompt"), F.concat(F.lit("m"), m).alias("model"), "id", F.concat(F.lit("label"), i % 7).alias("llm_label"), winner.alias("winner"), sure.alias("confidence"), scores.alias("scores"))
 
 
-JUDGEMENTS = """answers AS (
+JUDGEMENTS = f"""answers AS (
   SELECT CASE i % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'medium__no-threshold' END AS prompt, 'm' || m AS model, i AS id, m, 'label' || (i % 7) AS llm_label,
          CASE WHEN (i + m) % 13 = 0 THEN NULL WHEN (i + m) % 17 = 0 THEN '' WHEN (i + m) % 19 = 0 THEN 'nobody' ELSE 'svc_' || ((i*5 + m) % 6) END AS winner,
          CASE WHEN (i + m) % 11 = 0 THEN NULL WHEN (i + m) % 23 = 0 THEN 'high' ELSE '0.' || lpad(((i*13 + m*29) % 100)::VARCHAR, 2, '0') END AS confidence
-  FROM (SELECT doc_id AS i FROM documents), range(3) t(m)),
+  FROM (SELECT id AS i FROM {UTTERANCES}), range(3) t(m)),
 judged AS (
   SELECT prompt, model, id, llm_label, CASE WHEN winner LIKE 'svc_%' THEN winner END AS winner, confidence, 'svc_' || k AS service,
          CASE WHEN k = 5 OR (id + k) % 17 = 0 THEN -1.0::DOUBLE ELSE ('0.' || lpad(((id*31 + k*17 + m*11) % 100)::VARCHAR, 2, '0'))::DOUBLE END AS score,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +28,22 @@ def local_session(cores: int = 8, app: str = "quorumlens", driver_memory: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied parquet tables; Spark resolves the path, so any store it can read works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows dealt over as many tasks as shuffles have: for costly work on few bytes, which would else run in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written once to the folder of spark.checkpoint.dir: read twice they are the same, and no lost executor brings them back to the start."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

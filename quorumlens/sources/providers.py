@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quorumlens.session import written
+
 ANSWERS = "id string, content string, latency_ms double, input_tokens long, output_tokens long, audio_input_tokens long, attempts int, status string"
 
 
@@ -14,14 +16,14 @@ class Unavailable(Exception):
     """The model can't answer now; the rest of its batch waits for a later pass."""
 
 
-def ask(work: DataFrame, provider: Callable[[pd.Series], dict], valid: Callable[[dict], bool], tries: int = 3) -> DataFrame:
+def ask(work: DataFrame, provider: Callable[[dict], dict], valid: Callable[[dict], bool], tries: int = 3) -> DataFrame:
     """Answers for rows of work (id, ...), up to ``tries`` times until valid; the last answer is kept. Deferred rows have status ``deferred``."""
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         away = False
         for batch in batches:
             rows = []
-            for _, row in batch.iterrows():
+            for row in batch.to_dict("records"):
                 answer, n, status = {}, 0, "deferred"
                 while not away and n < tries:
                     n += 1
@@ -47,11 +49,12 @@ def replay(work: DataFrame, recorded: DataFrame, key: list[str]) -> DataFrame:
 
 def passes(work: DataFrame, run: Callable[[DataFrame], DataFrame], most: int = 3) -> DataFrame:
     """Runs the work, then what was deferred, up to ``most`` times more; what is still deferred stays so marked."""
-    done = run(work).checkpoint()
+    done = written(run(work))
     for _ in range(most):
         waiting = done.filter("status = 'deferred'").select("id")
         if waiting.isEmpty():
             break
         again = run(work.join(waiting, "id", "left_semi"))
-        done = done.filter("status <> 'deferred'").unionByName(again).checkpoint()
+        done = done.filter("status <> 'deferred'").unionByName(again)
+        done = written(done)
     return done

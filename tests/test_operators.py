@@ -202,3 +202,97 @@ def test_providers(spark, tmp_path):
     work = spark.createDataFrame([("a",), ("bad",), ("down",), ("later",)], "id string").coalesce(1)
     got = {r.id: (r.status, r.attempts) for r in passes(work, lambda w: ask(w, provider, lambda x: x["content"] != "bad"), most=2).collect()}
     assert got["a"] == ("success", 1) and got["bad"] == ("failed", 3) and got["down"][0] == "deferred"
+
+
+def test_ratios_equal_the_standard_library():
+    from quorumlens.functions.similarity import match_ratios
+
+    r = random.Random(4)
+    pairs = []
+    for _ in range(1500):
+        letters = r.choice(["ab", "abc ", "abcdefghij é😀 "])
+        a = "".join(r.choices(letters, k=r.randint(0, r.choice([1, 20, 150, 260]))))
+        b = "".join(c for c in a if r.random() > 0.2) if r.random() < 0.5 else "".join(r.choices(letters, k=r.randint(0, 60)))
+        pairs += [(a, b), (a, a)]
+    got = match_ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert all(abs(g - SequenceMatcher(None, a, b).ratio()) < 1e-12 for g, (a, b) in zip(got, pairs))
+
+
+def test_word_errors_of_very_many_different_words(spark):
+    words = [f"w{k}" for k in range(36_000)]
+    df = spark.createDataFrame([(1, "s", " ".join(words), " ".join(words[:100] + ["x"] + words[101:] + ["y"]))], "id long, service string, human string, service_output string")
+    short = spark.createDataFrame([(2, "s", "a b", "b a")], df.schema)
+    assert sorted((x.id, x.human_errors) for x in metrics.word_error_rows(df.unionByName(short)).collect()) == [(1, 2), (2, 2)]
+
+
+def test_whole_documents(spark, tmp_path):
+    from quorumlens.plans.catalog import q_wer_full
+
+    r = random.Random(7)
+    docs = [(i, "en", " ".join(r.choices([f"word{k}" for k in range(400)], k=n))) for i, n in enumerate([0, 1, 30, 900, 1500])] + [(9, "de", None)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.id: (x.human_errors, x.human_ref_words) for x in q_wer_full(spark, str(tmp_path)).collect()}
+    for i, _, text in docs:
+        w = (text or "").split()
+        said = [x for n, x in enumerate(f"x{n}" if (n + i) % 7 == 0 else x for n, x in enumerate(w)) if (n + i) % 11]
+        assert got[i] == (distance(w, said), len(w))
+
+
+def test_nullish_at_any_depth(spark):
+    from quorumlens.functions.text import is_nullish
+
+    cases = {'{"a":{"b":null}}': True, '{"a":{"b":[null,"n/a",{}]}}': True, '[[],[{"k":"None"}]]': True, '{"null":"x"}': False, '{"a":["null, null"]}': False, '{"a":{"b":0}}': False, '{"a":"x\\"y"}': False, "{broken": False, "NaN": True, '{"a":false}': False}
+    got = dict(spark.createDataFrame([(x,) for x in cases], "x string").select("x", is_nullish(F.col("x"))).collect())
+    assert got == cases
+
+
+def test_reports(spark):
+    from quorumlens.operators import reports
+
+    rows = spark.createDataFrame([(1, "A", 0, 0.0), (1, "B", 1, 0.5), (2, "A", 0, 0.4), (2, "B", 1, 0.2)], "id long, service string, svc_ord int, human_wer double")
+    judged = spark.createDataFrame([("p", "m", 1, "A", False), ("p", "m", 2, "A", False), ("p__no-threshold", "m", 1, "B", False), ("p", "m", 3, "A", True)], "prompt string, model string, id long, winner string, fallback_used boolean")
+    voted = spark.createDataFrame([(0.5,), (1.0,)], "agreement double")
+    models = spark.createDataFrame([("p", "m", 0.2), ("q", "m", 0.4)], "prompt string, model string, human_wer double")
+    got = {(x.paradigm, x.model): round(x.score, 9) for x in reports.label_accuracy(rows, models, judged, judged, voted).collect()}
+    assert got == {("llmaas", "m"): 0.7, ("judge", "m"): 0.25, ("human_loop", "m"): 0.5, ("majority_voting", "(no LLM)"): 0.75}
+    legacy = reports.label_accuracy(rows.withColumns({"prompt": F.lit("p"), "model": F.lit("m")}), None, judged, judged, voted)
+    assert round(legacy.filter("paradigm = 'oracle'").first().score, 9) == 0.725
+    odd = spark.createDataFrame([(0.5,), (float("nan"),), (None,), (0.1,)], "value double")
+    assert tuple(reports.value_range(odd).first()) == (0.1, 0.5)
+    assert reports.TASKS["asr"].is_correct(F.lit(0.2)) is not None
+
+
+def test_config_and_runs(spark, tmp_path):
+    from quorumlens.sources import config, runs
+
+    with pytest.raises(ValueError):
+        config.entries(spark, {"a": 3})
+    assert config.enabled(config.entries(spark, {"a": {"enabled": True}, "b": {}, "c": None})).select("name").collect() == [("a",)]
+    assert config.model_id("my-model.x", {"model_id": "z"}) == "z"
+    paths = [(f"root/{p}",) for p in ("train_set/images/1.jpg", "train_set/7class_annotation.txt", "train_set/annotation.csv", "x/train/readme.md", "test/2.png", "train_zip/a/b/c.jpg")]
+    df = spark.createDataFrame(paths, "path string")
+    assert config.split_folder(df, "train").first().folder == "root/train_set"
+    assert config.annotation_file(df).first().path == "root/train_set/7class_annotation.txt"
+    joined, missing = config.with_files(spark.createDataFrame([("1.jpg", 3), ("9.jpg", 0)], "file string, label int"), df)
+    assert joined.agg(missing).first()[0] == 1
+    assert runs.read_or_empty(spark, str(tmp_path / "none.csv"), "id long, x string").count() == 0
+    runs.save_samples(spark.range(3), str(tmp_path / "s"))
+    assert runs.load_samples(spark, str(tmp_path / "s"), "id long").count() == 3
+    runs.save_manifest(spark, str(tmp_path / "m"), "asr", {"n": 5})
+    runs.save_manifest(spark, str(tmp_path / "m"), "asr", {"n": 5}, "finished")
+    assert runs.manifest(spark, str(tmp_path / "m")).first().status == "finished"
+
+
+def test_pass_is_idempotent(spark):
+    from quorumlens.operators import passes
+
+    work = spark.createDataFrame([("p", "m", i) for i in range(4)], "prompt string, model string, id long")
+    done = spark.createDataFrame([("p", "m", 0, "kept", "success")], "prompt string, model string, id long, llm_oracle string, status string")
+    ask = lambda w: w.withColumn("content", F.when(F.col("id") == 1, '{"transcript":"heard"}').when(F.col("id") == 2, "no json").otherwise('{"transcript":null}'))
+    once = passes.oracle_pass(work, done, ask, "asr")
+    rows = {x.id: (x.llm_oracle, x.status) for x in once.collect()}
+    assert rows == {0: ("kept", "success"), 1: ("heard", "success"), 2: ("n/a", "failed"), 3: (None, "failed")}
+    never = lambda w: w.withColumn("content", F.raise_error("asked again").cast("string"))
+    assert {x.id: (x.llm_oracle, x.status) for x in passes.oracle_pass(work, once, never, "asr").collect()} == rows
+    one, more = passes.own_and_model_rows(passes.as_service(once).unionByName(passes.as_service(once, "svc_0")))
+    assert one.count() == more.count() == 4
