@@ -14,9 +14,9 @@ of many slots and items of any length are found as exact copies (in any case of
 the first words of sentences as names, so that "Tom has" asked as "Eve has" matches; and with names as plain words, so that a copy
 in upper or lower case with other numbers does. Other names in one case of letters cannot be told from words within a sentence. Without ``whole`` a diagonal with one inconsistent value counts for nothing.
 
-Documents only send the windows that can match: a bitmap of fixed size over the hashes of all benchmark windows,
-without false negatives, sorts out the others where the text is read. However large the benchmark, the bitmap stays
-that size; a full one only passes more windows to the join.
+Documents only send the windows that can match: a bitmap over the hashes of all benchmark windows, sixteen bits a window and 16 MB
+at most, without false negatives, sorts out the others where the text is read. A full one only passes more windows to the join. The benchmark's windows
+are sent to every executor while they are few; beyond that, windows that very many documents hold are spread over salts where they meet the items.
 
 Defined results: null and empty texts have no windows; items shorter than the window are one window of their own length, and
 items of fewer than ``shortest`` words, or windows with fewer than ``shortest`` plain words (unless the whole item
@@ -38,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import by_slices, small_batches, text_of
+from quorumlens.llm.common import FEW, by_slices, cut, free_name, salted_join, small_batches, text_of
 
 #: Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours minutes seconds days weeks months years % percent usd eur dollars euros cents degrees °c °f kph mph km/h kw kwh".split())
 OUTER = string.punctuation.replace("%", "").replace("$", "") + "«»“”„’‘¿¡…–—"
 NUMBER = re.compile(r"[-+$€£]?\d[\d.,/:]*%?")
-BITMAP_BITS = 24
+#: Bits of a hash that the bitmap knows, at least and at most.
+LEAST_BITS, MOST_BITS = 20, 27
 #: Texts whose windows are hashed together.
 TOGETHER = 200
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "<number>", "<name>", "<unit>"
@@ -193,6 +194,7 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int],
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, bits = Tokens(), shared.value
+        shift = np.uint64(64 - (len(bits).bit_length() + 2))  # the bitmap has 8 bits a byte, and a power of two of them
         for batch in batches:
             rows, ids = [], batch["doc_id"].tolist()
             for start in range(0, len(batch), TOGETHER):
@@ -201,7 +203,7 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int],
                     seen: list[np.ndarray] = []
                     for kind, words in made.readings(whole):
                         h = window_hashes(words, size)
-                        at = h >> np.uint64(64 - BITMAP_BITS)
+                        at = h >> shift
                         passes = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                         for other in seen:  # read alike, once
                             passes &= h != other
@@ -218,13 +220,14 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int],
     return columns.mapInPandas(make, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, size int, position int, hash bigint, slots array<string>")
 
 
-def bitmap_of(windows: DataFrame) -> np.ndarray:
-    """One bit for each value of the hashes' first bits, made on the executors and merged byte by byte."""
-    at = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
-    set_bytes = windows.select(at.alias("at")).distinct().groupBy(F.shiftright("at", 3).alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits"))
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    found = set_bytes.toPandas()  # at most one row a byte of the bitmap
-    bitmap[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+def bitmap_of(windows: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each value of the hashes' first ``bits`` bits, made on the executors; pages of 32,768 bits go to the driver, at most 4,096 of them."""
+    at = F.shiftrightunsigned("hash", 64 - bits) + 1
+    pages = windows.select(F.bitmap_bucket_number(at).alias("page"), F.bitmap_bit_position(at).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bytes"))
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for page in pages.collect():
+        start = (page["page"] - 1) * 4096
+        bitmap[start : start + 4096] = np.frombuffer(page["bytes"], np.uint8)
     return bitmap
 
 
@@ -283,12 +286,24 @@ def judged_diagonals(hits: DataFrame) -> DataFrame:
     return lines.filter(consistent).select("doc_id", "item_id", "n_words", covered.alias("covered"), reworded.alias("reworded"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, min_words: int = 13, shortest: int = 5, whole: bool = False) -> DataFrame:
+def met_by_salts(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows of documents with the items' windows of the same hash and size; those that very many documents hold are spread over salts."""
+    key = ["hash", "size"]
+    found = cut(found)
+    own = items.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in items.columns if c not in key])).alias("own"))
+    uses = found.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"))
+    met = salted_join(found, cut(own.join(uses, key)), key, "uses", "doc_id")
+    return met.select(*found.columns, F.explode("own").alias("own")).select(*found.columns, "own.*")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, min_words: int = 13, shortest: int = 5, whole: bool = False, few: int = FEW) -> DataFrame:
     """doc_id, item_id, covered_words, n_words (of the item), reworded (some slot has another value): one row for each contaminated pair."""
-    items = item_windows(benchmark, item_id, item_text, window, shortest, whole)
+    items = cut(item_windows(benchmark, item_id, item_text, window, shortest, whole))
+    n = items.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
-    found = document_windows(docs, doc_id, text, sizes, bitmap_of(items), shortest, whole)
-    hits = found.join(items, ["hash", "size"])
+    found = document_windows(docs, doc_id, text, sizes, bitmap_of(items, bits), shortest, whole)
+    hits = found.join(F.broadcast(items), ["hash", "size"]) if n <= few else met_by_salts(found, items)
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: (x["item_slots"] != "") | (x["slots"] != ""))
     lines = hits.select("doc_id", "item_id", "n_words", "size", "item_position", (F.col("position") - F.col("item_position")).alias("diagonal"), pairs.alias("pairs"))
     scored = judged_runs(lines) if whole else judged_diagonals(lines)
@@ -298,5 +313,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that no item contaminates; rows without doc_id stay."""
-    found = find_contamination(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("_contaminated")).distinct()
-    return docs.join(found, docs[doc_id] == found["_contaminated"], "left_anti")
+    mark = free_name(docs, "contaminated")
+    found = find_contamination(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(found, F.col(doc_id) == F.col(mark), "left_anti")

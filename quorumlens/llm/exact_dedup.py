@@ -12,7 +12,7 @@ A text that makes up a third of all rows therefore never meets in one task befor
 
 Defined results: null text counts as empty; the empty text is a text like any other; of equal texts
 the largest doc_id stays, and a null doc_id loses to any other. Rows that repeat both doc_id and text
-are all reported, with one of them kept. An empty table gives an empty result.
+are all reported, with one of them kept; where their other columns differ, a hash of these decides which. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sal
         sha256_hex(text_of(text)).alias(digest), text_of(text).alias(whole), F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int").alias(salt),
         F.struct(*[F.col(c) for c in docs.columns if c != text]).alias(best), F.col(text).isNull().alias("was_null")
     )
-    order = F.struct(F.col(best)[doc_id], ~F.col("was_null"))
+    plain = [f.name for f in docs.schema if f.name != text and "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(best)[doc_id], ~F.col("was_null"), F.xxhash64(*[F.col(best)[c] for c in plain]))
     pick = [F.max_by(best, order).alias(best), F.max_by("was_null", order).alias("was_null")]
     merged = rows.groupBy(digest, whole, salt).agg(*pick)
     winners = merged.groupBy(digest, whole).agg(*pick)

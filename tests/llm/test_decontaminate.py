@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
-from quorumlens.llm.decontaminate import NUMBER, OUTER, UNITS, Templates, Tokens, decontaminate, find_contamination, template
+import numpy as np
+
+from quorumlens.llm.decontaminate import NUMBER, OUTER, UNITS, Templates, Tokens, best_windows, bitmap_of, decontaminate, find_contamination, template
 
 
 def plain(text):
@@ -113,3 +116,39 @@ def test_empty(spark):
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert find_contamination(d.limit(0), b).count() == 0 and find_contamination(d, b.limit(0)).count() == 0
     assert find_contamination(d, b).count() == 1 and decontaminate(d, b.limit(0)).count() == 1
+
+
+def test_large_benchmarks_and_windows_that_many_documents_hold(spark):
+    """Sent to all or met over salts: the same result."""
+    docs = spark.createDataFrame([(i, f"prefix{i} words here. {ITEMS[0][1]} suffix{i}") for i in range(1200)] + [(5000, ITEMS[4][1]), (5001, None)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for whole in (False, True):
+        results = [sorted(map(tuple, find_contamination(docs, items, whole=whole, few=few).collect())) for few in (100_000, 0)]
+        assert results[0] == results[1] and {r[0] for r in results[0]} == {*range(1200), 5000}
+
+
+def test_bitmap_has_every_window_and_no_other(spark):
+    r = random.Random(3)
+    hashes = [r.getrandbits(64) - 2**63 for _ in range(500)]
+    bits = bitmap_of(spark.createDataFrame([(h,) for h in hashes], "hash long"), 20)
+    at = {(h % 2**64) >> 44 for h in hashes}
+    assert len(bits) == 1 << 17 and {int(k) for k in np.flatnonzero(np.unpackbits(bits, bitorder="little"))} == at
+
+
+def test_consistent_windows_equal_brute_force():
+    """The longest run of windows that agree, or all that agree with the most frequent counterpart, by trying everything."""
+    r = random.Random(21)
+    for _ in range(400):
+        n, size = r.randint(1, 7), 3
+        places = sorted(r.sample(range(12), n))
+        hits = [{"at": k, "pairs": [{"item_slots": r.choice("ab"), "slots": r.choice("xy")} for _ in range(r.randint(0, 2))]} for k in places]
+        pairs = [[(p["item_slots"], p["slots"]) for p in h["pairs"]] for h in hits]
+        agrees = lambda some: len({a for p in some for a, _ in p}) == len({q for p in some for q in p})
+        cover = lambda ks: len({w for k in ks for w in range(places[k], places[k] + size)})
+        best = max((cover(range(i, j)) for i in range(n) for j in range(i + 1, n + 1) if agrees(pairs[i:j])), default=0)
+        votes = Counter(q for p in pairs for q in p)
+        chosen = {}
+        for a, b in sorted(votes, key=lambda q: (-votes[q], q[0] != q[1], q)):
+            chosen.setdefault(a, b)
+        best = max(best, cover([k for k in range(n) if all(chosen[a] == b for a, b in pairs[k])]))
+        assert best_windows(hits, size)[0] == best
