@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlens.functions.scores import EMOTIONS
 from quorumlens.functions.text import tokens
-from quorumlens.session import table
+from quorumlens.session import spread, table
 
 SERVICES = [f"svc_{k}" for k in range(6)]
 MODELS = [f"m{m}" for m in range(3)]
@@ -52,7 +52,8 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("at", "text"))
     lang = F.get(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.col("conv_id") % 4).cast("int"))
-    return rows.select(((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("at") + 1).cast("long").alias("id"), lang.alias("lang"), "text")
+    rows = rows.select(((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("at") + 1).cast("long").alias("id"), lang.alias("lang"), "text")
+    return spread(rows, "id")  # a table of one file would be one task, and each row makes many comparisons
 
 
 UTTERANCES = """(SELECT (conv_id::BIGINT * 1000 + turn) * 1000 + n AS id, (['de', 'en', 'es', 'fr'])[(conv_id % 4) + 1] AS lang, text
