@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 
+def word_buckets(words: Column) -> Column:
+    """Different words dealt by hash over buckets, about as many as a bucket holds words: a word is then found in steps that grow with the square root of their number."""
+    n = F.when(F.size(words) <= 64, 1).otherwise(F.ceil(F.sqrt(F.size(words)))).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(words, lambda w: F.pmod(F.xxhash64(w), n) == b))
+
+
 def word_errors(known: str, reference: str, hypothesis: str) -> Column:
     """Edit distance of two columns of word arrays, in Catalyst: each different word of the pair becomes one character.
 
-    known: a column of all different words of the pair. It must stand in the table, as it is looked up for each word. Characters go from U+0100
-    on and skip the range that is reserved for pairs of units, so over a million different words have one.
+    known: a column of `word_buckets` of all different words of the pair. It must stand in the table, as it is looked up for each word. A word's number is
+    its place within its bucket times the number of buckets, plus the bucket's. Characters go from U+0100 on and skip the range that is reserved for pairs of units.
     """
+    buckets = F.size(known)
 
     def character(w: Column) -> Column:
-        n = F.array_position(known, w) + 255
+        bucket = F.pmod(F.xxhash64(w), buckets).cast("int")
+        n = (F.array_position(F.get(known, bucket), w) - 1) * buckets + bucket + 256
         return F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")
 
     def spelled(words: str) -> Column:

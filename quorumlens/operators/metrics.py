@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlens.functions.scores import EMOTIONS, safe_divide
-from quorumlens.functions.similarity import word_errors
+from quorumlens.functions.similarity import word_buckets, word_errors
 from quorumlens.functions.text import tokens
 
 
@@ -17,16 +17,17 @@ def word_error_rows(panel: DataFrame) -> DataFrame:
     """
     kinds = [r for r in ("human", "oracle") if r in panel.columns]
     words = panel.withColumns({"_hyp": tokens(F.col("service_output")), **{f"_{r}": tokens(F.col(r)) for r in kinds}})
-    words = words.withColumns({f"_{r}_known": F.array_distinct(F.concat(f"_{r}", "_hyp")) for r in kinds})
+    words = words.withColumns({f"_{r}_different": F.array_distinct(F.concat(f"_{r}", "_hyp")) for r in kinds})
+    words = words.withColumns({f"_{r}_known": word_buckets(F.col(f"_{r}_different")) for r in kinds})
+    counted = words.withColumns({name: c for r in kinds for name, c in ((f"{r}_errors", _errors(r)), (f"{r}_ref_words", F.size(f"_{r}").cast("long")))})
     kept = [c for c in panel.columns if c not in ("human", "oracle", "service_output")]
-    return words.select(*kept, *[c for r in kinds for c in _errors(r)])
+    rate = lambda r: safe_divide(F.col(f"{r}_errors").cast("double"), F.col(f"{r}_ref_words")).alias(f"{r}_wer")
+    return counted.select(*kept, *[c for r in kinds for c in (f"{r}_errors", f"{r}_ref_words", rate(r))])
 
 
-def _errors(name: str) -> list[Column]:
-    ref, n, m = f"_{name}", F.size(f"_{name}"), F.size("_hyp")
-    errors = F.when(n == 0, m).when(m == 0, n).otherwise(word_errors(f"{ref}_known", ref, "_hyp")).cast("long")
-    words = n.cast("long")
-    return [errors.alias(f"{name}_errors"), words.alias(f"{name}_ref_words"), safe_divide(errors.cast("double"), words).alias(f"{name}_wer")]
+def _errors(name: str) -> Column:
+    n, m = F.size(f"_{name}"), F.size("_hyp")
+    return F.when(n == 0, m).when(m == 0, n).otherwise(word_errors(f"_{name}_known", f"_{name}", "_hyp")).cast("long")
 
 
 def word_error_rate(rows: DataFrame, *by: str, name: str = "human") -> DataFrame:
