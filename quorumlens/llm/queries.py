@@ -14,6 +14,7 @@ from quorumlens.llm.decontaminate import find_contamination
 from quorumlens.llm.exact_dedup import duplicate_report
 from quorumlens.llm.pii import find_pii, sanitise, span_list
 from quorumlens.llm.quality import fit_quality, quality_score
+from quorumlens.llm.resample import resample
 from quorumlens.llm.simhash import hamming_components
 from quorumlens.llm.token_shards import read_documents, with_starts, write_shards
 from quorumlens.llm.toxicity import fit_toxicity, toxicity_score
@@ -113,6 +114,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"), percent=25, min_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -124,8 +130,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_resample": op11_resample,
 }
 
+#: The unsigned crc32 of a text ``x``, bit by bit over its UTF-8 bytes.
+CRC32 = """xor(4294967295, list_reduce(
+             list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({x}))::BIGINT), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT)),
+             lambda c, byte: list_reduce([xor(c, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, (v & 1) * 3988292384))))"""
+
 #: op3 and op6 decide by corpus statistics in floating point; their rules, hosts and base spans are tested against brute force.
 ORACLE_SQL = {
     "op9_exact_dedup": """
@@ -146,4 +158,27 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(n + CASE WHEN fresh THEN length(role) + 17 ELSE 3 END)::BIGINT AS formatted_chars
         FROM marked GROUP BY conv_id""",
+    "op11_resample": r"""
+        WITH rows AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, 0 AS t
+          FROM documents
+          UNION ALL
+          SELECT NULL, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), 1
+          FROM benchmark),
+        features AS (SELECT r, t, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM rows),
+        counted AS (SELECT r, t, f, count(*) AS n FROM features GROUP BY ALL),
+        hashed AS (SELECT f, """ + CRC32.format(x="f") + r""" % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted)),
+        placed AS (SELECT r, t, bucket, n FROM counted JOIN hashed USING (f)),
+        gains AS (
+          SELECT bucket, floor(1000 * ln((sum(n * t) + 1)::DOUBLE * (sum(sum(n * (1 - t))) OVER () + 10000)::DOUBLE
+                                         / ((sum(n * (1 - t)) + 1)::DOUBLE * (sum(sum(n * t)) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+          FROM placed GROUP BY bucket),
+        weights AS (SELECT r, floor(sum(n * gain) / sum(n)) AS weight FROM placed JOIN gains USING (bucket) WHERE t = 0 GROUP BY r),
+        scored AS (
+          SELECT doc_id, len(w) AS n_words, greatest(2 * len(w) - 1, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                 coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+          FROM rows LEFT JOIN weights USING (r) WHERE t = 0),
+        placed_rows AS (
+          SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 25 * count(*) FILTER (WHERE n_words >= 20) OVER () // 100 AS drawn FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM placed_rows""",
 }
