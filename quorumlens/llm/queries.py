@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quorumlens.llm import bpe
 from quorumlens.llm.chat_format import format_chats, read_back
+from quorumlens.llm.chat_repair import digests, repair_conversations
 from quorumlens.llm.common import scratch_path
 from quorumlens.llm.decontaminate import find_contamination
 from quorumlens.llm.exact_dedup import duplicate_report
 from quorumlens.llm.pii import find_pii, sanitise, span_list
 from quorumlens.llm.quality import fit_quality, quality_score
 from quorumlens.llm.resample import resample
+from quorumlens.llm.set_join import jaccard_components
 from quorumlens.llm.simhash import hamming_components
 from quorumlens.llm.token_shards import read_documents, with_starts, write_shards
 from quorumlens.llm.toxicity import fit_toxicity, toxicity_score
@@ -119,6 +121,30 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversation rows with one damage in four, chosen by crc32 of ``conv_id:turn``; nulls become one space."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate(blank("text"), ".!?", "")).otherwise(blank("text"))
+    copies = F.when(F.col("hit") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = turns.withColumn("hit", hit).filter("hit <> 0")
+    return rows.select("conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(blank("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    reports, after = repair_conversations(damaged(turns))
+    same = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+    all_ids = turns.select("conv_id").distinct().alias("i")
+    joined = all_ids.join(reports.alias("r"), same("i", "r"), "left").join(digests(after).alias("d"), same("i", "d"), "left")
+    numbers = [F.coalesce(f"r.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("i.conv_id", *numbers, F.coalesce("r.audit", F.lit("")).alias("audit"), F.coalesce("d.sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -131,6 +157,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
     "op11_resample": op11_resample,
+    "op12_chat_repair": op12_chat_repair,
+    "op13_set_join": op13_set_join,
 }
 
 #: The unsigned crc32 of a text ``x``, bit by bit over its UTF-8 bytes.
@@ -181,4 +209,63 @@ ORACLE_SQL = {
         placed_rows AS (
           SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 25 * count(*) FILTER (WHERE n_words >= 20) OVER () // 100 AS drawn FROM scored)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM placed_rows""",
+    # the same edits by dynamic programming: the best (cost, audit) of each state of the pattern after each row, as texts that sort by cost and then audit
+    "op12_chat_repair": r"""
+        WITH RECURSIVE hits AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 """ + CRC32.format(x="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))") + r""" % 20 AS hit
+          FROM conversations),
+        damaged AS (
+          SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                 unnest(range(CASE hit WHEN 3 THEN 2 ELSE 1 END)) AS copy
+          FROM hits WHERE hit <> 0),
+        numbered AS (
+          SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS visible,
+                 CASE role WHEN '' THEN '_' ELSE left(role, 1) END AS initial
+          FROM damaged),
+        faults AS (
+          SELECT *, CASE WHEN visible = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(visible, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+                 coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+          FROM numbered),
+        found AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+                 count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE illegal) AS illegal, list(initial ORDER BY pos) AS initials, list(fault ORDER BY pos) AS faults
+          FROM faults GROUP BY conv_id),
+        -- best: one text for each state (nothing, after s, after u, after a): cost in eight digits, then the audit; a state that is out of reach has a cost of 99999999
+        open_states AS (
+          SELECT conv_id, initials, faults, 0 AS i, ['00000000', '99999999', '00000005I', '00000010II'] AS best FROM found
+          UNION ALL
+          SELECT conv_id, initials, faults, i + 1, [none, s, u, least(a, lpad((left(u, 8)::INT + 5)::VARCHAR, 8, '0') || substr(u, 9) || 'I')]
+          FROM (
+            SELECT conv_id, initials, faults, i, none, s, a,
+                   least(u, lpad((left(none, 8)::INT + 5)::VARCHAR, 8, '0') || substr(none, 9) || 'I', lpad(least(left(s, 8)::INT + 5, 99999999)::VARCHAR, 8, '0') || substr(s, 9) || 'I',
+                         lpad((left(a, 8)::INT + 5)::VARCHAR, 8, '0') || substr(a, 9) || 'I') AS u
+            FROM (
+              SELECT conv_id, initials, faults, i, d[1] AS none,
+                     least(d[2], CASE WHEN stays AND initial = 's' THEN k[1] END) AS s,
+                     least(d[3], CASE WHEN stays THEN least(r[1], r[2], r[4]) END, CASE WHEN stays AND initial = 'u' THEN least(k[1], k[2], k[4]) END) AS u,
+                     least(d[4], CASE WHEN stays THEN r[3] END, CASE WHEN stays AND initial = 'a' THEN k[3] END) AS a
+              FROM (
+                SELECT conv_id, initials, faults, i, initials[i + 1] AS initial, faults[i + 1] IN ('t', '.') AS stays, CASE faults[i + 1] WHEN 't' THEN 5 ELSE 0 END AS charge,
+                       list_transform(best, lambda b: lpad(least(left(b, 8)::INT + 2, 99999999)::VARCHAR, 8, '0') || substr(b, 9) || 'D') AS d,
+                       list_transform(best, lambda b: lpad(least(left(b, 8)::INT + charge, 99999999)::VARCHAR, 8, '0') || substr(b, 9) || 'K') AS k,
+                       list_transform(best, lambda b: lpad(least(left(b, 8)::INT + 1 + charge, 99999999)::VARCHAR, 8, '0') || substr(b, 9) || 'R') AS r
+                FROM open_states WHERE i < len(initials)) AS steps) AS moved) AS put),
+        chosen AS (SELECT conv_id, left(least(best[1], best[4]), 8)::BIGINT AS cost, substr(least(best[1], best[4]), 9) AS audit, initials FROM open_states WHERE i = len(initials)),
+        edits AS (SELECT conv_id, initials, unnest(range(1, length(audit) + 1)) AS k, audit FROM chosen),
+        placed AS (
+          SELECT conv_id, k, audit[k] AS edit, initials, k - length(replace(left(audit, k), 'I', '')) AS skipped,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY k) AS place
+          FROM edits WHERE audit[k] <> 'D'),
+        turns_after AS (
+          SELECT placed.conv_id, place, role, text, edit, coalesce(first_value(edit = 'K' AND initial = 's') OVER (PARTITION BY placed.conv_id ORDER BY place), false)::INT AS system
+          FROM placed LEFT JOIN faults ON faults.conv_id IS NOT DISTINCT FROM placed.conv_id AND pos = k - skipped AND edit <> 'I'),
+        hashed AS (
+          SELECT conv_id, sha256(string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || coalesce(text, ''), chr(10) ORDER BY place)) AS repaired_sha256
+          FROM turns_after GROUP BY conv_id)
+        SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS ids LEFT JOIN found ON found.conv_id IS NOT DISTINCT FROM ids.conv_id
+        LEFT JOIN chosen ON chosen.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN hashed ON hashed.conv_id IS NOT DISTINCT FROM ids.conv_id""",
 }
