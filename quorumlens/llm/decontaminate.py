@@ -20,7 +20,8 @@ are sent to every executor while they are few; beyond that, windows that very ma
 
 Defined results: null and empty texts have no windows; items shorter than the window are one window of their own length, and
 items of fewer than ``shortest`` words, or windows with fewer than ``shortest`` plain words (unless the whole item
-has no more), are too common to tell and never match as templates, and without ``whole`` never at all. Repeated rows are found together, as one (doc_id, item_id).
+has no more), are too common to tell and never match as templates, and without ``whole`` never at all. A document is its doc_id and
+text: rows that repeat both are found together, texts that share an id, or have none, each for itself.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ OUTER = string.punctuation.replace("%", "").replace("$", "") + "«»“”„’
 NUMBER = re.compile(r"[-+$€£]?\d[\d.,/:]*%?")
 #: Bits of a hash that the bitmap knows, at least and at most.
 LEAST_BITS, MOST_BITS = 20, 27
+#: Characters of the items' slots and ids that are sent to every executor at most.
+MOST_SENT = 1 << 24
 #: Texts whose windows are hashed together.
 TOGETHER = 200
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "<number>", "<name>", "<unit>"
@@ -188,7 +191,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, sho
 
 
 def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int], bitmap: np.ndarray, shortest: int = 0, whole: bool = False) -> DataFrame:
-    """doc_id, size, position, hash and slots of the windows that the bitmap passes."""
+    """doc_id, text_hash, size, position, hash and slots of the windows that the bitmap passes."""
     small_batches()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
 
@@ -196,7 +199,7 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int],
         tokens, bits = Tokens(), shared.value
         shift = np.uint64(64 - (len(bits).bit_length() + 2))  # the bitmap has 8 bits a byte, and a power of two of them
         for batch in batches:
-            rows, ids = [], batch["doc_id"].tolist()
+            rows, ids, hashes = [], batch["doc_id"].tolist(), batch["text_hash"].tolist()
             for start in range(0, len(batch), TOGETHER):
                 made = Templates(batch["text"].iloc[start : start + TOGETHER].tolist(), tokens)
                 for size in sizes:
@@ -213,11 +216,12 @@ def document_windows(docs: DataFrame, doc_id: str, text: str, sizes: list[int],
                         if size < shortest:  # the window is all of an item: once a text is enough
                             passed = passed[np.unique(np.stack([made.text[passed], h[passed].view(np.int64)]), axis=1, return_index=True)[1]]
                         for k, t, x in zip(passed.tolist(), made.text[passed].tolist(), h[passed].view(np.int64).tolist(), strict=True):
-                            rows.append((ids[start + t], size, k - int(made.bounds[t]), x, made.slots(k, k + size, kind)))
-            yield pd.DataFrame(rows, columns=["doc_id", "size", "position", "hash", "slots"])
+                            rows.append((ids[start + t], hashes[start + t], size, k - int(made.bounds[t]), x, made.slots(k, k + size, kind)))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "size", "position", "hash", "slots"])
 
-    columns = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).filter("doc_id is not null")
-    return columns.mapInPandas(make, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, size int, position int, hash bigint, slots array<string>")
+    columns = docs.select(F.col(doc_id).cast("string").alias("doc_id"), text_of(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))  # ids as texts: pandas has no null integers
+    found = columns.mapInPandas(make, "doc_id string, text_hash bigint, size int, position int, hash bigint, slots array<string>")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
 def bitmap_of(windows: DataFrame, bits: int) -> np.ndarray:
@@ -269,21 +273,27 @@ def _covered(hits: list[tuple[int, list[tuple[str, str]]]], size: int) -> tuple[
 
 
 def judged_runs(hits: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_words, covered and reworded of each diagonal's best windows. hits: with item_position, diagonal and pairs."""
-    lines = hits.groupBy("doc_id", "item_id", "n_words", "size", "diagonal").agg(F.collect_set(F.struct(F.col("item_position").alias("at"), "pairs")).alias("hits"))
+    """doc_id, text_hash, item_id, n_words, covered and reworded of each diagonal's best windows. hits: with item_position, diagonal and pairs."""
+    lines = hits.groupBy("doc_id", "text_hash", "item_id", "n_words", "size", "diagonal").agg(F.collect_set(F.struct(F.col("item_position").alias("at"), "pairs")).alias("hits"))
     kind = pa.struct([("covered", pa.int32()), ("reworded", pa.bool_())])
     make = lambda: lambda hits, sizes: [dict(zip(("covered", "reworded"), best_windows(h, n), strict=True)) for h, n in zip(hits, sizes, strict=True)]
     judged = by_slices("struct<covered:int,reworded:boolean>", kind, make, F.col("hits"), F.col("size"))
-    return lines.select("doc_id", "item_id", "n_words", judged.alias("best")).select("doc_id", "item_id", "n_words", "best.*")
+    return lines.select("doc_id", "text_hash", "item_id", "n_words", judged.alias("best")).select("doc_id", "text_hash", "item_id", "n_words", "best.*")
 
 
 def judged_diagonals(hits: DataFrame) -> DataFrame:
     """As `judged_runs`, of the diagonals that are consistent as a whole."""
-    lines = hits.groupBy("doc_id", "item_id", "n_words", "size", "diagonal").agg(F.array_sort(F.collect_set("item_position")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    lines = hits.groupBy("doc_id", "text_hash", "item_id", "n_words", "size", "diagonal").agg(F.array_sort(F.collect_set("item_position")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"])))
     covered = F.aggregate("at", F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda a, p: F.struct((p + F.col("size")).alias("end"), (a["n"] + F.least(F.col("size"), p + F.col("size") - a["end"])).alias("n")))["n"]
     reworded = F.exists("pairs", lambda x: x["item_slots"] != x["slots"])
-    return lines.filter(consistent).select("doc_id", "item_id", "n_words", covered.alias("covered"), reworded.alias("reworded"))
+    return lines.filter(consistent).select("doc_id", "text_hash", "item_id", "n_words", covered.alias("covered"), reworded.alias("reworded"))
+
+
+def _characters(items: DataFrame) -> int:
+    """Of the windows' slots and ids."""
+    slots = F.aggregate("item_slots", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    return items.agg(F.sum(slots + F.length(F.col("item_id").cast("string")))).first()[0] or 0
 
 
 def met_by_salts(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -292,27 +302,30 @@ def met_by_salts(found: DataFrame, items: DataFrame) -> DataFrame:
     found = cut(found)
     own = items.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in items.columns if c not in key])).alias("own"))
     uses = found.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"))
-    met = salted_join(found, cut(own.join(uses, key)), key, "uses", "doc_id")
+    met = salted_join(found, cut(own.join(uses, key)), key, "uses", "text_hash")
     return met.select(*found.columns, F.explode("own").alias("own")).select(*found.columns, "own.*")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, min_words: int = 13, shortest: int = 5, whole: bool = False, few: int = FEW) -> DataFrame:
-    """doc_id, item_id, covered_words, n_words (of the item), reworded (some slot has another value): one row for each contaminated pair."""
+    """doc_id, text_hash, item_id, covered_words, n_words (of the item), reworded (some slot has another value): one row for each contaminated pair.
+
+    A document is its doc_id and text (xxhash64), so texts that share an id, and those without one, are judged each for itself; repeated rows are one.
+    """
     items = cut(item_windows(benchmark, item_id, item_text, window, shortest, whole))
     n = items.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
     found = document_windows(docs, doc_id, text, sizes, bitmap_of(items, bits), shortest, whole)
-    hits = found.join(F.broadcast(items), ["hash", "size"]) if n <= few else met_by_salts(found, items)
+    hits = found.join(F.broadcast(items), ["hash", "size"]) if n <= few and _characters(items) <= MOST_SENT else met_by_salts(found, items)
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: (x["item_slots"] != "") | (x["slots"] != ""))
-    lines = hits.select("doc_id", "item_id", "n_words", "size", "item_position", (F.col("position") - F.col("item_position")).alias("diagonal"), pairs.alias("pairs"))
+    lines = hits.select("doc_id", "text_hash", "item_id", "n_words", "size", "item_position", (F.col("position") - F.col("item_position")).alias("diagonal"), pairs.alias("pairs"))
     scored = judged_runs(lines) if whole else judged_diagonals(lines)
-    best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.max("covered").alias("covered_words"), F.min("reworded").alias("reworded"))
-    return best.filter(F.col("covered_words") >= F.least(F.lit(min_words), F.col("n_words"))).select("doc_id", "item_id", "covered_words", "n_words", "reworded")
+    best = scored.groupBy("doc_id", "text_hash", "item_id", "n_words").agg(F.max("covered").alias("covered_words"), F.min("reworded").alias("reworded"))
+    return best.filter(F.col("covered_words") >= F.least(F.lit(min_words), F.col("n_words"))).select("doc_id", "text_hash", "item_id", "covered_words", "n_words", "reworded")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates; rows without doc_id stay."""
-    mark = free_name(docs, "contaminated")
-    found = find_contamination(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(found, F.col(doc_id) == F.col(mark), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates; rows that share a doc_id, or have none, go or stay by their own texts."""
+    mark, own = free_name(docs, "contaminated"), free_name(docs, "contaminated_text")
+    found = find_contamination(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias(mark), F.col("text_hash").alias(own)).distinct()
+    return docs.join(found, F.col(doc_id).eqNullSafe(F.col(mark)) & (F.xxhash64(text_of(text)) == F.col(own)), "left_anti")

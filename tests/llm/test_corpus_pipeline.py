@@ -14,7 +14,7 @@ LEAK = "a farmer walks along seven long fences and counts every painted post bef
 def rows():
     texts = [
         (1, BASE), (2, BASE), (3, BASE + " more"), (4, "quite another text"), (4, "yet one more of its own"), (5, None), (6, ""), (None, "no id at all"), (None, None),
-        (7, f"before {LEAK} after"), (8, "you vile nastyword and vileness"), (9, "x y " * 20_000), (10, "short"), (10, "short"),
+        (7, f"before {LEAK} after"), (7, "clean under the id of a leak"), (None, f"no id and {LEAK}"), (8, "you vile nastyword and vileness"), (9, "x y " * 20_000), (10, "short"), (10, "short"),
     ]
     filler = [(100 + k, " ".join(f"f{k}w{j}" for j in range(30)) + (" nastyword vileness" if k % 4 == 0 else "")) for k in range(60)]
     return [(i, t, "en", "s", len(t or ""), 7, "b", "d", 1) for i, t in texts + filler]
@@ -76,7 +76,7 @@ def test_encoding(spark, folder):
 
 def test_whole_run_and_empty_tables(spark, folder, tmp_path):
     ids = sorted(str(x["doc_id"]) for x in pipeline.run(spark, folder).collect())
-    gone = {8, *range(100, 160, 4), 1, 3, 5, 7}  # toxic; 2 stays for 1, the near copy 3 goes for 2; 6 stays for 5; the leak
+    gone = {8, *range(100, 160, 4), 1, 3, 5}  # toxic; 2 stays for 1, the near copy 3 goes for 2; 6 stays for 5; the leak
     assert ids == sorted([*(str(i) for i in {i for i, *_ in rows()} - gone), "4"])  # two texts under 4
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -58,9 +58,9 @@ def test_found_and_left_alone(spark):
     d = spark.createDataFrame([(i, t, 0, "z") for i, t in docs], "doc_id long, text string, hash int, item_id string")
     b = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, doc_id int")
     got = {(x["doc_id"], x["item_id"]): x["reworded"] for x in find_contamination(d, b).collect()}
-    assert got == {(1, 1): False, (2, 1): True, (4, 2): False, (9, 5): False, (13, 2): False, (12, 1): False}
+    assert got == {(1, 1): False, (2, 1): True, (4, 2): False, (9, 5): False, (13, 2): False, (12, 1): False, (None, 1): False}
     kept = sorted(str(x["doc_id"]) for x in decontaminate(d, b).collect())
-    assert kept == sorted(["3", "5", "6", "7", "8", "10", "11", "None"])
+    assert kept == sorted(["3", "5", "6", "7", "8", "10", "11"])
     assert decontaminate(d, b).columns == d.columns
 
 
@@ -152,3 +152,18 @@ def test_consistent_windows_equal_brute_force():
             chosen.setdefault(a, b)
         best = max(best, cover([k for k in range(n) if all(chosen[a] == b for a, b in pairs[k])]))
         assert best_windows(hits, size)[0] == best
+
+
+def test_texts_under_one_id_and_without_any_are_judged_apart(spark):
+    leak = "seven old sailors repair the broken mast with tar and rope before the storm reaches the northern harbour at night"
+    words = leak.split()
+    first, second = " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
+    rows = [(4, "a clean text that stays"), (4, f"here {leak} there"), (9, f"start {first} of one"), (9, f"other text {second} end"), (10, f"start {first} of one"), (11, f"other text {second} end"),
+            (None, leak), (None, "clean and without id"), (None, None), (2**60 + 1, leak), (12, f"twice {leak}"), (12, f"twice {leak}")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, text_hash int").repartition(3)
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    for few in (100_000, 0):
+        kept = sorted(((x["doc_id"] or 0, x["text"] or "", x["text_hash"]) for x in decontaminate(docs, items, whole=True, few=few).collect()))
+        assert kept == sorted((i or 0, t or "", 1) for i, t in rows if leak not in (t or ""))
+        found = sorted(((x["doc_id"] or 0, x["item_id"]) for x in find_contamination(docs, items, whole=True, few=few).collect()))
+        assert found == [(0, 1), (4, 1), (12, 1), (2**60 + 1, 1)]
