@@ -179,13 +179,13 @@ def span_list(spans: Column) -> Column:
 
 
 def sanitise(text: Column, spans: Column) -> Column:
-    """The text with base spans generalised to ``<kind>`` and terms removed; of overlapping spans the first counts."""
+    """The text with base spans generalised to ``<kind>`` and terms removed. Overlapping spans go as a whole, to the end of the last, each with its own mark."""
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         new = F.when(x["kind"] == "term", "").otherwise(F.concat(F.lit("<"), x["kind"], F.lit(">")))
-        moved = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), new).alias("out"))
-        return F.when(x["start"] >= acc["at"], moved).otherwise(acc)
+        before = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
+        return F.when(x["end"] > acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], before, new).alias("out"))).otherwise(acc)
 
     done = F.aggregate(spans, begin, step)
     return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text)))

@@ -112,3 +112,17 @@ def test_disclosing_terms_are_found_and_removed(spark):
 
 def test_empty_table(spark):
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_character_of_a_base_span_survives(spark):
+    r = random.Random(9)
+    part = lambda: r.choice(["10.0.0.1", "-4111111111110005", "4111 1111 1111 1111", "+49 (30) 123-4567", "a.b@c.de", ".x", " ", "-", "1", "+1", "8.8.8.8"])
+    texts = ["ip 10.0.0.1-4111111111110005 end", *("ab " + "".join(part() for _ in range(r.randrange(1, 9))) + " yz" for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    overlaps = 0
+    for x in find_pii(docs).withColumn("clean", sanitise(F.col("text"), F.col("pii_spans"))).collect():
+        covered = {k for s in x["pii_spans"] for k in range(s["start"], s["end"])}
+        overlaps += len(covered) < sum(s["end"] - s["start"] for s in x["pii_spans"])
+        left = re.sub("<(email|ip|card|phone)>", "", x["clean"])
+        assert left == "".join(c for k, c in enumerate(x["text"]) if k not in covered)
+    assert overlaps > 10
