@@ -15,7 +15,7 @@ The model is fitted on at most ``max_positive`` toxic and ``max_unlabelled`` unl
 of their doc_id), a fixed bound whatever the size of the corpus; scoring covers every row and whole text.
 
 Defined results: null and empty texts have no features and score by the bias; without toxic examples every score is 0; a text is one example however
-often its doc_id repeats among the labels; rows without doc_id are scored like any other but not learned from.
+often its doc_id repeats among the labels; of several texts under one doc_id the one with the smallest hash is learned from; rows without doc_id are scored like any other but not learned from.
 """
 
 from __future__ import annotations
@@ -117,25 +117,26 @@ def packed_features(text: Column) -> Column:
     return by_slices("binary", pa.binary(), make, text_of(text))
 
 
-def _rows(sample: DataFrame, text: str) -> Rows:
-    packed = sample.select(packed_features(F.col(text)).alias("x")).toPandas()["x"]
-    return Rows([(x := np.frombuffer(bytes(b), np.int32), np.ones(len(x))) for b in packed])
+def _rows(packed: list[bytes]) -> Rows:
+    return Rows([(x := np.frombuffer(b, np.int32), np.ones(len(x))) for b in packed])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 8000, prior: float | None = None) -> tuple[np.ndarray, float]:
     """A model from ``docs`` and the ``labels`` (key, label) that may be learned from.
 
     A sample of all texts, labels aside, is the unlabelled set. The class prior, if not given, is the share of
-    toxic rows among ``labels``.
+    toxic rows among ``labels``. Examples are ordered by a hash of their key, so the model does not depend on how rows are dealt over tasks.
     """
     known = labels.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = prior if prior is not None else min(max(toxic / n if n else 0.0, 0.001), 0.999)
-    by_hash = lambda ids, most: ids.select(key, F.xxhash64(key).alias("h")).distinct().orderBy("h", key).limit(most).select(key)
-    positive = by_hash(known.filter("y = 1"), max_positive)
-    rest = by_hash(docs.select(key), max_unlabelled)
-    pick = lambda ids: docs.select(key, text).join(F.broadcast(ids), key, "left_semi")  # noqa: E731  of bounded size
-    return fit_nnpu(_rows(pick(positive), text), _rows(pick(rest), text), prior)
+    by_hash = lambda ids, most: ids.select(key, F.xxhash64(key).alias("h")).filter(F.col(key).isNotNull()).distinct().orderBy("h", key).limit(most)
+    some = [by_hash(known.filter("y = 1"), max_positive).withColumns({"p": F.lit(1), "u": F.lit(0)}), by_hash(docs.select(key), max_unlabelled).withColumns({"p": F.lit(0), "u": F.lit(1)})]
+    ids = some[0].unionByName(some[1]).groupBy(key, "h").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+    found = docs.select(key, text_of(text).alias("text")).join(F.broadcast(ids), key)  # of bounded size
+    one = found.groupBy("h", key, "p", "u").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # of an id's texts the one with the smallest hash
+    sample = sorted(((r["h"], str(r["key"]), r["p"], r["u"], bytes(r["x"])) for r in one.select("h", F.col(key).alias("key"), "p", "u", packed_features(F.col("text")).alias("x")).collect()))
+    return fit_nnpu(_rows([r[4] for r in sample if r[2]]), _rows([r[4] for r in sample if r[3]]), prior)
 
 
 def toxicity_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> Column:

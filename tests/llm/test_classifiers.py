@@ -77,6 +77,15 @@ def test_toxicity(spark):
     assert docs.select(toxicity_score(docs, none).alias("s")).agg(F.max("s")).first()[0] < 1e-9
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, n_chars long, quality int, toxic int").select("doc_id", "text", "toxic")
+    extra = spark.createDataFrame([(1, "another text under a known id", 0), (None, "no id", 1)], docs.schema)
+    docs = docs.unionByName(extra)
+    models = [fit_toxicity(d.select("doc_id", "text"), d.select("doc_id", "toxic")) for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy("text"))]
+    for w, b in models[1:]:
+        assert b == models[0][1] and np.array_equal(w, models[0][0])
+
+
 def test_slopes_are_those_of_the_risk():
     r, h = np.random.default_rng(4), 1e-6
     for shift in (0.0, -9.0, 4.0):  # with and without the second term below zero
