@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlens.functions.scores import rounded
@@ -52,25 +50,6 @@ def progress(slices: DataFrame) -> DataFrame:
     )
 
 
-class SnapshotTable:
-    """A keyed table in a folder: each upsert writes a new snapshot, and a pointer table names the latest. One writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str, key: list[str]):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
-
-    def read(self) -> DataFrame | None:
-        try:
-            latest = self.spark.read.parquet(f"{self.path}/pointer").orderBy(F.desc("version")).first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return self.spark.read.parquet(f"{self.path}/{latest['name']}")
-
-    def upsert(self, new: DataFrame) -> None:
-        old = self.read()
-        merged = new if old is None else upsert(old, new, self.key)
-        version = 0 if old is None else self.spark.read.parquet(f"{self.path}/pointer").agg(F.max("version")).first()[0] + 1
-        name = f"snapshot-{version}-{uuid.uuid4().hex[:8]}"
-        merged.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(version, name)], "version long, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+def overwrite_slices(new: DataFrame, path: str, *by: str) -> None:
+    """Writes ``new`` into the ledger at ``path``, which is partitioned by ``by``: the slices that ``new`` holds are replaced, and no file of another one is touched or read."""
+    new.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

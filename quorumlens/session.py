@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,15 +36,25 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder of spark.checkpoint.dir: read twice they are the same, and no lost executor brings them back to the start."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not spark.sparkContext.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where Spark runs in this process (tests)."""
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if folder is None:
             folder = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
+    return (folder or context.getCheckpointDir()).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder: read twice they are the same, and no lost executor brings them back to the start."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

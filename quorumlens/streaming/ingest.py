@@ -7,20 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quorumlens.operators.store import SnapshotTable
+from quorumlens.operators.keyed_log import KeyedLog
 
 
-def upsert_stream(results: DataFrame, target: SnapshotTable, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Starts a query that upserts each micro-batch; within a batch the last row of a key (by ``order``) counts. Replayed batches change nothing."""
+def upsert_stream(results: DataFrame, target: KeyedLog, checkpoint: str, order: str | None = None, name: str = "upserts") -> StreamingQuery:
+    """Starts a query that upserts each micro-batch; within a batch the last row of a key (by ``order``) counts. A batch that is replayed after a failure is known by
+    the stream's name and its number, and changes nothing."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         if order:
-            last = F.row_number().over(W.partitionBy(*target.key).orderBy(F.desc(order)))
+            last = F.row_number().over(W.partitionBy(*target.key_columns()).orderBy(F.desc(order)))
             batch = batch.withColumn("_last", last).filter("_last = 1").drop("_last")
         else:
-            batch = batch.dropDuplicates(target.key)
+            names = [f"_key_{k}" for k in range(len(target.key))]
+            batch = batch.withColumns(dict(zip(names, target.key_columns(), strict=True))).dropDuplicates(names).drop(*names)
         if not batch.isEmpty():
-            target.upsert(batch)
+            target.upsert(batch, name, number)
 
     return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

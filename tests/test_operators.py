@@ -137,9 +137,10 @@ def test_upsert(spark):
 
 
 def test_snapshots_and_stream(spark, tmp_path):
+    from quorumlens.operators.keyed_log import KeyedLog
     from quorumlens.streaming.ingest import upsert_stream
 
-    target = store.SnapshotTable(spark, str(tmp_path / "t"), ["id"])
+    target = KeyedLog(spark, str(tmp_path / "t"), ["id"])
     assert target.read() is None
     schema = "id string, v long"
     spark.createDataFrame([("0001", 1), ("0002", 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
