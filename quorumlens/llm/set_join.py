@@ -15,8 +15,9 @@ lists; verified links make components. Then, in the lists that still hold severa
 component meets the others' members. Links inside a component can't change the result, so a large group of near copies costs what its lists
 hold, not their square; what is quadratic is only sets that fit each other in the bound, share rare shingles, and still are not linked.
 
-The boundary between light and heavy is where the subsets of all smaller sets and the lists of all larger ones cost least in rows, by the counts of each size. Subsets
-of sets above ``MOST_LIGHT`` shingles always cost more than their lists, unless a list holds millions.
+The boundary between light and heavy is where the subsets of all smaller sets, and the shingles that larger sets send and list, are fewest, by the corpus' counts of each
+size. A light set near the boundary can have a heavy partner, so it is listed too; smaller ones are not sent at all. Subsets of sets
+above ``MOST_LIGHT`` shingles always cost more.
 
 The order needs every shingle's number of documents. A block of documents sends the shingles of each hash range as one packed row; the
 range's task counts them and sends back those that occur more than once, with the logarithm of their number. Rows per shingle would take
@@ -91,6 +92,13 @@ def named_sets(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFra
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("hash"), both.alias("s")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "hash", "s.*")
 
 
+def set_nodes(rows: DataFrame) -> DataFrame:
+    """id (a number, fixed once written), node, n, copies (rows that have it), first_id (their smallest doc_id) and one (a row that has it) of each set that is not empty."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")))
+    nodes = rows.filter("n > 0").groupBy("node").agg(one.alias("one"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    return cut(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "n", "copies", F.col("one._id").alias("first_id"), "one"))
+
+
 PACKED = "range int, block long, shingles binary, docs binary, heads binary, hot binary"
 
 
@@ -117,8 +125,8 @@ def block_rows(sets: list[np.ndarray], block: int, ranges: int) -> Iterator[tupl
     yield block % ranges, block, None, doc[hot].astype("<u4").tobytes(), heads, every[hot].astype("<u8").tobytes()
 
 
-def blocks_by_range(docs: DataFrame, text: str, shingle: int, ranges: int) -> DataFrame:
-    """`block_rows` of blocks of ``docs``."""
+def blocks_by_range(docs: DataFrame, text: str, shingle: int, ranges: int, least: int) -> DataFrame:
+    """`block_rows` of blocks of the sets of ``docs`` that have at least ``least`` shingles."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +135,7 @@ def blocks_by_range(docs: DataFrame, text: str, shingle: int, ranges: int) -> Da
         for batch in batches:
             for t in batch.column(0):
                 s = shingle_set(t.as_py(), shingle)
-                if len(s) and (name := set_name(s)) not in seen:  # equal sets of a block count once
+                if len(s) >= max(1, least) and (name := set_name(s)) not in seen:  # equal sets of a block count once
                     seen.add(name)
                     held.append(s)
                     size += len(s)
@@ -216,49 +224,53 @@ def rare_prefixes(percent: int):
 LISTED = "shingle long, node binary, n long, left long, level int"
 
 
-def inverted_lists(docs: DataFrame, text: str, shingle: int, percent: int, shingles: int) -> DataFrame:
-    """shingle, node, n, left, level: the lists of the rarest shingles of each set, without those of one document only. shingles: how many there are in all."""
+def inverted_lists(docs: DataFrame, text: str, shingle: int, percent: int, shingles: int, least: int = 1) -> DataFrame:
+    """shingle, node, n, left, level: the lists of the rarest shingles of each set of at least ``least``, without those of one document only. shingles: how many there are in all."""
     ranges = max(1, -(-shingles // RANGE))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    up = blocks_by_range(docs, text, shingle, ranges).repartition(max(parts, ranges), "range").sortWithinPartitions("range")
+    up = blocks_by_range(docs, text, shingle, ranges, least).repartition(max(parts, ranges), "range").sortWithinPartitions("range")
     down = up.mapInArrow(shared_shingles, PACKED).repartition(parts, "block").sortWithinPartitions("block")
     return down.mapInArrow(rare_prefixes(percent), LISTED).dropDuplicates(["shingle", "node"])
 
 
-def light_boundary(lists: DataFrame, sizes: DataFrame, percent: int) -> int:
-    """The largest size of light sets: rows of subsets up to it plus rows of lists beyond it are fewest. Both tables have one row a size; the driver gets those up to `MOST_LIGHT`."""
-    scans = lists.filter(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum(F.pow(F.lit(2.0), F.col("level") / 4)).alias("scan"))
-    table = {r["n"]: (r["sets"], r["scan"] or 0.0) for r in sizes.filter(F.col("n").between(1, MOST_LIGHT)).join(scans, "n", "left").collect()}
-    costs = []
-    for bound in range(MOST_LIGHT + 1):
-        listed = -(-percent * (bound + 1) // 100)  # smaller ones have no heavy partner
-        costs.append(sum(sets * subset_rows(n, percent) for n, (sets, _) in table.items() if n <= bound) + sum(scan for n, (_, scan) in table.items() if n >= listed))
-    return min(range(MOST_LIGHT + 1), key=lambda b: (costs[b], b))
+def light_boundary(sizes: dict[int, int], percent: int) -> int:
+    """The largest size of light sets: the rows of subsets up to it, and the shingles that are sent and listed beyond it, are fewest. sizes: how many sets of each size, up to `MOST_LIGHT`."""
+
+    def cost(bound: int) -> int:
+        light = sum(sets * subset_rows(n, percent) for n, sets in sizes.items() if n <= bound)
+        return light + sum(sets * (n + n - -(-percent * n // 100) + 1) for n, sets in sizes.items() if n >= least_listed(bound, percent))
+
+    return min(range(MOST_LIGHT, -1, -1), key=cost)
+
+
+def least_listed(light: int, percent: int) -> int:
+    """The smallest size that a partner of a heavy set can have."""
+    return -(-percent * (light + 1) // 100)
 
 
 def subsets(sets: DataFrame, percent: int) -> DataFrame:
-    """node, n, low, high (sizes that meet), name (of a subset of need(low, high) shingles) of each light set (node, hashes)."""
+    """id, n, low, high (sizes that meet), name (of a subset of need(low, high) shingles) of each light set (id, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, raw in zip(batch.column(0), batch.column(1), strict=True):
-                node, hashes = node.as_py(), np.frombuffer(raw.as_py(), "<u8")
+            for id_, raw in zip(batch.column(0), batch.column(1), strict=True):
+                id_, hashes = id_.as_py(), np.frombuffer(raw.as_py(), "<u8")
                 n, rows = len(hashes), []
                 for m in partner_sizes(n, percent):
                     low, high = min(n, m), max(n, m)
-                    rows += [(node, n, low, high, xxhash.xxh3_128_digest(b"".join(s))) for s in itertools.combinations([h.tobytes() for h in hashes], need(low, high, percent))]
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["node", "n", "low", "high", "name"])
+                    rows += [(id_, n, low, high, xxhash.xxh3_128_digest(b"".join(s))) for s in itertools.combinations([h.tobytes() for h in hashes], need(low, high, percent))]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "n", "low", "high", "name"])
 
-    return sets.select("node", "hashes").mapInArrow(run, "node binary, n long, low long, high long, name binary")
+    return sets.select("id", "hashes").mapInArrow(run, "id long, n long, low long, high long, name binary")
 
 
 def light_links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links of light sets with the components of all. Sets of the smaller size that share a subset link with all others of its group; without any of those, a group says nothing."""
     made = cut(subsets(sets, percent))
-    groups = made.groupBy("low", "high", "name").agg(F.min(F.when(F.col("n") == F.col("low"), F.col("node"))).alias("first"), F.count(F.lit(1)).alias("rows"))
+    groups = made.groupBy("low", "high", "name").agg(F.min(F.when(F.col("n") == F.col("low"), F.col("id"))).alias("first"), F.count(F.lit(1)).alias("rows"))
     groups = cut(groups.filter("first is not null and rows > 1"))
-    return salted_join(made, groups, ["low", "high", "name"], "rows", "node").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return salted_join(made, groups, ["low", "high", "name"], "rows", "id").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
 
 
 def fits(x: str, y: str, percent: int) -> Column:
@@ -267,15 +279,14 @@ def fits(x: str, y: str, percent: int) -> Column:
     return (F.least(f"{x}.left", f"{y}.left") * (100 + percent) >= percent * (low + high)) & (100 * low >= percent * high)
 
 
-def packed_sets(docs: DataFrame, text: str, doc_id: str, shingle: int, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, hashes (packed) of the given nodes, made from one document of each."""
-    first = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("hash"))).alias("f"))
-    wanted = cut(first.select("node", F.col("f.doc_id").alias("_id"), F.col("f.hash").alias("_hash")))
+def packed_sets(docs: DataFrame, text: str, doc_id: str, shingle: int, nodes: DataFrame) -> DataFrame:
+    """id, hashes (packed) of the given nodes (id, one), each made from one document."""
+    wanted = cut(nodes.select("id", "one._id", "one._hash"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    found = texts.join(sent_if_few(wanted), same).select("node", "text").dropDuplicates(["node"])
+    found = texts.join(sent_if_few(wanted), same).select("id", "text").dropDuplicates(["id"])
     hashes = by_slices("binary", pa.binary(), lambda: lambda many: [shingle_set(t, shingle).astype("<u8").tobytes() for t in many], F.col("text"), step=100)
-    return cut(found.select("node", hashes.alias("hashes")))
+    return cut(found.select("id", hashes.alias("hashes")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -289,32 +300,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(len(np.intersect1d(x, y, assume_unique=True)) >= need(len(x), len(y), percent))
         return out
 
-    side = lambda c: sets.join(pairs.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("pairs")), "node").select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"), "pairs")
+    side = lambda c: sets.join(pairs.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("pairs")), "id").select(F.col("id").alias(c), F.col("hashes").alias(f"set_{c}"), "pairs")
     both = salted_join(salted_join(pairs, cut(side("a")), ["a"], "pairs", "b").drop("pairs"), cut(side("b")), ["b"], "pairs", "a")
     return both.filter(by_slices("boolean", pa.bool_(), lambda: link, F.col("set_a"), F.col("set_b"), step=50)).select("a", "b")
 
 
 def head_pairs(lists: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """a, b: each set of a list with the list's head."""
-    met = salted_join(lists, heads, ["shingle"], "sets", "node")
-    pair = met.select(F.struct("node", "n", "left").alias("x"), F.struct("head.node", "head.n", "head.left").alias("y")).filter(F.col("x.node") != F.col("y.node")).filter(fits("x", "y", percent))
-    return pair.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    met = salted_join(lists, heads, ["shingle"], "sets", "id")
+    pair = met.select(F.struct("id", "n", "left").alias("x"), F.struct("head.id", "head.n", "head.left").alias("y")).filter(F.col("x.id") != F.col("y.id")).filter(fits("x", "y", percent))
+    return pair.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def rest_pairs(lists: DataFrame, heads: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs of each list that different components still keep apart, where one set at least is outside the list's largest component."""
-    placed = salted_join(lists, heads.select("shingle", "sets"), ["shingle"], "sets", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = salted_join(lists, heads.select("shingle", "sets"), ["shingle"], "sets", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = cut(placed.filter(F.col("left") * (100 + percent) >= percent * (F.col("n") + F.ceil(F.lit(percent) * F.col("n") / 100))))  # others fit no partner here
     counts = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("members"))
     main = counts.groupBy("shingle").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
     main = cut(main.join(heads.select("shingle", "sets"), "shingle"))
-    several = salted_join(placed.drop("sets"), main.select("shingle", "main", "sets"), ["shingle"], "sets", "node")
+    several = salted_join(placed.drop("sets"), main.select("shingle", "main", "sets"), ["shingle"], "sets", "id")
     tiles = F.ceil(F.col("sets") / TILE)
     x = several.filter(F.col("component") != F.col("main")).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), tiles.cast("long") - 1))).alias("x")
-    y = several.withColumn("tile", F.pmod(F.xxhash64("node"), tiles)).alias("y")
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    y = several.withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.component") != F.col("y.component")) & once & fits("x", "y", percent))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -322,26 +333,24 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     if not 50 <= percent <= 100:
         raise ValueError("percent is 50 to 100")
     rows = cut(named_sets(docs, text, doc_id, shingle))
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    nodes = cut(nodes)
+    nodes = set_nodes(rows)
     total = rows.agg(F.sum("n")).first()[0] or 0
-    lists = cut(inverted_lists(docs, text, shingle, percent, total))
-    light = light_boundary(lists, nodes.groupBy("n").agg(F.count(F.lit(1)).alias("sets")), percent)
-    heavy = lists.filter(F.col("n") >= -(-percent * (light + 1) // 100))  # with the light ones that a heavy one can meet
-    entry = F.struct("node", "n", "left")
-    heads = heavy.groupBy("shingle").agg(F.max_by(entry, F.struct(F.col("left") / F.col("n"), "node")).alias("head"), F.count(F.lit(1)).alias("sets"), F.max("n").alias("largest"))
+    light = light_boundary({r["n"]: r["sets"] for r in nodes.filter(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("sets")).collect()}, percent)
+    lists = inverted_lists(docs, text, shingle, percent, total, least_listed(light, percent))
+    heavy = cut(lists.join(nodes.select("node", "id"), "node").select("shingle", "id", "n", "left"))
+    head = F.max_by(F.struct("id", "n", "left"), F.struct(F.col("left") / F.col("n"), "id")).alias("head")
+    heads = heavy.groupBy("shingle").agg(head, F.count(F.lit(1)).alias("sets"), F.max("n").alias("largest"))
     heads = cut(heads.filter((F.col("sets") > 1) & (F.col("largest") > light)).drop("largest"))
-    listed = heavy.select("shingle", "node", "n", "left")
-    small = nodes.filter(F.col("n") <= light).select("node")
-    wanted = small.unionByName(heavy.join(heads.select("shingle"), "shingle", "left_semi").select("node")).distinct()
-    sets = packed_sets(docs, text, doc_id, shingle, rows, wanted)
-    links = cut(verified(head_pairs(listed, heads, percent), sets, percent).unionByName(light_links(sets.join(small, "node", "left_semi"), percent)))
+    small = nodes.filter(F.col("n") <= light).select("id")
+    wanted = small.unionByName(heavy.join(heads.select("shingle"), "shingle", "left_semi").select("id")).distinct()
+    sets = packed_sets(docs, text, doc_id, shingle, nodes.join(wanted, "id", "left_semi"))
+    links = cut(verified(head_pairs(heavy, heads, percent), sets, percent).unionByName(light_links(sets.join(small, "id", "left_semi"), percent)))
     first = connected_components(links)
-    rest = cut(verified(rest_pairs(listed, heads, first, percent), sets, percent))
+    rest = cut(verified(rest_pairs(heavy, heads, first, percent), sets, percent))
     parts = first if rest.isEmpty() else connected_components(links.unionByName(rest))
-    placed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = placed.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("sets"))
-    named = salted_join(placed, cut(names), ["component"], "sets", "node").select("node", "copies", "component_id")
+    named = salted_join(placed, cut(names), ["component"], "sets", "id").select("node", "copies", "component_id")
     full = salted_join(rows.filter("n > 0"), cut(named), ["node"], "copies", "row")
     none = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "component_id").unionByName(none).withColumnRenamed("n", "n_shingles")

@@ -6,7 +6,7 @@ import pytest
 
 from quorumlens.llm import set_join
 from quorumlens.llm.queries import op13_set_join
-from quorumlens.llm.set_join import jaccard_components, light_links, need, packed_sets, subset_rows, named_sets
+from quorumlens.llm.set_join import jaccard_components, light_boundary, light_links, named_sets, need, packed_sets, set_nodes, subset_rows
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -125,8 +125,9 @@ def test_needed_shingles_and_subsets(spark):
     assert subset_rows(4, 80) == 2  # itself for partners of four and of five
     texts = [(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k x"), (3, "y b c d e f g h i j k z")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    rows = named_sets(docs, "text", "doc_id", 5)
-    nodes = {x.node: x.doc_id for x in rows.collect()}
-    links = light_links(packed_sets(docs, "text", "doc_id", 5, rows, rows.select("node")), 75)
+    made = set_nodes(named_sets(docs, "text", "doc_id", 5))
+    nodes = {x.id: x.first_id for x in made.collect()}
+    links = light_links(packed_sets(docs, "text", "doc_id", 5, made), 75)
     assert {tuple(sorted((nodes[x.a], nodes[x.b]))) for x in links.collect()} == {(1, 2), (2, 3)} & {(a, b) for a, b in ((1, 2), (2, 3), (1, 3)) if len(plain_set(texts[a - 1][1]) & plain_set(texts[b - 1][1])) >= need(8, 8, 75)}
+    assert light_boundary({}, 80) == 20 and light_boundary({4: 1000, 12: 5}, 80) >= 4 and light_boundary({12: 1000, 20: 5000}, 80) < 12
     assert np.unique(set_join.shingle_set("a a a a a a a", 5)).size == 1
