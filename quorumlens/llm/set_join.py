@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import by_slices, cut, salted_join, sent_if_few, small_batches, text_of
+from quorumlens.llm.common import FEW, by_slices, cut, salted_join, sent_if_few, small_batches, text_of
 from quorumlens.llm.components import connected_components
 from quorumlens.llm.simhash import shingle_hashes, split
 
@@ -51,8 +51,8 @@ MOST_LIGHT = 20
 BLOCK, RANGE = 1 << 19, 1 << 20
 #: Documents of a block beyond which a shingle is sent once, with their number instead of theirs.
 FREQUENT = 8
-#: What marks such a number among documents' numbers.
-MARK = 1 << 31
+#: What marks such a number among documents' numbers; a block has fewer documents.
+MARK = 1 << 15
 #: Lists from this length on are met in tiles of so many sets.
 TILE = 2000
 
@@ -108,13 +108,13 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def block_rows(sets: list[np.ndarray], block: int, ranges: int) -> Iterator[tuple]:
-    """Rows of `PACKED` of a block of documents: shingles (64 bits) and docs (32 bits: a document's number in the block, or `MARK` plus how many there are of a frequent shingle)
+    """Rows of `PACKED` of a block of documents: shingles (64 bits) and docs (16 bits: a document's number in the block, or `MARK` plus how many there are of a frequent shingle)
     by range; and one row without shingles, with heads (each document's name and size) and the frequent shingles and documents (hot, docs)."""
     every, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     different, place, n = np.unique(every, return_inverse=True, return_counts=True)
     often = n > FREQUENT
     hot = often[place]
-    shingles, docs = np.append(every[~hot], different[often]), np.append(doc[~hot], MARK + n[often]).astype("<u4")
+    shingles, docs = np.append(every[~hot], different[often]), np.append(doc[~hot], MARK + n[often]).astype("<u2")
     part = (shingles >> np.uint64(20)) % np.uint64(ranges)
     order = np.argsort(part, kind="stable")
     shingles, docs, part = shingles[order].astype("<u8"), docs[order], part[order]
@@ -122,7 +122,7 @@ def block_rows(sets: list[np.ndarray], block: int, ranges: int) -> Iterator[tupl
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
         yield int(part[a]), block, shingles[a:b].tobytes(), docs[a:b].tobytes(), None, None
     heads = b"".join(set_name(s) + len(s).to_bytes(8, "little") for s in sets)
-    yield block % ranges, block, None, doc[hot].astype("<u4").tobytes(), heads, every[hot].astype("<u8").tobytes()
+    yield block % ranges, block, None, doc[hot].astype("<u2").tobytes(), heads, every[hot].astype("<u8").tobytes()
 
 
 def blocks_by_range(docs: DataFrame, text: str, shingle: int, ranges: int, least: int) -> DataFrame:
@@ -139,7 +139,7 @@ def blocks_by_range(docs: DataFrame, text: str, shingle: int, ranges: int, least
                     seen.add(name)
                     held.append(s)
                     size += len(s)
-                if size >= BLOCK:
+                if size >= BLOCK or len(held) == MARK - 1:
                     yield packed(list(block_rows(held, block, ranges)))
                     block += 1
                     held, size, seen = [], 0, set()
@@ -154,7 +154,7 @@ def shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Over `block_rows` sorted by range: the same rows with the shingles of two or more documents only; heads are a byte a shingle, four times the logarithm of its number."""
 
     def counted(rows: list[tuple]) -> Iterator[tuple]:
-        shingles, docs = [np.frombuffer(r[2], "<u8") for r in rows], [np.frombuffer(r[3], "<u4") for r in rows]
+        shingles, docs = [np.frombuffer(r[2], "<u8") for r in rows], [np.frombuffer(r[3], "<u2") for r in rows]
         _, place = np.unique(np.concatenate(shingles), return_inverse=True)
         some = np.concatenate(docs).astype(np.int64)
         n = np.bincount(place, np.where(some >= MARK, some - MARK, 1))
@@ -192,8 +192,8 @@ def rare_prefixes(percent: int):
         sizes = np.array([int.from_bytes(head[4][k + 16 : k + 24], "little") for k in range(0, len(head[4]), 24)], np.int64)
         shared = [r for r in rows if r[2] is not None]
         column = lambda k, kind: np.concatenate([np.empty(0, kind), *[np.frombuffer(r[k], kind) for r in shared]])
-        shingles, docs, levels = column(2, "<u8"), column(3, "<u4").astype(np.int64), column(4, np.uint8)
-        hot, whose = np.frombuffer(head[5], "<u8"), np.frombuffer(head[3], "<u4").astype(np.int64)
+        shingles, docs, levels = column(2, "<u8"), column(3, "<u2").astype(np.int64), column(4, np.uint8)
+        hot, whose = np.frombuffer(head[5], "<u8"), np.frombuffer(head[3], "<u2").astype(np.int64)
         marked = docs >= MARK
         frequent = np.argsort(shingles[marked])  # all frequent shingles came back
         at = np.searchsorted(shingles[marked], hot, sorter=frequent)
@@ -290,7 +290,7 @@ def packed_sets(docs: DataFrame, text: str, doc_id: str, shingle: int, nodes: Da
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. The sets of a node in many pairs are spread with its pairs."""
+    """The pairs (a, b) whose sets link. Few pairs are sent to the sets of their first; of more, the sets of a node in many pairs are spread with its pairs."""
     pairs = cut(pairs)
 
     def link(left: list[bytes], right: list[bytes]) -> list[bool]:
@@ -300,8 +300,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(len(np.intersect1d(x, y, assume_unique=True)) >= need(len(x), len(y), percent))
         return out
 
-    side = lambda c: sets.join(pairs.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("pairs")), "id").select(F.col("id").alias(c), F.col("hashes").alias(f"set_{c}"), "pairs")
-    both = salted_join(salted_join(pairs, cut(side("a")), ["a"], "pairs", "b").drop("pairs"), cut(side("b")), ["b"], "pairs", "a")
+    named = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"set_{c}"))
+    if pairs.limit(FEW + 1).count() <= FEW:
+        both = named("a").join(F.broadcast(pairs), "a").join(named("b"), "b")
+    else:
+        side = lambda c: named(c).join(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("pairs")), c)
+        both = salted_join(salted_join(pairs, cut(side("a")), ["a"], "pairs", "b").drop("pairs"), cut(side("b")), ["b"], "pairs", "a")
     return both.filter(by_slices("boolean", pa.bool_(), lambda: link, F.col("set_a"), F.col("set_b"), step=50)).select("a", "b")
 
 
@@ -341,12 +345,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     head = F.max_by(F.struct("id", "n", "left"), F.struct(F.col("left") / F.col("n"), "id")).alias("head")
     heads = heavy.groupBy("shingle").agg(head, F.count(F.lit(1)).alias("sets"), F.max("n").alias("largest"))
     heads = cut(heads.filter((F.col("sets") > 1) & (F.col("largest") > light)).drop("largest"))
+    listed = cut(heavy.join(heads.select("shingle"), "shingle", "left_semi"))  # most lists hold copies of one set only
     small = nodes.filter(F.col("n") <= light).select("id")
-    wanted = small.unionByName(heavy.join(heads.select("shingle"), "shingle", "left_semi").select("id")).distinct()
+    wanted = small.unionByName(listed.select("id")).distinct()
     sets = packed_sets(docs, text, doc_id, shingle, nodes.join(wanted, "id", "left_semi"))
-    links = cut(verified(head_pairs(heavy, heads, percent), sets, percent).unionByName(light_links(sets.join(small, "id", "left_semi"), percent)))
+    links = verified(head_pairs(listed, heads, percent), sets, percent)
+    links = cut(links if small.isEmpty() else links.unionByName(light_links(sets.join(small, "id", "left_semi"), percent)))
     first = connected_components(links)
-    rest = cut(verified(rest_pairs(heavy, heads, first, percent), sets, percent))
+    apart = cut(rest_pairs(listed, heads, first, percent))
+    rest = apart if apart.isEmpty() else cut(verified(apart, sets, percent))
     parts = first if rest.isEmpty() else connected_components(links.unionByName(rest))
     placed = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = placed.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("sets"))

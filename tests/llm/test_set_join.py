@@ -88,8 +88,9 @@ def test_all_light_all_heavy_and_small_tiles(spark, monkeypatch):
     monkeypatch.setattr(set_join, "BLOCK", 40)
     monkeypatch.setattr(set_join, "RANGE", 300)
     monkeypatch.setattr(set_join, "TILE", 3)
-    for light in (0, 10):
+    for light, few in ((0, 100_000), (10, 0)):
         monkeypatch.setattr(set_join, "light_boundary", lambda *_: light)
+        monkeypatch.setattr(set_join, "FEW", few)
         assert got(jaccard_components(docs)) == want
 
 
