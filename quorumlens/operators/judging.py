@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumlens.functions.scores import confidence
+from quorumlens.operators.quantiles import exact_percentiles
 
 UNSCORED = -1.0
 
@@ -81,15 +82,17 @@ def fallback_rates(samples: DataFrame) -> DataFrame:
 
 
 def score_distribution(rows: DataFrame) -> DataFrame:
-    """count, mean, std, min, quartiles and max of the scores of each service, by prompt and over all prompts, in one pass."""
+    """count, mean, std, min, quartiles and max of the scores of each service, by prompt and over all prompts. Quartiles are exact, and no group's values meet in one task."""
     rated = rows.filter("score >= 0").select("prompt", "model", "service", "score")
-    quart = lambda q: F.percentile("score", q)
-    grouped = rated.groupingSets([["prompt", "model", "service"], ["model", "service"]], "prompt", "model", "service").agg(
-        F.grouping("prompt").alias("whole"), F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"),
-        F.min("score").alias("low"), quart(0.25).alias("p25"), quart(0.5).alias("median"), quart(0.75).alias("p75"), F.max("score").alias("high"),
-    )
-    scope = F.when(F.col("whole") == 1, "all_prompts").otherwise("per_prompt")
-    return grouped.withColumns({"scope": scope, "prompt": F.when(F.col("whole") == 1, "<all>").otherwise(F.col("prompt"))}).drop("whole")
+    parts = []
+    for scope, by in (("per_prompt", ["prompt", "model", "service"]), ("all_prompts", ["model", "service"])):
+        moments = rated.groupBy(*by).agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), F.min("score").alias("low"), F.max("score").alias("high"))
+        quarts = exact_percentiles(rated, by, "score", {"p25": 0.25, "median": 0.5, "p75": 0.75}).withColumnsRenamed({c: f"_{c}" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        whole = moments.join(quarts, same, "inner").withColumn("scope", F.lit(scope))
+        parts.append(whole if scope == "per_prompt" else whole.withColumn("prompt", F.lit("<all>")))
+    columns = ["prompt", "model", "service", "n", "mean", "std", "low", "p25", "median", "p75", "high", "scope"]
+    return parts[0].select(*columns).unionByName(parts[1].select(*columns))
 
 
 def histogram(values: DataFrame, column: str, *by: str, bins: int = 20) -> DataFrame:

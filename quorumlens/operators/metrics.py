@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlens.functions.scores import EMOTIONS, safe_divide
-from quorumlens.functions.similarity import word_buckets, word_errors
+from quorumlens.functions.similarity import long_word_errors, word_buckets, word_errors
 from quorumlens.functions.text import tokens
 
 
-def word_error_rows(panel: DataFrame) -> DataFrame:
+def word_error_rows(panel: DataFrame, long: bool = False) -> DataFrame:
     """panel: id, service, service_output, human and/or oracle: errors, ref_words and word error rate against each reference.
 
-    A reference without words has 0 of them, and the words said are its errors.
+    A reference without words has 0 of them, and the words said are its errors. long: for texts of thousands of words, whose distances are counted bit-parallel in Python; those of sentences stay in Catalyst.
     """
     kinds = [r for r in ("human", "oracle") if r in panel.columns]
     words = panel.withColumns({"_hyp": tokens(F.col("service_output")), **{f"_{r}": tokens(F.col(r)) for r in kinds}})
-    words = words.withColumns({f"_{r}_different": F.array_distinct(F.concat(f"_{r}", "_hyp")) for r in kinds})
-    words = words.withColumns({f"_{r}_known": word_buckets(F.col(f"_{r}_different")) for r in kinds})
-    counted = words.withColumns({name: c for r in kinds for name, c in ((f"{r}_errors", _errors(r)), (f"{r}_ref_words", F.size(f"_{r}").cast("long")))})
+    if not long:
+        words = words.withColumns({f"_{r}_different": F.array_distinct(F.concat(f"_{r}", "_hyp")) for r in kinds})
+        words = words.withColumns({f"_{r}_known": word_buckets(F.col(f"_{r}_different")) for r in kinds})
+    counted = words.withColumns({name: c for r in kinds for name, c in ((f"{r}_errors", long_word_errors(f"_{r}", "_hyp") if long else _errors(r)), (f"{r}_ref_words", F.size(f"_{r}").cast("long")))})
     kept = [c for c in panel.columns if c not in ("human", "oracle", "service_output")]
     rate = lambda r: safe_divide(F.col(f"{r}_errors").cast("double"), F.col(f"{r}_ref_words")).alias(f"{r}_wer")
     return counted.select(*kept, *[c for r in kinds for c in (f"{r}_errors", f"{r}_ref_words", rate(r))])

@@ -12,6 +12,7 @@ from quorumlens.functions import text as T
 from quorumlens.functions.similarity import matching_ratio, with_chrf
 from quorumlens.functions import payloads as P
 from quorumlens.operators import costs, failures, judging, metrics, panel, passes, reports, store, votes
+from quorumlens.operators.quantiles import exact_percentiles
 from quorumlens.operators.registry import OUTPUT_KINDS
 from quorumlens.plans import fixtures as X
 from quorumlens.session import spread, table
@@ -356,7 +357,7 @@ def q_conf_hist(spark, sf):
            SELECT service, round(any_value(q1), 9) AS q1, round(any_value(q3), 9) AS q3, count(*) FILTER (WHERE score < q1 - 1.5 * (q3 - q1) OR score > q3 + 1.5 * (q3 - q1)) AS outliers FROM judged JOIN b USING (service) WHERE score >= 0 GROUP BY service""")
 def q_box_stats(spark, sf):
     rated = q_judge_long(spark, sf).filter("score >= 0")
-    box = rated.groupBy("service").agg(F.percentile("score", 0.25).alias("q1"), F.percentile("score", 0.75).alias("q3"))
+    box = exact_percentiles(rated, ["service"], "score", {"q1": 0.25, "q3": 0.75}).drop("n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     out = (F.col("score") < F.col("q1") - reach) | (F.col("score") > F.col("q3") + reach)
     return rated.join(box, "service").groupBy("service").agg(F.round(F.first("q1"), 9).alias("q1"), F.round(F.first("q3"), 9).alias("q3"), F.count_if(out).alias("outliers"))
@@ -736,7 +737,7 @@ def q_wer_full(spark, sf):
     """Word error rates of whole documents, however long: each against itself with every seventh word changed and every eleventh missing. Beyond SQL's one-byte letters; tested against plain Python."""
     d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("human")), "id").withColumn("w", T.tokens(F.col("human")))
     changed = F.filter(F.transform("w", lambda w, n: F.when((n + F.col("id")) % 7 == 0, F.concat(F.lit("x"), n.cast("string"))).otherwise(w)), lambda w, n: (n + F.col("id")) % 11 != 0)
-    return metrics.word_error_rows(d.select("id", "lang", "human", F.lit("echo").alias("service"), F.array_join(changed, " ").alias("service_output")))
+    return metrics.word_error_rows(d.select("id", "lang", "human", F.lit("echo").alias("service"), F.array_join(changed, " ").alias("service_output")), long=True)
 
 
 @query("""SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS id FROM (SELECT doc_id, (doc_id * 7919 + 42) % 10007 AS h FROM documents WHERE n_chars / 15.0 BETWEEN 20 AND 100) ORDER BY h, doc_id LIMIT 100""")
