@@ -37,10 +37,16 @@ def class_name(text: Column) -> Column:
     return F.when(found != "contempt", found)
 
 
+#: Parts of a literal: whole quoted texts, the words that JSON spells otherwise, and single characters.
+LITERAL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\bNone\b|\bTrue\b|\bFalse\b|\bnan\b|[^'"]"""
+
+
 def coerce_scores(text: Column) -> Column:
-    """map<string,double> from JSON or its single-quoted form with None; values that are no numbers are null."""
-    plain = F.regexp_replace(text, r":\s*None\b", ": null")
-    return F.transform_values(F.from_json(plain, "map<string,string>"), lambda _, v: v.try_cast("double"))
+    """map<string,double> from JSON or the literal form of a Python dictionary; values that are no numbers are null. True and False are 1 and 0, as they count there."""
+    word = lambda t: F.when(t.isin("None", "nan"), "null").when(t == "True", "true").when(t == "False", "false").otherwise(t)
+    plain = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0)), word), "")
+    value = lambda v: F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double"))
+    return F.transform_values(F.from_json(plain, "map<string,string>"), lambda _, v: value(v))
 
 
 def best_label(scores: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -13,18 +13,28 @@ UNSCORED = -1.0
 
 
 def usable(winner: Column, scores: Column, services: Column) -> Column:
-    """The winner is one of the services and some score is 0 or more."""
+    """The winner is one of the services and some score is 0 or more. scores: a map of texts; `number_scores` makes one of a JSON answer."""
     return F.coalesce(F.array_contains(services, winner) & F.exists(F.map_values(scores), lambda v: F.coalesce(v.try_cast("double") >= 0, F.lit(False))), F.lit(False))
 
 
+def number_scores(answer: Column, path: str = "$.scores") -> Column:
+    """map<string,string> of the scores of a JSON answer that are numbers as JSON has them: quoted numbers and booleans are none."""
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(answer), path, "map<string,variant>"))
+    numbers = F.filter(entries, lambda e: F.schema_of_variant(e["value"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
+    return F.map_from_entries(F.transform(numbers, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value"))))
+
+
+def known_winners(answers: DataFrame, services: list[str]) -> DataFrame:
+    """Answers with null for a winner that is none of the services."""
+    return answers.withColumn("winner", F.when(F.col("winner").isin(services), F.col("winner")))
+
+
 def judge_rows(answers: DataFrame, services: list[str]) -> DataFrame:
     """One row for each service: score (-1 where it was not rated), is_winner; an unknown winner is null.
 
     answers: prompt, model, id, llm_label, winner, scores (map of texts), ...
     """
-    listed = F.array(*map(F.lit, services))
-    checked = answers.withColumn("winner", F.when(F.array_contains(listed, F.col("winner")), F.col("winner")))
-    long = checked.withColumn("service", F.explode(listed))
+    long = known_winners(answers, services).withColumn("service", F.explode(F.array(*map(F.lit, services))))
     score = F.coalesce(F.col("scores")[F.col("service")].try_cast("double"), F.lit(UNSCORED))
     return long.withColumns({"score": score, "is_winner": F.coalesce(F.col("winner") == F.col("service"), F.lit(False))}).drop("scores")
 
@@ -48,9 +58,8 @@ def with_fallback(judged: DataFrame, human: DataFrame, best: DataFrame, threshol
 
 def best_service(rows: DataFrame, metric: str, higher_is_better: bool, *by: str) -> DataFrame:
     """The service with the best metric, the first in order of equals."""
-    order = F.desc_nulls_last(metric) if higher_is_better else F.asc_nulls_last(metric)
-    first = F.row_number().over(W.partitionBy(*by).orderBy(order, "svc_ord"))
-    return rows.withColumn("place", first).filter((F.col("place") == 1) & F.col(metric).isNotNull()).select(*by, F.col("service").alias("best_service"))
+    place = F.struct((-F.col(metric) if higher_is_better else F.col(metric)).alias("metric"), "svc_ord")
+    return rows.filter(F.col(metric).isNotNull()).groupBy(*by).agg(F.min_by("service", place).alias("best_service"))
 
 
 def best_sets(rows: DataFrame, metric: str, higher_is_better: bool, *by: str) -> DataFrame:

@@ -301,17 +301,22 @@ def q_best_services(spark, sf):
     return judging.best_sets(q_wer_rows(spark, sf), "human_wer", False, "id").select("id", F.array_join("best", ",").alias("best"))
 
 
+def _winners(spark, sf) -> DataFrame:
+    """One row an answer, an unknown winner as null."""
+    return judging.known_winners(X.judgements(spark, sf).drop("scores"), X.SERVICES)
+
+
 @query(f"""WITH {BEST}, {X.JUDGEMENTS}, w AS (SELECT a.prompt, a.model, coalesce(list_contains(best, winner), false)::INT AS ok FROM (SELECT DISTINCT prompt, model, id, winner FROM judged WHERE winner IS NOT NULL) a LEFT JOIN sets USING (id))
            SELECT prompt, model, sum(ok)::DOUBLE / count(*) AS agreement, count(*) AS n FROM w GROUP BY prompt, model""")
 def q_winner_correct(spark, sf):
     sets = judging.best_sets(q_wer_rows(spark, sf), "human_wer", False, "id")
-    return judging.winner_agreement(judging.per_sample(q_judge_long(spark, sf)), sets, "prompt", "model")
+    return judging.winner_agreement(_winners(spark, sf), sets, "prompt", "model")
 
 
 @query(f"""WITH {X.JUDGEMENTS}, w AS (SELECT prompt, model, winner, count(*) AS n_wins FROM (SELECT DISTINCT prompt, model, id, winner FROM judged WHERE winner IS NOT NULL) GROUP BY prompt, model, winner)
            SELECT *, n_wins::DOUBLE / sum(n_wins) OVER (PARTITION BY prompt, model) AS win_rate FROM w""")
 def q_win_rate(spark, sf):
-    return judging.win_rates(judging.per_sample(q_judge_long(spark, sf)))
+    return judging.win_rates(_winners(spark, sf))
 
 
 RESOLVED = f"""{BEST}, {X.JUDGEMENTS}, humans AS (SELECT id, any_value(human) AS human_label FROM text_panel GROUP BY id),
@@ -320,11 +325,9 @@ RESOLVED = f"""{BEST}, {X.JUDGEMENTS}, humans AS (SELECT id, any_value(human) AS
 
 
 def _resolved(spark, sf) -> DataFrame:
-    human = X.text_panel(spark, sf).filter("svc_ord = 0").select("id", F.col("human").alias("human_label"))
+    human = X.utterances(spark, sf).select("id", F.col("text").alias("human_label"))
     best = judging.best_service(q_wer_rows(spark, sf), "human_wer", False, "id")
-    listed = F.array(*map(F.lit, X.SERVICES))
-    answers = X.judgements(spark, sf).drop("scores").withColumn("winner", F.when(F.array_contains(listed, F.col("winner")), F.col("winner")))
-    return judging.with_fallback(answers, human, best)
+    return judging.with_fallback(_winners(spark, sf), human, best)
 
 
 @query(f"""WITH {RESOLVED} SELECT prompt, model, id, confidence, fallback_used, CASE WHEN fallback_used AND coalesce(human_label, '') <> '' THEN human_label ELSE llm_label END AS final_label,
@@ -522,7 +525,7 @@ LABEL_ACCURACY = f"""{PARADIGMS},\n{LLM_ROWS},\n{LLM_SUMMARY}, proxies AS (SELEC
 
 
 def _paradigms(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    judged = judging.per_sample(q_judge_long(spark, sf))
+    judged = _winners(spark, sf)
     looped = judged.withColumn("fallback_used", S.confidence(F.col("confidence")) < 0.85)
     return q_wer_rows(spark, sf), judged, looped, q_mode_vote(spark, sf)
 
