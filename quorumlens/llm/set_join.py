@@ -99,6 +99,29 @@ def set_nodes(rows: DataFrame) -> DataFrame:
     return cut(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "n", "copies", F.col("one._id").alias("first_id"), "one"))
 
 
+#: Ranges up to which a shingle is sent by its lower 48 bits; its range is the upper part of its name then.
+NARROW = 1 << 15
+
+
+def placed(shingles: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each shingle and its name: the range and the lower 48 bits while there are few ranges, else the shingle itself. Two shingles of one name only make a candidate that is verified."""
+    part = (shingles >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16) if ranges < NARROW else (shingles >> np.uint64(20)) % np.uint64(ranges)
+    return part, part << np.uint64(48) | shingles & np.uint64((1 << 48) - 1) if ranges < NARROW else shingles
+
+
+def to_bytes(names: np.ndarray, ranges: int) -> bytes:
+    raw = names.astype("<u8")
+    return np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() if ranges < NARROW else raw.tobytes()
+
+
+def from_bytes(data: bytes, part: int, ranges: int) -> np.ndarray:
+    if ranges >= NARROW:
+        return np.frombuffer(data, "<u8")
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8")[:, 0] | np.uint64(part) << np.uint64(48)
+
+
 PACKED = "range int, block long, shingles binary, docs binary, heads binary, hot binary"
 
 
@@ -108,19 +131,19 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def block_rows(sets: list[np.ndarray], block: int, ranges: int) -> Iterator[tuple]:
-    """Rows of `PACKED` of a block of documents: shingles (64 bits) and docs (16 bits: a document's number in the block, or `MARK` plus how many there are of a frequent shingle)
+    """Rows of `PACKED` of a block of documents: shingles (names) and docs (16 bits: a document's number in the block, or `MARK` plus how many there are of a frequent shingle)
     by range; and one row without shingles, with heads (each document's name and size) and the frequent shingles and documents (hot, docs)."""
-    every, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every, doc = placed(np.concatenate(sets), ranges)[1], np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     different, place, n = np.unique(every, return_inverse=True, return_counts=True)
     often = n > FREQUENT
     hot = often[place]
     shingles, docs = np.append(every[~hot], different[often]), np.append(doc[~hot], MARK + n[often]).astype("<u2")
-    part = (shingles >> np.uint64(20)) % np.uint64(ranges)
+    part = shingles >> np.uint64(48) if ranges < NARROW else placed(shingles, ranges)[0]
     order = np.argsort(part, kind="stable")
-    shingles, docs, part = shingles[order].astype("<u8"), docs[order], part[order]
+    shingles, docs, part = shingles[order], docs[order], part[order]
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
-        yield int(part[a]), block, shingles[a:b].tobytes(), docs[a:b].tobytes(), None, None
+        yield int(part[a]), block, to_bytes(shingles[a:b], ranges), docs[a:b].tobytes(), None, None
     heads = b"".join(set_name(s) + len(s).to_bytes(8, "little") for s in sets)
     yield block % ranges, block, None, doc[hot].astype("<u2").tobytes(), heads, every[hot].astype("<u8").tobytes()
 
@@ -150,11 +173,11 @@ def blocks_by_range(docs: DataFrame, text: str, shingle: int, ranges: int, least
     return docs.select(text_of(text)).mapInArrow(run, PACKED)
 
 
-def shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared_shingles(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Over `block_rows` sorted by range: the same rows with the shingles of two or more documents only; heads are a byte a shingle, four times the logarithm of its number."""
 
     def counted(rows: list[tuple]) -> Iterator[tuple]:
-        shingles, docs = [np.frombuffer(r[2], "<u8") for r in rows], [np.frombuffer(r[3], "<u2") for r in rows]
+        shingles, docs = [from_bytes(r[2], r[0], ranges) for r in rows], [np.frombuffer(r[3], "<u2") for r in rows]
         _, place = np.unique(np.concatenate(shingles), return_inverse=True)
         some = np.concatenate(docs).astype(np.int64)
         n = np.bincount(place, np.where(some >= MARK, some - MARK, 1))
@@ -164,7 +187,7 @@ def shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             levels = level[at : at + len(mine)]
             at += len(mine)
             if (some := levels > 0).any():
-                yield *row[:2], mine[some].tobytes(), whose[some].tobytes(), levels[some].tobytes(), None
+                yield *row[:2], to_bytes(mine[some], ranges), whose[some].tobytes(), levels[some].tobytes(), None
 
     held: list[tuple] = []
     for batch in batches:
@@ -183,7 +206,7 @@ def shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield packed(out)
 
 
-def rare_prefixes(percent: int):
+def rare_prefixes(percent: int, ranges: int):
     """For mapInArrow over `shared_shingles` sorted by block: shingle, node, n, left (shingles of the set from this one on, in the global order) of the inverted lists, and level."""
 
     def entries(rows: list[tuple]) -> pa.RecordBatch:
@@ -192,7 +215,8 @@ def rare_prefixes(percent: int):
         sizes = np.array([int.from_bytes(head[4][k + 16 : k + 24], "little") for k in range(0, len(head[4]), 24)], np.int64)
         shared = [r for r in rows if r[2] is not None]
         column = lambda k, kind: np.concatenate([np.empty(0, kind), *[np.frombuffer(r[k], kind) for r in shared]])
-        shingles, docs, levels = column(2, "<u8"), column(3, "<u2").astype(np.int64), column(4, np.uint8)
+        shingles = np.concatenate([np.empty(0, np.uint64), *[from_bytes(r[2], r[0], ranges) for r in shared]])
+        docs, levels = column(3, "<u2").astype(np.int64), column(4, np.uint8)
         hot, whose = np.frombuffer(head[5], "<u8"), np.frombuffer(head[3], "<u2").astype(np.int64)
         marked = docs >= MARK
         frequent = np.argsort(shingles[marked])  # all frequent shingles came back
@@ -229,8 +253,8 @@ def inverted_lists(docs: DataFrame, text: str, shingle: int, percent: int, shing
     ranges = max(1, -(-shingles // RANGE))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     up = blocks_by_range(docs, text, shingle, ranges, least).repartition(max(parts, ranges), "range").sortWithinPartitions("range")
-    down = up.mapInArrow(shared_shingles, PACKED).repartition(parts, "block").sortWithinPartitions("block")
-    return down.mapInArrow(rare_prefixes(percent), LISTED).dropDuplicates(["shingle", "node"])
+    down = up.mapInArrow(lambda batches: shared_shingles(batches, ranges), PACKED).repartition(parts, "block").sortWithinPartitions("block")
+    return down.mapInArrow(rare_prefixes(percent, ranges), LISTED).dropDuplicates(["shingle", "node"])
 
 
 def light_boundary(sizes: dict[int, int], percent: int) -> int:
@@ -332,6 +356,30 @@ def rest_pairs(lists: DataFrame, heads: DataFrame, parts: DataFrame, percent: in
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of links (a, b), written already. Few links are joined in one task, more by stars (`connected_components`)."""
+    if links.limit(FEW + 1).count() > FEW:
+        return connected_components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.setdefault(x, x) != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(a), top(b)
+                above[max(x, y)] = min(x, y)
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+
+    return cut(links.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long"))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row."""
     if not 50 <= percent <= 100:
@@ -351,10 +399,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     sets = packed_sets(docs, text, doc_id, shingle, nodes.join(wanted, "id", "left_semi"))
     links = verified(head_pairs(listed, heads, percent), sets, percent)
     links = cut(links if small.isEmpty() else links.unionByName(light_links(sets.join(small, "id", "left_semi"), percent)))
-    first = connected_components(links)
+    first = components(links)
     apart = cut(rest_pairs(listed, heads, first, percent))
     rest = apart if apart.isEmpty() else cut(verified(apart, sets, percent))
-    parts = first if rest.isEmpty() else connected_components(links.unionByName(rest))
+    parts = first if rest.isEmpty() else components(cut(links.unionByName(rest)))
     placed = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = placed.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("sets"))
     named = salted_join(placed, cut(names), ["component"], "sets", "id").select("node", "copies", "component_id")

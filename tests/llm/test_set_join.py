@@ -91,6 +91,7 @@ def test_all_light_all_heavy_and_small_tiles(spark, monkeypatch):
     for light, few in ((0, 100_000), (10, 0)):
         monkeypatch.setattr(set_join, "light_boundary", lambda *_: light)
         monkeypatch.setattr(set_join, "FEW", few)
+        monkeypatch.setattr(set_join, "NARROW", 1 if few else 1 << 15)  # whole shingles, and their lower bits
         assert got(jaccard_components(docs)) == want
 
 
