@@ -57,9 +57,10 @@ def with_fallback(judged: DataFrame, human: DataFrame, best: DataFrame, threshol
 
 
 def best_service(rows: DataFrame, metric: str, higher_is_better: bool, *by: str) -> DataFrame:
-    """The service with the best metric, the first in order of equals."""
-    place = F.struct((-F.col(metric) if higher_is_better else F.col(metric)).alias("metric"), "svc_ord")
-    return rows.filter(F.col(metric).isNotNull()).groupBy(*by).agg(F.min_by("service", place).alias("best_service"))
+    """The service with the best metric, the first in order of equals. No filter on the metric, which would go below its making and make it twice."""
+    value = F.col(metric)
+    place = F.struct(value.isNull().alias("none"), (-value if higher_is_better else value).alias("metric"), "svc_ord", "service")
+    return rows.groupBy(*by).agg(F.min(place).alias("first")).filter(~F.col("first.none")).select(*by, F.col("first.service").alias("best_service"))
 
 
 def best_sets(rows: DataFrame, metric: str, higher_is_better: bool, *by: str) -> DataFrame:
