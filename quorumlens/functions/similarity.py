@@ -9,34 +9,59 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
-def word_buckets(words: Column) -> Column:
-    """Different words dealt by hash over buckets, about as many as a bucket holds words: a word is then found in steps that grow with the square root of their number."""
-    n = F.when(F.size(words) <= 64, 1).otherwise(F.ceil(F.sqrt(F.size(words)))).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(words, lambda w: F.pmod(F.xxhash64(w), n) == b))
+#: Pairs of texts whose words are compared together, one pair a lane of 64 bits.
+LANES = 2048
 
 
-def word_errors(known: str, reference: str, hypothesis: str) -> Column:
-    """Edit distance of two columns of word arrays, in Catalyst: each different word of the pair becomes one character.
-
-    known: a column of `word_buckets` of all different words of the pair. It must stand in the table, as it is looked up for each word. A word's number is
-    its place within its bucket times the number of buckets, plus the bucket's. Characters go from U+0100 on and skip the range that is reserved for pairs of units.
+def word_distances(first: pa.Array, second: pa.Array) -> np.ndarray:
+    """Edit distances of two columns of word arrays, many pairs at once: each different word of the batch is a number, and where one side has at most 64 words a column of a pair's
+    table is a lane of 64 bits (`_lanes`). Pairs with more on both sides take `word_distance`.
     """
-    buckets = F.size(known)
-
-    def character(w: Column) -> Column:
-        bucket = F.pmod(F.xxhash64(w), buckets).cast("int")
-        n = (F.array_position(F.get(known, bucket), w) - 1) * buckets + bucket + 256
-        return F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")
+    n, m = (pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (first, second))
+    coded = pa.chunked_array([first.flatten(), second.flatten()], pa.string()).dictionary_encode()
+    codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) if len(coded) else np.zeros(0, np.int32)
+    x, y, far = np.cumsum(n) - n, np.cumsum(m) - m + n.sum(), np.maximum(n, m)
+    turned = (n >= m) != (far <= 64)  # the longer side stands in the lanes, if it fits
+    at, rows, to, columns = np.where(turned, y, x), np.where(turned, m, n), np.where(turned, x, y), np.where(turned, n, m)
+    for k in np.flatnonzero(rows > 64):
+        far[k] = word_distance(codes[at[k] : at[k] + rows[k]].tolist(), codes[to[k] : to[k] + columns[k]].tolist())
+    some = np.flatnonzero((rows > 0) & (columns > 0) & (rows <= 64))
+    some = some[np.lexsort((rows[some], -columns[some]))]
+    for k in range(0, len(some), LANES):
+        part = some[k : k + LANES]
+        far[part] = _lanes(codes, at[part], rows[part], to[part], columns[part])
+    return far
+
+
+def _lanes(codes: np.ndarray, at: np.ndarray, rows: np.ndarray, to: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Distances of codes[at:at + rows] and codes[to:to + columns], most columns first: `_block` with a lane for each pair."""
+    one, wide = np.uint64(1), int(-(-rows.max() // 8))
+    spans = np.arange(8 * wide)
+    words = np.where(spans < rows[:, None], codes[np.minimum(at[:, None] + spans, len(codes) - 1)], -1)
+    up, down, last = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), np.uint64), one << (rows - 1).astype(np.uint64)
+    bits, far = np.zeros((len(rows), 8), np.uint8), rows.copy()
+    for j in range(int(columns[0])):
+        live = int(np.searchsorted(-columns, -j))
+        bits[:live, :wide] = np.packbits(words[:live] == codes[to[:live] + j][:, None], bitorder="little").reshape(live, wide)
+        same, u, d = bits[:live].view("<u8")[:, 0], up[:live], down[:live]
+        stays, match = same | d, (((same & u) + u) ^ u) | same
+        more, less = d | ~(match | u), u & match
+        far[:live] += (more & last[:live] != 0).astype(np.int64) - (less & last[:live] != 0)
+        more, less = more << one | one, less << one
+        up[:live], down[:live] = less | ~(stays | more), more & stays
+    return far
 
-    def spelled(words: str) -> Column:
-        return F.decode(F.unhex(F.array_join(F.transform(words, character), "")), "UTF-32")
 
-    return F.levenshtein(spelled(reference), spelled(hypothesis)).cast("long")
+@F.arrow_udf(LongType())
+def word_errors(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """`word_distances` of two columns of word arrays."""
+    return pa.array(word_distances(reference, hypothesis), pa.int64())
 
 
 #: Words of the longer side that are compared at once, a bit each.

@@ -28,8 +28,7 @@ def one_line(text: Column, limit: int) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of a-z, 0-9 and apostrophes."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9' ]+", " ")
-    return F.filter(F.split(plain, " +"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0))
 
 
 def strip_fence(text: Column) -> Column:

@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlens.functions.scores import EMOTIONS, safe_divide
-from quorumlens.functions.similarity import long_word_errors, word_buckets, word_errors
+from quorumlens.functions.similarity import long_word_errors, word_errors
 from quorumlens.functions.text import tokens
 
 
 def word_error_rows(panel: DataFrame, long: bool = False) -> DataFrame:
     """panel: id, service, service_output, human and/or oracle: errors, ref_words and word error rate against each reference.
 
-    A reference without words has 0 of them, and the words said are its errors. long: for texts of thousands of words, whose distances are counted bit-parallel in Python; those of sentences stay in Catalyst.
+    A reference without words has 0 of them, and the words said are its errors. long: for texts of thousands of words, whose distances are counted a pair at a time; those of sentences are counted many pairs at once.
     """
     kinds = [r for r in ("human", "oracle") if r in panel.columns]
-    words = panel.withColumns({"_hyp": tokens(F.col("service_output")), **{f"_{r}": tokens(F.col(r)) for r in kinds}})
-    if not long:
-        words = words.withColumns({f"_{r}_different": F.array_distinct(F.concat(f"_{r}", "_hyp")) for r in kinds})
-        words = words.withColumns({f"_{r}_known": word_buckets(F.col(f"_{r}_different")) for r in kinds})
-    counted = words.withColumns({name: c for r in kinds for name, c in ((f"{r}_errors", long_word_errors(f"_{r}", "_hyp") if long else _errors(r)), (f"{r}_ref_words", F.size(f"_{r}").cast("long")))})
-    kept = [c for c in panel.columns if c not in ("human", "oracle", "service_output")]
-    rate = lambda r: safe_divide(F.col(f"{r}_errors").cast("double"), F.col(f"{r}_ref_words")).alias(f"{r}_wer")
-    return counted.select(*kept, *[c for r in kinds for c in (f"{r}_errors", f"{r}_ref_words", rate(r))])
-
-
-def _errors(name: str) -> Column:
-    n, m = F.size(f"_{name}"), F.size("_hyp")
-    return F.when(n == 0, m).when(m == 0, n).otherwise(word_errors(f"_{name}_known", f"_{name}", "_hyp")).cast("long")
+    rows = _in_words(panel, "service_output", *kinds)
+    for r in kinds:
+        rows = _counted(rows, r, long)
+    return rows.drop("_service_output")
+
+
+def error_rows_by_answer(panel: DataFrame, answers: DataFrame) -> DataFrame:
+    """`word_error_rows` of a panel (id, service, service_output, human) against the human and each model's own answer.
+
+    answers: id, ..., oracle. Words are found before rows meet, and errors against the human are counted once for each output, not for each answer to it.
+    """
+    said = _counted(_in_words(panel, "service_output", "human"), "human")
+    return _counted(said.join(_in_words(answers, "oracle"), "id"), "oracle").drop("_service_output")
+
+
+def _in_words(rows: DataFrame, *texts: str) -> DataFrame:
+    """The words of texts, each in a column of its name after an underscore, in place of the texts."""
+    return rows.withColumns({f"_{c}": tokens(F.col(c)) for c in texts}).drop(*texts)
+
+
+def _counted(rows: DataFrame, r: str, long: bool = False) -> DataFrame:
+    """Errors, ref_words and rate against the reference ``r``, in place of its words."""
+    errors = (long_word_errors if long else word_errors)(f"_{r}", "_service_output")
+    counted = rows.withColumns({f"{r}_errors": errors, f"{r}_ref_words": F.size(f"_{r}").cast("long")}).drop(f"_{r}")
+    return counted.withColumn(f"{r}_wer", safe_divide(F.col(f"{r}_errors").cast("double"), F.col(f"{r}_ref_words")))
 
 
 def word_error_rate(rows: DataFrame, *by: str, name: str = "human") -> DataFrame:

@@ -15,7 +15,7 @@ from quorumlens.operators import costs, failures, judging, metrics, panel, passe
 from quorumlens.operators.quantiles import exact_percentiles
 from quorumlens.operators.registry import OUTPUT_KINDS
 from quorumlens.plans import fixtures as X
-from quorumlens.session import spread, table
+from quorumlens.session import spread, table, written
 from quorumlens.sources import config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,8 +394,7 @@ def _llm_rows(spark, sf) -> DataFrame:
 def _summary(spark, sf) -> DataFrame:
     """Error rates of each (prompt, model, service) against the human and the model's own answer."""
     own = X.oracle_answers(spark, sf).select("id", "prompt", "model", F.coalesce("answer", F.lit("")).alias("oracle"))
-    rows = metrics.word_error_rows(X.text_panel(spark, sf).join(own, "id"))
-    return reports.accuracy_summary(rows, "prompt", "model", "service")
+    return reports.accuracy_summary(metrics.error_rows_by_answer(X.text_panel(spark, sf), own), "prompt", "model", "service")
 
 
 def _llm_summary(spark, sf) -> DataFrame:
@@ -437,7 +436,7 @@ def _cut_sql(hue: str) -> str:
            UNION ALL SELECT 'all', service, '-', '-', 'oracle', round(avg(oracle_wer), 9) FROM summary GROUP BY service UNION ALL {_cut_sql("model")} UNION ALL {_cut_sql("prompt")}""")
 def q_consistency_oracle_human(spark, sf):
     """Human beside oracle reference: altogether, by model and by prompt."""
-    summary = _summary(spark, sf)
+    summary = written(_summary(spark, sf))  # a row for each (prompt, model, service), read five times
     cuts = [reports.reference_consistency(summary, *hue).withColumns({"cut": F.lit(name)} | {c: F.lit("-") for c in ("model", "prompt") if c not in hue}) for name, hue in (("all", ()), ("by_model", ("model",)), ("by_prompt", ("prompt",)))]
     columns = ["cut", "service", "model", "prompt", "reference", F.round("value", 9).alias("value")]
     return cuts[0].select(*columns).unionByName(cuts[1].select(*columns)).unionByName(cuts[2].select(*columns))
@@ -451,7 +450,7 @@ def q_llmaas_by_model(spark, sf):
 @query(f"WITH {ACCURACY} SELECT round(min(oracle_wer), 9) AS low, round(max(oracle_wer), 9) AS high, count(DISTINCT prompt) AS n_prompt, count(DISTINCT model) AS n_model FROM summary")
 def q_report_range(spark, sf):
     """Axis range of a report, and what it averages over."""
-    summary = _summary(spark, sf)
+    summary = written(_summary(spark, sf))  # a row for each (prompt, model, service), read twice
     span = reports.value_range(summary, "oracle_wer").select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
     return span.crossJoin(reports.different(summary, "prompt", "model"))  # one row each
 
