@@ -85,9 +85,10 @@ def paradigm_consistency(rows: DataFrame, judged: DataFrame, looped: DataFrame,
     """
     sets = best_sets(rows, task.metric, not task.lower_is_better, "id")
     own = looped.filter(~F.coalesce("fallback_used", F.lit(False)) & ~F.endswith("prompt", F.lit("__no-threshold")))
-    parts = [winner_agreement(df, sets, "model").select(F.lit(name).alias("paradigm"), "model", F.col("agreement").alias("score")) for name, df in (("judge", judged), ("human_loop", own))]
+    both = [df.select(F.lit(name).alias("paradigm"), "model", "id", "winner") for name, df in (("judge", judged), ("human_loop", own))]
+    won = winner_agreement(both[0].unionByName(both[1]), sets, "paradigm", "model").select("paradigm", "model", F.col("agreement").alias("score"))  # the best sets are made once
     vote = voted.agg(F.avg("agreement").alias("score")).select(F.lit("majority_voting").alias("paradigm"), F.lit("(no LLM)").alias("model"), "score")
-    return parts[0].unionByName(parts[1]).unionByName(vote)
+    return won.unionByName(vote)
 
 
 def label_accuracy(rows: DataFrame, models: DataFrame | None, judged: DataFrame, looped: DataFrame, voted: DataFrame, task: TaskMetric = TASKS["asr"]) -> DataFrame:
