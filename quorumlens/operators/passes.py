@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quorumlens.functions.text import answer, fill_template, is_nullish, json_fields
 from quorumlens.operators.judging import judge_rows, usable
 from quorumlens.operators.panel import service_block
-from quorumlens.operators.store import pending, upsert
+from quorumlens.operators.store import pending
 
 #: The field that holds a task's own answer, by paradigm.
 ANSWER_KEYS = {"asr": "transcript", "mt": "translation", "fer": "scores"}
@@ -28,7 +28,7 @@ def oracle_pass(work: DataFrame, done: DataFrame, ask: Callable[[DataFrame], Dat
     said = answer(F.col("content"), ANSWER_KEYS[task])
     said = transform(said) if transform else said
     rows = asked.select(*KEY, said.alias("llm_oracle")).withColumn("status", F.when(is_nullish(F.col("llm_oracle")), "failed").otherwise("success"))
-    return upsert(done, rows, KEY)
+    return done.unionByName(rows, allowMissingColumns=True)  # what was pending is not in done, so nothing is replaced
 
 
 def as_service(answers: DataFrame, name: str = "llmaas", transform: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def judge_pass(work: DataFrame, done: DataFrame, ask: Callable[[DataFrame], Data
     parsed = asked.select(*KEY, fields[LABEL_KEYS[task]].alias("llm_label"), fields["winner"].alias("winner"), fields["confidence"].alias("confidence"), F.from_json(fields["scores"], "map<string,string>").alias("scores"))
     listed = F.array(*map(F.lit, services))
     parsed = parsed.withColumn("usable", usable(F.col("winner"), F.col("scores"), listed))
-    return upsert(done, judge_rows(parsed, services), KEY)
+    return done.unionByName(judge_rows(parsed, services), allowMissingColumns=True)  # as in `oracle_pass`
 
 
 def last_scores(accuracy: DataFrame, score: str, order: str) -> DataFrame:
