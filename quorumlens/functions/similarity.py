@@ -118,7 +118,7 @@ def long_word_errors(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
 #: Second texts from this length on take the standard library's way, which passes over their frequent characters.
 LONG = 200
 #: Pairs whose blocks are looked for together.
-TOGETHER = 4096
+TOGETHER = 1024
 
 
 def match_ratios(firsts: list[str], seconds: list[str]) -> np.ndarray:
@@ -134,10 +134,12 @@ def match_ratios(firsts: list[str], seconds: list[str]) -> np.ndarray:
         else:
             out[k] = SequenceMatcher(None, x, y).ratio()
     if short:
-        codes = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
         x, y = [firsts[k] for k in short], [seconds[k] for k in short]
         n, m = (np.fromiter(map(len, t), np.int64, len(t)) for t in (x, y))
-        out[short] = 2 * _matching(codes(x), codes(y), n, m) / (n + m)
+        codes = [np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.int32) + 2 for t in (x, y)]  # 0 and 1 stand after the ends
+        top = max(int(c.max(initial=0)) for c in codes)
+        small = np.uint8 if top < 256 else np.uint16 if top < 65536 else np.int32
+        out[short] = 2 * _matching(*[c.astype(small) for c in codes], n, m) / (n + m)
     return out
 
 
@@ -163,20 +165,26 @@ def _matching(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
 
 
 def _longest(x: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size and places of the longest common block of each x[lo:hi] and y[at:to]."""
+    """Size and places of the longest common block of each x[lo:hi] and y[at:to]: a pair a column, so that each step is one operation on bytes. Blocks are shorter than `LONG`, which fits a byte."""
     rows, wide = int((hi - lo).max()), int((to - at).max())
-    spans = np.arange(wide)
-    b = np.where(spans < (to - at)[:, None], y[np.minimum(at[:, None] + spans, len(y) - 1)], -1)
-    a = np.where(np.arange(rows) < (hi - lo)[:, None], x[np.minimum(lo[:, None] + np.arange(rows), len(x) - 1)], -2)
-    run = np.zeros((len(lo), wide + 1), np.int16)  # the block that ends here; the first column stays 0
-    size, i, j = np.zeros(len(lo), np.int16), np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
+    down, across = np.arange(rows)[:, None], np.arange(wide)[:, None]
+    a = np.where(down < hi - lo, x[np.minimum(lo + down, len(x) - 1)], x.dtype.type(0))
+    b = np.where(across < to - at, y[np.minimum(at + across, len(y) - 1)], y.dtype.type(1))
+    run, longer, same = np.zeros((wide + 1, len(lo)), np.uint8), np.empty((wide, len(lo)), np.uint8), np.empty((wide, len(lo)), bool)  # the block that ends here; the first row stays 0
+    size, end = np.zeros(len(lo), np.uint8), np.zeros(len(lo), np.int64)
     for k in range(rows):
-        run[:, 1:] = (run[:, :-1] + np.int16(1)) * (a[:, k : k + 1] == b)
-        value = run.max(1)
-        more = np.flatnonzero(value > size)
-        size[more], i[more], j[more] = value[more], k + 1, run[more].argmax(1)
+        np.equal(b, a[k], out=same)
+        np.add(run[:-1], np.uint8(1), out=longer)
+        np.multiply(longer, same.view(np.uint8), out=run[1:])
+        value = run[1:].max(0)
+        np.copyto(end, k + 1, where=value > size)
+        np.maximum(size, value, out=size)
     size = size.astype(np.int64)
-    return size, lo + i - size, at + j - size
+    i, here = lo + end - size, np.ones((wide, len(lo)), bool)  # here: whether the block is found from this place on
+    for k in range(int(size.max())):
+        fits = np.equal(b[k:], x[np.minimum(i + k, len(x) - 1)])
+        here[: wide - k] &= np.logical_or(fits, k >= size, out=fits)
+    return size, i, at + here.argmax(0)
 
 
 @F.pandas_udf(DoubleType())
