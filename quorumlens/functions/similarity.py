@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
@@ -215,19 +215,63 @@ def _of_rows(rows: list, ordered: bool) -> list[list[float]]:
 ordered_ratios, later_ratios = _pairs(True), _pairs(False)
 
 
+#: Characters whose n-grams are counted together, or those of one pair.
+CHARACTERS = 1 << 17
+
+
+def gram_counts(first: pa.Array, second: pa.Array, order: int) -> np.ndarray:
+    """Distinct character n-grams of each pair of texts without their white space, for each n up to ``order``: those of the first, of the second and of both (order x 3 x pairs).
+    Many pairs are counted at once: a gram is a number of its pair, characters and side, and one sort brings equal ones together. Null is empty.
+    """
+    texts, out = [a.fill_null("") for a in (first, second)], np.zeros((order, 3, len(first)), np.int64)
+    ends = np.cumsum(sum(pc.utf8_length(a).to_numpy(zero_copy_only=False).astype(np.int64) for a in texts))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CHARACTERS)) + 1).tolist(), len(first)]
+    for start, stop in zip(cuts, cuts[1:], strict=False):
+        _grams([a[start:stop].to_pylist() for a in texts], out[:, :, start:stop])
+    return out
+
+
+def _grams(texts: list[list[str]], out: np.ndarray) -> None:
+    """`gram_counts` of some pairs, into ``out``."""
+    pairs = out.shape[2]
+    rows = list(chain.from_iterable(zip(*texts, strict=True)))
+    codes = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.int32)
+    dark = (codes != 32) & ((codes < 9) | (codes > 13))
+    codes = codes[dark]
+    seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    seen[codes] = True
+    bits = width = int(np.count_nonzero(seen)).bit_length()
+    small = np.int32 if pairs.bit_length() + bits * len(out) < 31 else np.int64
+    codes = (np.cumsum(seen) - 1).astype(small)[codes]  # characters are numbered
+    text = np.repeat(np.arange(len(rows), dtype=small), np.fromiter(map(len, rows), np.int64, len(rows)))[dark]
+    pair, side, grams, bounds = text >> 1, text & 1, codes, np.arange(pairs + 1, dtype=small)
+    for n in range(len(out)):
+        if n:
+            if pairs.bit_length() + width + bits > 62:  # grams are numbered, where they take too many bits
+                kinds, grams = np.unique(grams, return_inverse=True)
+                width = len(kinds).bit_length()
+            grams, width = grams[:-1] << bits | codes[n:], width + bits
+        keys = pair[: len(grams)] << (width + 1) | grams << 1 | side[: len(grams)]
+        keys = np.sort(keys[text[: len(grams)] == text[n:]])
+        keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+        ends = np.searchsorted(keys, bounds << (width + 1))
+        second, both = (np.append(0, np.cumsum(k))[ends] for k in (keys & 1, np.append(keys[1:] >> 1 == keys[:-1] >> 1, False)[: len(keys)]))
+        every, second, both = (np.diff(k) for k in (ends, second, both))
+        out[n] = every - second, second, both
+
+
+def _chrf(order: int, beta: float):
+    @F.arrow_udf(DoubleType())
+    def score(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+        x, y, same = gram_counts(reference, hypothesis, order).astype(float).swapaxes(0, 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            p, r = same / y, same / x
+            scores = np.nan_to_num((1 + beta**2) * p * r / (beta**2 * p + r), nan=0.0)  # 0 without grams, or common ones
+        return pa.array(sum(scores[1:], scores[0]) / order)
+
+    return score
+
+
 def with_chrf(df: DataFrame, reference: str, hypothesis: str, name: str = "chrf", order: int = 3, beta: float = 2.0) -> DataFrame:
     """A lexical stand-in for a learned translation metric: F-score over distinct character n-grams up to ``order``."""
-    text = {f"_{c}": F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "") for c in (reference, hypothesis)}
-    grams = {f"_{c}{n}": _grams(f"_{c}", n) for c in (reference, hypothesis) for n in range(1, order + 1)}
-    scores = []
-    for n in range(1, order + 1):
-        x, y = F.col(f"_{reference}{n}"), F.col(f"_{hypothesis}{n}")
-        same = F.size(F.array_intersect(x, y)).cast("double")
-        p, r = F.try_divide(same, F.size(y)), F.try_divide(same, F.size(x))
-        scores.append(F.coalesce(F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0)))
-    return df.withColumns(text).withColumns(grams).withColumn(name, sum(scores[1:], scores[0]) / order).drop(*text, *grams)
-
-
-def _grams(text: str, n: int) -> Column:
-    every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>")))
+    return df.withColumn(name, _chrf(order, beta)(F.col(reference), F.col(hypothesis)))
