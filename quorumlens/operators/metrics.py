@@ -13,7 +13,8 @@ from quorumlens.functions.text import tokens
 def word_error_rows(panel: DataFrame, long: bool = False) -> DataFrame:
     """panel: id, service, service_output, human and/or oracle: errors, ref_words and word error rate against each reference.
 
-    A reference without words has 0 of them, and the words said are its errors. long: for texts of thousands of words, whose distances are counted a pair at a time; those of sentences are counted many pairs at once.
+    A reference without words has 0 of them, and the words said are its errors. A panel that has the words of a text already, in a column of its name after an underscore (``_human``: found
+    once a sample instead of once a service), keeps them. long: for texts of thousands of words, whose distances are counted a pair at a time; those of sentences are counted many pairs at once.
     """
     kinds = [r for r in ("human", "oracle") if r in panel.columns]
     rows = _in_words(panel, "service_output", *kinds)
@@ -26,14 +27,15 @@ def error_rows_by_answer(panel: DataFrame, answers: DataFrame) -> DataFrame:
     """`word_error_rows` of a panel (id, service, service_output, human) against the human and each model's own answer.
 
     answers: id, ..., oracle. Words are found before rows meet, and errors against the human are counted once for each output, not for each answer to it.
+    Rows meet by merging: Spark sees the size of the tables, not of the rows exploded from them, and would send all outputs through the driver where a table is small or well compressed.
     """
     said = _counted(_in_words(panel, "service_output", "human"), "human")
-    return _counted(said.join(_in_words(answers, "oracle"), "id"), "oracle").drop("_service_output")
+    return _counted(said.join(_in_words(answers, "oracle").hint("merge"), "id"), "oracle").drop("_service_output")
 
 
 def _in_words(rows: DataFrame, *texts: str) -> DataFrame:
-    """The words of texts, each in a column of its name after an underscore, in place of the texts."""
-    return rows.withColumns({f"_{c}": tokens(F.col(c)) for c in texts}).drop(*texts)
+    """The words of texts, each in a column of its name after an underscore, in place of the texts; words that are there already stay."""
+    return rows.withColumns({f"_{c}": tokens(F.col(c)) for c in texts if f"_{c}" not in rows.columns}).drop(*texts)
 
 
 def _counted(rows: DataFrame, r: str, long: bool = False) -> DataFrame:

@@ -138,7 +138,7 @@ def q_failure_combined(spark, sf):
 
 @query(f"WITH {X.ERRORS} SELECT id, lang, service, svc_ord, human_errors, human_ref_words, CASE WHEN human_ref_words > 0 THEN human_errors / human_ref_words::DOUBLE END AS human_wer FROM errors")
 def q_wer_rows(spark, sf):
-    return metrics.word_error_rows(X.text_panel(spark, sf))
+    return metrics.word_error_rows(X.text_panel(spark, sf, words=True))
 
 
 WER = "sum(human_errors)::BIGINT AS errors, sum(human_ref_words)::BIGINT AS ref_words, count(*) AS n_samples, sum(human_errors)::DOUBLE / nullif(sum(human_ref_words), 0) AS wer"
@@ -387,14 +387,14 @@ ACCURACY = f"{X.ERRORS},\n{LLM_ROWS},\n{REF_ROWS},\n{SUMMARY_WER},\n{LLM_SUMMARY
 
 def _llm_rows(spark, sf) -> DataFrame:
     """The models' own answers scored as one more service."""
-    answers = X.oracle_answers(spark, sf).withColumnRenamed("answer", "llm_oracle")
+    answers = X.oracle_answers(spark, sf, words=True).withColumnRenamed("answer", "llm_oracle")
     return metrics.word_error_rows(passes.as_service(answers).drop("llm_oracle"))
 
 
 def _summary(spark, sf) -> DataFrame:
     """Error rates of each (prompt, model, service) against the human and the model's own answer."""
     own = X.oracle_answers(spark, sf).select("id", "prompt", "model", F.coalesce("answer", F.lit("")).alias("oracle"))
-    return reports.accuracy_summary(metrics.error_rows_by_answer(X.text_panel(spark, sf), own), "prompt", "model", "service")
+    return reports.accuracy_summary(metrics.error_rows_by_answer(X.text_panel(spark, sf, words=True), own), "prompt", "model", "service")
 
 
 def _llm_summary(spark, sf) -> DataFrame:

@@ -61,8 +61,8 @@ UTTERANCES = """(SELECT (conv_id::BIGINT * 1000 + turn) * 1000 + n AS id, (['de'
         FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM conversations)))"""
 
 
-def text_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """id, lang, service, svc_ord, human (the whole utterance) and service_output (with changed and missing words, blanks, errors)."""
+def text_panel(spark: SparkSession, sf: str, words: bool = False) -> DataFrame:
+    """id, lang, service, svc_ord, human (the whole utterance) and service_output (with changed and missing words, blanks, errors). words: with those of the utterance as _human."""
     d = utterances(spark, sf).withColumn("w", tokens(F.col("text")))
     e = each(d, "svc_ord", 6)
     k, i = F.col("svc_ord"), F.col("id")
@@ -70,7 +70,7 @@ def text_panel(spark: SparkSession, sf: str) -> DataFrame:
     e = e.withColumn("c", changed)
     kept = F.array_join(F.filter("c", lambda w, n: (n + i + k) % (k + 5) != 0), " ")
     said = F.when((i * 7 + k) % 23 == 0, "").when((i + k) % 29 == 0, '{"error":"x"}').otherwise(kept)
-    return e.select("id", "lang", F.concat(F.lit("svc_"), k).alias("service"), "svc_ord", F.col("text").alias("human"), said.alias("service_output"))
+    return e.select("id", "lang", F.concat(F.lit("svc_"), k).alias("service"), "svc_ord", F.col("text").alias("human"), said.alias("service_output"), *[F.col("w").alias("_human")] * words)
 
 
 #: The words of a text in SQL.
@@ -102,12 +102,12 @@ def prompt_of(i: Column) -> Column:
 PROMPT_OF = "CASE {0} % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'medium__no-threshold' END"
 
 
-def oracle_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """id, lang, prompt, model, human and answer: what each model itself heard; null where it gave no answer."""
-    d = each(utterances(spark, sf), "m", 3)
+def oracle_answers(spark: SparkSession, sf: str, words: bool = False) -> DataFrame:
+    """id, lang, prompt, model, human and answer: what each model itself heard; null where it gave no answer. words: with those of the utterance as _human."""
+    d = each(utterances(spark, sf).withColumn("w", tokens(F.col("text"))), "m", 3)
     i, m = F.col("id"), F.col("m")
-    heard = F.array_join(F.filter(tokens(F.col("text")), lambda w, n: (n + 2 * i + m) % (m + 7) != 0), " ")
-    return d.select("id", "lang", prompt_of(i).alias("prompt"), F.concat(F.lit("m"), m).alias("model"), F.col("text").alias("human"), F.when((i + m) % 41 != 0, heard).alias("answer"))
+    heard = F.array_join(F.filter("w", lambda w, n: (n + 2 * i + m) % (m + 7) != 0), " ")
+    return d.select("id", "lang", prompt_of(i).alias("prompt"), F.concat(F.lit("m"), m).alias("model"), F.col("text").alias("human"), F.when((i + m) % 41 != 0, heard).alias("answer"), *[F.col("w").alias("_human")] * words)
 
 
 ORACLE_ANSWERS = f"""oracle_answers AS (
