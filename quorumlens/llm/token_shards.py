@@ -23,13 +23,15 @@ leaves none half written.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,95 +40,116 @@ from pyspark.sql import functions as F
 from quorumlens.llm.common import small_batches, text_of
 
 SCHEMA = "part int, shard int, n_docs int, n_ids bigint, first_rule bigint, doc_ids binary, has_id binary, symbol_ends binary, symbols binary, rules binary, lengths binary"
-#: Fixed value: the split pattern of the word vocabulary, for words of common Latin characters.
-LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-NOT_LATIN = re.compile("[^!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]|<[|]")
-#: Separators to Python only.
-NOT_SPACE = "\x1c\x1d\x1e\x1f"
-#: Words that a worker remembers, and texts that it encodes together.
-REMEMBERED, TOGETHER = 600_000, 1000
-
-
-class Index(dict):
-    """A number for each word, given when first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        return number
+ROW = pa.schema([(name, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))])
+#: Fixed value: the split pattern of the word vocabulary, for words of common Latin characters, and the ends of words.
+LATIN_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: For Arrow: what is neither a common Latin character nor white space, or may begin a special token.
+NOT_LATIN = r"[^!-~\x{85}\p{Z}\x{a1}-\x{b1}\x{b4}-\x{b8}\x{ba}\x{bb}\x{bf}-\x{24f}]|<[|]"
+#: For Arrow: separators to Python only, and the letter that becomes two in lower case.
+UNLIKE_LIBRARY = r"[\x1c-\x1f\x{130}]"
+#: Pieces that a worker remembers, and bytes of text that it encodes together.
+REMEMBERED, TOGETHER = 600_000, 8 << 20
 
 
 class WordEncoder:
     """Ids of texts by a vocabulary file of the tokenizers library.
 
-    White space separates what the library encodes independently, so it encodes each different lower-case
-    word once and texts are put together from their words' ids. Texts with anything but common Latin characters,
-    or with what may be a special token, it encodes whole. Beyond ``REMEMBERED`` words, the half used least is forgotten.
+    White space separates what the library encodes independently, and its split pattern cuts words into pieces that it encodes
+    independently too. So each different lower-case word of the texts is cut once, the library encodes each new piece once, and
+    texts are put together from their words' ids. Arrow splits the texts and finds the different words. Texts with anything but
+    common Latin characters, or with what may be a special token, the library encodes whole. Beyond ``REMEMBERED`` pieces, the
+    half used least is forgotten.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.words.normalizer = normalizers.Sequence([])  # common Latin words in lower case are normal already
-        for t in (self.library, self.words):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
+        self.library, self.alone = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.alone.normalizer = normalizers.Sequence([])  # common Latin pieces in lower case are normal already
+        self.alone.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])  # and cut
+        for t in (self.library, self.alone):
             t.no_padding()
             t.no_truncation()
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self._keep([], np.empty(0, np.int64), np.empty(0, np.uint32))
         self.uses = np.empty(0, np.int64)
-
-    def _keep(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
-        """Sets what is remembered: words, their numbers of ids (-1: not to be encoded alone) and ids."""
-        self.index, self.sizes, self.flat = Index(zip(words, range(len(words)), strict=True)), sizes, flat
-        self.starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
-
-    def _gather(self, numbers: np.ndarray) -> np.ndarray:
-        sizes = np.maximum(self.sizes[numbers], 0)
-        shift = self.starts[numbers] - (np.cumsum(sizes) - sizes)
-        return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > REMEMBERED:
-            best = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
-            words, flat = list(self.index), self._gather(best)
-            self._keep([words[i] for i in best.tolist()], self.sizes[best], flat)
-            self.uses = self.uses[best]
-        words, known = [t.lower().split() for t in texts], len(self.index)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        self._learn(list(islice(self.index, known, None)))
-        self.uses = np.append(self.uses, np.zeros(len(self.index) - known, np.int64)) + np.bincount(numbers, minlength=len(self.index))
-        whole = np.zeros(len(texts), bool)
-        whole[np.repeat(np.arange(len(texts)), counts)[self.sizes[numbers] < 0]] = True
-        sizes = np.append(0, np.cumsum(np.maximum(self.sizes[numbers], 0)))
-        stops = sizes[np.append(0, np.cumsum(counts))].tolist()
-        ids = self._gather(numbers)
+        self._keep(pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.uint32))
+
+    def _keep(self, pieces: pa.StringArray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Sets what is remembered: pieces, their numbers of ids and ids."""
+        self.pieces, self.sizes, self.flat = pieces, sizes, flat
+        self.starts = np.cumsum(sizes) - sizes
+
+    def encode(self, texts: list[str] | pa.StringArray) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        counts = words.value_lengths().to_numpy()
+        words = words.flatten().dictionary_encode()
+        numbers = words.indices.to_numpy()
+        foreign = pc.match_substring_regex(words.dictionary, NOT_LATIN).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, UNLIKE_LIBRARY).to_numpy(zero_copy_only=False)
+        if foreign.any():
+            whole[np.repeat(np.arange(len(texts)), counts)[foreign[numbers]]] = True
+        starts, sizes, ids = self._words(words.dictionary, foreign)
+        sizes = sizes[numbers]
+        stops = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))].tolist()
+        ids = _gather(ids, starts[numbers], sizes)
         return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if w or any(c in t for c in NOT_SPACE) else ids[a:b]
-            for t, w, a, b in zip(texts, whole.tolist(), stops, stops[1:], strict=False)
+            np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) if w else ids[a:b]
+            for k, (w, a, b) in enumerate(zip(whole.tolist(), stops, stops[1:], strict=False))
         ]
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds the ids of new words."""
-        alone = np.array([not NOT_LATIN.search(w) for w in new], bool)
-        plain = [w for w, x in zip(new, alone, strict=True) if x]
-        sizes, parts = np.full(len(new), -1, np.int64), [self.flat]
-        found = []
-        for at in range(0, len(plain), 300):
-            some = plain[at : at + 300]
-            ids = np.array(self.words.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1  # one for each word of the library's
-            counts = np.cumsum([1 if w.isalpha() and w.isascii() else len(LATIN_WORDS.findall(w)) for w in some])
-            if counts[-1] != len(cuts):
+    def _words(self, words: pa.StringArray, foreign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's ids start, how many they are (foreign words: none), and the ids of all."""
+        letters = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False) & ~foreign  # one piece each
+        mixed = ~letters & ~foreign
+        found = LATIN_WORDS.findall("".join(f"{w}\n" for w in words.filter(pa.array(mixed)).to_numpy(zero_copy_only=False)))
+        found = pa.array(found, pa.string())
+        cuts = pc.equal(found, "\n").to_numpy(zero_copy_only=False)
+        pieces = pa.concat_arrays([words.filter(pa.array(letters)), found.filter(pa.array(~cuts))]).dictionary_encode()
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(mixed)])
+        cuts = np.flatnonzero(cuts)
+        of = np.repeat(order, np.append(np.ones(int(letters.sum()), np.int64), np.diff(cuts, prepend=-1) - 1))
+        numbers = self._numbers(pieces.dictionary)[pieces.indices.to_numpy()]
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        sizes, starts = np.bincount(of, self.sizes[numbers], len(words)).astype(np.int64), np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return starts, sizes, _gather(self.flat, self.starts[numbers], self.sizes[numbers])
+
+    def _numbers(self, pieces: pa.StringArray) -> np.ndarray:
+        """Numbers of different pieces among those remembered; new ones are added."""
+        if len(self.pieces) > REMEMBERED:
+            best = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+            self.uses = self.uses[best]
+            self._keep(self.pieces.take(pa.array(best)), self.sizes[best], _gather(self.flat, self.starts[best], self.sizes[best]))
+        numbers = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        unknown = numbers < 0
+        numbers[unknown] = len(self.pieces) + np.arange(int(unknown.sum()))
+        self._learn(pieces.filter(pa.array(unknown)))
+        return numbers
+
+    def _learn(self, new: pa.StringArray) -> None:
+        """Adds the ids of new pieces."""
+        sizes, parts, names = [self.sizes], [self.flat], new.to_numpy(zero_copy_only=False)
+        for at in range(0, len(new), 300):
+            some = names[at : at + 300]
+            ids = np.array(self.alone.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
                 raise ValueError("the vocabulary's words do not all end in </w>")
-            found.append(np.diff(cuts[counts - 1], prepend=0))
+            sizes.append(np.diff(cuts, prepend=0))
             parts.append(ids)
-        if found:
-            sizes[alone] = np.concatenate(found)
-        self.sizes, self.flat = np.append(self.sizes, sizes), np.concatenate(parts)
-        self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
+        self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
+        self._keep(pa.concat_arrays([self.pieces, new]), np.concatenate(sizes), np.concatenate(parts))
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` one after the other."""
+    places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    places += np.arange(len(places))
+    return flat[places]
 
 
 @lru_cache(maxsize=1)
@@ -134,6 +157,26 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _same_pairs(first: np.ndarray, second: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """order: the pairs' places, equal pairs together and ascending; where each kind starts in it; the kinds' two symbols, all below ``top``."""
+    wide, low = int(top).bit_length(), len(first).bit_length()
+    if 2 * wide + low <= 64:  # a pair and its place are one number
+        keys = first << np.uint64(wide)
+        keys |= second
+        keys <<= np.uint64(low)
+        keys |= np.arange(len(first), dtype=np.uint64)
+        keys.sort()
+        order = (keys & np.uint64((1 << low) - 1)).view(np.int64)
+        keys >>= np.uint64(low)
+    else:
+        wide, keys = 32, (first << np.uint64(32)) | second
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    kinds = keys[starts]
+    return order, starts, kinds >> np.uint64(wide), kinds & np.uint64((1 << wide) - 1)
+
+
 def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, per_round: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """symbols, doc_ends within them, rules: each round replaces the most frequent pairs, until no pair comes ``least`` times.
     A rule takes 12 bytes and each replacement saves 4, so the fourth is the first to gain.
@@ -149,32 +192,39 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, per_round: in
     last[doc_ends[doc_ends > 0] - 1] = True
     at = np.flatnonzero(~last[:n])
     while len(at):
-        kind, kinds = pd.factorize((symbols[at] << np.uint64(32)) | symbols[after[at]])
-        joined = np.append(after[at[:-1]] == at[1:], False)  # with the pair that begins at this one's second symbol
-        twins = joined & np.append(kind[:-1] == kind[1:], False)
-        free = np.ones(len(at), bool)
-        if twins.any():  # of a run of one symbol every other pair can be replaced
-            starts = np.flatnonzero(np.diff(kind, prepend=-1).astype(bool) | ~np.append(False, joined[:-1]))
-            free = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
-        counts = np.bincount(kind[free], minlength=len(kinds))
+        order, starts, firsts, seconds = _same_pairs(symbols[at], symbols[after[at]], top)
+        places = np.diff(starts, append=len(at))
+        counts, bound = places.copy(), np.empty(0, np.int64)
+        twins = np.flatnonzero((firsts == seconds) & (counts >= least))
+        if len(twins):  # of a run of one symbol every other pair can be replaced
+            of = np.repeat(np.arange(len(twins)), places[twins])
+            rows = _gather(order, starts[twins], places[twins])
+            begins = np.flatnonzero(np.append(True, (after[at[rows[:-1]]] != at[rows[1:]]) | (of[:-1] != of[1:])))
+            free = (np.arange(len(rows)) - np.repeat(begins, np.diff(begins, append=len(rows)))) % 2 == 0
+            counts[twins], bound = np.bincount(of[free], minlength=len(twins)), rows[~free]
         chosen = np.flatnonzero(counts >= least)
         if not len(chosen):
             break
+        kinds = (firsts << np.uint64(32)) | seconds
         mixed = (kinds[chosen] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        ranked = chosen[np.lexsort((mixed, -counts[chosen]))[:per_round]]  # the first win
-        rank = np.full(len(kinds), -1, np.int32)
+        mixed |= (n - counts[chosen]).astype(np.uint64) << np.uint64(32)
+        ranked = chosen[np.argsort(mixed, kind="stable")[:per_round]]  # the first win
+        rank = np.full(len(kinds), -2, np.int32)  # -1: frequent, but not in this round
+        rank[chosen] = -1
         rank[ranked] = np.arange(len(ranked), dtype=np.int32)
-        own = rank[kind]
-        some = np.flatnonzero(free & (own >= 0))
-        own = own[some]
-        meets = joined[some[:-1]] & (some[1:] == some[:-1] + 1)
+        own = np.empty(len(at), np.int32)
+        own[order] = np.repeat(rank, places)
+        own[bound] = np.minimum(own[bound], -1)
+        frequent, some = at[own >= -1], np.flatnonzero(own >= 0)
+        own, some = own[some], at[some]
+        meets = after[some[:-1]] == some[1:]
         wins = np.ones(len(some), bool)
         wins[:-1] &= ~meets | (own[:-1] < own[1:])
         wins[1:] &= ~meets | (own[1:] < own[:-1])
         own, here = own[wins], some[wins]
         used = np.bincount(own, minlength=len(ranked)) >= least
         keep = used[own]
-        hits, number, made = at[here[keep]], np.cumsum(used) - 1, kinds[ranked[used]]
+        hits, number, made = here[keep], np.cumsum(used) - 1, kinds[ranked[used]]
         rules.append(np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1))
         second = after[hits]
         symbols[hits] = (top + number[own[keep]]).astype(np.uint64)
@@ -184,7 +234,7 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, per_round: in
         inner = after[hits] < n
         before[after[hits[inner]]] = hits[inner]
         top += len(made)
-        changed = np.concatenate([at[(counts >= least)[kind]], hits, before[hits][before[hits] >= 0]])
+        changed = np.concatenate([frequent, hits, before[hits][before[hits] >= 0]])
         if len(changed) > n // 64:
             marks = np.zeros(n, bool)
             marks[changed] = True
@@ -268,24 +318,35 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, text: str = "text
             "symbols": symbols.tobytes(), "rules": rules.tobytes(), "lengths": rule_lengths(rules, first_rule).tobytes(),
         }
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer), np.array([end_id], np.uint32)
         number, size, ids, arrays = 0, 0, [], []
-        for batch in batches:
-            for at in range(0, len(batch), TOGETHER):
-                some = batch.iloc[at : at + TOGETHER]
-                keys = [None if pd.isna(i) else int(i) for i in some["doc_id"]]
-                for i, a in zip(keys, encoder.encode(some["text"].tolist()), strict=True):
-                    ids.append(i)
-                    arrays.append(np.concatenate([a, end]))
-                    size += len(a) + 1
-                    if size >= shard_ids:
-                        yield pd.DataFrame([shard(number, ids, arrays)])
-                        number, size, ids, arrays = number + 1, 0, [], []
+        for batch in _together(batches):
+            for i, a in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+                ids.append(i)
+                arrays.append(np.concatenate([a, end]))
+                size += len(a) + 1
+                if size >= shard_ids:
+                    yield pa.RecordBatch.from_pylist([shard(number, ids, arrays)], ROW)
+                    number, size, ids, arrays = number + 1, 0, [], []
         if ids:
-            yield pd.DataFrame([shard(number, ids, arrays)])
-
-    ordered.mapInPandas(write, SCHEMA).write.parquet(target)
+            yield pa.RecordBatch.from_pylist([shard(number, ids, arrays)], ROW)
+
+    ordered.mapInArrow(write, SCHEMA).write.parquet(target)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``TOGETHER`` bytes (and one row at least); a row counts 64 bytes and its text."""
+    held, total = [], 0
+    for batch in batches:
+        ends = total + np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64) + 64)
+        start = 0
+        for stop in (np.flatnonzero(np.diff(ends // TOGETHER, prepend=total // TOGETHER)) + 1).tolist():
+            yield pa.concat_batches([*held, batch.slice(start, stop - start)])
+            held, start = [], stop
+        held, total = [*held, batch.slice(start)], int(ends[-1]) if len(ends) else total
+    if sum(map(len, held)):
+        yield pa.concat_batches(held)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quorumlens.llm import token_shards
 from quorumlens.llm.token_shards import Grammar, WordEncoder, read_documents, repair, rule_lengths, with_starts, write_shards
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -85,3 +87,60 @@ def test_empty(spark, tmp_path):
     write_shards(spark.createDataFrame([], "doc_id long, text string"), PATH, str(tmp_path / "none"))
     none = spark.read.parquet(str(tmp_path / "none"))
     assert with_starts(read_documents(none), none).count() == 0
+
+
+class Counted:
+    """A tokenizer that counts the words it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, 0
+
+    def encode(self, text, **options):
+        self.words += len(text.split())
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += sum(len(t.split()) for t in texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_the_library_gets_each_piece_once():
+    library, own, r = Tokenizer.from_file(PATH), WordEncoder(PATH), random.Random(8)
+    counted = [Counted(t) for t in vars(own).values() if isinstance(t, Tokenizer)]
+    for name in [k for k, t in vars(own).items() if isinstance(t, Tokenizer)]:
+        setattr(own, name, next(c for c in counted if c.tokenizer is getattr(own, name)))
+    stems, marks = ["".join(r.choices("aeiourstlé", k=7)) for _ in range(200)], [".", ",", "!", "?", ";", "...", ")", "'s", ":", "%%"]
+    for _ in range(3):
+        some = [" ".join(r.choice(stems) + r.choice(marks) + r.choice(["", "", r.choice(marks)]) for _ in range(400)) for _ in range(10)]
+        for t, ids in zip(some, own.encode(some), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert sum(c.words for c in counted) <= 200 + 10 + 10 * 10  # stems, marks, and marks that run together
+
+
+def test_encoder_forgets_and_takes_any_latin_character(monkeypatch):
+    monkeypatch.setattr(token_shards, "REMEMBERED", 60)
+    library, own, r = Tokenizer.from_file(PATH), WordEncoder(PATH), random.Random(9)
+    latin = [chr(i) for i in range(0x2B0)] + list("\u0301\u1680\u1e9e\u2003\u2028\u202f\u205f\u3000\u212a\u212b\ufeff")
+    some = [f"{c} x{c}y{c}{c}1{c}.\n" for c in latin] + ["".join(r.choices(latin, k=9)) for _ in range(2000)]
+    for at in range(0, len(some), 100):
+        part = some[at : at + 100]
+        for t, ids in zip(part, own.encode(part), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+    assert [x.tolist() for x in own.encode([])] == [] and len(own.pieces) < 600
+
+
+def test_pairs_that_do_not_fit_one_number_are_grouped_alike():
+    r = np.random.default_rng(5)
+    first, second = r.integers(0, 40, (2, 3000)).astype(np.uint64)
+    for a, b in zip(token_shards._same_pairs(first, second, 1 << 16), token_shards._same_pairs(first, second, 1 << 31), strict=True):
+        assert (a == b).all()
+
+
+def test_batches_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_shards, "TOGETHER", 1000)
+    r = random.Random(3)
+    rows = [{"doc_id": i, "text": "y" * r.choice([0, 0, 5, 90, 5000])} for i in range(700)]
+    batches = [pa.RecordBatch.from_pylist(rows[a:b], pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) for a, b in ((0, 300), (300, 300), (300, 700))]
+    got = [b.to_pylist() for b in token_shards._together(iter(batches))]
+    assert [x for b in got for x in b] == rows and all(sum(len(x["text"]) + 64 for x in b[:-1]) < 1000 for b in got)
+    assert len(got) < 400 and list(token_shards._together(iter(batches[1:2]))) == []
