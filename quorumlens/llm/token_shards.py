@@ -27,9 +27,9 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -45,8 +45,8 @@ ROW = pa.schema([(name, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.b
 LATIN_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: For Arrow: what is neither a common Latin character nor white space, or may begin a special token.
 NOT_LATIN = r"[^!-~\x{85}\p{Z}\x{a1}-\x{b1}\x{b4}-\x{b8}\x{ba}\x{bb}\x{bf}-\x{24f}]|<[|]"
-#: For Arrow: separators to Python only, and the letter that becomes two in lower case.
-UNLIKE_LIBRARY = r"[\x1c-\x1f\x{130}]"
+#: The letter that becomes two in lower case, but one in Arrow's.
+DOTTED_I = "\u0130"
 #: Pieces that a worker remembers, and bytes of text that it encodes together.
 REMEMBERED, TOGETHER = 600_000, 8 << 20
 
@@ -89,7 +89,7 @@ class WordEncoder:
         words = words.flatten().dictionary_encode()
         numbers = words.indices.to_numpy()
         foreign = pc.match_substring_regex(words.dictionary, NOT_LATIN).to_numpy(zero_copy_only=False)
-        whole = pc.match_substring_regex(texts, UNLIKE_LIBRARY).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring(texts, DOTTED_I).to_numpy(zero_copy_only=False)
         if foreign.any():
             whole[np.repeat(np.arange(len(texts)), counts)[foreign[numbers]]] = True
         starts, sizes, ids = self._words(words.dictionary, foreign)
@@ -352,22 +352,25 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(shards: DataFrame) -> DataFrame:
     """part, shard, position, doc_id, offset (ids before it in the shard) and ids (packed) of each document of a shard table."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s in batch.itertuples():
-                symbols, ends = np.frombuffer(s.symbols, "<u4"), np.frombuffer(s.symbol_ends, "<u4").tolist()
-                grammar = Grammar(s.first_rule, np.frombuffer(s.rules, "<u4").reshape(-1, 2), np.frombuffer(s.lengths, "<u4"))
-                has = np.unpackbits(np.frombuffer(s.has_id, np.uint8))[: s.n_docs]
-                doc_ids = [i if h else None for i, h in zip(np.frombuffer(s.doc_ids, "<i8").tolist(), has.tolist(), strict=True)]
-                ids = grammar.expand(symbols).astype("<u4")
-                stops = np.concatenate([[0], np.cumsum(grammar.sizes(symbols.astype(np.int64)))])[[0, *ends]].tolist()
-                for at in range(0, s.n_docs, 256):
-                    span = range(at, min(at + 256, s.n_docs))
-                    packed = [ids[stops[k] : stops[k + 1]].tobytes() for k in span]
-                    yield pd.DataFrame({"part": s.part, "shard": s.shard, "position": list(span), "doc_id": pd.Series(doc_ids[at : at + 256], dtype="Int64"), "offset": stops[at : at + 256][: len(span)], "ids": packed})
+    kinds = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("position", pa.int32()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in chain.from_iterable(batch.to_pylist() for batch in batches):
+            symbols, ends = np.frombuffer(s["symbols"], "<u4"), np.frombuffer(s["symbol_ends"], "<u4")
+            grammar = Grammar(s["first_rule"], np.frombuffer(s["rules"], "<u4").reshape(-1, 2), np.frombuffer(s["lengths"], "<u4"))
+            no_id = np.unpackbits(np.frombuffer(s["has_id"], np.uint8))[: s["n_docs"]] == 0
+            doc_ids = np.frombuffer(s["doc_ids"], "<i8")
+            ids = grammar.expand(symbols).astype("<u4")
+            stops = np.append(0, np.cumsum(grammar.sizes(symbols.astype(np.int64)))[ends.astype(np.int64) - 1])
+            for at in range(0, s["n_docs"], 256):
+                span, cuts = slice(at, at + 256), stops[at : at + 257]
+                n = len(cuts) - 1
+                places = [pa.py_buffer(((cuts - cuts[0]) * 4).astype(np.int32)), pa.py_buffer(ids[cuts[0] : cuts[-1]])]
+                columns = [np.full(n, s["part"], np.int32), np.full(n, s["shard"], np.int32), np.arange(at, at + n, dtype=np.int32), pa.array(doc_ids[span], mask=no_id[span]), cuts[:-1]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.Array.from_buffers(pa.binary(), n, [None, *places])], schema=kinds)
 
     columns = ["part", "shard", "n_docs", "first_rule", "doc_ids", "has_id", "symbol_ends", "symbols", "rules", "lengths"]
-    return shards.select(*columns).mapInPandas(read, "part int, shard int, position int, doc_id bigint, offset bigint, ids binary")
+    return shards.select(*columns).mapInArrow(read, "part int, shard int, position int, doc_id bigint, offset bigint, ids binary")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
